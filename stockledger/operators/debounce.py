@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators.ordered import join_on_keys, ordered_scan
+from stockledger.operators.ordered import join_on_keys, ordered_scan, share
 from stockledger.session import ensure_checkpoint_dir
 
 _MICRO = 1_000_000
@@ -41,7 +41,7 @@ def _micros(col: str):
 def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucket_s: int) -> DataFrame:
     bucket = F.floor(F.col("__t") / F.lit(bucket_s * _MICRO)).cast("bigint")
     p = ordered_scan(df, keys, order, last_before={"__pt": F.col("__t")}, bucket=bucket)
-    p = p.withColumn("__new", F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us))
+    p = share(p.withColumn("__new", F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us)))
     return ordered_scan(p, keys, order, last_upto={"__ss": F.when(F.col("__new"), F.col("__t"))},
                         bucket=bucket)
 

@@ -28,6 +28,30 @@ from pyspark.sql.window import Window
 _U = Window.unboundedPreceding
 
 
+_SHARED: list[DataFrame] = []
+
+
+def share(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that two branches of one plan read (MEMORY_AND_DISK).
+
+    Spark recomputes a forked subtree per consumer unless both sides meet at
+    an identical exchange, which column pruning usually prevents.  A scan's
+    window branch and its cell-summary branch both read their input, so a
+    chained scan (pass 2 reading pass 1) would otherwise repeat all earlier
+    passes.  Persisting is lazy and fault tolerant: lost blocks are rebuilt
+    from lineage.  ``release_shared`` drops them when a job is done.
+    """
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(out)
+    return out
+
+
+def release_shared() -> None:
+    while _SHARED:
+        _SHARED.pop().unpersist(blocking=False)
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` treating NULL = NULL, keeping the left key columns only.
 
@@ -70,9 +94,20 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         out += [F.last(e, ignorenulls=True).over(w_ex).alias(o) for o, e in last_before.items()]
         return df.select("*", *out)
 
+    # Nullable keys are encoded once as (text, is-null) columns; the same columns
+    # partition the window and join the carry, so the big side keeps the
+    # (key, bucket) partitioning of the window and is not shuffled again.
+    enc, pkeys = {}, []
+    for i, k in enumerate(keys):
+        if df.schema[k].nullable:
+            enc[f"__nk{i}"] = F.coalesce(F.col(k).cast("string"), F.lit(""))
+            enc[f"__nn{i}"] = F.col(k).isNull()
+            pkeys += [f"__nk{i}", f"__nn{i}"]
+        else:
+            pkeys.append(k)
     b = "__b"
-    cell = keys + [b]
-    staged = df.withColumn(b, bucket)
+    cell = pkeys + [b]
+    staged = df.withColumns({**enc, b: bucket})
     w_in = Window.partitionBy(*cell).orderBy(*order_cols).rowsBetween(_U, Window.currentRow)
     w_ex = Window.partitionBy(*cell).orderBy(*order_cols).rowsBetween(_U, -1)
 
@@ -83,25 +118,24 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         loc[f"__lu_{o}"] = F.last(e, ignorenulls=True).over(w_in)
     for o, e in last_before.items():
         loc[f"__lb_{o}"] = F.last(e, ignorenulls=True).over(w_ex)
-        loc[f"__li_{o}"] = F.last(e, ignorenulls=True).over(w_in)
     local = staged.select("*", *[c.alias(n) for n, c in loc.items()])
 
-    # one summary row per cell: the cell's last row holds its totals
-    summary_cols = [n for n in loc if not n.startswith("__lb_")]
-    summary = (local.groupBy(*cell)
-               .agg(F.max_by(F.struct(*[F.col(n) for n in summary_cols]), F.struct(*order_cols)).alias("__s")))
-    w_c = Window.partitionBy(*keys).orderBy(F.col(b)).rowsBetween(_U, -1)
+    # one summary row per cell, aggregated from the cell's own rows
+    aggs = [F.sum(e).alias(f"__ts_{o}") for o, e in sums.items()]
+    for o, e in list(last_upto.items()) + list(last_before.items()):
+        aggs.append(F.max_by(e, F.when(e.isNotNull(), F.struct(*order_cols))).alias(f"__tl_{o}"))
+    summary = staged.groupBy(*cell).agg(*aggs)
+    w_c = Window.partitionBy(*pkeys).orderBy(F.col(b)).rowsBetween(_U, -1)
     carry_cols = []
     for o in sums:
-        carry_cols.append(F.coalesce(F.sum(F.col(f"__s.__ls_{o}")).over(w_c), F.lit(0)).alias(f"__cs_{o}"))
+        carry_cols.append(F.coalesce(F.sum(F.col(f"__ts_{o}")).over(w_c), F.lit(0)).alias(f"__cs_{o}"))
     for o in last_upto:
-        carry_cols.append(F.last(F.col(f"__s.__lu_{o}"), ignorenulls=True).over(w_c).alias(f"__cu_{o}"))
+        carry_cols.append(F.last(F.col(f"__tl_{o}"), ignorenulls=True).over(w_c).alias(f"__cu_{o}"))
     for o in last_before:
-        carry_cols.append(F.last(F.col(f"__s.__li_{o}"), ignorenulls=True).over(w_c).alias(f"__cb_{o}"))
+        carry_cols.append(F.last(F.col(f"__tl_{o}"), ignorenulls=True).over(w_c).alias(f"__cb_{o}"))
     carry = summary.select(*cell, *carry_cols)
 
-    # null-safe on the keys: a null key is a key like any other in a window
-    joined = join_on_keys(local, carry, cell)
+    joined = local.join(carry, on=cell, how="inner")
     final = []
     for o, e in sums.items():
         # keep the sum's type: carry starts at 0 of the same type
