@@ -24,6 +24,9 @@ class Params:
     # Debounce sessions up to this many scans are folded in one array; longer
     # ones go through the distributed pointer-doubling path.
     debounce_fold_max: int = 2000
+    # Persist the input of chained ordered scans that two plan branches read
+    # (see ordered.share); off only for comparisons.
+    share_passes: bool = True
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

@@ -38,10 +38,11 @@ def _micros(col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucket_s: int) -> DataFrame:
+def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucket_s: int,
+              share_on: bool = True) -> DataFrame:
     bucket = F.floor(F.col("__t") / F.lit(bucket_s * _MICRO)).cast("bigint")
     p = ordered_scan(df, keys, order, last_before={"__pt": F.col("__t")}, bucket=bucket)
-    p = share(p.withColumn("__new", F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us)))
+    p = share(p.withColumn("__new", F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us)), share_on)
     return ordered_scan(p, keys, order, last_upto={"__ss": F.when(F.col("__new"), F.col("__t"))},
                         bucket=bucket)
 
@@ -55,7 +56,7 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
     order = [ts_col, id_col]
     cols = scans.columns
     df = scans.withColumn("__t", _micros(ts_col))
-    s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1))
+    s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1), params.share_passes)
     sess = keys + ["__ss"]
     sizes = s.groupBy(*sess).agg(F.count(F.lit(1)).alias("__n"))
     s = join_on_keys(s, sizes, sess)
@@ -67,7 +68,8 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
     long = s.filter(F.col("__n") > m)
     # the pointer-doubling path is iterative (one action per round); it runs only
     # when some session is longer than the fold bound
-    s.persist()
+    s = share(s, params.share_passes)
+    long = s.filter(F.col("__n") > m)
     if not long.isEmpty():
         kept_long = _chain(long, keys, order, w_us, id_col, max(params.scan_bucket_seconds, 1))
         out = out.unionByName(kept_long.select(*cols, "kept"))

@@ -45,13 +45,13 @@ def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Pa
     label = (F.when((F.col("kind") == "CONSUME") & (F.col("balance") <= rp), F.lit("O"))
              .when((F.col("kind") == "INTAKE") & (F.col("balance") > rp), F.lit("F"))
              .when(F.col("kind") == "ACK", F.lit("A")))
-    labelled = share(bal.withColumn("label", label).filter(F.col("label").isNotNull()))
+    labelled = share(bal.withColumn("label", label).filter(F.col("label").isNotNull()), params.share_passes)
 
     prev = ordered_scan(labelled, ["item_id"], order, last_before={"prev": F.col("label")}, bucket=bucket)
     status = (F.when((F.col("label") == "O") & F.col("prev").eqNullSafe("O").__invert__(), F.lit("OPEN"))
               .when((F.col("label") == "F") & (F.col("prev") == "O"), F.lit("FULFILLED"))
               .when((F.col("label") == "A") & (F.col("prev") == "O"), F.lit("ACKNOWLEDGED")))
-    emitted = share(prev.withColumn("status", status).filter(F.col("status").isNotNull()))
+    emitted = share(prev.withColumn("status", status).filter(F.col("status").isNotNull()), params.share_passes)
 
     is_open = F.col("status") == "OPEN"
     filled = ordered_scan(emitted, ["item_id"], order, last_upto={

@@ -31,7 +31,7 @@ _U = Window.unboundedPreceding
 _SHARED: list[DataFrame] = []
 
 
-def share(df: DataFrame) -> DataFrame:
+def share(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Persist an intermediate that two branches of one plan read (MEMORY_AND_DISK).
 
     Spark recomputes a forked subtree per consumer unless both sides meet at
@@ -41,6 +41,8 @@ def share(df: DataFrame) -> DataFrame:
     passes.  Persisting is lazy and fault tolerant: lost blocks are rebuilt
     from lineage.  ``release_shared`` drops them when a job is done.
     """
+    if not enabled:
+        return df
     from pyspark import StorageLevel
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     _SHARED.append(out)

@@ -376,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'valid_item_id',
                count(*) FILTER (WHERE coalesce(item_id IS NOT NULL AND length(item_id) > 0, false)),
                count(*) FILTER (WHERE NOT coalesce(item_id IS NOT NULL AND length(item_id) > 0, false)) FROM bronze"""
+    q["expectation_log"] = q["expectation_metrics"]
     q["quarantine"] = w("bronze") + f"""SELECT * FROM (
         SELECT {SCAN_COLS}, concat_ws(',',
           CASE WHEN NOT coalesce(event_type IN ('INTAKE', 'CONSUME'), false) THEN 'valid_event_type' END,

@@ -208,6 +208,8 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "silver_replenishment_signals": lambda c: c.silver_signals,
     "expect_or_drop": lambda c: quality.expect_or_drop(c.bronze, quality.SCAN_RULES),
     "expectation_metrics": lambda c: quality.expectation_metrics(c.bronze, quality.SCAN_RULES),
+    "expectation_log": lambda c: quality.expectation_log_query(quality.quality_event_log(c.bronze,
+                                                                                        quality.SCAN_RULES)),
     "quarantine": lambda c: quality.quarantine(c.bronze, quality.SCAN_RULES)
     .withColumn("failed_rules", F.array_join("failed_rules", ",")),
     "with_below_reorder_point": lambda c: columns.with_below_reorder_point(ledger.all_inventory(c.bronze, None)),
