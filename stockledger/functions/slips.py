@@ -34,9 +34,15 @@ def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame
     text accepted) and confidence is one of three values (missing -> medium).
     Any invalid line, or unreadable JSON, empties the whole slip and records a note.
     """
-    body = _unfence(F.col(text_col))
-    parsed = F.from_json(body, SLIP_JSON, {"mode": "PERMISSIVE"})
-    staged = df.withColumn("__p", parsed)
+    # Each stage is its own column: the struct fields below read them instead
+    # of re-running JSON validation and parsing once per field.
+    staged = df.withColumn("__b", _unfence(F.col(text_col)))
+    # from_json in PERMISSIVE mode yields a row of NULLs for bad text, so the
+    # text itself is checked: it must be one JSON object
+    staged = staged.withColumns({
+        "__readable": F.startswith(F.col("__b"), F.lit("{")) & F.try_parse_json(F.col("__b")).isNotNull(),
+        "__p": F.from_json(F.col("__b"), SLIP_JSON, {"mode": "PERMISSIVE"}),
+    })
     items = F.coalesce(F.col("__p.items"), F.array())
     norm = F.transform(items, lambda x: F.struct(
         x["item_id"].alias("item_id"),
@@ -46,21 +52,21 @@ def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame
         F.coalesce(x["confidence"], F.lit(DEFAULT_CONFIDENCE)).alias("confidence")))
     valid_line = lambda x: (x["item_id"].isNotNull() & x["qty"].isNotNull() & (x["qty"] >= 1)
                             & x["confidence"].isin(*CONFIDENCE_VALUES))
-    # from_json in PERMISSIVE mode yields a row of NULLs for bad text, so the
-    # text itself is checked: it must be one JSON object
-    readable = F.startswith(body, F.lit("{")) & F.try_parse_json(body).isNotNull()
-    all_ok = F.forall(norm, valid_line)
-    note = (F.when(~readable, F.lit("Failed to parse response: not valid JSON"))
-            .when(~all_ok, F.lit("Failed to parse response: invalid line item"))
+    staged = staged.withColumn("__items", norm)
+    staged = staged.withColumn("__lines_ok", F.forall("__items", valid_line))
+    staged = staged.withColumn("__ok", F.col("__readable") & F.col("__lines_ok"))
+    note = (F.when(~F.col("__readable"), F.lit("Failed to parse response: not valid JSON"))
+            .when(~F.col("__lines_ok"), F.lit("Failed to parse response: invalid line item"))
             .otherwise(F.col("__p.notes")))
+    ok = F.col("__ok")
     slip = F.struct(
-        F.when(readable & all_ok, norm).otherwise(F.array().cast(
+        F.when(ok, F.col("__items")).otherwise(F.array().cast(
             "array<struct<item_id:string,qty:int,description:string,confidence:string>>")).alias("items"),
-        F.when(readable & all_ok, F.col("__p.vendor")).alias("vendor"),
-        F.when(readable & all_ok, F.col("__p.po_number")).alias("po_number"),
-        F.when(readable & all_ok, F.col("__p.ship_date")).alias("ship_date"),
+        F.when(ok, F.col("__p.vendor")).alias("vendor"),
+        F.when(ok, F.col("__p.po_number")).alias("po_number"),
+        F.when(ok, F.col("__p.ship_date")).alias("ship_date"),
         note.alias("notes"))
-    return staged.withColumn("slip", slip).drop("__p")
+    return staged.withColumn("slip", slip).drop("__b", "__readable", "__p", "__items", "__lines_ok", "__ok")
 
 
 def slip_lines(parsed: DataFrame, id_col: str = "slip_id") -> DataFrame:

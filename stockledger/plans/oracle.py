@@ -275,6 +275,21 @@ bulk_ok AS (
          {_bi} AS item_id, {_bq} AS qty, b.user_email
   FROM bulk_raw b JOIN debbulk d ON d.rid = b.scan_id WHERE d.kept AND ({_be}) IS NULL)"""
 
+CTE["silver_hot"] = """
+silver_hot AS (
+  SELECT event_id, event_ts, event_type, station_id,
+         CASE WHEN hot THEN 'ITEM=PART-HOT;QTY=' || CAST(qty AS VARCHAR) ELSE barcode_raw END AS barcode_raw,
+         CASE WHEN hot THEN 'PART-HOT' ELSE item_id END AS item_id, qty, user_email, event_date, event_hour
+  FROM (SELECT *, CAST(('0x' || substring(event_id, 1, 8)) AS BIGINT) % 3 = 0 AS hot FROM silver_l))"""
+CTE["signals_hot"] = _lifecycle("signals_hot", "silver_hot", None)
+CTE["rescans_hot"] = """
+rescans_hot AS (
+  SELECT event_id, event_ts,
+         CASE WHEN CAST(split_part(event_id, '#', 1) AS BIGINT) % 3 = 0 THEN 'ITEM=PART-HOT;QTY=1'
+              ELSE barcode_raw END AS barcode_raw
+  FROM rescans)"""
+CTE["debhot"] = _debounce("debhot", "rescans_hot", "barcode_raw", "event_id", 48 * 3600 * 1_000_000)
+
 DEPS = {
     "silver": ["bronze"], "acks": ["bronze"], "silver_l": ["bronze_l"],
     "signals": ["silver", "acks"], "signals_noack": ["silver"], "signals_l": ["silver_l"],
@@ -283,6 +298,8 @@ DEPS = {
     "gold_open": ["latest_silver", "inventory"], "asof": ["silver"], "running": ["silver"],
     "rescans": ["bronze"], "raw_scans": ["rescans"], "deb3": ["rescans"], "deb48": ["rescans"],
     "debadj": ["rescans"], "debraw": ["raw_scans"], "ingest": ["raw_scans", "debraw"],
+    "silver_hot": ["silver_l"], "signals_hot": ["silver_hot"], "rescans_hot": ["rescans"],
+    "debhot": ["rescans_hot"],
     "bulk": ["slip_src"], "debbulk": ["bulk"], "bulk_ok": ["debbulk"],
 }
 
@@ -591,6 +608,9 @@ def oracle_sql() -> dict[str, str]:
     q["signal_lifecycle"] = q["bronze_replenishment_signals"]
     q["signal_lifecycle_no_acks"] = w("signals_noack") + f"SELECT {SIG_COLS} FROM signals_noack"
     q["signal_lifecycle_lineitem"] = w("signals_l") + f"SELECT {SIG_COLS} FROM signals_l"
+    q["signal_lifecycle_hot_item"] = w("signals_hot") + f"SELECT {SIG_COLS} FROM signals_hot"
+    q["debounce_hot_48h"] = w("debhot") + """SELECT r.event_id, r.event_ts, r.barcode_raw
+        FROM rescans_hot r JOIN debhot d ON d.rid = r.event_id WHERE d.kept"""
     q["debounce"] = w("deb3") + \
         "SELECT r.event_id, r.event_ts, r.barcode_raw FROM rescans r JOIN deb3 d ON d.rid = r.event_id WHERE d.kept"
     q["debounce_48h"] = w("deb48") + \
