@@ -23,11 +23,15 @@ def _pred(p: str | Column) -> Column:
 
 
 def expect_or_drop(df: DataFrame, rules: dict[str, str | Column]) -> DataFrame:
-    """Keep rows for which every rule is TRUE."""
-    cond = F.lit(True)
+    """Keep rows for which every rule is TRUE.
+
+    A filter already drops rows whose condition is NULL, so the rules are used
+    bare: that keeps them simple comparisons the Parquet reader can push down.
+    """
+    out = df
     for p in rules.values():
-        cond = cond & _pred(p)
-    return df.filter(cond)
+        out = out.filter(F.expr(p) if isinstance(p, str) else p)
+    return out
 
 
 def expectation_metrics(df: DataFrame, rules: dict[str, str | Column]) -> DataFrame:
