@@ -111,38 +111,104 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_parquet(d, "dedupe").withColumn("event_ts", _ntz("event_ts"))
 
 
-# ---- I5, I6: per-key state in pandas ---------------------------------------------------------
+# ---- I5, I6: per-key state in pandas, applied in event-time order ----------------------------
+#
+# Rows of a key are buffered in its state until the watermark has passed them
+# (no earlier row can still arrive: older rows are dropped as late), then
+# folded in (time, id) order.  An event-time timer revisits keys with buffered
+# rows when the watermark moves, so results do not depend on how rows are cut
+# into micro-batches.  The buffer per key holds at most the rows of one
+# watermark delay.  For a bounded replay a closing marker, later than every
+# event by more than the delay, moves the watermark past the end.
+
+_BUF_STATE = T.StructType([T.StructField("acc", T.StringType()), T.StructField("pending", T.StringType())])
+WATERMARK_DELAY = "10 minutes"
+
+
+def _buffered(fold, cols: list[str], out_cols: list[str]):
+    """Wrap ``fold(key, rows_df, acc) -> (out_rows, acc)`` with watermark buffering.
+
+    ``cols`` are primitive columns (``__t`` first, microseconds) kept in the
+    buffer; the closure holds only plain values, so executors need only pandas.
+    """
+    import json
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frames = [] if state.hasTimedOut else [f[cols] for f in pdfs]
+        acc, pending = (json.loads(state.get[0]), state.get[1]) if state.exists else (None, None)
+        if pending:
+            frames.append(pd.DataFrame(json.loads(pending), columns=cols))
+        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame([], columns=cols)
+        rows = rows.astype({"__t": "int64"}).sort_values(["__t", cols[1]], kind="stable")
+        wm_us = int(state.getCurrentWatermarkMs()) * 1000
+        ready = rows[rows["__t"] < wm_us]
+        rest = rows[rows["__t"] >= wm_us]
+        out, acc = fold(key, ready, acc)
+        if len(rest):
+            state.update((json.dumps(acc), json.dumps(rest.values.tolist(), default=str)))
+            state.setTimeoutTimestamp(int(rest["__t"].iloc[0]) // 1000 + 1)
+        else:
+            state.update((json.dumps(acc), None))
+        if out:
+            yield pd.DataFrame(out, columns=out_cols)
+
+    return fn
+
+
+def closing_marker(end: DataFrame, columns: dict) -> DataFrame:
+    """One-row batch frame: ``end``'s time ``m`` + 1 day in the "ts" column, fixed values elsewhere."""
+    return end.select(*[(F.col("m").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias(c) if v == "ts"
+                        else F.lit(v).alias(c) for c, v in columns.items()])
+
+
+def _with_closing_marker(stream: DataFrame, end: DataFrame, columns: dict) -> DataFrame:
+    """Union a closing marker into a bounded replay read in one micro-batch (the
+    ``events`` file).  A replay cut into several batches must instead append the
+    marker as its last file, since a separate source would be read at once."""
+    spark = stream.sparkSession
+    marker = closing_marker(end, columns)
+    path = scratch_path(spark, "closing-marker")
+    marker.write.parquet(path)
+    marker_stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.unionByName(marker_stream.select(*[F.col(c).cast(stream.schema[c].dataType) for c in columns]))
+
 
 _DEB_OUT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("event_ts", T.TimestampType()),
                          T.StructField("barcode_raw", T.StringType())])
-_DEB_STATE = T.StructType([T.StructField("last_us", T.LongType())])
 
 
-def _debounce_state_fn(window_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(pdfs), ignore_index=True)
-        df = df.sort_values(["__t", "event_id"], kind="stable")
-        t = df["__t"].to_numpy(np.int64)
-        last = state.get[0] if state.exists else None
-        keep = np.zeros(len(t), dtype=bool)
+def _debounce_fold(window_us: int):
+    def fold(key, rows: pd.DataFrame, last):
+        t = rows["__t"].to_numpy(np.int64)
+        ids = rows["event_id"].to_numpy()
+        out = []
         i = 0 if last is None else int(np.searchsorted(t, last + window_us, side="left"))
         while i < len(t):          # walks kept scans only
-            keep[i] = True
+            out.append((ids[i], pd.Timestamp(int(t[i]), unit="us"), key[0]))
             last = int(t[i])
             i = int(np.searchsorted(t, last + window_us, side="left"))
-        if last is not None:
-            state.update((last,))
-        yield df.loc[keep, ["event_id", "event_ts", "barcode_raw"]]
-    return fn
+        return out, last
+    return fold
+
+
+def debounce_stream(scans: DataFrame, end: DataFrame | None = None, window_s: float = 3.0) -> DataFrame:
+    """E4 on a stream of (event_id, event_ts TIMESTAMP, barcode_raw); ``end`` (one row,
+    column ``m``) closes a bounded replay.  Returns the streaming frame of kept scans."""
+    s = scans.select("event_id", "event_ts", "barcode_raw")
+    if end is not None:
+        s = _with_closing_marker(s, end, {"event_id": "__closing__", "event_ts": "ts",
+                                          "barcode_raw": "__closing__"})
+    s = s.withWatermark("event_ts", WATERMARK_DELAY).withColumn("__t", F.unix_micros("event_ts"))
+    fn = _buffered(_debounce_fold(int(window_s * 1_000_000)), ["__t", "event_id"],
+                   [f.name for f in _DEB_OUT.fields])
+    return s.groupBy("barcode_raw").applyInPandasWithState(fn, _DEB_OUT, _BUF_STATE, "append",
+                                                           GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_debounce(spark: SparkSession, sf_dir: str, window_s: float = 3.0) -> DataFrame:
-    """E4 keyed by barcode with the last kept time as state."""
-    s = _rescan_stream(spark, sf_dir)
-    s = s.withColumn("__t", F.unix_micros("event_ts")).select("event_id", "event_ts", "barcode_raw", "__t")
-    out = s.groupBy("barcode_raw").applyInPandasWithState(
-        _debounce_state_fn(int(window_s * 1_000_000)), _DEB_OUT, _DEB_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+    """E4 keyed by barcode; state = last kept time (+ rows waiting for the watermark)."""
+    end = bridge.read_table(spark, sf_dir, "events").agg(F.max("ts").alias("m"))
+    out = debounce_stream(_rescan_stream(spark, sf_dir), end, window_s)
     return run_to_parquet(out, "debounce").withColumn("event_ts", _ntz("event_ts"))
 
 
@@ -158,46 +224,41 @@ _LC_OUT = T.StructType([
     T.StructField("triggered_at_qty", T.LongType()), T.StructField("reorder_point", T.IntegerType()),
     T.StructField("reorder_qty", T.IntegerType()), T.StructField("trigger_event_id", T.StringType()),
     T.StructField("status", T.StringType())])
-_LC_STATE = T.StructType([T.StructField("balance", T.LongType()), T.StructField("open_event", T.StringType()),
-                          T.StructField("open_qty", T.LongType())])
 
 
-def _lifecycle_state_fn(reorder_point: int, reorder_qty: int, out_cols: list[str]):
-    """Closure over plain values only, so executors need nothing but pandas and numpy."""
+def _lifecycle_fold(reorder_point: int, reorder_qty: int):
+    """State = [balance, open event id, open quantity]; rules of E3."""
     import hashlib
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(key, rows: pd.DataFrame, acc):
         item = key[0]
-        df = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_ts", "event_id"], kind="stable")
-        bal, open_ev, open_qty = (state.get if state.exists else (0, None, None))
-        balances = bal + np.cumsum(df["delta"].to_numpy(np.int64))
-        rows = []
-        for kind, eid, ts, b in zip(df["kind"], df["event_id"], df["event_ts"], balances):
-            b = int(b)
+        bal, open_ev, open_qty = acc if acc else (0, None, None)
+        balances = bal + np.cumsum(rows["delta"].to_numpy(np.int64))
+        out = []
+        for kind, eid, t, b in zip(rows["kind"], rows["event_id"], rows["__t"], balances):
+            b, ts = int(b), pd.Timestamp(int(t), unit="us")
+            emit = None
             if kind == "CONSUME" and b <= reorder_point and open_ev is None:
                 open_ev, open_qty = eid, b
-                rows.append((eid, ts, b, eid, "OPEN"))
+                emit = (b, eid, "OPEN", eid)
             elif kind == "INTAKE" and b > reorder_point and open_ev is not None:
-                rows.append((eid, ts, open_qty, eid, "FULFILLED", open_ev))
+                emit = (open_qty, eid, "FULFILLED", open_ev)
                 open_ev = open_qty = None
             elif kind == "ACK" and open_ev is not None:
-                rows.append((eid, ts, open_qty, open_ev, "ACKNOWLEDGED", open_ev))
+                emit = (open_qty, open_ev, "ACKNOWLEDGED", open_ev)
                 open_ev = open_qty = None
-        state.update((int(balances[-1]) if len(balances) else bal, open_ev, open_qty))
-        out = []
-        for r in rows:
-            eid, ts, q, trig, st = r[:5]
-            opener = r[5] if len(r) > 5 else eid
-            sid = hashlib.md5(f"{item}|{opener}".encode()).hexdigest()
-            out.append((int(eid) if str(eid).isdigit() else None, sid, ts, item, q, reorder_point,
-                        reorder_qty, trig, st))
-        if out:
-            yield pd.DataFrame(out, columns=out_cols)
-    return fn
+            if emit:
+                q, trig, st, opener = emit
+                sid = hashlib.md5(f"{item}|{opener}".encode()).hexdigest()
+                out.append((int(eid) if str(eid).isdigit() else None, sid, ts, item, q, reorder_point,
+                            reorder_qty, trig, st))
+        bal = int(balances[-1]) if len(balances) else bal
+        return out, [bal, open_ev, open_qty]
+    return fold
 
 
 def stream_signal_lifecycle(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
-    """E3 keyed by item; state = (balance, open signal)."""
+    """E3 keyed by item; state = (balance, open signal) (+ rows waiting for the watermark)."""
     bronze = scan_stream(spark, sf_dir)
     silver = M.silver_scan_events(bronze)
     mv = silver.select("item_id", "event_ts", "event_id", F.col("event_type").alias("kind"),
@@ -205,8 +266,15 @@ def stream_signal_lifecycle(spark: SparkSession, sf_dir: str, params: Params = D
                        .cast("bigint").alias("delta"))
     ak = bronze.filter(F.col("event_type") == "ERROR").select(
         "item_id", "event_ts", "event_id", F.lit("ACK").alias("kind"), F.lit(0).cast("bigint").alias("delta"))
-    out = mv.unionByName(ak).groupBy("item_id").applyInPandasWithState(
-        _lifecycle_state_fn(params.reorder_point, params.reorder_qty, [f.name for f in _LC_OUT.fields]), _LC_OUT, _LC_STATE, "append", GroupStateTimeout.NoTimeout)
+    end = bridge.read_table(spark, sf_dir, "events").agg(F.max("ts").alias("m"))
+    led = _with_closing_marker(mv.unionByName(ak), end,
+                               {"item_id": "__closing__", "event_ts": "ts", "event_id": "__closing__",
+                                "kind": "NONE", "delta": 0})
+    led = led.withWatermark("event_ts", WATERMARK_DELAY).withColumn("__t", F.unix_micros("event_ts"))
+    fn = _buffered(_lifecycle_fold(params.reorder_point, params.reorder_qty),
+                   ["__t", "event_id", "kind", "delta"], [f.name for f in _LC_OUT.fields])
+    out = led.groupBy("item_id").applyInPandasWithState(fn, _LC_OUT, _BUF_STATE, "append",
+                                                        GroupStateTimeout.EventTimeTimeout)
     return run_to_parquet(out, "lifecycle").withColumn("created_ts", _ntz("created_ts"))
 
 
