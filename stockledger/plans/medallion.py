@@ -106,10 +106,10 @@ def refresh(spark: SparkSession, bronze_scans: DataFrame, bronze_signals: DataFr
     written: dict[str, str] = {}
     frames = {"bronze_scan_events": bronze_scans, "bronze_replenishment_signals": bronze_signals}
     for name in ["bronze_scan_events", "bronze_replenishment_signals"]:
-        written[name] = materialize(frames[name], f"{target}/{name}", QUALITY[name])
+        written[name] = materialize(frames[name], target, name, QUALITY[name])
         frames[name] = spark.read.parquet(written[name])
     for name, (fn, deps) in LAYERS.items():
         df = fn(*[frames[d] for d in deps])
-        written[name] = materialize(df, f"{target}/{name}", QUALITY[name])
+        written[name] = materialize(df, target, name, QUALITY[name])
         frames[name] = spark.read.parquet(written[name])
     return written

@@ -10,9 +10,15 @@ from stockledger.operators.ledger import all_inventory
 from stockledger.operators.ordered import ordered_scan, time_bucket
 
 
-def materialize(df: DataFrame, path: str, quality: str, partition_by: list[str] | None = None) -> str:
-    """A4: full-refresh write of one layer; the quality tier is stored as file metadata."""
-    w = df.write.mode("overwrite").option("parquet.metadata.quality", quality)
+def materialize(df: DataFrame, target: str, name: str, quality: str,
+                partition_by: list[str] | None = None) -> str:
+    """A4: full-refresh write of one layer to ``<target>/<quality>/<name>``.
+
+    The quality tier (bronze / silver / gold) is the folder level, so readers
+    and retention rules can select a tier by path.
+    """
+    path = f"{target.rstrip('/')}/{quality}/{name}"
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
