@@ -295,12 +295,17 @@ def high_velocity_items(inv: DataFrame, n: int = 10) -> DataFrame:
 
 
 def busiest_days(daily: DataFrame, event_type: str | None = "INTAKE", month: str | None = None,
-                 n: int = 10) -> DataFrame:
-    """top days by event count, optionally for one type and one month (``yyyy-MM``)."""
+                 n: int = 10, scans: DataFrame | None = None) -> DataFrame:
+    """top days by event count, optionally for one type and one month.
+
+    ``month`` is ``yyyy-MM``, or ``"as_of"`` for the month of the newest event of ``scans``.
+    """
     d = daily
     if event_type:
         d = d.filter(F.col("event_type") == event_type)
-    if month:
+    if month == "as_of":
+        d = d.filter(F.date_format("event_date", "yyyy-MM") == F.date_format(as_of_col(scans), "yyyy-MM"))
+    elif month:
         d = d.filter(F.date_format("event_date", "yyyy-MM") == month)
     return d.select("event_date", "event_type", "event_count", "total_qty") \
         .orderBy(F.col("event_count").desc(), "event_date", "event_type").limit(n)

@@ -648,6 +648,10 @@ def oracle_sql() -> dict[str, str]:
         ORDER BY total_consumed DESC, item_id LIMIT 10"""
     q["busiest_days"] = w("daily") + """SELECT event_date, event_type, event_count, total_qty FROM daily
         WHERE event_type = 'INTAKE' ORDER BY event_count DESC, event_date, event_type LIMIT 10"""
+    q["busiest_days_this_month"] = w("daily", "asof") + """SELECT event_date, event_type, event_count, total_qty
+        FROM daily WHERE event_type = 'INTAKE'
+          AND strftime(event_date, '%Y-%m') = strftime((SELECT t FROM asof_t), '%Y-%m')
+        ORDER BY event_count DESC, event_date, event_type LIMIT 1"""
     q["oldest_open_signals"] = w("gold_open") + """
         SELECT signal_id, item_id, created_ts, qty_at_signal, current_on_hand, reorder_point - qty_at_signal AS severity
         FROM gold_open ORDER BY created_ts, signal_id LIMIT 10"""

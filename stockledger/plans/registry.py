@@ -302,6 +302,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "top_stock": lambda c: A.top_stock(c.inventory, 10),
     "high_velocity_items": lambda c: A.high_velocity_items(c.inventory, 10),
     "busiest_days": lambda c: A.busiest_days(c.daily, "INTAKE", None, 10),
+    "busiest_days_this_month": lambda c: A.busiest_days(c.daily, "INTAKE", "as_of", 1, c.silver),
     "oldest_open_signals": lambda c: A.oldest_open_signals(c.gold_open, 10),
     "stockout_risk": lambda c: A.stockout_risk(c.inventory, A.consumption_rate(c.silver, 7), 10),
     "top_issues": lambda c: A.top_issues(c.inventory, c.gold_open,
