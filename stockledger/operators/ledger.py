@@ -80,3 +80,28 @@ def inventory_as_of(scans: DataFrame, probes: DataFrame, params: Params = DEFAUL
                      bucket=time_bucket("event_ts", params.scan_bucket_seconds))
     return s.filter(F.col("__k") == 1).select("item_id", F.col("event_ts").alias("probe_ts"), "on_hand_qty") \
         .dropDuplicates(["item_id", "probe_ts"])
+
+
+def inventory_snapshot_plus_tail(snapshot: DataFrame, scans_after: DataFrame) -> DataFrame:
+    """Stock from a stored summary (D1 as of t) plus only the events after t.
+
+    Re-aggregating all history at every read grows with the log; here only the
+    tail is aggregated (partial + final hash aggregate) and merged with the
+    snapshot by a full outer join on item -- one row per item on each side.
+    """
+    intake = F.col("event_type") == "INTAKE"
+    tail = scans_after.groupBy("item_id").agg(
+        F.sum(F.when(intake, F.col("qty")).otherwise(-F.col("qty"))).alias("t_on_hand"),
+        F.count(F.lit(1)).alias("t_events"),
+        F.sum(F.when(intake, F.col("qty")).otherwise(0)).alias("t_intake"),
+        F.sum(F.when(F.col("event_type") == "CONSUME", F.col("qty")).otherwise(0)).alias("t_consumed"),
+        F.max("event_ts").alias("t_last"))
+    j = snapshot.join(tail, "item_id", "full")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return j.select(
+        "item_id",
+        (z("on_hand_qty") + z("t_on_hand")).alias("on_hand_qty"),
+        (z("total_events") + z("t_events")).alias("total_events"),
+        (z("total_intake") + z("t_intake")).alias("total_intake"),
+        (z("total_consumed") + z("t_consumed")).alias("total_consumed"),
+        F.greatest(F.col("last_activity"), F.col("t_last")).alias("last_activity"))

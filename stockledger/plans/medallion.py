@@ -80,6 +80,8 @@ LAYERS = {
                                         ["silver_replenishment_signals", "gold_inventory_summary"]),
     "gold_replenishment_metrics": (gold_replenishment_metrics, ["silver_replenishment_signals"]),
 }
+# layers stored partitioned, so date-filtered reads prune whole folders
+PARTITION_BY = {"silver_scan_events": ["event_date"]}
 QUALITY = {"bronze_scan_events": "bronze", "bronze_replenishment_signals": "bronze",
            "silver_scan_events": "silver", "silver_replenishment_signals": "silver",
            "gold_inventory_summary": "gold", "gold_daily_activity": "gold",
@@ -110,6 +112,6 @@ def refresh(spark: SparkSession, bronze_scans: DataFrame, bronze_signals: DataFr
         frames[name] = spark.read.parquet(written[name])
     for name, (fn, deps) in LAYERS.items():
         df = fn(*[frames[d] for d in deps])
-        written[name] = materialize(df, target, name, QUALITY[name])
+        written[name] = materialize(df, target, name, QUALITY[name], PARTITION_BY.get(name))
         frames[name] = spark.read.parquet(written[name])
     return written

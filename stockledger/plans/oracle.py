@@ -487,6 +487,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE s.status = 'OPEN' AND r.on_hand_qty IS DISTINCT FROM s.triggered_at_qty"""
     # D
     q["gold_inventory_summary"] = w("inventory") + "SELECT * FROM inventory"
+    q["inventory_snapshot_plus_tail"] = q["gold_inventory_summary"]
     q["all_inventory"] = w("totals") + "SELECT * FROM totals ORDER BY item_id LIMIT 100"
     q["gold_daily_activity"] = w("daily") + "SELECT * FROM daily"
     q["gold_replenishment_metrics"] = w("latest_silver") + """

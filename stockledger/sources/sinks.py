@@ -18,6 +18,11 @@ def materialize(df: DataFrame, target: str, name: str, quality: str,
     and retention rules can select a tier by path.
     """
     path = f"{target.rstrip('/')}/{quality}/{name}"
+    if partition_by:
+        # rebalance: AQE groups rows by the partition columns, splitting a hot
+        # value (one busy day) over several tasks and merging small ones, so the
+        # write makes few files per folder without one task per value
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -48,3 +48,15 @@ def test_no_pair_producing_join(spark, name):
     df.collect()
     p = _plan(df)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_refresh_partitions_silver_by_date(spark):
+    from pyspark.sql import functions as F
+    from stockledger.session import scratch_path
+    bronze = bridge.bridge_e(spark, SF)
+    sig = E.queries()["bronze_replenishment_signals"](spark, SF)
+    written = M.refresh(spark, bronze, sig, scratch_path(spark, "refresh-test"))
+    assert "/silver/" in written["silver_scan_events"] and "/gold/" in written["gold_inventory_summary"]
+    silver = spark.read.parquet(written["silver_scan_events"])
+    p = _plan(silver.filter(F.col("event_date") == F.lit("2024-01-05").cast("date")))
+    assert "PartitionFilters: [isnotnull(event_date" in p
