@@ -33,31 +33,77 @@ def _ledger(scans: DataFrame, acks: DataFrame | None) -> DataFrame:
     return mv.unionByName(ak)
 
 
+def lifecycle_state(scans_before: DataFrame, signals_before: DataFrame, as_of) -> DataFrame:
+    """Per-item state after a replay: stock, and the open signal's trigger and quantity.
+
+    ``as_of`` (a Column or literal) is the instant the state holds for; a later
+    replay continues from it with ``signal_lifecycle(..., initial=state)``.
+    """
+    from stockledger.operators.latest import latest_signals
+    bal = scans_before.groupBy("item_id").agg(F.sum(
+        F.when(F.col("event_type") == "INTAKE", F.col("qty")).when(F.col("event_type") == "CONSUME", -F.col("qty"))
+        .otherwise(0)).cast("bigint").alias("balance"))
+    opened = latest_signals(signals_before).filter(F.col("status") == "OPEN").select(
+        "item_id", F.col("trigger_event_id").alias("open_event_id"), F.col("triggered_at_qty").alias("open_balance"))
+    st = bal.join(opened, "item_id", "full")
+    return st.select("item_id", F.coalesce(F.col("balance"), F.lit(0).cast("bigint")).alias("balance"),
+                     "open_event_id", "open_balance",
+                     (as_of if not isinstance(as_of, str) else F.lit(as_of)).cast("timestamp_ntz").alias("as_of_ts"))
+
+
 def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Params = DEFAULT,
-                     *, bucketed: bool = True) -> DataFrame:
-    """All signal rows the service would have appended, in the signal-log schema."""
+                     *, bucketed: bool = True, initial: DataFrame | None = None) -> DataFrame:
+    """All signal rows the service would have appended, in the signal-log schema.
+
+    ``initial`` (from ``lifecycle_state``) continues an earlier replay: one seed
+    row per item, ordered before the new events, carries its stock and open
+    signal, so only the new events are replayed.
+    """
     rp = params.reorder_point
     order = ["event_ts", "event_id"]
     bucket = time_bucket("event_ts", params.scan_bucket_seconds) if bucketed else None
 
     led = _ledger(scans, acks)
+    if initial is not None:
+        led = led.withColumns({"seed_open_event_id": F.lit(None).cast("string"),
+                               "seed_open_balance": F.lit(None).cast("bigint")})
+        seeds = initial.select("item_id", F.col("as_of_ts").alias("event_ts"), F.lit("").alias("event_id"),
+                               F.lit("SEED").alias("kind"), F.col("balance").alias("delta"),
+                               F.col("open_event_id").alias("seed_open_event_id"),
+                               F.col("open_balance").alias("seed_open_balance"))
+        led = led.unionByName(seeds)
     bal = ordered_scan(led, ["item_id"], order, sums={"balance": F.col("delta")}, bucket=bucket)
     label = (F.when((F.col("kind") == "CONSUME") & (F.col("balance") <= rp), F.lit("O"))
              .when((F.col("kind") == "INTAKE") & (F.col("balance") > rp), F.lit("F"))
              .when(F.col("kind") == "ACK", F.lit("A")))
+    if initial is not None:
+        # a seed is O when its item has an open signal, else a neutral closing label
+        label = F.when(F.col("kind") == "SEED",
+                       F.when(F.col("seed_open_event_id").isNotNull(), F.lit("O")).otherwise(F.lit("S"))) \
+            .otherwise(label)
     labelled = share(bal.withColumn("label", label).filter(F.col("label").isNotNull()), params.share_passes)
 
     prev = ordered_scan(labelled, ["item_id"], order, last_before={"prev": F.col("label")}, bucket=bucket)
     status = (F.when((F.col("label") == "O") & F.col("prev").eqNullSafe("O").__invert__(), F.lit("OPEN"))
               .when((F.col("label") == "F") & (F.col("prev") == "O"), F.lit("FULFILLED"))
               .when((F.col("label") == "A") & (F.col("prev") == "O"), F.lit("ACKNOWLEDGED")))
-    emitted = share(prev.withColumn("status", status).filter(F.col("status").isNotNull()), params.share_passes)
+    if initial is not None:
+        status = F.when(F.col("kind") == "SEED", F.lit(None).cast("string")).otherwise(status)
+        keep = F.col("status").isNotNull() | ((F.col("kind") == "SEED") & (F.col("label") == "O"))
+    else:
+        keep = F.col("status").isNotNull()
+    emitted = share(prev.withColumn("status", status).filter(keep), params.share_passes)
 
     is_open = F.col("status") == "OPEN"
+    open_id = F.when(is_open, F.col("event_id"))
+    open_bal = F.when(is_open, F.col("balance"))
+    if initial is not None:
+        open_id = open_id.when(F.col("kind") == "SEED", F.col("seed_open_event_id"))
+        open_bal = open_bal.when(F.col("kind") == "SEED", F.col("seed_open_balance"))
     filled = ordered_scan(emitted, ["item_id"], order, last_upto={
-        "open_event_id": F.when(is_open, F.col("event_id")),
-        "open_balance": F.when(is_open, F.col("balance")),
-    }, bucket=bucket)
+        "open_event_id": open_id, "open_balance": open_bal}, bucket=bucket)
+    if initial is not None:
+        filled = filled.filter(F.col("status").isNotNull())
     return filled.select(
         F.expr("try_cast(event_id AS BIGINT)").alias("id"),
         F.md5(F.concat_ws("|", F.col("item_id"), F.col("open_event_id"))).alias("signal_id"),

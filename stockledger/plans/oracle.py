@@ -607,6 +607,7 @@ def oracle_sql() -> dict[str, str]:
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_hand_qty
         FROM bronze_l"""
     q["signal_lifecycle"] = q["bronze_replenishment_signals"]
+    q["signal_lifecycle_two_halves"] = q["signal_lifecycle"]
     q["signal_lifecycle_no_acks"] = w("signals_noack") + f"SELECT {SIG_COLS} FROM signals_noack"
     q["signal_lifecycle_lineitem"] = w("signals_l") + f"SELECT {SIG_COLS} FROM signals_l"
     q["signal_lifecycle_hot_item"] = w("signals_hot") + f"SELECT {SIG_COLS} FROM signals_hot"
