@@ -49,12 +49,26 @@ def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucke
 
 def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str] = ("barcode_raw",),
              params: Params = DEFAULT, *, id_col: str = "event_id", ts_col: str = "event_ts",
-             with_flag: bool = False) -> DataFrame:
-    """Kept scans (or all scans with a ``kept`` flag when ``with_flag``)."""
+             with_flag: bool = False, initial: DataFrame | None = None) -> DataFrame:
+    """Kept scans (or all scans with a ``kept`` flag when ``with_flag``).
+
+    ``initial`` (keys + ``last_kept_ts``, e.g. from ``debounce_state``) continues an
+    earlier run: each key's last kept scan enters as a seed row before the new
+    scans -- it is first in its session, hence kept -- and is dropped from the output.
+    """
     w_us = int(round((params.debounce_seconds if window_s is None else window_s) * _MICRO))
     keys = list(keys)
     order = [ts_col, id_col]
     cols = scans.columns
+    if initial is not None:
+        seeds = initial.select(*keys, F.col("last_kept_ts").alias(ts_col),
+                               *[F.lit("" if c == id_col else None).cast(scans.schema[c].dataType).alias(c)
+                                 for c in cols if c not in keys and c != ts_col])
+        kept = debounce(scans.withColumn("__seed", F.lit(False)).unionByName(
+            seeds.select(*cols).withColumn("__seed", F.lit(True))), window_s, keys, params,
+            id_col=id_col, ts_col=ts_col, with_flag=True)
+        kept = kept.filter(~F.col("__seed")).drop("__seed")
+        return kept if with_flag else kept.filter(F.col("kept")).drop("kept")
     df = scans.withColumn("__t", _micros(ts_col))
     s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1), params.share_passes)
     sess = keys + ["__ss"]
@@ -76,6 +90,11 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
     return out if with_flag else out.filter(F.col("kept")).drop("kept")
 
 
+def debounce_state(kept: DataFrame, keys: Sequence[str] = ("barcode_raw",), ts_col: str = "event_ts") -> DataFrame:
+    """Per key, the time of the last kept scan (state to continue with ``initial=``)."""
+    return kept.groupBy(*keys).agg(F.max(ts_col).alias("last_kept_ts"))
+
+
 def _fold(s: DataFrame, sess: list[str], cols: list[str], w_us: int, id_col: str) -> DataFrame:
     """Fold each (bounded) session's scans in time order; elements carry whole rows."""
     row = F.struct(F.col("__t").alias("t"), F.col(id_col).alias("__id"), *[F.col(c) for c in cols])

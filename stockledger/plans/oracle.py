@@ -615,6 +615,7 @@ def oracle_sql() -> dict[str, str]:
         FROM rescans_hot r JOIN debhot d ON d.rid = r.event_id WHERE d.kept"""
     q["debounce"] = w("deb3") + \
         "SELECT r.event_id, r.event_ts, r.barcode_raw FROM rescans r JOIN deb3 d ON d.rid = r.event_id WHERE d.kept"
+    q["debounce_two_halves"] = q["debounce"]
     q["debounce_48h"] = w("deb48") + \
         "SELECT r.event_id, r.event_ts, r.barcode_raw FROM rescans r JOIN deb48 d ON d.rid = r.event_id WHERE d.kept"
     q["debounce_adjacent"] = w("debadj") + """SELECT r.event_id, r.event_ts, r.station_id, r.barcode_raw

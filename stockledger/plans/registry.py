@@ -13,6 +13,7 @@ from stockledger.config import DEFAULT, Params
 from stockledger.functions import barcode, columns, slips
 from stockledger.operators import analytics as A
 from stockledger.operators import audits, debounce, ingest, latest, ledger, lifecycle, quality
+from stockledger.operators.ordered import share
 from stockledger.plans import medallion as M
 from stockledger.session import apply_conf, scratch_path
 from stockledger.sources import bridge, sinks, slipdata
@@ -174,6 +175,15 @@ def _two_halves(c: Ctx) -> DataFrame:
     return first.unionByName(second)
 
 
+def _debounce_two_halves(c: Ctx) -> DataFrame:
+    """E4 run on the first half of the rescans, then on the second half from its state."""
+    cut = _half(c)
+    first = share(debounce.debounce(c.rescans.filter(F.col("event_ts") < cut), 3.0, params=c.p))
+    second = debounce.debounce(c.rescans.filter(F.col("event_ts") >= cut), 3.0, params=c.p,
+                               initial=debounce.debounce_state(first))
+    return first.unionByName(second).select("event_id", "event_ts", "barcode_raw")
+
+
 def _a5(c: Ctx) -> DataFrame:
     rows, _ = ingest.ingest_scans(c.raw_scans, c.p)
     path = ingest.append_scans(rows, scratch_path(c.spark, "scan_events"))
@@ -306,6 +316,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
         M.silver_scan_events(bridge.with_hot_key(c.lineitem_scans)), None, c.p),
     "debounce": lambda c: debounce.debounce(c.rescans, 3.0, params=c.p).select("event_id", "event_ts",
                                                                                 "barcode_raw"),
+    "debounce_two_halves": _debounce_two_halves,
     "debounce_48h": lambda c: debounce.debounce(c.rescans, 48 * 3600.0, params=c.p).select(
         "event_id", "event_ts", "barcode_raw"),
     "debounce_hot_48h": lambda c: debounce.debounce(
