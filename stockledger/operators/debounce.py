@@ -73,7 +73,8 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
     s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1), params.share_passes)
     sess = keys + ["__ss"]
     sizes = s.groupBy(*sess).agg(F.count(F.lit(1)).alias("__n"))
-    s = join_on_keys(s, sizes, sess)
+    # read by three branches and by the emptiness check below: shared
+    s = share(join_on_keys(s, sizes, sess), params.share_passes)
 
     m = params.debounce_fold_max
     single = s.filter(F.col("__n") == 1).withColumn("kept", F.lit(True))
@@ -82,8 +83,6 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
     long = s.filter(F.col("__n") > m)
     # the pointer-doubling path is iterative (one action per round); it runs only
     # when some session is longer than the fold bound
-    s = share(s, params.share_passes)
-    long = s.filter(F.col("__n") > m)
     if not long.isEmpty():
         kept_long = _chain(long, keys, order, w_us, id_col, max(params.scan_bucket_seconds, 1))
         out = out.unionByName(kept_long.select(*cols, "kept"))
@@ -121,9 +120,11 @@ def _chain(s: DataFrame, keys: list[str], order: list[str], w_us: int, id_col: s
     """Exact kept flags for long sessions by pointer doubling over 'next kept candidate' links."""
     sess = keys + ["__ss"]
     ensure_checkpoint_dir(s.sparkSession)
+    # node id = (key, scan id): scan ids need only be unique within a key
+    s = s.withColumn("__nid", F.to_json(F.struct(*[F.col(k) for k in keys], F.col(id_col))))
     # representatives: first scan of each (key, instant); the others are always dropped
     rep_of = (s.groupBy(*keys, "__ss", "__t")
-              .agg(F.min_by(F.col(id_col), F.struct(*[F.col(c) for c in order])).alias("__rid")))
+              .agg(F.min_by(F.col("__nid"), F.struct(*[F.col(c) for c in order])).alias("__rid")))
     # as-of lookup: for each node, the first node with t >= t + w  (scan in descending time)
     nodes = rep_of.select(*sess, F.col("__rid").alias("__node"), F.col("__t"))
     probes = nodes.select(*sess, F.col("__node").alias("__src"), (F.col("__t") + w_us).alias("__pt"))
@@ -146,7 +147,7 @@ def _chain(s: DataFrame, keys: list[str], order: list[str], w_us: int, id_col: s
         j2 = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node"), "left")
         jump = j2.select(F.col("a.node").alias("node"), F.col("b.to").alias("to")).checkpoint()
     flags = reached.select(F.col("node").alias("__kid"), F.lit(True).alias("__kept"))
-    out = s.join(flags, s[id_col] == flags["__kid"], "left")
+    out = s.join(flags, s["__nid"] == flags["__kid"], "left")
     return out.withColumn("kept", F.coalesce(F.col("__kept"), F.lit(False)))
 
 
