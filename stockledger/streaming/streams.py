@@ -314,6 +314,27 @@ def stream_open_alert(spark: SparkSession, sf_dir: str, threshold: int = 0) -> D
     return res.filter(F.col("epoch") == last).select("open_count", "triggered", "summary")
 
 
+def start_open_alert(signals_stream: DataFrame, out_path: str, checkpoint: str, threshold: int = 0,
+                     every: str = "5 minutes"):
+    """I8, live form: evaluate the open-signal alert on a processing-time trigger.
+
+    ``signals_stream`` is a streaming frame of signal-log rows; each trigger
+    appends one row (epoch, open_count, triggered, summary) to ``out_path``.
+    Returns the running ``StreamingQuery``.
+    """
+    cur = latest_by(signals_stream, ["signal_id"], signal_order())
+
+    def evaluate(batch: DataFrame, epoch: int) -> None:
+        one = batch.agg(F.count_if(F.col("status") == "OPEN").alias("open_count"))
+        one.select(F.lit(epoch).cast("bigint").alias("epoch"), "open_count",
+                   (F.col("open_count") > threshold).alias("triggered"),
+                   F.format_string("Replenishment Alert: %d open signals", F.col("open_count")).alias("summary")) \
+            .write.mode("append").parquet(out_path)
+
+    return (cur.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+            .foreachBatch(evaluate).trigger(processingTime=every).start())
+
+
 _LC_CACHE: dict[tuple[int, str], str] = {}
 
 
