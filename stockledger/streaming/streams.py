@@ -73,34 +73,61 @@ def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_parquet(s, "silver").withColumn("event_ts", _ntz("event_ts"))
 
 
+_SCAN_MARKER = {"event_id": "__closing__", "event_ts": "ts", "event_type": "MARKER", "station_id": "",
+                "barcode_raw": "", "item_id": "", "qty": 0, "user_email": ""}
+
+
+def _is_marker():
+    return F.col("event_id") == "__closing__"
+
+
+def _closed_scan_stream(spark: SparkSession, sf_dir: str, delay: str, after_days: int) -> DataFrame:
+    """Silver scan stream + closing marker, watermarked.
+
+    Catalyst pushes filters below the watermark operator, so every filter lets
+    the marker through (``| _is_marker()``); the marker then forms a window of
+    its own that never closes, so it is never written.
+    """
+    from stockledger.operators.quality import SCAN_RULES
+    end = bridge.read_table(spark, sf_dir, "events").agg(F.max("ts").alias("m"))
+    s = _with_closing_marker(scan_stream(spark, sf_dir), end, _SCAN_MARKER, after_days)
+    rules = F.expr(" AND ".join(f"({r})" for r in SCAN_RULES.values()))
+    return (s.withWatermark("event_ts", delay).filter(_is_marker() | rules)
+            .withColumn("event_date", F.to_date("event_ts")).withColumn("event_hour", F.hour("event_ts")))
+
+
 def stream_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling 1-day windows with a watermark; exact distinct counts via set sizes."""
-    s = M.silver_scan_events(scan_stream(spark, sf_dir)).withWatermark("event_ts", "1 day")
+    """Tumbling 1-day windows in append mode: a window is written once, when the
+    watermark (1 day delay) has passed its end, and its state is then dropped.
+    Exact distinct counts via set sizes (streaming has no exact count_distinct)."""
+    s = _closed_scan_stream(spark, sf_dir, "1 day", 3)
     agg = s.groupBy(F.window("event_ts", "1 day").alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("event_count"), F.sum("qty").alias("total_qty"),
         F.size(F.collect_set("item_id")).cast("bigint").alias("unique_items"),
         F.size(F.collect_set("station_id")).cast("bigint").alias("unique_stations"))
     out = agg.select(F.to_date(F.col("w.start")).alias("event_date"), "event_type", "event_count", "total_qty",
                      "unique_items", "unique_stations")
-    return run_to_parquet(out, "daily", mode="complete", overwrite_each=True)
+    return run_to_parquet(out, "daily", mode="append")
 
 
 def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stock summary as running totals (complete mode)."""
+    """The stock summary as running totals (complete mode: the state is one row
+    per item, bounded by the item count, and each trigger rewrites the summary)."""
     g = M.gold_inventory_summary(M.silver_scan_events(scan_stream(spark, sf_dir)))
     return run_to_parquet(g, "inventory", mode="complete", overwrite_each=True) \
         .withColumn("last_activity", _ntz("last_activity"))
 
 
 def stream_usage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: consumption per item over sliding 15-minute windows every minute."""
-    s = M.silver_scan_events(scan_stream(spark, sf_dir)).filter(F.col("event_type") == "CONSUME") \
-        .withWatermark("event_ts", "15 minutes")
+    """I4: consumption per item over sliding 15-minute windows every minute, append mode
+    (each window written once after the watermark passes it; state then dropped)."""
+    s = _closed_scan_stream(spark, sf_dir, "15 minutes", 1).filter(
+        _is_marker() | (F.col("event_type") == "CONSUME"))
     agg = s.groupBy(F.window("event_ts", "15 minutes", "1 minute").alias("w"), "item_id") \
         .agg(F.sum("qty").alias("consumed_qty"))
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "item_id", "consumed_qty")
-    return run_to_parquet(out, "usage", mode="complete", overwrite_each=True)
+    return run_to_parquet(out, "usage", mode="append")
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,18 +182,18 @@ def _buffered(fold, cols: list[str], out_cols: list[str]):
     return fn
 
 
-def closing_marker(end: DataFrame, columns: dict) -> DataFrame:
-    """One-row batch frame: ``end``'s time ``m`` + 1 day in the "ts" column, fixed values elsewhere."""
-    return end.select(*[(F.col("m").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias(c) if v == "ts"
-                        else F.lit(v).alias(c) for c, v in columns.items()])
+def closing_marker(end: DataFrame, columns: dict, after_days: int = 1) -> DataFrame:
+    """One-row batch frame: ``end``'s time ``m`` + ``after_days`` in the "ts" column, fixed values elsewhere."""
+    return end.select(*[(F.col("m").cast("timestamp") + F.make_dt_interval(days=F.lit(after_days))).alias(c)
+                        if v == "ts" else F.lit(v).alias(c) for c, v in columns.items()])
 
 
-def _with_closing_marker(stream: DataFrame, end: DataFrame, columns: dict) -> DataFrame:
+def _with_closing_marker(stream: DataFrame, end: DataFrame, columns: dict, after_days: int = 1) -> DataFrame:
     """Union a closing marker into a bounded replay read in one micro-batch (the
     ``events`` file).  A replay cut into several batches must instead append the
     marker as its last file, since a separate source would be read at once."""
     spark = stream.sparkSession
-    marker = closing_marker(end, columns)
+    marker = closing_marker(end, columns, after_days)
     path = scratch_path(spark, "closing-marker")
     marker.write.parquet(path)
     marker_stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
