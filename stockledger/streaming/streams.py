@@ -43,13 +43,20 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("event_ts", F.col("event_ts").cast("timestamp"))
 
 
-def run_to_parquet(df: DataFrame, name: str, mode: str = "append", overwrite_each: bool = False) -> DataFrame:
-    """Run a streaming frame to completion (availableNow) into Parquet; return the stored result."""
+def run_to_parquet(df: DataFrame, name: str, mode: str = "append", overwrite_each: bool = False,
+                   with_epoch: bool = False) -> DataFrame:
+    """Run a streaming frame to completion (availableNow) into Parquet; return the stored result.
+
+    ``with_epoch`` tags each micro-batch's rows with its batch number (for
+    update-mode change logs read back as latest row per key).
+    """
     spark = df.sparkSession
     out = scratch_path(spark, f"stream-{name}")
     ckpt = scratch_path(spark, f"ckpt-{name}")
 
     def sink(batch: DataFrame, epoch: int) -> None:
+        if with_epoch:
+            batch = batch.withColumn("__epoch", F.lit(epoch).cast("bigint"))
         batch.write.mode("overwrite" if overwrite_each else "append").parquet(out)
 
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
@@ -110,11 +117,17 @@ def stream_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_parquet(out, "daily", mode="append")
 
 
+def _latest_of_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest row per key of an update-mode change log (highest batch number)."""
+    return latest_by(changes, keys, [F.col("__epoch")]).drop("__epoch")
+
+
 def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stock summary as running totals (complete mode: the state is one row
-    per item, bounded by the item count, and each trigger rewrites the summary)."""
+    """The stock summary as running totals.  Update mode: each trigger appends only
+    the items that changed; the current summary is the latest row per item."""
     g = M.gold_inventory_summary(M.silver_scan_events(scan_stream(spark, sf_dir)))
-    return run_to_parquet(g, "inventory", mode="complete", overwrite_each=True) \
+    changes = run_to_parquet(g, "inventory", mode="update", with_epoch=True)
+    return _latest_of_changes(changes, ["item_id"]).select(*g.columns) \
         .withColumn("last_activity", _ntz("last_activity"))
 
 
@@ -306,7 +319,7 @@ def stream_signal_lifecycle(spark: SparkSession, sf_dir: str, params: Params = D
 
 
 def stream_latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest row per signal over a stream of signal rows (complete mode).
+    """Latest row per signal over a stream of signal rows.
 
     The signal rows come from the stored output of I6, read as a file stream.
     """
@@ -314,7 +327,9 @@ def stream_latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(sig_path).schema
     s = spark.readStream.schema(schema).parquet(sig_path)
     cur = latest_by(s, ["signal_id"], signal_order())
-    return run_to_parquet(cur, "latest", mode="complete", overwrite_each=True) \
+    # update mode: each trigger appends the signals that changed
+    changes = run_to_parquet(cur, "latest", mode="update", with_epoch=True)
+    return _latest_of_changes(changes, ["signal_id"]).select(*cur.columns) \
         .withColumn("created_ts", _ntz("created_ts"))
 
 
