@@ -27,7 +27,8 @@ def parse_barcode_cols(raw: Column) -> tuple[Column, Column, Column]:
     ok = s.rlike(BARCODE_PATTERN)
     item = F.regexp_extract(s, BARCODE_PATTERN, 1)
     digits = F.regexp_extract(s, BARCODE_PATTERN, 2)
-    as_int = digits.try_cast("int")
+    # cast only matched digits: a failed cast on every malformed row is slow
+    as_int = F.when(ok, digits.try_cast("int"))
     err = (F.when(~ok, F.lit("bad_format"))
            .when(as_int.isNull(), F.lit("overflow"))
            .when(as_int <= 0, F.lit("non_positive")))

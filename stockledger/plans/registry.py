@@ -313,14 +313,14 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "signal_lifecycle_lineitem": lambda c: lifecycle.signal_lifecycle(
         M.silver_scan_events(c.lineitem_scans), None, c.p),
     "signal_lifecycle_hot_item": lambda c: lifecycle.signal_lifecycle(
-        M.silver_scan_events(bridge.with_hot_key(c.lineitem_scans)), None, c.p),
+        M.silver_scan_events(bridge.with_hot_key(c.lineitem_scans, bridge.hex_source_id())), None, c.p),
     "debounce": lambda c: debounce.debounce(c.rescans, 3.0, params=c.p).select("event_id", "event_ts",
                                                                                 "barcode_raw"),
     "debounce_two_halves": _debounce_two_halves,
     "debounce_48h": lambda c: debounce.debounce(c.rescans, 48 * 3600.0, params=c.p).select(
         "event_id", "event_ts", "barcode_raw"),
     "debounce_hot_48h": lambda c: debounce.debounce(
-        bridge.with_hot_key(c.rescans).withColumn("barcode_raw", F.when(
+        bridge.with_hot_key(c.rescans, bridge.numeric_source_id()).withColumn("barcode_raw", F.when(
             F.col("item_id") == "PART-HOT", F.lit("ITEM=PART-HOT;QTY=1")).otherwise(F.col("barcode_raw"))),
         48 * 3600.0, params=c.p).select("event_id", "event_ts", "barcode_raw"),
     "debounce_adjacent": lambda c: debounce.debounce_adjacent(c.rescans, 3000, params=c.p).select(

@@ -89,15 +89,24 @@ def bridge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans_from_lineitem(read_table(spark, sf_dir, "lineitem"))
 
 
-def with_hot_key(scans: DataFrame, every: int = 3) -> DataFrame:
-    """Skew case: every ``every``-th row (by the numeric part of its source id) moves to
-    one hot item and one hot barcode, so one key holds a third of the rows.  All rows
-    are kept; only their key changes."""
-    src = F.coalesce(F.substring_index(F.col("event_id"), "#", 1).try_cast("bigint"),
-                     F.conv(F.substring(F.col("event_id"), 1, 8), 16, 10).cast("bigint"))
-    hot = src % every == 0
-    return scans.withColumns({
+def with_hot_key(scans: DataFrame, source_id, every: int = 3) -> DataFrame:
+    """Skew case: every ``every``-th row (by the numeric ``source_id``) moves to one hot
+    item and one hot barcode, so one key holds a third of the rows.  All rows are
+    kept; only their key changes."""
+    staged = scans.withColumn("__hot", source_id % every == 0)
+    hot = F.col("__hot")
+    return staged.withColumns({
         "item_id": F.when(hot, F.lit("PART-HOT")).otherwise(F.col("item_id")),
         "barcode_raw": F.when(hot, F.concat(F.lit("ITEM=PART-HOT;QTY="), F.col("qty").cast("string")))
         .otherwise(F.col("barcode_raw")),
-    })
+    }).drop("__hot")
+
+
+def numeric_source_id():
+    """Source event number of bridge E / R ids (``<n>`` or ``<n>#<offset>``)."""
+    return F.substring_index(F.col("event_id"), "#", 1).cast("bigint")
+
+
+def hex_source_id():
+    """First 32 bits of a bridge L id (an md5 digest) as a number."""
+    return F.conv(F.substring(F.col("event_id"), 1, 8), 16, 10).cast("bigint")
