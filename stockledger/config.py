@@ -34,8 +34,10 @@ class Params:
 
 DEFAULT = Params()
 
-# Status values and the order used to break ties between rows of one signal
-# that carry the same created_ts (later state wins).
-STATUS_RANK = {"OPEN": 1, "ACKNOWLEDGED": 2, "FULFILLED": 3}
+# Fixed values of the modelled application: event types, signal statuses, and the
+# alert's summary text.  STATUS_RANK is our tie-break between rows of one signal
+# with the same created_ts (the later state wins).
 EVENT_TYPES = ("INTAKE", "CONSUME")
 SIGNAL_STATUSES = ("OPEN", "ACKNOWLEDGED", "FULFILLED")
+ALERT_SUMMARY_FORMAT = "Replenishment Alert: %d open signals"
+STATUS_RANK = {"OPEN": 1, "ACKNOWLEDGED": 2, "FULFILLED": 3}

@@ -8,12 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.config import DEFAULT, Params
+from stockledger.config import ALERT_SUMMARY_FORMAT, DEFAULT, STATUS_RANK, Params
 
 # fixed tie-break rank of statuses (later state wins on equal created_ts)
 def status_rank():
-    return (F.when(F.col("status") == "FULFILLED", 3).when(F.col("status") == "ACKNOWLEDGED", 2)
-            .when(F.col("status") == "OPEN", 1).otherwise(0))
+    """STATUS_RANK as a column (unknown statuses rank lowest)."""
+    rank = F.lit(0)
+    for status, r in STATUS_RANK.items():
+        rank = F.when(F.col("status") == status, F.lit(r)).otherwise(rank)
+    return rank
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -160,4 +163,4 @@ def open_signal_alert(signals: DataFrame, threshold: int = 0) -> DataFrame:
     return one.select(
         "open_count",
         (F.col("open_count") > threshold).alias("triggered"),
-        F.format_string("Replenishment Alert: %d open signals", F.col("open_count")).alias("summary"))
+        F.format_string(ALERT_SUMMARY_FORMAT, F.col("open_count")).alias("summary"))

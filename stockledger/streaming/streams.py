@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stockledger.config import DEFAULT, Params
+from stockledger.config import ALERT_SUMMARY_FORMAT, DEFAULT, Params
 from stockledger.operators.latest import latest_by, signal_order
 from stockledger.plans import medallion as M
 from stockledger.session import apply_conf, scratch_path
@@ -350,7 +350,7 @@ def stream_open_alert(spark: SparkSession, sf_dir: str, threshold: int = 0) -> D
         one = batch.agg(F.count_if(F.col("status") == "OPEN").alias("open_count"))
         one.select(F.lit(epoch).cast("bigint").alias("epoch"), "open_count",
                    (F.col("open_count") > threshold).alias("triggered"),
-                   F.format_string("Replenishment Alert: %d open signals", F.col("open_count")).alias("summary")) \
+                   F.format_string(ALERT_SUMMARY_FORMAT, F.col("open_count")).alias("summary")) \
             .write.mode("append").parquet(out)
 
     q = (cur.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark, "ckpt-alert"))
@@ -375,7 +375,7 @@ def start_open_alert(signals_stream: DataFrame, out_path: str, checkpoint: str,
         one = batch.agg(F.count_if(F.col("status") == "OPEN").alias("open_count"))
         one.select(F.lit(epoch).cast("bigint").alias("epoch"), "open_count",
                    (F.col("open_count") > threshold).alias("triggered"),
-                   F.format_string("Replenishment Alert: %d open signals", F.col("open_count")).alias("summary")) \
+                   F.format_string(ALERT_SUMMARY_FORMAT, F.col("open_count")).alias("summary")) \
             .write.mode("append").parquet(out_path)
 
     return (cur.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
