@@ -39,17 +39,27 @@ def _micros(col: str):
 
 
 def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucket_s: int,
-              share_on: bool = True) -> DataFrame:
+              share_on: bool = True, break_on: str | None = None) -> DataFrame:
+    """Session start per scan: a gap >= window, or (``break_on``) a change of that
+    column from the previous scan of the key, starts a session."""
     bucket = F.floor(F.col("__t") / F.lit(bucket_s * _MICRO)).cast("bigint")
-    p = ordered_scan(df, keys, order, last_before={"__pt": F.col("__t")}, bucket=bucket)
-    p = share(p.withColumn("__new", F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us)), share_on)
+    prev = {"__pt": F.col("__t")}
+    if break_on:
+        # wrapped in a struct: never NULL itself, so a NULL code still counts as a value
+        prev["__pc"] = F.struct(F.col(break_on).alias("c"))
+    p = ordered_scan(df, keys, order, last_before=prev, bucket=bucket)
+    new = F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us)
+    if break_on:
+        new = new | ~F.col("__pc.c").eqNullSafe(F.col(break_on))
+    p = share(p.withColumn("__new", new), share_on)
     return ordered_scan(p, keys, order, last_upto={"__ss": F.when(F.col("__new"), F.col("__t"))},
                         bucket=bucket)
 
 
 def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str] = ("barcode_raw",),
              params: Params = DEFAULT, *, id_col: str = "event_id", ts_col: str = "event_ts",
-             with_flag: bool = False, initial: DataFrame | None = None) -> DataFrame:
+             with_flag: bool = False, initial: DataFrame | None = None,
+             break_on: str | None = None) -> DataFrame:
     """Kept scans (or all scans with a ``kept`` flag when ``with_flag``).
 
     ``initial`` (keys + ``last_kept_ts``, e.g. from ``debounce_state``) continues an
@@ -70,7 +80,7 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
         kept = kept.filter(~F.col("__seed")).drop("__seed")
         return kept if with_flag else kept.filter(F.col("kept")).drop("kept")
     df = scans.withColumn("__t", _micros(ts_col))
-    s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1), params.share_passes)
+    s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1), params.share_passes, break_on)
     sess = keys + ["__ss"]
     sizes = s.groupBy(*sess).agg(F.count(F.lit(1)).alias("__n"))
     # read by three branches and by the emptiness check below: shared
@@ -155,15 +165,8 @@ def debounce_adjacent(scans: DataFrame, window_ms: int = 3000, station_col: str
                       params: Params = DEFAULT, *, id_col: str = "event_id", ts_col: str = "event_ts",
                       code_col: str = "barcode_raw") -> DataFrame:
     """E5: per station, drop a scan equal to the last kept code and < window later;
-    any other code resets.  A run of equal consecutive codes at a station starts
-    with a kept scan, so this is E4 keyed by (station, run)."""
-    order = [ts_col, id_col]
-    bucket = F.floor(_micros(ts_col) / F.lit(params.scan_bucket_seconds * _MICRO)).cast("bigint")
-    p = ordered_scan(scans, [station_col], order, last_before={"__pc": F.col(code_col)}, bucket=bucket)
-    p = p.withColumn("__rs", F.when(~F.col("__pc").eqNullSafe(F.col(code_col)),
-                                    F.struct(F.col(ts_col), F.col(id_col))))
-    r = ordered_scan(p, [station_col], order, last_upto={"__run": F.col("__rs")}, bucket=bucket)
-    r = r.withColumn("__run", F.to_json("__run")).drop("__pc", "__rs")
-    kept = debounce(r, window_ms / 1000.0, keys=[station_col, "__run"], params=params,
-                    id_col=id_col, ts_col=ts_col)
-    return kept.drop("__run")
+    any other code resets.  The first scan after a code change is always kept
+    (its code differs from the last kept one), so a code change simply starts a
+    new session: this is E4 keyed by station with one more session break."""
+    return debounce(scans, window_ms / 1000.0, keys=[station_col], params=params, id_col=id_col,
+                    ts_col=ts_col, break_on=code_col)
