@@ -8,9 +8,11 @@ Per item, in (event_ts, event_id) order, with the balance taken after each event
 
 Closed form: label qualifying rows O / F / A; a row emits iff
 (O and the previous label is not O) or (F/A and the previous label is O).
-The open signal's id, quantity and trigger are forward-filled from its OPEN
-row.  All three steps are ordered scans keyed by item (see ``ordered``), so
-the data is shuffled once on (item, bucket) and the carries are small.
+A closing row takes id, quantity and trigger from the OPEN row that starts
+its run of O labels, found by a join on (item, run number) over emitted rows.
+Balance, previous label and run number are two ordered scans keyed by item
+(see ``ordered``): the ledger is shuffled once on (item, time bucket), and
+after that only per-cell carries and emitted rows move.
 """
 
 from __future__ import annotations
@@ -89,7 +91,10 @@ def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Pa
             .otherwise(label)
     labelled = share(bal.withColumn("label", label).filter(F.col("label").isNotNull()), params.share_passes)
 
-    prev = ordered_scan(labelled, ["item_id"], order, last_before={"prev": F.col("label")}, bucket=bucket)
+    # previous label, and the number of non-O labels so far (numbers the runs of O)
+    prev = ordered_scan(labelled, ["item_id"], order,
+                        sums={"closes": F.when(F.col("label") != "O", 1).otherwise(0).cast("bigint")},
+                        last_before={"prev": F.col("label")}, bucket=bucket)
     status = (F.when((F.col("label") == "O") & F.col("prev").eqNullSafe("O").__invert__(), F.lit("OPEN"))
               .when((F.col("label") == "F") & (F.col("prev") == "O"), F.lit("FULFILLED"))
               .when((F.col("label") == "A") & (F.col("prev") == "O"), F.lit("ACKNOWLEDGED")))
@@ -100,16 +105,28 @@ def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Pa
         keep = F.col("status").isNotNull()
     emitted = share(prev.withColumn("status", status).filter(keep), params.share_passes)
 
+    # Emitted rows alternate OPEN, close, OPEN, ...: a closing row belongs to the
+    # run of O labels just before it (run number = non-O labels before it), whose
+    # first row is its OPEN (or the seed).  One head row per (item, run); the join
+    # moves emitted rows only, not the ledger.
+    run = F.when(F.col("label") == "O", F.col("closes")).otherwise(F.col("closes") - 1)
+    emitted = emitted.withColumn("run", run)
     is_open = F.col("status") == "OPEN"
-    open_id = F.when(is_open, F.col("event_id"))
-    open_bal = F.when(is_open, F.col("balance"))
+    head_id = F.when(is_open, F.col("event_id"))
+    head_bal = F.when(is_open, F.col("balance"))
+    is_head = is_open
     if initial is not None:
-        open_id = open_id.when(F.col("kind") == "SEED", F.col("seed_open_event_id"))
-        open_bal = open_bal.when(F.col("kind") == "SEED", F.col("seed_open_balance"))
-    filled = ordered_scan(emitted, ["item_id"], order, last_upto={
-        "open_event_id": open_id, "open_balance": open_bal}, bucket=bucket)
-    if initial is not None:
-        filled = filled.filter(F.col("status").isNotNull())
+        head_id = head_id.when(F.col("kind") == "SEED", F.col("seed_open_event_id"))
+        head_bal = head_bal.when(F.col("kind") == "SEED", F.col("seed_open_balance"))
+        is_head = is_open | (F.col("kind") == "SEED")
+    heads = emitted.filter(is_head).select("item_id", "run", head_id.alias("open_event_id"),
+                                           head_bal.alias("open_balance"))
+    closing = emitted.filter(F.col("status").isin("FULFILLED", "ACKNOWLEDGED")) \
+        .select("item_id", "run", "event_ts", "event_id", "status").join(heads, ["item_id", "run"], "inner")
+    opened = emitted.filter(is_open).select("item_id", "run", "event_ts", "event_id", "status",
+                                            F.col("event_id").alias("open_event_id"),
+                                            F.col("balance").alias("open_balance"))
+    filled = opened.unionByName(closing.select(*opened.columns))
     return filled.select(
         numeric_id(F.col("event_id")).alias("id"),
         F.md5(F.concat_ws("|", F.col("item_id"), F.col("open_event_id"))).alias("signal_id"),
