@@ -52,8 +52,10 @@ def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucke
     if break_on:
         new = new | ~F.col("__pc.c").eqNullSafe(F.col(break_on))
     p = share(p.withColumn("__new", new), share_on)
-    return ordered_scan(p, keys, order, last_upto={"__ss": F.when(F.col("__new"), F.col("__t"))},
-                        bucket=bucket)
+    # a session is named by its first scan (time, id): with ``break_on`` two sessions
+    # of one key can start at the same instant
+    first = F.struct(F.col("__t").alias("t"), F.col(order[1]).alias("i"))
+    return ordered_scan(p, keys, order, last_upto={"__ss": F.when(F.col("__new"), first)}, bucket=bucket)
 
 
 def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str] = ("barcode_raw",),

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from stockledger.config import Params
 from stockledger.operators import debounce, lifecycle
@@ -90,3 +90,31 @@ def test_incremental_replay_equals_full(spark, evs, cut_s):
     state = lifecycle.lifecycle_state(before, first, F.lit(cut))
     second = lifecycle.signal_lifecycle(after, None, p, initial=state)
     assert sorted(tuple(r) for r in first.unionByName(second).collect()) == full
+
+
+def sim_adjacent(evs, w):
+    """Per station: drop a scan equal to the last kept code and less than w later."""
+    last, kept = {}, set()
+    for i, (t, st_, code) in sorted(enumerate(evs), key=lambda x: (x[1][0], f"e{x[0]:04d}")):
+        lc = last.get(st_)
+        if lc is None or code != lc[0] or t - lc[1] >= w:
+            last[st_] = (code, t)
+            kept.add(f"e{i:04d}")
+    return kept
+
+
+adjacent_events = st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["S1", "S2"]),
+                                     st.sampled_from(["A", "B"])), min_size=1, max_size=25)
+
+
+@settings(max_examples=4, deadline=None)
+@given(adjacent_events, st.sampled_from([2, 3, 6]))
+@example(evs=[(0, "S1", "A"), (0, "S1", "B")], w=2)   # two codes at one instant
+def test_debounce_adjacent_equals_simulator(spark, evs, w):
+    rows = [(f"e{i:04d}", T0 + dt.timedelta(seconds=t), "INTAKE", stn, code, "X", 1, None)
+            for i, (t, stn, code) in enumerate(evs)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for m in (2000, 2):
+        got = {r.event_id for r in debounce.debounce_adjacent(
+            df, w * 1000, params=Params(debounce_fold_max=m, scan_bucket_seconds=10)).select("event_id").collect()}
+        assert got == sim_adjacent(evs, w)
