@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.llm import decontaminate
+from stockledger.llm import decontaminate, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE: dict[str, str] = {
