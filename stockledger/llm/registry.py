@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.llm import decontaminate, simhash
+from stockledger.llm import decontaminate, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
