@@ -10,6 +10,8 @@ from stockledger.session import scratch_path
 # Words of the licence and decontamination contracts: ASCII letters and digits plus every
 # non-ASCII code point (fixed pattern).
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words found in a text that is not lower-cased yet.
+ALNUM_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Words of the quality and mixing contracts: runs without ASCII white space (fixed pattern).
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = r"[\x20\x09-\x0D]+"

@@ -49,7 +49,8 @@ RULES = (
     Rule("exclaimed_words", "n_exclaimed", "n_words", high=30),
     Rule("few_stop_words", "n_stop_words", "n_words", low=4, min_words=50),
     Rule("few_alphabetic_words", "n_alpha_words", "n_words", low=70),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("echoed_words", "n_echo_words", "n_words", high=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30),
 )
@@ -100,7 +101,8 @@ def statistics(text: Column) -> Column:
         F.size(F.filter(ls, lambda x: x.rlike(r"^\s*(?:[-*•‣▪+]|\d{1,3}[.)])\s"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(ls, lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines")))
     by_word = let(words_of(text), lambda ws: F.struct(
-        F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words")))
+        F.size(ws).cast("long").alias("n_words"),
+        F.size(F.filter(ws, lambda x, i: F.get(ws, i - 1) == x)).cast("long").alias("n_echo_words"), repeated_words(ws).alias("n_repeat_words")))
     return F.struct(
         by_word.alias("w"), by_line.alias("l"),
         F.length(F.regexp_replace(text, ASCII_SPACE, "")).cast("long").alias("word_chars"),
@@ -126,7 +128,7 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), statistics(text).alias("s"))
     s = {c: F.col(f"s.{c}") for c in ("word_chars", "n_symbols", "n_exclaimed", "n_alpha_words", "n_stop_words")}
-    s |= {c: F.col(f"s.w.{c}") for c in ("n_words", "n_repeat_words")}
+    s |= {c: F.col(f"s.w.{c}") for c in ("n_words", "n_echo_words", "n_repeat_words")}
     s |= {c: F.col(f"s.l.{c}") for c in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}
     base = (s["n_words"] < 20) | (s["n_repeat_words"] * 100 > s["n_words"] * 30)
     failed = F.filter(F.array(*[F.when(fails(s, r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
@@ -169,6 +171,7 @@ s AS (
          len(list_filter(ls, lambda x: regexp_matches(x, '^\s*(?:[-*•‣▪+]|\d{1,3}[.)])\s'))) AS n_bullet_lines,
          len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…)\s*$'))) AS n_ellipsis_lines,
          coalesce(cov.n, 0) AS n_repeat_words, coalesce(stop.n, 0) AS n_stop_words,
+         len(list_filter(ws, lambda x, i: x = ws[i - 1])) AS n_echo_words,
          len(list_filter(ws, lambda x: regexp_matches(x, '!$'))) AS n_exclaimed,
          len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS n_alpha_words
   FROM a LEFT JOIN cov USING (rid) LEFT JOIN stop USING (rid)),
