@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.llm import decontaminate, licenses, quality_rules, simhash
+from stockledger.llm import decontaminate, licenses, quality_rules, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": tokens.op2_token_counts,
     "op4_license_scan": licenses.op4_license_scan,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
