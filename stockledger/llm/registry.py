@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.llm import decontaminate, language, licenses, quality_model, quality_rules, simhash, tokens
+from stockledger.llm import decontaminate, language, licenses, mixing, quality_model, quality_rules, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": tokens.op2_token_counts,
     "op3_quality": quality_model.op3_quality,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_language": language.op5_language,
+    "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
