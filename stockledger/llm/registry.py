@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.llm import decontaminate, language, licenses, mixing, quality_model, quality_rules, simhash, tokens
+from stockledger.llm import decontaminate, language, licenses, mixing, quality_model, quality_rules, simhash, tokens, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_quality": quality_model.op3_quality,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_language": language.op5_language,
+    "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_url_filter": url_filter.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
