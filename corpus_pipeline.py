@@ -1,3 +1,98 @@
-"""Corpus pipeline: placeholder of the stages; re-exports the query registry."""
+"""Corpus pipeline over ``documents``: language ID, quality, near-duplicates, decontamination, mixing.
 
-from stockledger.llm.registry import ORACLE, QUERIES  # noqa: F401
+Every stage is ``(spark, docs, sf_dir) -> DataFrame``; ``run`` writes each result as Parquet in
+the shared checkpoint folder and hands the reread rows to the next stage.  All stages but the
+last return the columns of their input.  Rows are kept or dropped by their own text, so a
+stage needs no join back to its input where its operator works row by row.
+
+Cases: each stage inherits those of its operator.  Rows with a null id pass the filters by
+their text; in near-duplicates they go if their component has a document with an id, else one of
+each text stays.  Repeated rows of one id count as copies: one stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from stockledger.llm import decontaminate, language, mixing, quality_model, simhash
+from stockledger.llm.common import fresh, read, stored
+from stockledger.llm.registry import ORACLE, QUERIES  # noqa: F401  (the driver contract reads them here)
+
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those whose best language is unlikely."""
+    held = spark.sparkContext.broadcast(language.train(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = language.Scorer(held.value)
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                langs, scores = scorer.classify(part.column(at).to_pylist())
+                yield part.filter(pa.array([name != language.UNKNOWN and s >= MIN_LANGUAGE_SCORE for name, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score below the quality threshold."""
+    held = spark.sparkContext.broadcast(quality_model.train(docs, read(spark, sf_dir, "labels")))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = quality_model.positive_scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array([score(t.as_py()) >= quality_model.THRESHOLD for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of every SimHash component."""
+    found = stored(simhash.near_duplicates(docs), "near-duplicates")
+    keep, nth = fresh(docs.columns, "keep"), fresh(docs.columns, "nth")
+    first = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(keep)).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(keep)))
+    # an id that stands several times is numbered, rows without an id by their text
+    same = Window.partitionBy(keep, F.when(F.col(keep).isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), F.length("text"))
+    return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a passage of the benchmark."""
+    return decontaminate.drop_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take every document as often as its source's target asks; adds ``mix_copy``."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mixing_to_weights),
+]
+
+# Learned models, 64-bit XXH64 fingerprints and balanced rates have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+QUERIES = QUERIES | {"pipeline": run}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,14 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with marks added until no column (in any case) is called so."""
+    taken, out = {c.lower() for c in columns}, f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockledger.llm.common import SPACE_WORD, read, stored
+from stockledger.llm.common import SPACE_WORD, fresh, read, stored
 
 WEIGHTS = (5, 2, 1)          # fixed by the contract, repeating over the ordered sources
 MAX_REPEAT = 3
@@ -159,19 +159,21 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mixed corpus: every document as many times as the plan takes it, all columns, plus ``mix_copy`` 1, 2, ..."""
+    """The mixed corpus: every document as many times as the plan takes it, all columns, plus ``mix_copy`` 1, 2, ... (replaces a column of that name)."""
     got = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, max_repeat=max_repeat)
+    k, c, t = (fresh(docs.columns, x) for x in ("key", "copies", "times"))
     # rows that share id, source and size are exchangeable: they share their copies
     key = got.groupBy("id", "source", "size").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m"))
-    taken = key.where("all > 0").select(F.struct("id", "source", "size").alias("__k"), F.struct("all", "m").alias("__c"))
+    taken = key.where("all > 0").select(F.struct("id", "source", "size").alias("k"), F.struct("all", "m").alias(c))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.withColumn("__k", F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-                                          F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size")))
-    joined = own.join(taken, own["__k"].eqNullSafe(taken["__k"])).drop(taken["__k"])
-    nth = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(text_col)))
-    times = F.floor(F.col("__c.all") / F.col("__c.m")) + (nth <= F.col("__c.all") % F.col("__c.m")).cast("long")
-    again = joined.withColumn("__t", times).where("__t > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__t").cast("int"))))
-    return again.select(*[c for c in docs.columns if c != "mix_copy"], "mix_copy")
+    own = docs.withColumn(k, F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+                                      F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size")))
+    joined = own.join(taken, own[k].eqNullSafe(taken["k"])).drop(taken["k"])
+    nth = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64(text_col)))
+    times = F.floor(F.col(f"{c}.all") / F.col(f"{c}.m")) + (nth <= F.col(f"{c}.all") % F.col(f"{c}.m")).cast("long")
+    again = joined.withColumn(t, times).where(F.col(t) > 0)
+    number = F.explode(F.sequence(F.lit(1), F.col(t).cast("int"))).alias("mix_copy")
+    return again.select(*[x for x in docs.columns if x.lower() != "mix_copy"], number)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

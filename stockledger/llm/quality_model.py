@@ -21,7 +21,7 @@ of the labels the id and label) are read; others cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,6 +180,14 @@ class Scorer:
         return softmax(total / n + self.m.bias)
 
 
+def positive_scorer(model: Model, positive: int = 1) -> Callable[[str | None], float]:
+    """A text's probability of class ``positive``; 0.5 when that class was never seen."""
+    if positive not in model.classes:
+        return lambda text: 0.5
+    scorer, at = Scorer(model), model.classes.index(positive)
+    return lambda text: float(scorer.probabilities(text)[at])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Column, id_col: str, text_col: str,
                   cfg: Config) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Sparse features of the bounded learning sample, in a fixed order."""
@@ -211,17 +219,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Col
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", positive: int = 1) -> DataFrame:
-    """(id, score): probability of class ``positive`` for every row; 0.5 if that class or all were never seen."""
+    """(id, score): probability of class ``positive`` for every row; 0.5 when that class was never seen."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     held = spark.sparkContext.broadcast(model)
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        scorer, at = Scorer(m), m.classes.index(positive) if positive in m.classes else None
+        score_of = positive_scorer(held.value, positive)
         for b in batches:
-            got = [float(scorer.probabilities(t.as_py())[at]) if at is not None else 0.5 for t in b.column(1)]
+            got = [score_of(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["id", "score"])
 
     return src.mapInArrow(run, f"id {kind}, score double")
