@@ -22,16 +22,16 @@ Columns other than the id and text are not read by ``scan`` and kept as they are
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import ALNUM_WORD, read, table_bytes
+from stockledger.llm.common import ALNUM_WORD, read, stored, table_bytes
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -170,13 +170,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         return one_pass(src, parts[0])
     # several shards: number the rows, scan once per shard, merge each row's spans
     numbered = src.withColumn("id", F.struct("id", F.uuid(F.lit(42)).alias("row")))
-    from stockledger.llm.common import stored
     numbered = stored(numbered, "decontaminate")
     kind = numbered.schema["id"].dataType.simpleString()
-    passes = [one_pass(numbered, p) for p in parts]
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
+    both = reduce(DataFrame.unionByName, (one_pass(numbered, p) for p in parts))
     # a row has one list of spans for each shard
     grouped = both.groupBy("id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"),
                                      F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -211,8 +207,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
 def cut(text: str | None, grams: NgramSet) -> str | None:
     if not text:
         return text
-    places = [m.span() for m in _WORD.finditer(text)]
-    spans, _ = grams.find([text[a:b].translate(_LOWER) for a, b in places])
+    low = text.translate(_LOWER)       # character by character: places are the same
+    places = [m.span() for m in _WORD.finditer(low)]
+    spans, _ = grams.find([low[a:b] for a, b in places])
     out, last = [], 0
     for s, e in spans:
         out.append(text[last:places[s][0]])
