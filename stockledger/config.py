@@ -17,16 +17,10 @@ class Params:
     debounce_seconds: float = 3.0
     # analysis knobs
     as_of: str | None = None          # None -> max(event_ts) of the input
-    # Ordered scans (running stock, lifecycle replay, debounce sessions) are
-    # computed per (key, time bucket) and stitched with per-bucket carries, so
-    # one hot item is spread over many tasks.  Bucket width in seconds.
-    scan_bucket_seconds: int = 3600
-    # Debounce sessions up to this many scans are folded in one array; longer
-    # ones go through the distributed pointer-doubling path.
-    debounce_fold_max: int = 2000
-    # Persist the input of chained ordered scans that two plan branches read
-    # (see ordered.share); off only for comparisons.
-    share_passes: bool = True
+    # Ordered scans (running stock, lifecycle replay, debounce) split a key of more
+    # rows than this into cells of about as many, so one hot item is spread over
+    # many tasks (see operators/ordered.py).
+    scan_cell_rows: int = 1 << 20
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

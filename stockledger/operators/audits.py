@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
 from stockledger.operators.latest import latest_signals, status_rank
-from stockledger.operators.ordered import ordered_scan, time_bucket
+from stockledger.operators.ordered import micros, ordered_scan, with_cells
 
 
 def orphan_signals(signals: DataFrame, scans: DataFrame) -> DataFrame:
@@ -37,13 +37,12 @@ ALLOWED = {("OPEN", "ACKNOWLEDGED"), ("OPEN", "FULFILLED"), ("ACKNOWLEDGED", "FU
 def illegal_transitions(signals: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """V3: rows whose status does not follow from the previous row of the same signal.
 
-    The previous status is an ordered scan keyed by signal id, bucketed by
-    time, so a signal with a very long history is not ranked in one task.
+    The previous status is an ordered scan keyed by signal id, so a signal
+    with a very long history is not ranked in one task.
     """
     s = signals.withColumn("__rk", status_rank()).withColumn("__idk", F.coalesce(F.col("id"), F.lit(-1)))
-    p = ordered_scan(s, ["signal_id"], ["created_ts", "__idk", "__rk"],
-                     last_before={"prev_status": F.col("status")},
-                     bucket=time_bucket("created_ts", params.scan_bucket_seconds))
+    p = ordered_scan(with_cells(s, ["signal_id"], micros("created_ts"), params.scan_cell_rows), ["signal_id"],
+                     ["created_ts", "__idk", "__rk"], last_before={"prev_status": F.col("status")})
     ok = F.lit(False)
     for a, b in sorted(ALLOWED):
         ok = ok | ((F.col("prev_status") == a) & (F.col("status") == b))

@@ -2,60 +2,140 @@
 
 A scan is kept iff no scan of the same key was kept before it, or the last
 kept one is at least ``window`` older.  A dropped scan does not move the
-clock, so a plain ``lag`` rule is wrong (0, 2, 4, 7 s keeps 0, 4, 7).
-
-Plan, all in Spark:
-
-1. sessions: a scan whose gap to the previous scan of the key (kept or not)
-   is >= window always starts a session, because the last kept scan is at
-   least as old.  Previous time and session start are ordered scans over
-   (key, time bucket) so a hot key is spread over many tasks.
-2. sessions up to ``debounce_fold_max`` scans (the normal case: a few
-   rescans) are folded in one array with ``aggregate`` -- JVM-side, no UDF.
-3. longer sessions take an exact distributed path: every scan points to the
-   first scan at least ``window`` later (an as-of lookup, again an ordered
-   scan); the kept scans are the chain from the session start, found by
-   pointer doubling in O(log n) join rounds.  Only representatives of equal
-   timestamps enter the chain (a second scan at the same instant is always
-   dropped), so no task ever holds a whole session.
+clock, so a plain ``lag`` rule is wrong (0, 2, 4, 7 s keeps 0, 4, 7).  Scans
+without a time are kept and do not move the clock.
+
+The rule is sequential, so it runs as one ordered pass over Arrow batches:
+scans are dealt by (key, cell) and sorted by (time, id) -- the only exchange --
+and each task walks its rows with a key's last kept time as its whole state.
+A session is never collected; its length does not matter.  Rows a gap of at
+least ``window`` apart are decided by array comparison; only the kept scans
+inside a session are stepped over.
+
+Keys over ``scan_cell_rows`` scans are split into cells (see ``ordered``).  A
+cell's effect on the last kept time depends on what it is at the cell's start;
+its summary is that function, a step function of few steps (a constant when a
+gap lies inside the cell).  Composing the summaries of a key in order gives
+every cell its starting state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators.ordered import join_on_keys, ordered_scan, share
-from stockledger.session import ensure_checkpoint_dir
+from stockledger.operators.ordered import CELL, SPLIT, join_on_keys, micros, stored, with_cells
 
 _MICRO = 1_000_000
+_NONE = np.iinfo(np.int64).min
+
+
+def changes(cols: list[pa.Array]) -> np.ndarray:
+    """Whether each row differs from the one before in any of the columns (NULL equals NULL); row 0 does."""
+    n = len(cols[0])
+    out = np.zeros(n, dtype=bool)
+    out[:1] = True
+    for c in cols:
+        a, b = c.slice(1), c.slice(0, max(0, n - 1))
+        differ = pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.xor(pc.is_null(a), pc.is_null(b)), pc.not_equal(a, b))
+        out[1:] |= differ.to_numpy(zero_copy_only=False).astype(bool)
+    return out
+
+
+def walk(t: np.ndarray, start: np.ndarray, last: int, window: int) -> tuple[np.ndarray, int]:
+    """Kept flags of one key's timed scans in order, and the last kept time after them.
+
+    ``start`` marks scans that begin a session (always kept); before the first
+    of them the last kept time is ``last``.
+    """
+    kept = start.copy()
+    n = len(t)
+    heads = np.flatnonzero(start)
+    bounds = np.append(heads, n)
+    # sessions of one scan are done; step through the others
+    todo = [(int(h), int(e), int(t[h])) for h, e in zip(heads, bounds[1:]) if e - h > 1]
+    if n and not start[0]:
+        todo.insert(0, (-1, int(bounds[0]), last))
+    for h, e, clock in todo:
+        i = h + 1
+        while (i := i + int(np.searchsorted(t[i:e], clock + window))) < e:
+            kept[i] = True
+            clock = int(t[i])
+            i += 1
+    k = np.flatnonzero(kept)
+    return kept, int(t[k[-1]]) if len(k) else last
+
+
+def effect(t: np.ndarray, start: np.ndarray, window: int) -> tuple[list[int], list[int], int]:
+    """A cell's last kept time as a function of the one before it, when its first scan begins no session.
+
+    Returns (until, gives, first): starting from ``last``, the first entry with
+    ``last + window <= until`` gives the result; past all entries ``last``
+    stays.  ``first`` is the result when its first scan does begin a session.
+    """
+    inner = np.flatnonzero(start[1:]) + 1
+    end = walk(t[inner[-1]:], start[inner[-1]:], _NONE, window)[1] if len(inner) else None
+    head = int(inner[0]) if len(inner) else len(t)
+    if end is not None:
+        return [], [end], end          # constant: a session begins inside
+    nxt = np.searchsorted(t, t + window)
+    gives = t.tolist()
+    for i in range(len(t) - 1, -1, -1):
+        if nxt[i] < len(t):
+            gives[i] = gives[nxt[i]]
+    last = np.append(np.flatnonzero(np.diff(gives)), head - 1)      # last place of every step
+    return t[last].tolist(), [gives[i] for i in last.tolist()], gives[0]
+
+
+def _runs(df: DataFrame, keys: list[str], order: list[str], break_on: str | None) -> DataFrame:
+    """Scans dealt by (key, cell), in order; helper columns first."""
+    cell = [*keys, CELL]
+    spare = [F.col(break_on).alias("__code")] if break_on else []
+    src = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(cell)], micros(order[0]).alias("__t"), *spare,
+                    *[c for c in df.columns if c not in (CELL, SPLIT)])
+    dealt = [f"__k{i}" for i in range(len(cell))]
+    return src.repartition(*dealt).sortWithinPartitions(*dealt, "__t", F.col(order[1]))
 
 
-def _micros(col: str):
-    return F.unix_micros(F.col(col).cast("timestamp"))
+def _stretches(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.RecordBatch, int, int, bool]]:
+    """(batch, first row, end row, whether a new cell begins) of every stretch of one cell within a batch."""
+    tail = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        head = b.columns[:n_keys]
+        if tail is None:
+            new = changes(head)
+        else:
+            new = changes([pa.concat_arrays([x, c]) for x, c in zip(tail, head)])[1:]
+        tail = [c.slice(b.num_rows - 1, 1) for c in head]
+        cuts = np.unique(np.concatenate(([0], np.flatnonzero(new), [b.num_rows]))).tolist()
+        for s, e in zip(cuts, cuts[1:]):
+            yield b, s, e, bool(new[s])
 
 
-def _sessions(df: DataFrame, keys: list[str], order: list[str], w_us: int, bucket_s: int,
-              share_on: bool = True, break_on: str | None = None) -> DataFrame:
-    """Session start per scan: a gap >= window, or (``break_on``) a change of that
-    column from the previous scan of the key, starts a session."""
-    bucket = F.floor(F.col("__t") / F.lit(bucket_s * _MICRO)).cast("bigint")
-    prev = {"__pt": F.col("__t")}
-    if break_on:
-        # wrapped in a struct: never NULL itself, so a NULL code still counts as a value
-        prev["__pc"] = F.struct(F.col(break_on).alias("c"))
-    p = ordered_scan(df, keys, order, last_before=prev, bucket=bucket)
-    new = F.col("__pt").isNull() | (F.col("__t") - F.col("__pt") >= w_us)
-    if break_on:
-        new = new | ~F.col("__pc.c").eqNullSafe(F.col(break_on))
-    p = share(p.withColumn("__new", new), share_on)
-    # a session is named by its first scan (time, id): with ``break_on`` two sessions
-    # of one key can start at the same instant
-    first = F.struct(F.col("__t").alias("t"), F.col(order[1]).alias("i"))
-    return ordered_scan(p, keys, order, last_upto={"__ss": F.when(F.col("__new"), first)}, bucket=bucket)
+def _timed(b: pa.RecordBatch, s: int, e: int) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+    """Places, times and codes of a stretch's timed rows."""
+    t = b.column("__t").slice(s, e - s)
+    places = np.flatnonzero(t.is_valid().to_numpy(zero_copy_only=False))
+    coded = "__code" in b.schema.names
+    return (places, t.drop_null().to_numpy(zero_copy_only=False).astype(np.int64),
+            b.column("__code").slice(s, e - s).take(pa.array(places)) if coded else None)
+
+
+def session_starts(t: np.ndarray, codes: pa.Array | None, window: int) -> np.ndarray:
+    """Whether each timed row begins a session after the one before; the first does."""
+    start = np.ones(len(t), dtype=bool)
+    start[1:] = np.diff(t) >= window
+    return start | changes([codes]) if codes is not None and len(t) else start
 
 
 def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str] = ("barcode_raw",),
@@ -64,13 +144,14 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
              break_on: str | None = None) -> DataFrame:
     """Kept scans (or all scans with a ``kept`` flag when ``with_flag``).
 
-    ``initial`` (keys + ``last_kept_ts``, e.g. from ``debounce_state``) continues an
-    earlier run: each key's last kept scan enters as a seed row before the new
-    scans -- it is first in its session, hence kept -- and is dropped from the output.
+    ``break_on``: a change of this column from the key's previous scan also
+    begins a session.  ``initial`` (keys + ``last_kept_ts``, e.g. from
+    ``debounce_state``) continues an earlier run: each key's last kept scan
+    enters as a seed row before the new scans -- it is first in its session,
+    hence kept -- and is dropped from the output.
     """
-    w_us = int(round((params.debounce_seconds if window_s is None else window_s) * _MICRO))
+    window = int(round((params.debounce_seconds if window_s is None else window_s) * _MICRO))
     keys = list(keys)
-    order = [ts_col, id_col]
     cols = scans.columns
     if initial is not None:
         seeds = initial.select(*keys, F.col("last_kept_ts").alias(ts_col),
@@ -81,86 +162,108 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
             id_col=id_col, ts_col=ts_col, with_flag=True)
         kept = kept.filter(~F.col("__seed")).drop("__seed")
         return kept if with_flag else kept.filter(F.col("kept")).drop("kept")
-    df = scans.withColumn("__t", _micros(ts_col))
-    s = _sessions(df, keys, order, w_us, max(params.scan_bucket_seconds, 1), params.share_passes, break_on)
-    sess = keys + ["__ss"]
-    sizes = s.groupBy(*sess).agg(F.count(F.lit(1)).alias("__n"))
-    # read by three branches and by the emptiness check below: shared
-    s = share(join_on_keys(s, sizes, sess), params.share_passes)
-
-    m = params.debounce_fold_max
-    single = s.filter(F.col("__n") == 1).withColumn("kept", F.lit(True))
-    kept_short = _fold(s.filter((F.col("__n") > 1) & (F.col("__n") <= m)), sess, cols, w_us, id_col)
-    out = single.select(*cols, "kept").unionByName(kept_short.select(*cols, "kept"))
-    long = s.filter(F.col("__n") > m)
-    # the pointer-doubling path is iterative (one action per round); it runs only
-    # when some session is longer than the fold bound
-    if not long.isEmpty():
-        kept_long = _chain(long, keys, order, w_us, id_col, max(params.scan_bucket_seconds, 1))
-        out = out.unionByName(kept_long.select(*cols, "kept"))
+
+    df = with_cells(scans, keys, micros(ts_col), params.scan_cell_rows)
+    n_keys = len(keys) + 1
+    if SPLIT in df.columns:
+        df = join_on_keys(df, _entries(df, keys, [ts_col, id_col], break_on, window), [*keys, CELL], "left")
+    else:
+        df = df.withColumns({"__last": F.lit(None).cast("bigint"), "__goes_on": F.lit(False)})
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # last kept time, time and code of the scan before; ``goes_on``: the cell's first timed scan is still to come
+        last, prev, code, goes_on = _NONE, None, None, None
+        held, flags = None, []
+        for b, s, e, new_cell in _stretches(batches, n_keys):
+            if held is not None and b is not held:
+                yield flagged(held, flags)
+                flags = []
+            held = b
+            if new_cell:
+                goes_on = bool(b.column("__goes_on")[s].as_py())
+                last = b.column("__last")[s].as_py() if goes_on else _NONE
+            places, t, codes = _timed(b, s, e)
+            kept = np.ones(e - s, dtype=bool)
+            if len(t):
+                start = session_starts(t, codes, window)
+                if goes_on is not None:
+                    start[0] = not goes_on
+                else:
+                    start[0] = t[0] - prev >= window or (codes is not None and codes[0].as_py() != code)
+                kept[places], last = walk(t, start, last, window)
+                prev, code, goes_on = int(t[-1]), codes[-1].as_py() if codes is not None else None, None
+            flags.append(kept)
+        if held is not None:
+            yield flagged(held, flags)
+
+    def flagged(b: pa.RecordBatch, flags: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(np.concatenate(flags))], [*cols, "kept"])
+
+    schema = StructType([*scans.schema.fields, StructField("kept", BooleanType())])
+    out = _runs(df, keys, [ts_col, id_col], break_on).mapInArrow(flag, schema)
     return out if with_flag else out.filter(F.col("kept")).drop("kept")
 
 
+def _entries(df: DataFrame, keys: list[str], order: list[str], break_on: str | None, window: int) -> DataFrame:
+    """(keys, cell, __last, __goes_on): the last kept time before each cell of the split keys, and whether
+    the cell's first scan continues a session."""
+    cell = [*keys, CELL]
+    names = [f"__k{i}" for i in range(len(cell))]
+    ddl = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, cell))
+    code = df.schema[break_on].dataType.simpleString() if break_on else "string"
+    split = df.where(SPLIT).select(*dict.fromkeys([*cell, *order, *([break_on] if break_on else [])]))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per cell; a cell's times (about scan_cell_rows) are held together."""
+        own, parts = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if own is None or not parts:
+                return
+            t = np.concatenate([p[0] for p in parts])
+            codes = pa.concat_arrays([p[1] for p in parts]) if break_on else pa.nulls(len(t), pa.string())
+            until, gives, first = effect(t, session_starts(t, codes if break_on else None, window), window)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array([t[0]]), pa.array([t[-1]]), codes.slice(0, 1), codes.slice(len(t) - 1, 1),
+                 pa.array([until], longs), pa.array([gives], longs), pa.array([first], pa.int64())],
+                [*names, "t0", "t1", "c0", "c1", "until", "gives", "first"])
+
+        for b, s, e, new_cell in _stretches(batches, len(cell)):
+            if new_cell:
+                yield from done()
+                own, parts = [c.slice(s, 1) for c in b.columns[:len(cell)]], []
+            _, t, codes = _timed(b, s, e)
+            if len(t):
+                parts.append((t, codes))
+        yield from done()
+
+    def compose(g: pd.DataFrame) -> pd.DataFrame:
+        """Starting states of one key's cells (its rows / scan_cell_rows of them), in order."""
+        g = g.sort_values(names[-1])
+        last, before, rows = None, None, []
+        for r in g.to_dict("records"):
+            same = break_on is None or (before is not None and (r["c0"] == before["c1"] or (pd.isna(r["c0"]) and pd.isna(before["c1"]))))
+            goes_on = before is not None and r["t0"] - before["t1"] < window and same
+            rows.append((last if goes_on else None, goes_on))
+            if not goes_on:
+                last = int(r["first"])
+            elif not len(r["until"]):
+                last = int(r["gives"][0])
+            elif (i := int(np.searchsorted(r["until"], last + window))) < len(r["gives"]):
+                last = int(r["gives"][i])
+            before = r
+        return g[names].assign(__last=pd.array([x for x, _ in rows], dtype="Int64"), __goes_on=[x for _, x in rows])
+
+    cells = _runs(split, keys, order, break_on).mapInArrow(
+        summarise, f"{ddl}, t0 long, t1 long, c0 {code}, c1 {code}, until array<long>, gives array<long>, first long")
+    found = stored(cells.groupBy(*names[:-1]).applyInPandas(compose, f"{ddl}, __last long, __goes_on boolean"), "debounce-cells")
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, cell)], "__last", "__goes_on")
+
+
 def debounce_state(kept: DataFrame, keys: Sequence[str] = ("barcode_raw",), ts_col: str = "event_ts") -> DataFrame:
     """Per key, the time of the last kept scan (state to continue with ``initial=``)."""
-    return kept.groupBy(*keys).agg(F.max(ts_col).alias("last_kept_ts"))
-
-
-def _fold(s: DataFrame, sess: list[str], cols: list[str], w_us: int, id_col: str) -> DataFrame:
-    """Fold each (bounded) session's scans in time order; elements carry whole rows."""
-    row = F.struct(F.col("__t").alias("t"), F.col(id_col).alias("__id"), *[F.col(c) for c in cols])
-    # sort by (t, id): the struct's leading fields give the order
-    arr = s.groupBy(*sess).agg(F.array_sort(F.collect_list(row)).alias("__a"))
-    init = F.struct(F.lit(None).cast("bigint").alias("last"),
-                    F.array().cast("array<int>").alias("keep"),
-                    F.lit(0).alias("i"))
-
-    def step(acc, x):
-        take = acc["last"].isNull() | (x["t"] - acc["last"] >= F.lit(w_us))
-        return F.struct(F.when(take, x["t"]).otherwise(acc["last"]).alias("last"),
-                        F.when(take, F.array_append(acc["keep"], acc["i"])).otherwise(acc["keep"]).alias("keep"),
-                        (acc["i"] + 1).alias("i"))
-
-    folded = arr.select(F.col("__a"), F.aggregate("__a", init, step)["keep"].alias("__k"))
-    ex = folded.select(F.posexplode("__a").alias("__p", "__r"), "__k")
-    return ex.select(*[F.col(f"__r.{c}").alias(c) for c in cols],
-                     F.array_contains(F.col("__k"), F.col("__p")).alias("kept"))
-
-
-def _chain(s: DataFrame, keys: list[str], order: list[str], w_us: int, id_col: str, bucket_s: int,
-           max_rounds: int = 64) -> DataFrame:
-    """Exact kept flags for long sessions by pointer doubling over 'next kept candidate' links."""
-    sess = keys + ["__ss"]
-    ensure_checkpoint_dir(s.sparkSession)
-    # node id = (key, scan id): scan ids need only be unique within a key
-    s = s.withColumn("__nid", F.to_json(F.struct(*[F.col(k) for k in keys], F.col(id_col))))
-    # representatives: first scan of each (key, instant); the others are always dropped
-    rep_of = (s.groupBy(*keys, "__ss", "__t")
-              .agg(F.min_by(F.col("__nid"), F.struct(*[F.col(c) for c in order])).alias("__rid")))
-    # as-of lookup: for each node, the first node with t >= t + w  (scan in descending time)
-    nodes = rep_of.select(*sess, F.col("__rid").alias("__node"), F.col("__t"))
-    probes = nodes.select(*sess, F.col("__node").alias("__src"), (F.col("__t") + w_us).alias("__pt"))
-    u = (nodes.select(*sess, (-F.col("__t")).alias("__o1"), F.lit(-1).alias("__o2"),
-                      F.col("__node"), F.lit(None).cast("string").alias("__src"))
-         .unionByName(probes.select(*sess, (-F.col("__pt")).alias("__o1"), F.lit(0).alias("__o2"),
-                                    F.lit(None).cast("string").alias("__node"), F.col("__src"))))
-    bucket = F.floor(F.col("__o1") / F.lit(bucket_s * _MICRO)).cast("bigint")
-    nxt = ordered_scan(u, sess, ["__o1", "__o2"], last_upto={"__to": F.col("__node")}, bucket=bucket)
-    jump = nxt.filter(F.col("__src").isNotNull()).select(
-        F.col("__src").alias("node"), F.col("__to").alias("to")).checkpoint()
-    starts = (nodes.groupBy(*sess).agg(F.min_by("__node", "__t").alias("node"))
-              .select("node").checkpoint())
-    reached = starts
-    for _ in range(max_rounds):
-        step = reached.join(jump, "node", "inner").filter(F.col("to").isNotNull())
-        if step.isEmpty():
-            break
-        reached = reached.unionByName(step.select(F.col("to").alias("node"))).distinct().checkpoint()
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node"), "left")
-        jump = j2.select(F.col("a.node").alias("node"), F.col("b.to").alias("to")).checkpoint()
-    flags = reached.select(F.col("node").alias("__kid"), F.lit(True).alias("__kept"))
-    out = s.join(flags, s["__nid"] == flags["__kid"], "left")
-    return out.withColumn("kept", F.coalesce(F.col("__kept"), F.lit(False)))
+    return kept.groupBy(*keys).agg(F.max(ts_col).alias("last_kept_ts")).where("last_kept_ts is not null")
 
 
 def debounce_adjacent(scans: DataFrame, window_ms: int = 3000, station_col: str = "station_id",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators.ordered import ordered_scan, time_bucket
+from stockledger.operators.ordered import micros, ordered_scan, with_cells, without_cells
 
 
 def signed_qty(type_col: str = "event_type", qty_col: str = "qty"):
@@ -17,11 +17,11 @@ def signed_qty(type_col: str = "event_type", qty_col: str = "qty"):
             .otherwise(F.lit(0)))
 
 
-def running_on_hand(scans: DataFrame, params: Params = DEFAULT, *, bucketed: bool = True) -> DataFrame:
+def running_on_hand(scans: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Stock of the item after each event, in (event_ts, event_id) order."""
-    bucket = time_bucket("event_ts", params.scan_bucket_seconds) if bucketed else None
-    return ordered_scan(scans, ["item_id"], ["event_ts", "event_id"],
-                        sums={"on_hand_qty": signed_qty().cast("bigint")}, bucket=bucket)
+    cells = with_cells(scans, ["item_id"], micros("event_ts"), params.scan_cell_rows)
+    return without_cells(ordered_scan(cells, ["item_id"], ["event_ts", "event_id"],
+                                      sums={"on_hand_qty": signed_qty().cast("bigint")}))
 
 
 def _totals(scans: DataFrame) -> DataFrame:
@@ -33,9 +33,9 @@ def _totals(scans: DataFrame) -> DataFrame:
 
 
 def all_inventory(scans: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Raw-table stock per item ordered by item (the API's page)."""
-    out = _totals(scans).orderBy("item_id")
-    return out.limit(limit) if limit is not None else out
+    """Raw-table stock per item; a page (``limit``) is the first items by id, the whole has no order."""
+    out = _totals(scans)
+    return out.orderBy("item_id").limit(limit) if limit is not None else out
 
 
 def inventory_item(scans: DataFrame, item_id: str) -> DataFrame:
@@ -69,15 +69,15 @@ def inventory_as_of(scans: DataFrame, probes: DataFrame, params: Params = DEFAUL
 
     Probes are unioned into the ledger as zero movements ordered after the
     events of the same instant; the running sum at a probe row is the stock
-    as of that time.  Same bucketed scan as E2, so one hot item is spread out.
+    as of that time.  Same scan as E2, so a hot item is spread out.
     """
     ev = scans.select("item_id", "event_ts", F.lit(0).alias("__k"), F.col("event_id").alias("__id"),
                       signed_qty().cast("bigint").alias("__d"))
     pr = probes.select("item_id", F.col("probe_ts").alias("event_ts"), F.lit(1).alias("__k"),
                        F.lit(None).cast("string").alias("__id"), F.lit(0).cast("bigint").alias("__d"))
     u = ev.unionByName(pr)
-    s = ordered_scan(u, ["item_id"], ["event_ts", "__k", "__id"], sums={"on_hand_qty": F.col("__d")},
-                     bucket=time_bucket("event_ts", params.scan_bucket_seconds))
+    s = ordered_scan(with_cells(u, ["item_id"], micros("event_ts"), params.scan_cell_rows), ["item_id"],
+                     ["event_ts", "__k", "__id"], sums={"on_hand_qty": F.col("__d")})
     return s.filter(F.col("__k") == 1).select("item_id", F.col("event_ts").alias("probe_ts"), "on_hand_qty") \
         .dropDuplicates(["item_id", "probe_ts"])
 

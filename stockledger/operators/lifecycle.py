@@ -8,11 +8,10 @@ Per item, in (event_ts, event_id) order, with the balance taken after each event
 
 Closed form: label qualifying rows O / F / A; a row emits iff
 (O and the previous label is not O) or (F/A and the previous label is O).
-A closing row takes id, quantity and trigger from the OPEN row that starts
-its run of O labels, found by a join on (item, run number) over emitted rows.
-Balance, previous label and run number are two ordered scans keyed by item
-(see ``ordered``): the ledger is shuffled once on (item, time bucket), and
-after that only per-cell carries and emitted rows move.
+A closing row takes id, quantity and trigger from the last OPEN row before it.
+Balance, previous label and open row are three ordered scans over the same
+keys and order: they share one exchange and one sort of the ledger, and no
+row is joined or kept aside (see ``ordered`` for items with very many rows).
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators.ordered import ordered_scan, share, time_bucket
+from stockledger.operators.ordered import micros, ordered_scan, with_cells
 
 
 def numeric_id(c):
@@ -60,7 +59,7 @@ def lifecycle_state(scans_before: DataFrame, signals_before: DataFrame, as_of) -
 
 
 def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Params = DEFAULT,
-                     *, bucketed: bool = True, initial: DataFrame | None = None) -> DataFrame:
+                     *, initial: DataFrame | None = None) -> DataFrame:
     """All signal rows the service would have appended, in the signal-log schema.
 
     ``initial`` (from ``lifecycle_state``) continues an earlier replay: one seed
@@ -69,7 +68,6 @@ def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Pa
     """
     rp = params.reorder_point
     order = ["event_ts", "event_id"]
-    bucket = time_bucket("event_ts", params.scan_bucket_seconds) if bucketed else None
 
     led = _ledger(scans, acks)
     if initial is not None:
@@ -80,7 +78,8 @@ def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Pa
                                F.col("open_event_id").alias("seed_open_event_id"),
                                F.col("open_balance").alias("seed_open_balance"))
         led = led.unionByName(seeds)
-    bal = ordered_scan(led, ["item_id"], order, sums={"balance": F.col("delta")}, bucket=bucket)
+    cells = with_cells(led, ["item_id"], micros("event_ts"), params.scan_cell_rows)
+    bal = ordered_scan(cells, ["item_id"], order, sums={"balance": F.col("delta")})
     label = (F.when((F.col("kind") == "CONSUME") & (F.col("balance") <= rp), F.lit("O"))
              .when((F.col("kind") == "INTAKE") & (F.col("balance") > rp), F.lit("F"))
              .when(F.col("kind") == "ACK", F.lit("A")))
@@ -89,44 +88,23 @@ def signal_lifecycle(scans: DataFrame, acks: DataFrame | None = None, params: Pa
         label = F.when(F.col("kind") == "SEED",
                        F.when(F.col("seed_open_event_id").isNotNull(), F.lit("O")).otherwise(F.lit("S"))) \
             .otherwise(label)
-    labelled = share(bal.withColumn("label", label).filter(F.col("label").isNotNull()), params.share_passes)
-
-    # previous label, and the number of non-O labels so far (numbers the runs of O)
-    prev = ordered_scan(labelled, ["item_id"], order,
-                        sums={"closes": F.when(F.col("label") != "O", 1).otherwise(0).cast("bigint")},
-                        last_before={"prev": F.col("label")}, bucket=bucket)
+    labelled = bal.withColumn("label", label).filter(F.col("label").isNotNull())
+    prev = ordered_scan(labelled, ["item_id"], order, last_before={"prev": F.col("label")})
     status = (F.when((F.col("label") == "O") & F.col("prev").eqNullSafe("O").__invert__(), F.lit("OPEN"))
               .when((F.col("label") == "F") & (F.col("prev") == "O"), F.lit("FULFILLED"))
               .when((F.col("label") == "A") & (F.col("prev") == "O"), F.lit("ACKNOWLEDGED")))
-    if initial is not None:
-        status = F.when(F.col("kind") == "SEED", F.lit(None).cast("string")).otherwise(status)
-        keep = F.col("status").isNotNull() | ((F.col("kind") == "SEED") & (F.col("label") == "O"))
+    opens = F.struct(F.col("event_id").alias("id"), F.col("balance").alias("balance"))
+    if initial is None:
+        emitted = prev.withColumn("status", status).filter(F.col("status").isNotNull())
+        head = F.when(F.col("status") == "OPEN", opens)
     else:
-        keep = F.col("status").isNotNull()
-    emitted = share(prev.withColumn("status", status).filter(keep), params.share_passes)
-
-    # Emitted rows alternate OPEN, close, OPEN, ...: a closing row belongs to the
-    # run of O labels just before it (run number = non-O labels before it), whose
-    # first row is its OPEN (or the seed).  One head row per (item, run); the join
-    # moves emitted rows only, not the ledger.
-    run = F.when(F.col("label") == "O", F.col("closes")).otherwise(F.col("closes") - 1)
-    emitted = emitted.withColumn("run", run)
-    is_open = F.col("status") == "OPEN"
-    head_id = F.when(is_open, F.col("event_id"))
-    head_bal = F.when(is_open, F.col("balance"))
-    is_head = is_open
-    if initial is not None:
-        head_id = head_id.when(F.col("kind") == "SEED", F.col("seed_open_event_id"))
-        head_bal = head_bal.when(F.col("kind") == "SEED", F.col("seed_open_balance"))
-        is_head = is_open | (F.col("kind") == "SEED")
-    heads = emitted.filter(is_head).select("item_id", "run", head_id.alias("open_event_id"),
-                                           head_bal.alias("open_balance"))
-    closing = emitted.filter(F.col("status").isin("FULFILLED", "ACKNOWLEDGED")) \
-        .select("item_id", "run", "event_ts", "event_id", "status").join(heads, ["item_id", "run"], "inner")
-    opened = emitted.filter(is_open).select("item_id", "run", "event_ts", "event_id", "status",
-                                            F.col("event_id").alias("open_event_id"),
-                                            F.col("balance").alias("open_balance"))
-    filled = opened.unionByName(closing.select(*opened.columns))
+        seed = F.col("kind") == "SEED"
+        emitted = prev.withColumn("status", F.when(~seed, status)).filter(F.col("status").isNotNull() | (seed & (F.col("label") == "O")))
+        head = F.when(F.col("status") == "OPEN", opens).when(seed, F.struct(
+            F.col("seed_open_event_id").alias("id"), F.col("seed_open_balance").alias("balance")))
+    # emitted rows alternate OPEN, close, OPEN, ...: a closing row's signal is the last one opened
+    filled = ordered_scan(emitted, ["item_id"], order, last_upto={"opened": head}).filter(F.col("status").isNotNull()) \
+        .withColumns({"open_event_id": F.col("opened.id"), "open_balance": F.col("opened.balance")})
     return filled.select(
         numeric_id(F.col("event_id")).alias("id"),
         F.md5(F.concat_ws("|", F.col("item_id"), F.col("open_event_id"))).alias("signal_id"),

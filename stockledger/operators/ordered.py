@@ -1,20 +1,23 @@
 """Ordered per-key scans that do not put one hot key into one task.
 
-A running sum or a "last non-null so far" per key is normally a window
-``partitionBy(key).orderBy(...)``; all rows of a key then meet in one task.
-Here the key is split into (key, bucket) cells, where the bucket is a coarse
-function of the order (a time bucket), so:
-
-1. a window per (key, bucket) gives the local result;
-2. the last row of each cell summarises it (one row per cell, map-side);
-3. a window per key over the cell summaries gives the carry from earlier
-   cells -- its size per key is bounded by (time span / bucket width),
-   not by the data volume;
-4. the carry is joined back on (key, bucket); the big side is already
-   partitioned on (key, bucket) from step 1, so only the carries move.
-
-The result is identical to the plain window for any bucket function that is
-monotone in the order; ``bucket=None`` falls back to the plain window.
+A running sum or a "last non-null so far" per key is a window
+``partitionBy(key).orderBy(...)``; all rows of a key meet in one task.  Here
+the rows of a key lie in cells (key, cell number).  A key of at most
+``cell_rows`` rows is one cell, so its scan is exactly that window: one
+exchange, no carry.  Only larger keys are split, at quantiles of their own
+times, into cells of about ``cell_rows`` rows, whatever their density:
+
+1. ``with_cells`` numbers the cells; the sizes of the keys come from one
+   pre-aggregated count, the split points from ``percentile_approx`` over the
+   large keys' rows only (at most rows / cell_rows split points in all);
+2. a window per cell gives the local result -- the ledger's only exchange;
+3. the cells of split keys are summarised (one row per cell, partial
+   aggregation) and a window per key over these summaries gives the carry,
+   stored and joined back on (key, cell).
+
+The result equals the plain window.  Rows without a time come first (cell 0),
+as NULL does in ascending order, and are never dropped.  Several scans over
+the same keys and order share the cells, and with them the exchange and sort.
 """
 
 from __future__ import annotations
@@ -25,33 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_U = Window.unboundedPreceding
-
-
-_SHARED: list[DataFrame] = []
-
+from stockledger.session import scratch_path
 
-def share(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Persist an intermediate that two branches of one plan read (MEMORY_AND_DISK).
-
-    Spark recomputes a forked subtree per consumer unless both sides meet at
-    an identical exchange, which column pruning usually prevents.  A scan's
-    window branch and its cell-summary branch both read their input, so a
-    chained scan (pass 2 reading pass 1) would otherwise repeat all earlier
-    passes.  Persisting is lazy and fault tolerant: lost blocks are rebuilt
-    from lineage.  ``release_shared`` drops them when a job is done.
-    """
-    if not enabled:
-        return df
-    from pyspark import StorageLevel
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _SHARED.append(out)
-    return out
+_U = Window.unboundedPreceding
+CELL, SPLIT = "__cell", "__split"
+_QUANTILES = 1024
 
 
-def release_shared() -> None:
-    while _SHARED:
-        _SHARED.pop().unpersist(blocking=False)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back (cuts the lineage)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -66,85 +54,65 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(r, on=cond, how=how).drop(*ren.values())
 
 
-def time_bucket(ts_col: str, seconds: int) -> Column:
-    """Coarse monotone bucket of a timestamp column (epoch seconds // width)."""
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+def micros(ts_col: str) -> Column:
+    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+
+
+def with_cells(df: DataFrame, keys: Sequence[str], at: Column, cell_rows: int) -> DataFrame:
+    """Add the cell number (and, if any key is split, whether its key is).
+
+    ``at`` is a number that does not fall along the scan's order.
+    """
+    keys = list(keys)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cell_rows)
+    if large.isEmpty():
+        return df.withColumn(CELL, F.lit(0))
+    large = stored(large, "large-keys")
+    points = [i / _QUANTILES for i in range(1, _QUANTILES)]
+    step = F.ceil(F.lit(float(_QUANTILES)) * cell_rows / F.col("__n")).cast("int")
+    edges = (join_on_keys(df.select(*keys, at.alias("__at")), large, keys)
+             .groupBy(*keys).agg(F.percentile_approx("__at", points, 10 * _QUANTILES).alias("__q"), F.first("__n").alias("__n"))
+             .select(*keys, F.array_distinct(F.filter("__q", lambda x, i: (i + 1) % step == 0)).alias("__edges")))
+    out = join_on_keys(df, stored(edges, "split-points"), keys, "left")
+    cell = F.size(F.filter("__edges", lambda e: e < at))
+    return (out.withColumn(CELL, F.when(F.col("__edges").isNull() | at.isNull(), F.lit(0)).otherwise(cell))
+            .withColumn(SPLIT, F.col("__edges").isNotNull()).drop("__edges"))
+
+
+def without_cells(df: DataFrame) -> DataFrame:
+    return df.drop(CELL, SPLIT)
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  sums: dict[str, Column] | None = None,
                  last_upto: dict[str, Column] | None = None,
-                 last_before: dict[str, Column] | None = None,
-                 bucket: Column | None = None) -> DataFrame:
-    """Add per-key running columns in ``order``.
+                 last_before: dict[str, Column] | None = None) -> DataFrame:
+    """Add per-key running columns in ``order`` to a frame ``with_cells``.
 
     sums:        out -> expr; running sum including the current row.
     last_upto:   out -> expr; last non-null value at or before the current row.
     last_before: out -> expr; last non-null value strictly before the current row.
     """
-    sums = sums or {}
-    last_upto = last_upto or {}
-    last_before = last_before or {}
-    keys = list(keys)
+    sums, last_upto, last_before = sums or {}, last_upto or {}, last_before or {}
+    cell = [*keys, CELL]
     order_cols = [F.col(c) for c in order]
-
-    if bucket is None:
-        w_in = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(_U, Window.currentRow)
-        w_ex = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(_U, -1)
-        out = [F.sum(e).over(w_in).alias(o) for o, e in sums.items()]
-        out += [F.last(e, ignorenulls=True).over(w_in).alias(o) for o, e in last_upto.items()]
-        out += [F.last(e, ignorenulls=True).over(w_ex).alias(o) for o, e in last_before.items()]
-        return df.select("*", *out)
-
-    # Nullable keys are encoded once as (text, is-null) columns; the same columns
-    # partition the window and join the carry, so the big side keeps the
-    # (key, bucket) partitioning of the window and is not shuffled again.
-    enc, pkeys = {}, []
-    for i, k in enumerate(keys):
-        if df.schema[k].nullable:
-            enc[f"__nk{i}"] = F.coalesce(F.col(k).cast("string"), F.lit(""))
-            enc[f"__nn{i}"] = F.col(k).isNull()
-            pkeys += [f"__nk{i}", f"__nn{i}"]
-        else:
-            pkeys.append(k)
-    b = "__b"
-    cell = pkeys + [b]
-    staged = df.withColumns({**enc, b: bucket})
-    w_in = Window.partitionBy(*cell).orderBy(*order_cols).rowsBetween(_U, Window.currentRow)
-    w_ex = Window.partitionBy(*cell).orderBy(*order_cols).rowsBetween(_U, -1)
-
-    loc = {}
-    for o, e in sums.items():
-        loc[f"__ls_{o}"] = F.sum(e).over(w_in)
-    for o, e in last_upto.items():
-        loc[f"__lu_{o}"] = F.last(e, ignorenulls=True).over(w_in)
-    for o, e in last_before.items():
-        loc[f"__lb_{o}"] = F.last(e, ignorenulls=True).over(w_ex)
-    local = staged.select("*", *[c.alias(n) for n, c in loc.items()])
-
-    # one summary row per cell, aggregated from the cell's own rows
-    aggs = [F.sum(e).alias(f"__ts_{o}") for o, e in sums.items()]
-    for o, e in list(last_upto.items()) + list(last_before.items()):
-        aggs.append(F.max_by(e, F.when(e.isNotNull(), F.struct(*order_cols))).alias(f"__tl_{o}"))
-    summary = staged.groupBy(*cell).agg(*aggs)
-    w_c = Window.partitionBy(*pkeys).orderBy(F.col(b)).rowsBetween(_U, -1)
-    carry_cols = []
-    for o in sums:
-        carry_cols.append(F.coalesce(F.sum(F.col(f"__ts_{o}")).over(w_c), F.lit(0)).alias(f"__cs_{o}"))
-    for o in last_upto:
-        carry_cols.append(F.last(F.col(f"__tl_{o}"), ignorenulls=True).over(w_c).alias(f"__cu_{o}"))
-    for o in last_before:
-        carry_cols.append(F.last(F.col(f"__tl_{o}"), ignorenulls=True).over(w_c).alias(f"__cb_{o}"))
-    carry = summary.select(*cell, *carry_cols)
-
-    joined = local.join(carry, on=cell, how="inner")
-    final = []
-    for o, e in sums.items():
-        # keep the sum's type: carry starts at 0 of the same type
-        final.append((F.col(f"__cs_{o}") + F.col(f"__ls_{o}")).alias(o))
-    for o in last_upto:
-        final.append(F.coalesce(F.col(f"__lu_{o}"), F.col(f"__cu_{o}")).alias(o))
-    for o in last_before:
-        final.append(F.coalesce(F.col(f"__lb_{o}"), F.col(f"__cb_{o}")).alias(o))
-    base = [c for c in df.columns]
-    return joined.select(*[F.col(c) for c in base], *final)
+    w = Window.partitionBy(*cell).orderBy(*order_cols)
+    w_in, w_ex = w.rowsBetween(_U, Window.currentRow), w.rowsBetween(_U, -1)
+    local = {o: F.sum(e).over(w_in) for o, e in sums.items()}
+    local |= {o: F.last(e, ignorenulls=True).over(w_in) for o, e in last_upto.items()}
+    local |= {o: F.last(e, ignorenulls=True).over(w_ex) for o, e in last_before.items()}
+    if SPLIT not in df.columns:
+        return df.select("*", *[c.alias(o) for o, c in local.items()])
+
+    lasts = {**last_upto, **last_before}
+    summary = df.where(SPLIT).groupBy(*cell).agg(
+        *[F.sum(e).alias(o) for o, e in sums.items()],
+        *[F.max_by(e, F.when(e.isNotNull(), F.struct(*order_cols))).alias(o) for o, e in lasts.items()])
+    w_c = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(_U, -1)
+    carry = stored(summary.select(*cell, *[F.sum(o).over(w_c).alias(f"__c_{o}") for o in sums],
+                                  *[F.last(o, ignorenulls=True).over(w_c).alias(f"__c_{o}") for o in lasts]), "carry")
+    joined = join_on_keys(df.select("*", *[c.alias(f"__l_{o}") for o, c in local.items()]), carry, cell, "left")
+    # an empty running sum is NULL, as in the plain window, unless either side has a value
+    total = {o: F.coalesce(F.col(f"__l_{o}") + F.col(f"__c_{o}"), F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o in sums}
+    total |= {o: F.coalesce(F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o in lasts}
+    return joined.select(*df.columns, *[c.alias(o) for o, c in total.items()])

@@ -13,7 +13,6 @@ from stockledger.config import DEFAULT, Params
 from stockledger.functions import barcode, columns, slips
 from stockledger.operators import analytics as A
 from stockledger.operators import audits, debounce, ingest, latest, ledger, lifecycle, quality
-from stockledger.operators.ordered import share
 from stockledger.plans import medallion as M
 from stockledger.session import apply_conf, scratch_path
 from stockledger.sources import bridge, sinks, slipdata
@@ -74,10 +73,8 @@ class Ctx:
     def raw_scans(self) -> DataFrame:
         """Ingest input: bridge R in raw form; ERROR rows carry their ``props`` text
         instead of a code, so malformed input is exercised."""
-        r = bridge.raw_scans_from_scans(self.rescans)
-        props = self.table("events").select(F.col("event_id").cast("string").alias("__eid"), "props")
-        j = r.withColumn("__eid", F.substring_index("scan_id", "#", 1)).join(props, "__eid", "left")
-        return j.select("scan_id", "event_ts",
+        bronze = bridge.scans_from_events(self.table("events"), "props")
+        return bridge.raw_scans_from_scans(bridge.rescans(bronze, "props"), "props").select("scan_id", "event_ts",
                         F.when(F.col("kind") == "ERROR", F.lit("CONSUME")).otherwise(F.col("kind")).alias("kind"),
                         "station_id",
                         F.when(F.col("kind") == "ERROR", F.col("props")).otherwise(F.col("barcode_raw"))
@@ -178,7 +175,7 @@ def _two_halves(c: Ctx) -> DataFrame:
 def _debounce_two_halves(c: Ctx) -> DataFrame:
     """E4 run on the first half of the rescans, then on the second half from its state."""
     cut = _half(c)
-    first = share(debounce.debounce(c.rescans.filter(F.col("event_ts") < cut), 3.0, params=c.p))
+    first = debounce.debounce(c.rescans.filter(F.col("event_ts") < cut), 3.0, params=c.p)
     second = debounce.debounce(c.rescans.filter(F.col("event_ts") >= cut), 3.0, params=c.p,
                                initial=debounce.debounce_state(first))
     return first.unionByName(second).select("event_id", "event_ts", "barcode_raw")
@@ -222,6 +219,9 @@ def _bulk(c: Ctx) -> DataFrame:
     return ingest.bulk_intake(lines, c.p)[0]
 
 
+# the skew cases run on small tables: keys over this many rows are split there
+HOT_CELL_ROWS = 2000
+
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     # A: sources, sinks, schema
     "bronze_scan_events": lambda c: c.bronze,
@@ -313,7 +313,8 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "signal_lifecycle_lineitem": lambda c: lifecycle.signal_lifecycle(
         M.silver_scan_events(c.lineitem_scans), None, c.p),
     "signal_lifecycle_hot_item": lambda c: lifecycle.signal_lifecycle(
-        M.silver_scan_events(bridge.with_hot_key(c.lineitem_scans, bridge.hex_source_id())), None, c.p),
+        M.silver_scan_events(bridge.with_hot_key(c.lineitem_scans, bridge.hex_source_id())), None,
+        c.p.with_(scan_cell_rows=HOT_CELL_ROWS)),
     "debounce": lambda c: debounce.debounce(c.rescans, 3.0, params=c.p).select("event_id", "event_ts",
                                                                                 "barcode_raw"),
     "debounce_two_halves": _debounce_two_halves,
@@ -322,7 +323,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "debounce_hot_48h": lambda c: debounce.debounce(
         bridge.with_hot_key(c.rescans, bridge.numeric_source_id()).withColumn("barcode_raw", F.when(
             F.col("item_id") == "PART-HOT", F.lit("ITEM=PART-HOT;QTY=1")).otherwise(F.col("barcode_raw"))),
-        48 * 3600.0, params=c.p).select("event_id", "event_ts", "barcode_raw"),
+        48 * 3600.0, params=c.p.with_(scan_cell_rows=HOT_CELL_ROWS)).select("event_id", "event_ts", "barcode_raw"),
     "debounce_adjacent": lambda c: debounce.debounce_adjacent(c.rescans, 3000, params=c.p).select(
         "event_id", "event_ts", "station_id", "barcode_raw"),
     "week_over_week": lambda c: A.week_over_week(c.silver),

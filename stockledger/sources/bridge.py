@@ -14,8 +14,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scans_from_events(events: DataFrame) -> DataFrame:
-    """Bridge E: ``events`` -> scan log (bronze; ERROR rows and qty 0 kept)."""
+def scans_from_events(events: DataFrame, *extra: str) -> DataFrame:
+    """Bridge E: ``events`` -> scan log (bronze; ERROR rows and qty 0 kept), with ``extra`` source columns."""
     et = F.col("event_type")
     item = F.concat(F.lit("PART-"), F.col("user_id").cast("string"))
     qty = F.floor(F.col("value") / 4).cast("int")
@@ -32,6 +32,7 @@ def scans_from_events(events: DataFrame) -> DataFrame:
         F.when(F.col("user_id") % 7 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")))
          .alias("user_email"),
+        *extra,
     )
 
 
@@ -62,23 +63,23 @@ def acks_from_scans(bronze_scans: DataFrame) -> DataFrame:
             .select("event_id", "event_ts", "item_id"))
 
 
-def rescans(bronze_scans: DataFrame) -> DataFrame:
+def rescans(bronze_scans: DataFrame, *extra: str) -> DataFrame:
     """Bridge R: rows with ``event_id % 4 = 0`` repeated at offsets 0, 2, 4 and 7 seconds."""
     rep = (bronze_scans.filter(F.col("event_id").cast("bigint") % 4 == 0)
            .withColumn("off", F.explode(F.array(*[F.lit(x) for x in (0, 2, 4, 7)]))))
     rep = rep.select(
         F.concat(F.col("event_id"), F.lit("#"), F.col("off").cast("string")).alias("event_id"),
         (F.col("event_ts") + F.make_dt_interval(secs=F.col("off"))).alias("event_ts"),
-        "event_type", "station_id", "barcode_raw", "item_id", "qty", "user_email")
+        "event_type", "station_id", "barcode_raw", "item_id", "qty", "user_email", *extra)
     rest = bronze_scans.filter(F.col("event_id").cast("bigint") % 4 != 0)
     return rest.unionByName(rep)
 
 
-def raw_scans_from_scans(scans: DataFrame) -> DataFrame:
+def raw_scans_from_scans(scans: DataFrame, *extra: str) -> DataFrame:
     """The ingest input shape (scan id, time, kind, station, raw text, user)."""
     return scans.select(
         F.col("event_id").alias("scan_id"), "event_ts",
-        F.col("event_type").alias("kind"), "station_id", "barcode_raw", "user_email")
+        F.col("event_type").alias("kind"), "station_id", "barcode_raw", "user_email", *extra)
 
 
 def bridge_e(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockledger.config import DEFAULT, Params
 from stockledger.operators.latest import latest_signals, status_rank
 from stockledger.operators.ledger import all_inventory
-from stockledger.operators.ordered import ordered_scan, time_bucket
+from stockledger.operators.ordered import micros, ordered_scan, with_cells
 
 
 def materialize(df: DataFrame, target: str, name: str, quality: str,
@@ -42,7 +43,7 @@ def register_views(spark: SparkSession, scans: DataFrame, signals: DataFrame) ->
     latest_signals(signals).createOrReplaceTempView("signals_current")
 
 
-def migrate_signals_v1_to_v2(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def migrate_signals_v1_to_v2(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Version 1 -> 2 of the signal log; a no-op on a version-2 frame.
 
     ``current_qty`` becomes ``triggered_at_qty`` and ``id`` is added as the
@@ -56,8 +57,8 @@ def migrate_signals_v1_to_v2(df: DataFrame, bucket_seconds: int = 3600) -> DataF
         out = out.withColumnRenamed("current_qty", "triggered_at_qty")
     if "id" not in out.columns:
         out = out.withColumn("__rk", status_rank())
-        out = ordered_scan(out, ["signal_id"], ["created_ts", "__rk"], sums={"id": F.lit(1).cast("bigint")},
-                           bucket=time_bucket("created_ts", bucket_seconds)).drop("__rk")
+        cells = with_cells(out, ["signal_id"], micros("created_ts"), params.scan_cell_rows)
+        out = ordered_scan(cells, ["signal_id"], ["created_ts", "__rk"], sums={"id": F.lit(1).cast("bigint")})
     return out.select("id", "signal_id", "created_ts", "item_id", "triggered_at_qty", "reorder_point",
                       "reorder_qty", "trigger_event_id", "status")
 

@@ -55,8 +55,31 @@ def _kept(df):
 def test_debounce_rule(spark):
     df = scans(spark, [("a", 0, "INTAKE", "X", 1), ("b", 2, "INTAKE", "X", 1), ("c", 4, "INTAKE", "X", 1),
                        ("d", 7, "INTAKE", "X", 1), ("e", 0, "INTAKE", "Y", 1), ("f", 3, "INTAKE", "Y", 1)])
-    for m in (2000, 1):  # fold path and pointer-doubling path
-        assert _kept(debounce.debounce(df, 3.0, params=Params(debounce_fold_max=m))) == ["a", "c", "d", "e", "f"]
+    for m in (1 << 20, 1):  # whole keys and split keys
+        assert _kept(debounce.debounce(df, 3.0, params=Params(scan_cell_rows=m))) == ["a", "c", "d", "e", "f"]
+
+
+def test_debounce_one_plan_for_any_session(spark):
+    """A session of 10^5 scans and lone scans: the same plan, one exchange, exact flags."""
+    n = 100_000
+    long = spark.range(n).selectExpr("cast(id AS string) AS event_id", "'L' AS barcode_raw",
+                                     "timestampadd(MILLISECOND, cast(id AS int), timestamp_ntz'2024-01-01') AS event_ts")
+    lone = spark.range(100).selectExpr("concat('s', id) AS event_id", "concat('S', id) AS barcode_raw", "timestamp_ntz'2024-01-01' AS event_ts")
+    plans = []
+    for df in (lone, long.unionByName(lone)):
+        out = debounce.debounce(df, 3.0)
+        plans.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        kept = out.where("barcode_raw = 'L'").count()
+    assert plans == [1, 1] and kept == n // 3000 + 1
+    split = debounce.debounce(long, 3.0, params=Params(scan_cell_rows=9000))
+    assert split.count() == n // 3000 + 1
+
+
+def test_debounce_keeps_scans_without_time_and_null_codes(spark):
+    df = spark.createDataFrame([("a", None, None), ("b", "C", None), ("c", None, at(0)), ("d", None, at(1)), ("e", "C", at(1)), ("f", "C", at(2))],
+                               "event_id string, barcode_raw string, event_ts timestamp_ntz")
+    for m in (1 << 20, 1):
+        assert _kept(debounce.debounce(df, 3.0, params=Params(scan_cell_rows=m))) == ["a", "b", "c", "e"]
 
 
 def test_debounce_across_stations_and_adjacent(spark):
@@ -77,13 +100,13 @@ def test_ingest_reasons(spark):
     assert {r.scan_id: r.reason for r in rej.collect()} == {"s1": "bad_format", "s2": "duplicate"}
 
 
-def _life(spark, rows, acks=None, bucketed=True):
+def _life(spark, rows, acks=None, params=Params()):
     df = scans(spark, rows)
     ak = None
     if acks:
         ak = spark.createDataFrame([(e, at(s), i) for e, s, i in acks],
                                    "event_id string, event_ts timestamp_ntz, item_id string")
-    out = lifecycle.signal_lifecycle(df, ak, bucketed=bucketed).orderBy("created_ts", "status").collect()
+    out = lifecycle.signal_lifecycle(df, ak, params).orderBy("created_ts", "status").collect()
     return [(r.status, r.triggered_at_qty) for r in out]
 
 

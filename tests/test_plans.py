@@ -5,8 +5,8 @@ import tempfile
 import pytest
 
 import __spark_entry__ as E
-from stockledger.operators import latest, ledger
-from stockledger.plans import medallion as M
+from stockledger.operators import debounce, latest, ledger, lifecycle
+from stockledger.plans import medallion as M, registry
 from stockledger.sources import bridge, tables
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +41,7 @@ def test_latest_state_aggregates_before_shuffle(spark):
     assert "partial_max_by" in p
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.queries() if not k.startswith("stream_")
+@pytest.mark.parametrize("name", sorted(k for k in registry.queries() if not k.startswith("stream_")
                                         and k not in ("materialize", "append_scans", "append_signals")))
 def test_no_pair_producing_join(spark, name):
     df = E.queries()[name](spark, SF)
@@ -50,6 +50,18 @@ def test_no_pair_producing_join(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def _exchanges(p):
+    return [x for x in p.split("== Initial Plan ==")[0].split("\n") if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x]
+
+
+def test_ordered_operators_exchange_the_ledger_once(spark):
+    """Balance, previous label and open row of the replay share one exchange; nothing is persisted."""
+    log = bridge.bridge_l(spark, SF)
+    for out in (ledger.running_on_hand(log), lifecycle.signal_lifecycle(log), debounce.debounce(log, 3.0)):
+        p = _plan(out)
+        assert len(_exchanges(p)) == 1 and "InMemoryTableScan" not in p, p
+
+
 def test_refresh_partitions_silver_by_date(spark):
     from pyspark.sql import functions as F
     from stockledger.session import scratch_path

@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 from hypothesis import example, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from stockledger.config import Params
 from stockledger.operators import debounce, lifecycle
 from stockledger.operators.ledger import running_on_hand
@@ -51,10 +54,8 @@ events = st.lists(st.tuples(st.integers(0, 40), st.sampled_from(["INTAKE", "CONS
 def test_debounce_equals_simulator(spark, evs, w):
     df = _frame(spark, evs)
     exp = sim_debounce(evs, w)
-    for m in (2000, 2):
-        got = {r.event_id for r in debounce.debounce(df, float(w), params=Params(debounce_fold_max=m,
-                                                                                  scan_bucket_seconds=10))
-               .select("event_id").collect()}
+    for m in (1 << 20, 3):      # whole keys, and keys split into cells of about three scans
+        got = {r.event_id for r in debounce.debounce(df, float(w), params=Params(scan_cell_rows=m)).select("event_id").collect()}
         assert got == exp
 
 
@@ -62,7 +63,7 @@ def test_debounce_equals_simulator(spark, evs, w):
 @given(events)
 def test_lifecycle_equals_simulator(spark, evs):
     df = _frame(spark, evs)
-    p = Params(scan_bucket_seconds=7)
+    p = Params(scan_cell_rows=4)
     got = sorted((r.status, r.item_id, r.triggered_at_qty, r.trigger_event_id)
                  for r in lifecycle.signal_lifecycle(df, None, p).collect())
     assert got == sim_lifecycle(evs)
@@ -70,20 +71,42 @@ def test_lifecycle_equals_simulator(spark, evs):
 
 @settings(max_examples=5, deadline=None)
 @given(events)
-def test_bucketed_running_equals_plain(spark, evs):
-    df = _frame(spark, evs)
-    a = {r.event_id: r.on_hand_qty for r in running_on_hand(df, Params(scan_bucket_seconds=5)).collect()}
-    b = {r.event_id: r.on_hand_qty for r in running_on_hand(df, bucketed=False).collect()}
-    assert a == b
+def test_split_running_equals_whole(spark, evs):
+    df = _frame(spark, evs + evs[:3]).withColumn("event_ts", F.when(~F.col("event_id").endswith("3"), F.col("event_ts")))
+    a = {r.event_id: r.on_hand_qty for r in running_on_hand(df, Params(scan_cell_rows=3)).collect()}
+    b = {r.event_id: r.on_hand_qty for r in running_on_hand(df).collect()}
+    assert a == b and len(a) == len(evs) + len(evs[:3])      # scans without a time are kept, first in order
+
+
+def _walk(t, last, w):
+    """Last kept time after the scans at ``t``, starting from ``last`` (None: nothing kept yet)."""
+    for x in t:
+        if last is None or x - last >= w:
+            last = x
+    return last
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=30), st.integers(1, 25))
+def test_cell_effect_equals_the_rule(times, w):
+    t = np.array(sorted(times), dtype=np.int64)
+    until, gives, first = debounce.effect(t, debounce.session_starts(t, None, w), w)
+    assert first == _walk(t, None, w)
+    for last in range(int(t[0]) - w + 1, int(t[0]) + 1):      # starting states whose next scan goes on the session
+        if not until:
+            got = gives[0]
+        else:
+            i = int(np.searchsorted(until, last + w))
+            got = gives[i] if i < len(gives) else last
+        assert got == _walk(t, last, w)
 
 
 @settings(max_examples=6, deadline=None)
 @given(events, st.integers(0, 40))
 def test_incremental_replay_equals_full(spark, evs, cut_s):
-    from pyspark.sql import functions as F
     df = _frame(spark, evs)
     cut = T0 + dt.timedelta(seconds=cut_s)
-    p = Params(scan_bucket_seconds=7)
+    p = Params(scan_cell_rows=4)
     full = sorted(tuple(r) for r in lifecycle.signal_lifecycle(df, None, p).collect())
     before, after = df.filter(F.col("event_ts") < F.lit(cut)), df.filter(F.col("event_ts") >= F.lit(cut))
     first = lifecycle.signal_lifecycle(before, None, p)
@@ -114,7 +137,6 @@ def test_debounce_adjacent_equals_simulator(spark, evs, w):
     rows = [(f"e{i:04d}", T0 + dt.timedelta(seconds=t), "INTAKE", stn, code, "X", 1, None)
             for i, (t, stn, code) in enumerate(evs)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for m in (2000, 2):
-        got = {r.event_id for r in debounce.debounce_adjacent(
-            df, w * 1000, params=Params(debounce_fold_max=m, scan_bucket_seconds=10)).select("event_id").collect()}
+    for m in (1 << 20, 3):
+        got = {r.event_id for r in debounce.debounce_adjacent(df, w * 1000, params=Params(scan_cell_rows=m)).select("event_id").collect()}
         assert got == sim_adjacent(evs, w)
