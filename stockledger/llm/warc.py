@@ -65,11 +65,12 @@ def record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def records_of(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(value): three records for every row of (id, url, payload)."""
-    keyed = pages.withColumn("digest", F.sha1("payload"))
-    again = roles(pages, min_bytes).select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "response")
-    copy = F.row_number().over(Window.partitionBy("id", "digest").orderBy("url"))
-    rows = (keyed.withColumn("copy", copy)
-            .join(again, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left"))
+    # one text key for page and payload: the numbering and the join share the payloads' only exchange
+    key = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("digest"))
+    keyed = pages.withColumn("digest", F.sha1("payload")).withColumn("key", key)
+    again = roles(pages, min_bytes).select(key.alias("key"), "response")
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("url"))
+    rows = keyed.withColumn("copy", copy).join(again, "key", "left")
     revisit, clean = F.col("response").isNotNull(), F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     own = urn(F.lit("capture"), F.col("id"), F.col("digest"), F.col("copy"))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", clean)]
