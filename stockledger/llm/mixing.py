@@ -37,7 +37,7 @@ from stockledger.llm.common import SPACE_WORD, fresh, read, stored
 WEIGHTS = (5, 2, 1)          # fixed by the contract, repeating over the ordered sources
 MAX_REPEAT = 3
 TOLERANCE = 1e-9
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 256
 
 
 def sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
