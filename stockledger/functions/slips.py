@@ -1,72 +1,94 @@
 """Packing-slip answers (text of the external reading service) -> validated lines.
 
-H7 parse_slip_responses, H8 slip_lines, B17 valid_slip_lines, D12 slip_totals.
-All built-in expressions: fence stripping by regex, ``from_json``, ``forall``.
+H7 parse_slip_responses, H8 slip_lines, B17 valid_slip_lines, D12 slip_totals, A7 load_slip_files.
+All built-in expressions; each answer is parsed once, into a variant whose
+fields are read with their JSON types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockledger.schemas import SLIP_JSON
-
 # fixed allowed confidence values and their default
 CONFIDENCE_VALUES = ("high", "medium", "low")
 DEFAULT_CONFIDENCE = "medium"
+# fixed: white space the submission form strips from item ids
+FORM_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+HEADER = ("vendor", "po_number", "ship_date", "notes")
+LINES = "array<struct<item_id:string,qty:int,description:string,confidence:string>>"
 
 
-def _unfence(text):
-    """Text between ```json and the next ```, else between the first two ```, else all of it."""
-    after_json = F.substring_index(F.substring_index(text, "```json", -1), "```", 1)
-    after_any = F.substring_index(F.substring_index(text, "```", 2), "```", -1)
-    inner = (F.when(F.instr(text, "```json") > 0, after_json)
-             .when(F.instr(text, "```") > 0, after_any)
+def _unfence(text: Column) -> Column:
+    """Text after the first ```json up to the next ```, else after the first ```, else all of it."""
+    inner = (F.when(F.contains(text, F.lit("```json")), F.regexp_extract(text, r"(?s)```json(.*?)(?:```|\z)", 1))
+             .when(F.contains(text, F.lit("```")), F.regexp_extract(text, r"(?s)```(.*?)(?:```|\z)", 1))
              .otherwise(text))
-    # strip all white space (trim() removes blanks only)
-    return F.regexp_replace(inner, r"^\s+|\s+$", "")
+    return F.regexp_replace(inner, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def _field(v: Column, name: str) -> Column:
+    return F.variant_get(v, f"$.{name}", "variant")
+
+
+def _type(v: Column) -> Column:
+    """JSON type of a variant: OBJECT<...>, ARRAY<...>, STRING, BIGINT, ..., VOID for null; '' when absent."""
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def _text(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "string")
+
+
+def _whole(v: Column) -> Column:
+    """A whole number given as number, numeric text or truth value; NULL otherwise or beyond int."""
+    kind, s = _type(_field(v, "qty")), F.regexp_replace(_text(v, "qty"), "_", "")
+    digits = _text(v, "qty").rlike(r"\A\s*[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?\s*\z")
+    return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$.qty", "boolean").cast("int"))
+            .when((kind != "VOID") & digits, F.regexp_replace(F.trim(s), r"\.0*\z", "").try_cast("int")))
 
 
 def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame:
-    """H7: add ``slip`` (header + validated items) and ``parse_note``.
+    """H7: add ``slip`` (header + validated items).
 
-    A line is valid when item_id is present, qty is a whole number >= 1 (numeric
-    text accepted) and confidence is one of three values (missing -> medium).
-    Any invalid line, or unreadable JSON, empties the whole slip and records a note.
+    The answer must be one JSON object, with nothing after it.  ``items`` may be
+    absent, else it is an array of objects: item_id a text, qty a whole number
+    >= 1 (numeric text accepted), description a text or null, confidence one of
+    three texts (absent -> medium).  The header fields are texts or null.  Any
+    other shape empties the whole slip and records a note.
     """
-    # Each stage is its own column: the struct fields below read them instead
-    # of re-running JSON validation and parsing once per field.
-    staged = df.withColumn("__b", _unfence(F.col(text_col)))
-    # from_json in PERMISSIVE mode yields a row of NULLs for bad text, so the
-    # text itself is checked: it must be one JSON object
+    body = _unfence(F.col(text_col))
+    # a parser stops after the first value; the digest behind it is only reached
+    # when the answer is that one value
+    staged = df.withColumn("__b", body).withColumn("__m", F.md5(F.col("__b").cast("binary")))
+    staged = staged.withColumn("__v", F.try_parse_json(F.concat(F.lit("["), "__b", F.lit(',"'), "__m", F.lit('"]'))))
+    one = (F.try_variant_get("__v", "$[1]", "string") == F.col("__m")) & F.variant_get("__v", "$[2]", "variant").isNull()
+    staged = staged.withColumn("__o", F.variant_get("__v", "$[0]", "variant"))
+    obj = F.col("__o")
+    listed = _type(_field(obj, "items"))
+    lines = F.transform(F.try_variant_get(obj, "$.items", "array<variant>"), lambda x: F.struct(
+        _text(x, "item_id").alias("item_id"), _whole(x).alias("qty"), _text(x, "description").alias("description"),
+        F.when(_type(_field(x, "confidence")) == "", F.lit(DEFAULT_CONFIDENCE)).otherwise(_text(x, "confidence")).alias("confidence"),
+        (F.startswith(_type(x), F.lit("OBJECT")) & (_type(_field(x, "item_id")) == "STRING")
+         & _type(_field(x, "description")).isin("", "VOID", "STRING") & _type(_field(x, "confidence")).isin("", "STRING")).alias("typed")))
     staged = staged.withColumns({
-        "__readable": F.startswith(F.col("__b"), F.lit("{")) & F.try_parse_json(F.col("__b")).isNotNull(),
-        "__p": F.from_json(F.col("__b"), SLIP_JSON, {"mode": "PERMISSIVE"}),
-    })
-    items = F.coalesce(F.col("__p.items"), F.array())
-    norm = F.transform(items, lambda x: F.struct(
-        x["item_id"].alias("item_id"),
-        F.when(x["qty"].rlike(r"^\s*-?[0-9]+(\.0+)?\s*$"), x["qty"].try_cast("double").try_cast("int"))
-        .alias("qty"),
-        x["description"].alias("description"),
-        F.coalesce(x["confidence"], F.lit(DEFAULT_CONFIDENCE)).alias("confidence")))
-    valid_line = lambda x: (x["item_id"].isNotNull() & x["qty"].isNotNull() & (x["qty"] >= 1)
-                            & x["confidence"].isin(*CONFIDENCE_VALUES))
-    staged = staged.withColumn("__items", norm)
-    staged = staged.withColumn("__lines_ok", F.forall("__items", valid_line))
-    staged = staged.withColumn("__ok", F.col("__readable") & F.col("__lines_ok"))
+        "__readable": F.coalesce(one & F.startswith(_type(obj), F.lit("OBJECT")), F.lit(False)),
+        "__lines": F.coalesce(lines, F.array().cast(LINES[:-2] + ",typed:boolean>>")),
+        "__array": (listed == "") | F.startswith(listed, F.lit("ARRAY"))})
+    valid = F.forall("__lines", lambda x: F.coalesce(x["typed"] & (x["qty"] >= 1) & x["confidence"].isin(*CONFIDENCE_VALUES), F.lit(False)))
+    header = F.lit(True)
+    for name in HEADER:
+        header = header & _type(_field(obj, name)).isin("", "VOID", "STRING")
+    staged = staged.withColumns({"__lines_ok": F.col("__array") & valid, "__header_ok": header})
+    ok = F.col("__readable") & F.col("__lines_ok") & F.col("__header_ok")
     note = (F.when(~F.col("__readable"), F.lit("Failed to parse response: not valid JSON"))
             .when(~F.col("__lines_ok"), F.lit("Failed to parse response: invalid line item"))
-            .otherwise(F.col("__p.notes")))
-    ok = F.col("__ok")
-    slip = F.struct(
-        F.when(ok, F.col("__items")).otherwise(F.array().cast(
-            "array<struct<item_id:string,qty:int,description:string,confidence:string>>")).alias("items"),
-        F.when(ok, F.col("__p.vendor")).alias("vendor"),
-        F.when(ok, F.col("__p.po_number")).alias("po_number"),
-        F.when(ok, F.col("__p.ship_date")).alias("ship_date"),
-        note.alias("notes"))
-    return staged.withColumn("slip", slip).drop("__b", "__readable", "__p", "__items", "__lines_ok", "__ok")
+            .when(~F.col("__header_ok"), F.lit("Failed to parse response: invalid header"))
+            .otherwise(_text(obj, "notes")))
+    items = F.transform("__lines", lambda x: F.struct(*[x[c].alias(c) for c in ("item_id", "qty", "description", "confidence")]))
+    slip = F.struct(F.when(ok, items).otherwise(F.array().cast(LINES)).alias("items"),
+                    *[F.when(ok, _text(obj, c)).alias(c) for c in HEADER[:3]], note.alias("notes"))
+    return staged.withColumn("slip", slip).select(*df.columns, "slip")
 
 
 def slip_lines(parsed: DataFrame, id_col: str = "slip_id") -> DataFrame:
@@ -77,9 +99,9 @@ def slip_lines(parsed: DataFrame, id_col: str = "slip_id") -> DataFrame:
 
 
 def valid_slip_lines(lines: DataFrame) -> DataFrame:
-    """Lines kept at submission -- non-blank item id and qty > 0."""
-    return lines.filter((F.length(F.trim(F.coalesce(F.col("item_id"), F.lit("")))) > 0)
-                        & (F.coalesce(F.col("qty"), F.lit(0)) > 0))
+    """Lines kept at submission -- an item id that is not all white space, and qty > 0."""
+    blank = F.coalesce(F.col("item_id"), F.lit("")).rlike(r"\A" + FORM_SPACE + r"*\z")
+    return lines.filter(~blank & (F.coalesce(F.col("qty"), F.lit(0)) > 0))
 
 
 def slip_totals(lines: DataFrame, id_col: str = "slip_id") -> DataFrame:
@@ -87,19 +109,23 @@ def slip_totals(lines: DataFrame, id_col: str = "slip_id") -> DataFrame:
     return lines.groupBy(id_col).agg(F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("units"))
 
 
-def load_slip_files(spark, path: str, max_bytes: int = 20 * 1024 * 1024) -> DataFrame:
-    """Slip files (images and PDFs up to 20 MB) as a table with a media type.
+# fixed media types by file extension; every other image is taken as JPEG
+MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif",
+               "pdf": "application/pdf"}
+IMAGE_EXTENSIONS = ("bmp", "tif", "tiff", "heic", "heif", "avif", "jfif", "jpe", "ico", "svg")
+
+
+def load_slip_files(spark, path: str, max_bytes: int = 20 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
+    """(slip files with a media type, rejected files with a reason).
 
-    The listing and reading are distributed (``binaryFile``); the size filter
-    uses the file length column, so oversize files are never read.
+    Listing and reading are distributed (``binaryFile``); the content column is
+    only read for accepted files.  A file that is too large or no slip is a
+    reject (files of no bytes are not listed by Spark).
     """
-    df = (spark.read.format("binaryFile")
-          .option("pathGlobFilter", "*.{jpg,jpeg,png,webp,gif,pdf,JPG,JPEG,PNG,WEBP,GIF,PDF}")
-          .option("recursiveFileLookup", "true").load(path))
-    ext = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1))
-    media = (F.when(ext.isin("jpg", "jpeg"), F.lit("image/jpeg"))
-             .when(ext == "png", F.lit("image/png")).when(ext == "webp", F.lit("image/webp"))
-             .when(ext == "gif", F.lit("image/gif")).when(ext == "pdf", F.lit("application/pdf"))
-             .otherwise(F.lit("image/jpeg")))
-    return df.filter(F.col("length") <= max_bytes).select("path", "length", "modificationTime",
-                                                          media.alias("media_type"), "content")
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    ext = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)\z", 1))
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]), ext)
+    media = F.coalesce(known, F.when(ext.isin(*IMAGE_EXTENSIONS), F.lit("image/jpeg")))
+    reason = F.when(media.isNull(), F.lit("not_an_image_or_pdf")).when(F.col("length") > max_bytes, F.lit("too_large"))
+    return (df.filter(reason.isNull()).select("path", "length", "modificationTime", media.alias("media_type"), "content"),
+            df.filter(reason.isNotNull()).select("path", "length", "modificationTime", reason.alias("reason")))

@@ -12,15 +12,33 @@ from pyspark.sql.window import Window
 
 from stockledger.config import DEFAULT, Params
 from stockledger.functions.columns import seconds_between, stock_status
-from stockledger.operators.latest import latest_signals
+from stockledger.operators.latest import latest_signals, signal_order
 
 
-def as_of_col(scans: DataFrame, as_of: str | None = None) -> Column:
+def as_of_col(scans: DataFrame, as_of: str | Column | None = None) -> Column:
     if as_of is not None:
-        return F.lit(as_of).cast("timestamp_ntz")
+        return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz")
     return scans.agg(F.max("event_ts")).scalar()
 
 
+def newest_event(stored: DataFrame) -> Column:
+    """The newest event time of a log stored by ``event_date``: only its last folder is read."""
+    last = stored.agg(F.max("event_date")).scalar()
+    return stored.filter(F.col("event_date") == last).agg(F.max("event_ts")).scalar()
+
+
+def signal_figures(signals: DataFrame, day: Column | None = None) -> DataFrame:
+    """One row over one read of the log: rows, signals, those open now and, with ``day``, rows of each status that day."""
+    on = F.lit(False) if day is None else F.to_date("created_ts") == day
+    names = {"OPEN": "signals_opened", "ACKNOWLEDGED": "signals_acknowledged", "FULFILLED": "signals_fulfilled"}
+    each = signals.groupBy("signal_id").agg(
+        F.max_by("status", F.struct(*signal_order())).alias("status"), F.count(F.lit(1)).alias("n"),
+        *[F.count_if(on & (F.col("status") == s)).alias(n) for s, n in names.items()])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+    return each.agg(total("n"), F.count("signal_id").alias("signals"), F.count_if(F.col("status") == "OPEN").alias("open_signals"),
+                    *[total(n) for n in names.values()])
+
+
 def _r(c: Column, d: int = 6) -> Column:
     return F.round(c, d)
 
@@ -106,7 +124,7 @@ def oldest_open_signals(gold_open: DataFrame, n: int = 10) -> DataFrame:
 
 # ---- scan analytics --------------------------------------------------------------------------
 
-def consumption_rate(silver: DataFrame, days: int = 7, as_of: str | None = None) -> DataFrame:
+def consumption_rate(silver: DataFrame, days: int = 7, as_of: str | Column | None = None) -> DataFrame:
     """Daily consumption per item over the last ``days`` days; mean over active days."""
     start = F.date_sub(F.to_date(as_of_col(silver, as_of)), days)
     daily = (silver.filter((F.col("event_type") == "CONSUME") & (F.col("event_date") >= start))
@@ -153,7 +171,7 @@ def stations_activity(silver: DataFrame) -> DataFrame:
                                             F.sum("qty").alias("total_qty"))
 
 
-def intake_vs_consume(silver: DataFrame, days: int = 7, as_of: str | None = None) -> DataFrame:
+def intake_vs_consume(silver: DataFrame, days: int = 7, as_of: str | Column | None = None) -> DataFrame:
     """Per day in the window, the two sums and the net."""
     start = F.date_sub(F.to_date(as_of_col(silver, as_of)), days)
     intake = F.sum(F.when(F.col("event_type") == "INTAKE", F.col("qty")).otherwise(0))
@@ -162,9 +180,9 @@ def intake_vs_consume(silver: DataFrame, days: int = 7, as_of: str | None = None
             .agg(intake.alias("intake_qty"), consume.alias("consume_qty"), (intake - consume).alias("net_qty")))
 
 
-def unique_items_on(silver: DataFrame, day: str | None = None) -> DataFrame:
+def unique_items_on(silver: DataFrame, day: str | None = None, as_of: str | Column | None = None) -> DataFrame:
     """Distinct items touched on ``day`` (default: the day before as_of)."""
-    d = F.lit(day).cast("date") if day else F.date_sub(F.to_date(as_of_col(silver)), 1)
+    d = F.lit(day).cast("date") if day else F.date_sub(F.to_date(as_of_col(silver, as_of)), 1)
     return (silver.filter(F.col("event_date") == d)
             .agg(F.count_distinct("item_id").alias("unique_items"), F.count(F.lit(1)).alias("events"))
             .select(d.alias("day"), "unique_items", "events"))
@@ -185,13 +203,13 @@ def turnover_top_items(running: DataFrame, inv: DataFrame, n: int = 10) -> DataF
             .orderBy(F.col("turnover").desc_nulls_last(), F.col("item_id")).limit(n))
 
 
-def daily_summary(silver: DataFrame, signals: DataFrame, day: str | None = None) -> DataFrame:
+def daily_summary(silver: DataFrame, signals: DataFrame, day: str | None = None,
+                  as_of: str | Column | None = None) -> DataFrame:
     """One row for ``day`` (default: as_of's day) -- activity and signal counts.
 
-    Each figure is its own aggregate; they are combined as scalar subqueries,
-    not by a cross join.
+    One aggregate of each log; the signals' row comes in as a scalar subquery.
     """
-    d = F.lit(day).cast("date") if day else F.to_date(as_of_col(silver))
+    d = F.lit(day).cast("date") if day else F.to_date(as_of_col(silver, as_of))
     act = silver.filter(F.col("event_date") == d).agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "INTAKE").alias("intake_events"),
@@ -201,14 +219,10 @@ def daily_summary(silver: DataFrame, signals: DataFrame, day: str | None = None)
         F.coalesce(F.sum(F.when(F.col("event_type") == "CONSUME", F.col("qty"))), F.lit(0)).cast("bigint")
         .alias("units_out"),
         F.count_distinct("item_id").alias("items_touched"))
-    sig_day = signals.filter(F.to_date("created_ts") == d)
-    opened = sig_day.agg(F.count_if(F.col("status") == "OPEN")).scalar()
-    fulfilled = sig_day.agg(F.count_if(F.col("status") == "FULFILLED")).scalar()
-    acked = sig_day.agg(F.count_if(F.col("status") == "ACKNOWLEDGED")).scalar()
-    open_now = latest_signals(signals).agg(F.count_if(F.col("status") == "OPEN")).scalar()
-    return act.select(d.alias("day"), "*", opened.alias("signals_opened"),
-                      acked.alias("signals_acknowledged"), fulfilled.alias("signals_fulfilled"),
-                      open_now.alias("open_signals"))
+    sig = signal_figures(signals, d)
+    row = sig.select(F.struct(*sig.columns).alias("s")).scalar()
+    return act.select(d.alias("day"), "*", row.alias("s")).select(
+        "day", *act.columns, "s.signals_opened", "s.signals_acknowledged", "s.signals_fulfilled", "s.open_signals")
 
 
 def demand_balance(silver: DataFrame, silver_signals: DataFrame) -> DataFrame:
@@ -338,13 +352,11 @@ def top_issues(inv: DataFrame, gold_open: DataFrame, risk: DataFrame, scans: Dat
 
 
 def table_status(scans: DataFrame, signals: DataFrame) -> DataFrame:
-    """Events, signal rows, distinct signals, open signals -- one row (scalar subqueries)."""
-    ev = scans.agg(F.count(F.lit(1)).alias("total_events"))
-    rows = signals.agg(F.count(F.lit(1))).scalar()
-    distinct = signals.agg(F.count_distinct("signal_id")).scalar()
-    open_now = latest_signals(signals).agg(F.count_if(F.col("status") == "OPEN")).scalar()
-    return ev.select("total_events", rows.alias("signal_rows"), distinct.alias("distinct_signals"),
-                     open_now.alias("open_signals"))
+    """Events, signal rows, distinct signals, open signals -- one row, one read of each log."""
+    sig = signal_figures(signals)
+    row = sig.select(F.struct(*sig.columns).alias("s")).scalar()
+    return scans.agg(F.count(F.lit(1)).alias("total_events")).select("total_events", row.alias("s")).select(
+        "total_events", F.col("s.n").alias("signal_rows"), F.col("s.signals").alias("distinct_signals"), "s.open_signals")
 
 
 def dashboard_kpis(inventory: DataFrame, signals: DataFrame, reorder_point: int = 10) -> DataFrame:

@@ -71,10 +71,9 @@ def signals_with_live_stock(signals: DataFrame, scans: DataFrame, status: str |
 def signals_dashboard_overlay(signals_page: DataFrame, inventory_page: DataFrame) -> DataFrame:
     """The dashboard's stock for items on the listed inventory page, else the signal's value.
 
-    The inventory page is a ``limit``-ed listing, so its size is bounded by the
-    page length and it is safe to broadcast.
+    The inventory page may be any listing; Spark broadcasts it when it is small.
     """
-    page = F.broadcast(inventory_page.select("item_id", F.col("on_hand_qty").alias("page_qty")))
+    page = inventory_page.select("item_id", F.col("on_hand_qty").alias("page_qty"))
     j = signals_page.join(page, "item_id", "left")
     return j.select("signal_id", "item_id", "status", "current_qty",
                     F.coalesce(F.col("page_qty"), F.col("current_qty")).alias("display_qty"))

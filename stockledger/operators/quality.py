@@ -66,19 +66,20 @@ def check_violations(scans: DataFrame) -> DataFrame:
         "event_id", F.explode("failed_rules").alias("rule"))
 
 
-def quality_event_log(df: DataFrame, rules: dict[str, str | Column], flow: str = "silver_scan_events") -> DataFrame:
+def quality_event_log(df: DataFrame, rules: dict[str, str | Column], flow: str = "silver_scan_events",
+                      at: Column | None = None) -> DataFrame:
     """One progress row per rule whose ``details`` is a JSON document (the shape of
-    a pipeline's event log)."""
+    a pipeline's event log); ``at`` is the time of the run (default: now)."""
     m = expectation_metrics(df, rules)
-    return m.select(F.lit(flow).alias("flow_name"), F.lit("flow_progress").alias("event_type"),
+    return m.select((F.localtimestamp() if at is None else at).alias("timestamp"), F.lit(flow).alias("flow_name"), F.lit("flow_progress").alias("event_type"),
                     F.to_json(F.struct("expectation_name", "passed_records", "failed_records")).alias("details"))
 
 
 def expectation_log_query(log: DataFrame) -> DataFrame:
-    """H6: JSON paths on the log's details -- rule name and counts of flow-progress rows."""
+    """H6: JSON paths on the log's details -- time, rule name and counts of flow-progress rows."""
     d = F.col("details")
     return (log.filter((F.col("event_type") == "flow_progress")
                        & F.get_json_object(d, "$.expectation_name").isNotNull())
-            .select(F.get_json_object(d, "$.expectation_name").alias("expectation_name"),
+            .select("timestamp", F.get_json_object(d, "$.expectation_name").alias("expectation_name"),
                     F.get_json_object(d, "$.passed_records").cast("bigint").alias("passed_records"),
                     F.get_json_object(d, "$.failed_records").cast("bigint").alias("failed_records")))

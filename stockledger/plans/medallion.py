@@ -88,6 +88,14 @@ QUALITY = {"bronze_scan_events": "bronze", "bronze_replenishment_signals": "bron
            "gold_open_replenishment_signals": "gold", "gold_replenishment_metrics": "gold"}
 
 
+COMMENTS = {"bronze_scan_events": "Scan log as delivered", "bronze_replenishment_signals": "Signal log as delivered",
+            "silver_scan_events": "Scans that pass the quality rules, with day and hour",
+            "silver_replenishment_signals": "Signal rows with a known status, with day and shortfall",
+            "gold_inventory_summary": "Stock and totals per item", "gold_daily_activity": "Activity per day and kind of event",
+            "gold_open_replenishment_signals": "Signals open now, with live stock",
+            "gold_replenishment_metrics": "Signals per status"}
+
+
 def build_layers(bronze_scans: DataFrame, bronze_signals: DataFrame) -> dict[str, DataFrame]:
     """All layers as lazy DataFrames, in dependency order."""
     out = {"bronze_scan_events": bronze_scans, "bronze_replenishment_signals": bronze_signals}
@@ -97,14 +105,17 @@ def build_layers(bronze_scans: DataFrame, bronze_signals: DataFrame) -> dict[str
 
 
 def refresh(spark: SparkSession, bronze_scans: DataFrame, bronze_signals: DataFrame, target: str,
-            params: Params = DEFAULT) -> dict[str, str]:
+            params: Params = DEFAULT, database: str | None = None) -> dict[str, str]:
     """A4: full-refresh write of every layer, in dependency order.
 
+    With ``database`` each layer is also a catalog table over its folder, with
+    a comment and its tier as the table property ``quality``.
+
     Each written layer is read back before its dependants are built, so the
     latest-state ranking and the stock aggregate run once per refresh, and the
     lineage of every later layer starts at a stored table.
     """
-    from stockledger.sources.sinks import materialize
+    from stockledger.sources.sinks import materialize, register_layer
     written: dict[str, str] = {}
     frames = {"bronze_scan_events": bronze_scans, "bronze_replenishment_signals": bronze_signals}
     for name in ["bronze_scan_events", "bronze_replenishment_signals"]:
@@ -114,4 +125,7 @@ def refresh(spark: SparkSession, bronze_scans: DataFrame, bronze_signals: DataFr
         df = fn(*[frames[d] for d in deps])
         written[name] = materialize(df, target, name, QUALITY[name], PARTITION_BY.get(name))
         frames[name] = spark.read.parquet(written[name])
+    if database is not None:
+        for name, path in written.items():
+            register_layer(spark, database, name, path, QUALITY[name], COMMENTS[name])
     return written

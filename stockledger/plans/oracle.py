@@ -236,8 +236,17 @@ ingest AS (
          CASE WHEN NOT d.kept THEN 'duplicate' ELSE {_pe} END AS reason
   FROM raw_scans r JOIN debraw d ON d.rid = r.scan_id)"""
 
+# the same with scans without a time: rejected, or given a time before the debounce
+CTE["raw_untimed"] = """
+raw_untimed AS (
+  SELECT * REPLACE (CASE WHEN md5(scan_id)[1:1] <> '0' THEN event_ts END AS event_ts) FROM raw_scans),
+raw_timed AS (SELECT * FROM raw_untimed WHERE event_ts IS NOT NULL),
+raw_defaulted AS (SELECT * REPLACE (coalesce(event_ts, TIMESTAMP '2024-03-01 00:00:00') AS event_ts) FROM raw_untimed)"""
+CTE["debtimed"] = _debounce("debtimed", "raw_timed", "barcode_raw", "scan_id", W_US)
+CTE["debdefault"] = _debounce("debdefault", "raw_defaulted", "barcode_raw", "scan_id", W_US)
+
 # ---- packing slips (bridge P) ----
-CTE["slip_src"] = """
+CTE["slip_src"] = r"""
 slip_src AS (
   SELECT l_orderkey AS slip_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
          'PART-' || CAST(l_partkey AS VARCHAR) AS item_id, CAST(l_quantity AS INTEGER) AS qty,
@@ -245,28 +254,58 @@ slip_src AS (
          CASE WHEN l_returnflag = 'N' THEN 'high' WHEN l_returnflag = 'A' THEN NULL
               WHEN l_discount = 0.0 THEN 'unsure' ELSE 'low' END AS confidence
   FROM lineitem),
-slip_hdr AS (
-  SELECT o.o_orderkey AS slip_id, 'PO-' || CAST(o.o_orderkey AS VARCHAR) AS po_number,
-         strftime(any_value(o.o_orderdate), '%Y-%m-%d') AS ship_date, count(*) AS n_lines,
-         coalesce(bool_or(s.confidence = 'unsure'), false) AS has_bad
-  FROM orders o JOIN slip_src s ON s.slip_id = o.o_orderkey
-  GROUP BY o.o_orderkey),
-slip_ok AS (SELECT *, (slip_id % 25 <> 7) AND NOT has_bad AS ok FROM slip_hdr),
+slip_json AS (
+  SELECT slip_id, '{"items":[' || string_agg('{"item_id":"' || item_id || '","qty":' || CAST(qty AS VARCHAR) || ',"description":"' || description || '"'
+           || coalesce(',"confidence":"' || confidence || '"', '') || '}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+           l_extendedprice, item_id, qty, description, confidence NULLS FIRST) || '],"po_number":"PO-' || CAST(slip_id AS VARCHAR)
+           || '","ship_date":"' || strftime(any_value(o_orderdate), '%Y-%m-%d') || '"}' AS j
+  FROM slip_src JOIN orders ON o_orderkey = slip_id GROUP BY slip_id),
+slip_text AS (
+  SELECT slip_id, CASE slip_id % 4 WHEN 0 THEN j WHEN 1 THEN '```json' || j || '```' WHEN 2 THEN '```' || j || '```'
+                  ELSE 'Extracted items: ```json' || j || '``` Done.' END AS response FROM slip_json
+  UNION ALL
+  SELECT -slip_id, CASE slip_id % 25 WHEN 7 THEN left(j, length(j) - 2) WHEN 8 THEN j || ' x'
+                   WHEN 9 THEN replace(j, '"item_id":"PART-', '"item_id":"') WHEN 10 THEN replace(j, '"confidence":"high"', '"confidence":null')
+                   WHEN 11 THEN '{"items":null}' WHEN 12 THEN '```json' || j || '``` or ```json{}```'
+                   WHEN 13 THEN '{"vendor":5,' || substring(j, 2) WHEN 14 THEN regexp_replace(j, '"qty":([0-9]+)', '"qty":"+\1"', 'g')
+                   WHEN 15 THEN regexp_replace(j, '"item_id":"[^"]*"', '"item_id":"' || chr(160) || ' "', 'g')
+                   WHEN 16 THEN regexp_replace(j, '"item_id":"PART-([0-9]+)"', '"item_id":\1', 'g') END
+  FROM slip_json WHERE slip_id % 25 BETWEEN 7 AND 16),
+slip_body AS (
+  SELECT slip_id, trim(CASE WHEN contains(response, '```json') THEN split_part(split_part(response, '```json', 2), '```', 1)
+                       WHEN contains(response, '```') THEN split_part(response, '```', 2) ELSE response END, chr(10) || ' ') AS b
+  FROM slip_text),
+slip_doc AS (
+  SELECT slip_id, CASE WHEN json_valid(b) THEN CASE WHEN json_type(b) = 'OBJECT' THEN b END END AS d FROM slip_body),
+slip_item AS (
+  SELECT slip_id, line_no - 1 AS line_no, x ->> '$.item_id' AS item_id, json_type(x, '$.item_id') AS t_item,
+         CASE WHEN json_type(x, '$.qty') IN ('UBIGINT', 'BIGINT') OR (json_type(x, '$.qty') = 'VARCHAR'
+              AND regexp_full_match(x ->> '$.qty', '\s*[+-]?[0-9]+\s*')) THEN TRY_CAST(replace(trim(x ->> '$.qty'), '+', '') AS INTEGER) END AS qty,
+         x ->> '$.description' AS description, json_type(x, '$.description') AS t_desc,
+         CASE WHEN json_type(x, '$.confidence') IS NULL THEN 'medium' WHEN json_type(x, '$.confidence') = 'VARCHAR' THEN x ->> '$.confidence' END AS confidence
+  FROM (SELECT slip_id, unnest(json_extract(d, '$.items[*]')) AS x, generate_subscripts(json_extract(d, '$.items[*]'), 1) AS line_no
+        FROM slip_doc WHERE json_type(d, '$.items') = 'ARRAY')),
+slip_ok AS (
+  SELECT d.slip_id, d.d, d.d IS NOT NULL AS readable, coalesce(i.n, 0) AS n_lines,
+         coalesce(i.ok, true) AND coalesce(json_type(d.d, '$.items') = 'ARRAY', true) AS lines_ok,
+         coalesce(json_type(d.d, '$.vendor'), 'NULL') IN ('NULL', 'VARCHAR') AND coalesce(json_type(d.d, '$.po_number'), 'NULL') IN ('NULL', 'VARCHAR')
+           AND coalesce(json_type(d.d, '$.ship_date'), 'NULL') IN ('NULL', 'VARCHAR') AS header_ok
+  FROM slip_doc d LEFT JOIN (
+    SELECT slip_id, count(*) AS n, bool_and(coalesce(t_item = 'VARCHAR' AND qty >= 1 AND confidence IN ('high', 'medium', 'low')
+           AND coalesce(t_desc, 'NULL') IN ('NULL', 'VARCHAR'), false)) AS ok
+    FROM slip_item GROUP BY slip_id) i USING (slip_id)),
 slip_lines AS (
-  SELECT s.slip_id, CAST(NULL AS VARCHAR) AS vendor, h.po_number, h.ship_date,
-         CAST(row_number() OVER (PARTITION BY s.slip_id ORDER BY s.l_linenumber, s.l_partkey, s.l_suppkey,
-              s.l_quantity, s.l_extendedprice, s.item_id, s.qty, s.description, s.confidence NULLS FIRST) - 1 AS INTEGER)
-           AS line_no,
-         s.item_id, s.qty, s.description, coalesce(s.confidence, 'medium') AS confidence
-  FROM slip_src s JOIN slip_ok h ON h.slip_id = s.slip_id WHERE h.ok)"""
+  SELECT i.slip_id, d ->> '$.vendor' AS vendor, d ->> '$.po_number' AS po_number, d ->> '$.ship_date' AS ship_date,
+         CAST(i.line_no AS INTEGER) AS line_no, i.item_id, i.qty, i.description, i.confidence
+  FROM slip_item i JOIN slip_ok USING (slip_id) WHERE readable AND lines_ok AND header_ok)"""
 
 CTE["bulk"] = """
 bulk_raw AS (
   SELECT CAST(l.slip_id AS VARCHAR) || '-' || CAST(l.line_no AS VARCHAR) AS scan_id, o.o_orderdate AS event_ts,
          'INTAKE' AS kind, 'PACKING_SLIP' AS station_id,
-         'ITEM=' || l.item_id || ';QTY=' || CAST(l.qty AS VARCHAR) AS barcode_raw, CAST(NULL AS VARCHAR) AS user_email
+         'ITEM=' || l.item_id || ';QTY=' || CAST(l.qty AS VARCHAR) AS barcode_raw, 'clerk' || CAST(o.o_custkey % 9 AS VARCHAR) || '@example.com' AS user_email
   FROM slip_lines l JOIN orders o ON o.o_orderkey = l.slip_id
-  WHERE length(trim(coalesce(l.item_id, ''))) > 0 AND coalesce(l.qty, 0) > 0)"""
+  WHERE length(trim(coalesce(l.item_id, ''), chr(9) || chr(10) || chr(13) || ' ' || chr(160))) > 0 AND coalesce(l.qty, 0) > 0)"""
 CTE["debbulk"] = _debounce("debbulk", "bulk_raw", "barcode_raw", "scan_id", W_US)
 _bi, _bq, _be = _parse("b.barcode_raw")
 CTE["bulk_ok"] = f"""
@@ -298,6 +337,7 @@ DEPS = {
     "gold_open": ["latest_silver", "inventory"], "asof": ["silver"], "running": ["silver"],
     "rescans": ["bronze"], "raw_scans": ["rescans"], "deb3": ["rescans"], "deb48": ["rescans"],
     "debadj": ["rescans"], "debraw": ["raw_scans"], "ingest": ["raw_scans", "debraw"],
+    "raw_untimed": ["raw_scans"], "debtimed": ["raw_untimed"], "debdefault": ["raw_untimed"],
     "silver_hot": ["silver_l"], "signals_hot": ["silver_hot"], "rescans_hot": ["rescans"],
     "debhot": ["rescans_hot"],
     "bulk": ["slip_src"], "debbulk": ["bulk"], "bulk_ok": ["debbulk"],
@@ -393,7 +433,8 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'valid_item_id',
                count(*) FILTER (WHERE coalesce(item_id IS NOT NULL AND length(item_id) > 0, false)),
                count(*) FILTER (WHERE NOT coalesce(item_id IS NOT NULL AND length(item_id) > 0, false)) FROM bronze"""
-    q["expectation_log"] = q["expectation_metrics"]
+    q["expectation_log"] = w("bronze") + f"""SELECT (SELECT max(event_ts) FROM bronze) AS timestamp, m.*
+        FROM ({q["expectation_metrics"].removeprefix(w("bronze"))}) m"""
     q["quarantine"] = w("bronze") + f"""SELECT * FROM (
         SELECT {SCAN_COLS}, concat_ws(',',
           CASE WHEN NOT coalesce(event_type IN ('INTAKE', 'CONSUME'), false) THEN 'valid_event_type' END,
@@ -419,7 +460,7 @@ def oracle_sql() -> dict[str, str]:
     q["depleting_items"] = w("inventory") + "SELECT * FROM inventory WHERE total_consumed > total_intake"
     q["balanced_items"] = w("inventory") + "SELECT * FROM inventory WHERE total_consumed = total_intake"
     q["valid_slip_lines"] = w("slip_src") + """SELECT * FROM slip_lines
-        WHERE length(trim(coalesce(item_id, ''))) > 0 AND coalesce(qty, 0) > 0"""
+        WHERE length(trim(coalesce(item_id, ''), chr(9) || chr(10) || chr(13) || ' ' || chr(160))) > 0 AND coalesce(qty, 0) > 0"""
     q["with_actor_name"] = w("bronze") + """SELECT event_id, user_email,
         CASE WHEN coalesce(length(user_email), 0) > 0 THEN split_part(user_email, '@', 1) ELSE 'Unknown' END
         AS actor_name FROM bronze"""
@@ -678,14 +719,31 @@ def oracle_sql() -> dict[str, str]:
         SELECT scan_id, barcode_raw, {_pi} AS parsed_item_id, {_pq} AS parsed_qty, {_pe} AS parse_error
         FROM raw_scans"""
     q["parse_slip_responses"] = w("slip_src") + """
-        SELECT slip_id, CAST(CASE WHEN ok THEN n_lines ELSE 0 END AS INTEGER) AS lines,
-               CASE WHEN ok THEN po_number END AS po_number, CASE WHEN ok THEN ship_date END AS ship_date,
-               CASE WHEN slip_id % 25 = 7 THEN 'Failed to parse response: not valid JSON'
-                    WHEN has_bad THEN 'Failed to parse response: invalid line item' END AS notes
+        SELECT slip_id, CAST(CASE WHEN readable AND lines_ok AND header_ok THEN n_lines ELSE 0 END AS INTEGER) AS lines,
+               CASE WHEN readable AND lines_ok AND header_ok THEN d ->> '$.po_number' END AS po_number,
+               CASE WHEN readable AND lines_ok AND header_ok THEN d ->> '$.ship_date' END AS ship_date,
+               CASE WHEN NOT readable THEN 'Failed to parse response: not valid JSON'
+                    WHEN NOT lines_ok THEN 'Failed to parse response: invalid line item'
+                    WHEN NOT header_ok THEN 'Failed to parse response: invalid header' END AS notes
         FROM slip_ok"""
     q["slip_lines"] = w("slip_src") + "SELECT * FROM slip_lines"
     q["bulk_intake"] = w("bulk_ok") + "SELECT * FROM bulk_ok"
     q["ingest_scans"] = q["append_scans"]
+    for name, deb, src in (("ingest_missing_times", "debtimed", "raw_timed"), ("ingest_default_times", "debdefault", "raw_defaulted")):
+        q[name] = w(deb) + f"""
+        SELECT scan_id, event_ts, CASE WHEN NOT kept THEN 'duplicate' ELSE coalesce({_pe}, 'ledger') END AS outcome
+        FROM {src} r JOIN {deb} d ON d.rid = r.scan_id"""
+    q["ingest_missing_times"] += """
+        UNION ALL SELECT scan_id, event_ts, 'no_time' FROM raw_untimed WHERE event_ts IS NULL"""
+    q["make_barcode"] = w("silver") + "SELECT event_id, 'ITEM=' || item_id || ';QTY=' || CAST(qty AS VARCHAR) AS barcode FROM silver"
+    q["migrate_scans_add_user_email"] = w("bronze") + "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS user_email) FROM bronze"
+    counted = [("bronze_scan_events", "bronze", "bronze"), ("bronze_replenishment_signals", "bronze", "signals"),
+               ("silver_scan_events", "silver", "silver"), ("silver_replenishment_signals", "silver", "silver_signals"),
+               ("gold_inventory_summary", "gold", "inventory"), ("gold_daily_activity", "gold", "daily"),
+               ("gold_open_replenishment_signals", "gold", "gold_open"),
+               ("gold_replenishment_metrics", "gold", "(SELECT DISTINCT status FROM latest_silver)")]
+    q["materialize_layers"] = w("bronze", "silver_signals", "inventory", "daily", "gold_open") + " UNION ALL ".join(
+        f"SELECT '{n}' AS layer, '{t}' AS quality, true AS commented, count(*) AS rows FROM {src}" for n, t, src in counted)
     q["ingest_rejects"] = w("ingest") + \
         "SELECT scan_id, event_ts, kind, station_id, barcode_raw, reason FROM ingest WHERE reason IS NOT NULL"
     # audits

@@ -4,7 +4,7 @@ inventory, run over whole test tables through the bridges (FIXTURES.md)."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from stockledger.operators import analytics as A
 from stockledger.operators import audits, debounce, ingest, latest, ledger, lifecycle, quality
 from stockledger.plans import medallion as M
 from stockledger.session import apply_conf, scratch_path
-from stockledger.sources import bridge, sinks, slipdata
+from stockledger.sources import bridge, sinks, slipdata, tables
 
 
 class Ctx:
@@ -36,6 +36,17 @@ class Ctx:
     def silver(self) -> DataFrame:
         return M.silver_scan_events(self.bronze)
 
+    @cached_property
+    def silver_stored(self) -> DataFrame:
+        """The silver scan log as the refresh stores it, in folders by event date."""
+        path = sinks.materialize(self.silver, scratch_path(self.spark, "silver"), "silver_scan_events", "silver",
+                                 M.PARTITION_BY["silver_scan_events"])
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def as_of(self):
+        return A.newest_event(self.silver_stored)
+
     @cached_property
     def acks(self) -> DataFrame:
         return bridge.acks_from_scans(self.bronze)
@@ -153,6 +164,38 @@ def _a4(c: Ctx) -> DataFrame:
     return c.spark.read.parquet(written["gold_inventory_summary"])
 
 
+def _layers(c: Ctx) -> DataFrame:
+    """A4: every written layer read back as a catalog table: its tier, whether it has a comment, its rows."""
+    target = scratch_path(c.spark, "layers")
+    database = "stockledger_" + target.rsplit("-", 1)[-1]
+    c.spark.sql(f"CREATE DATABASE {database}")
+    M.refresh(c.spark, c.bronze, c.signals, target, c.p, database)
+    parts = []
+    for name in M.QUALITY:
+        quality = c.spark.sql(f"SHOW TBLPROPERTIES {database}.{name} ('quality')").first()["value"]
+        comment = c.spark.catalog.getTable(f"{database}.{name}").description
+        parts.append(c.spark.table(f"{database}.{name}").agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("layer"), F.lit(quality).alias("quality"), F.lit(bool(comment)).alias("commented"), "rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _written(c: Ctx, df: DataFrame, name: str) -> str:
+    path = scratch_path(c.spark, name)
+    df.write.parquet(path)
+    return path
+
+
+def _without_times(c: Ctx) -> DataFrame:
+    """Ingest input in which some scans have no time."""
+    untimed = F.startswith(F.md5(F.col("scan_id").cast("binary")), F.lit("0"))
+    return c.raw_scans.withColumn("event_ts", F.when(~untimed, F.col("event_ts")))
+
+
+def _outcomes(ledger_rows: DataFrame, rejects: DataFrame) -> DataFrame:
+    return ledger_rows.select(F.col("event_id").alias("scan_id"), "event_ts", F.lit("ledger").alias("outcome")).unionByName(
+        rejects.select("scan_id", "event_ts", F.col("reason").alias("outcome")))
+
+
 def _snapshot_tail(c: Ctx) -> DataFrame:
     """D1 stored as of the ledger's midpoint, then brought current from the later events only."""
     cut = _half(c)
@@ -215,7 +258,9 @@ def _ingest(c: Ctx, part: int) -> DataFrame:
 def _bulk(c: Ctx) -> DataFrame:
     lines = slips.valid_slip_lines(c.slip_lines).join(
         c.table("orders").select(F.col("o_orderkey").alias("slip_id"),
-                                 F.col("o_orderdate").alias("received_ts")), "slip_id")
+                                 F.col("o_orderdate").alias("received_ts"),
+                                 F.concat(F.lit("clerk"), (F.col("o_custkey") % 9).cast("string"), F.lit("@example.com"))
+                                 .alias("user_email")), "slip_id")
     return ingest.bulk_intake(lines, c.p)[0]
 
 
@@ -224,21 +269,23 @@ HOT_CELL_ROWS = 2000
 
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     # A: sources, sinks, schema
-    "bronze_scan_events": lambda c: c.bronze,
-    "bronze_replenishment_signals": lambda c: c.signals,
+    "bronze_scan_events": lambda c: tables.bronze_scan_events(c.spark, _written(c, c.bronze, "scan-log")),
+    "bronze_replenishment_signals": lambda c: tables.bronze_replenishment_signals(c.spark, _written(c, c.signals, "signal-log")),
     "materialize": _a4,
+    "materialize_layers": _layers,
     "append_scans": _a5,
     "append_signals": _a6,
     "inventory_current": _a8,
     "signals_current": _a8s,
     "migrate_signals_v1_to_v2": _a9,
+    "migrate_scans_add_user_email": lambda c: sinks.migrate_scans_add_user_email(c.bronze.drop("user_email")),
     # B: projections, filters, quality
     "silver_scan_events": lambda c: c.silver,
     "silver_replenishment_signals": lambda c: c.silver_signals,
     "expect_or_drop": lambda c: quality.expect_or_drop(c.bronze, quality.SCAN_RULES),
     "expectation_metrics": lambda c: quality.expectation_metrics(c.bronze, quality.SCAN_RULES),
-    "expectation_log": lambda c: quality.expectation_log_query(quality.quality_event_log(c.bronze,
-                                                                                        quality.SCAN_RULES)),
+    "expectation_log": lambda c: quality.expectation_log_query(quality.quality_event_log(
+        c.bronze, quality.SCAN_RULES, at=A.as_of_col(c.bronze))),
     "quarantine": lambda c: quality.quarantine(c.bronze, quality.SCAN_RULES)
     .withColumn("failed_rules", F.array_join("failed_rules", ",")),
     "with_below_reorder_point": lambda c: columns.with_below_reorder_point(ledger.all_inventory(c.bronze, None)),
@@ -281,7 +328,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "gold_replenishment_metrics": lambda c: M.gold_replenishment_metrics(c.silver_signals)
     .withColumn("avg_qty_below_reorder", F.round("avg_qty_below_reorder", 6)),
     "replenishment_sla": lambda c: A.replenishment_sla(c.silver_signals),
-    "consumption_rate": lambda c: A.consumption_rate(c.silver, 7),
+    "consumption_rate": lambda c: A.consumption_rate(c.silver_stored, 7, c.as_of),
     "peak_hours": lambda c: A.peak_hours(c.silver),
     "frequent_low_items": lambda c: A.frequent_low_items(c.silver_signals),
     "open_signal_alert": lambda c: latest.open_signal_alert(c.signals, 0),
@@ -295,11 +342,11 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "total_units": lambda c: A.total_units(c.inventory),
     "mean_time_to_acknowledge": lambda c: A.mean_time_to_acknowledge(c.silver_signals),
     "stations_activity": lambda c: A.stations_activity(c.silver),
-    "intake_vs_consume": lambda c: A.intake_vs_consume(c.silver, 7),
-    "unique_items_on": lambda c: A.unique_items_on(c.silver),
+    "intake_vs_consume": lambda c: A.intake_vs_consume(c.silver_stored, 7, c.as_of),
+    "unique_items_on": lambda c: A.unique_items_on(c.silver_stored, as_of=c.as_of),
     "turnover_top_items": lambda c: A.turnover_top_items(c.running, c.inventory, 10),
     "signal_frequency": lambda c: A.signal_frequency(c.silver_signals),
-    "daily_summary": lambda c: A.daily_summary(c.silver, c.signals),
+    "daily_summary": lambda c: A.daily_summary(c.silver_stored, c.signals, as_of=c.as_of),
     "demand_balance": lambda c: A.demand_balance(c.silver, c.silver_signals),
     # E: windows and ordered computations
     "latest_by": lambda c: _signal_cols(latest.latest_signals(c.signals)),
@@ -353,6 +400,10 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "bulk_intake": _bulk,
     "ingest_scans": lambda c: _ingest(c, 0),
     "ingest_rejects": lambda c: _ingest(c, 1),
+    "ingest_missing_times": lambda c: _outcomes(*ingest.ingest_scans(_without_times(c), c.p)),
+    "ingest_default_times": lambda c: _outcomes(*ingest.ingest_scans(
+        _without_times(c), c.p, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))),
+    "make_barcode": lambda c: c.silver.select("event_id", barcode.make_barcode(F.col("item_id"), F.col("qty")).alias("barcode")),
     # audits
     "duplicate_event_ids": lambda c: quality.duplicate_event_ids(c.lineitem_scans),
     "multiple_open_items": lambda c: audits.multiple_open_items(c.signals),

@@ -58,17 +58,3 @@ SLIP_LINE = T.StructType([
     T.StructField("description", T.StringType(), True),
     T.StructField("confidence", T.StringType(), True),
 ])
-
-# JSON reading schema of a slip answer: qty read as string so numeric text is accepted
-SLIP_JSON = T.StructType([
-    T.StructField("items", T.ArrayType(T.StructType([
-        T.StructField("item_id", T.StringType(), True),
-        T.StructField("qty", T.StringType(), True),
-        T.StructField("description", T.StringType(), True),
-        T.StructField("confidence", T.StringType(), True),
-    ])), True),
-    T.StructField("vendor", T.StringType(), True),
-    T.StructField("po_number", T.StringType(), True),
-    T.StructField("ship_date", T.StringType(), True),
-    T.StructField("notes", T.StringType(), True),
-])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -43,14 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is.  Only when it is unset -- local tests -- a fresh folder
-    under the system temp directory is created and registered.
+    and is used as is.  Only when it is unset on a local master -- tests -- a
+    fresh folder under the system temp directory is created and registered;
+    elsewhere executors could not see such a folder, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="stockledger-ckpt-")
     sc.setCheckpointDir(conf_dir)

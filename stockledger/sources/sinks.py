@@ -31,6 +31,15 @@ def materialize(df: DataFrame, target: str, name: str, quality: str,
     return path
 
 
+def register_layer(spark: SparkSession, database: str, name: str, path: str, quality: str, comment: str) -> None:
+    """A4: a catalog table over a written layer, with its comment and ``quality`` property."""
+    table = f"{database}.{name}"
+    spark.catalog.createTable(table, path=path, source="parquet", description=comment)
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('quality' = '{quality}')")
+    if any(c.isPartition for c in spark.catalog.listColumns(table)):
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+
+
 def append_signals(rows: DataFrame, path: str) -> str:
     """Signal rows are only ever appended."""
     rows.write.mode("append").parquet(path)

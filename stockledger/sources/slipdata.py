@@ -4,8 +4,10 @@ One slip per order; its lines are the order's line items (item PART-<partkey>,
 quantity, confidence from the return flag: N high, A absent (-> default),
 R low, or an unknown value on undiscounted R lines, which voids the slip).
 The answer text is JSON written by ``to_json``, wrapped in four ways (bare,
-```json fence, ``` fence, prose + fence); every 25th order's text is cut short
-so the unreadable-answer path is exercised on real volume.
+```json fence, ``` fence, prose + fence).  Orders with certain remainders also
+get a damaged or unusual copy of their answer under the negative id
+(``COPIES``), so those paths are exercised on real volume; every order's own
+text stays whole.
 """
 
 from __future__ import annotations
@@ -16,6 +18,21 @@ from pyspark.sql import functions as F
 from stockledger.sources.bridge import read_table
 
 
+# remainder of the order number by 25 -> the copy's text from the whole answer __j
+COPIES = {
+    7: "substring(__j, 1, length(__j) - 2)",                                            # cut short
+    8: "concat(__j, ' x')",                                                             # text behind the answer
+    9: "replace(__j, '\"item_id\":\"PART-', '\"item_id\":\"') || ''",                    # ids without prefix: still texts
+    10: "replace(__j, '\"confidence\":\"high\"', '\"confidence\":null')",               # null is no confidence
+    11: "'{\"items\":null}'",                                                           # null is no list
+    12: "concat('```json\n', __j, '\n```\nor\n```json\n{}\n```')",                      # the first block counts
+    13: "concat('{\"vendor\":5,', substring(__j, 2))",                                  # numeric vendor
+    14: "regexp_replace(__j, '\"qty\":([0-9]+)', '\"qty\":\"+$1\"')",                   # numeric text
+    15: "regexp_replace(__j, '\"item_id\":\"[^\"]*\"', '\"item_id\":\"\u00a0 \"')",    # blank ids, dropped at submission
+    16: "regexp_replace(__j, '\"item_id\":\"PART-([0-9]+)\"', '\"item_id\":$1')",       # numeric ids
+}
+
+
 def slip_line_source(lineitem: DataFrame) -> DataFrame:
     conf = (F.when(F.col("l_returnflag") == "N", F.lit("high"))
             .when(F.col("l_returnflag") == "A", F.lit(None).cast("string"))
@@ -49,9 +66,10 @@ def slip_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("po_number"), F.col("ship_date"))).alias("__j"))
     j = F.col("__j")
     k = F.col("slip_id") % 4
-    text = (F.when(F.col("slip_id") % 25 == 7, F.expr("substring(__j, 1, length(__j) - 2)"))
-            .when(k == 0, j)
+    text = (F.when(k == 0, j)
             .when(k == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
             .when(k == 2, F.concat(F.lit("```\n"), j, F.lit("\n```")))
             .otherwise(F.concat(F.lit("Extracted items:\n```json\n"), j, F.lit("\n```\nDone."))))
-    return doc.select("slip_id", text.alias("response"))
+    copy = F.element_at(F.create_map(*[x for n, t in COPIES.items() for x in (F.lit(n), F.expr(t))]), (F.col("slip_id") % 25).cast("int"))
+    both = F.array(F.struct(F.col("slip_id"), text.alias("response")), F.struct((-F.col("slip_id")).alias("slip_id"), copy.alias("response")))
+    return doc.select(F.explode(both).alias("x")).select("x.*").where("response is not null")

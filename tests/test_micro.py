@@ -151,6 +151,45 @@ SLIP = ('{"items": [{"item_id": "BOLT-M8X25-SS", "qty": 12, "confidence": "high"
         '"po_number": "2024-78432", "ship_date": "January 14, 2025"}')
 
 
+def test_slip_answer_shapes(spark):
+    """Which answers are accepted: (answer, quantities of its lines, note)."""
+    line = '{"item_id": "A", "qty": %s}'
+    one = lambda q: '{"items": [' + line % q + "]}"
+    bad, bad_json, bad_head = (f"Failed to parse response: {x}" for x in ("invalid line item", "not valid JSON", "invalid header"))
+    cases = [
+        ("```json\n" + one(1) + "\n```\n```json\n" + one(2) + "\n```", [1], None), ("```\n" + one(3) + "\n```\n```\n" + one(4) + "```", [3], None),
+        ("```json" + one(5), [5], None), (one(1) + " x", [], bad_json), (one(1) + "}", [], bad_json), (one(1) + "] y", [], bad_json),
+        ("\u00a0\n" + one(2) + "\u2003", [2], None), ("[" + one(1) + "]", [], bad_json), ("", [], bad_json), ("{oops", [], bad_json), (None, [], bad_json),
+        ("{}", [], None), ('{"items": []}', [], None), ('{"items": null}', [], bad), ('{"items": {"a": 1}}', [], bad), ('{"items": [1]}', [], bad),
+        ('{"items": [null]}', [], bad), (one('"+4"'), [4], None), (one('" 1_0 "'), [10], None), (one('"4.0"'), [4], None), (one("4.0"), [4], None), (one("4.5"), [], bad),
+        (one('"x"'), [], bad), (one("true"), [1], None), (one("null"), [], bad), (one("0"), [], bad), (one("-1"), [], bad), (one("99999999999"), [], bad),
+        ('{"items": [{"item_id": 7, "qty": 1}]}', [], bad), ('{"items": [{"item_id": null, "qty": 1}]}', [], bad), ('{"items": [{"qty": 1}]}', [], bad),
+        ('{"items": [{"item_id": "A", "qty": 1, "confidence": null}]}', [], bad), ('{"items": [{"item_id": "A", "qty": 1, "confidence": "sure"}]}', [], bad),
+        ('{"items": [{"item_id": "A", "qty": 1, "description": null, "more": 2}], "vendor": null, "extra": 1}', [1], None),
+        ('{"items": [{"item_id": "A", "qty": 1, "description": 5}]}', [], bad), ('{"items": [], "vendor": 5}', [], bad_head),
+        ('{"items": [], "notes": "n"}', [], "n"), ('{"items": [], "notes": ["n"]}', [], bad_head)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "slip_id int, response string")
+    got = {r.slip_id: ([x.qty for x in r["slip"]["items"]], r.slip.notes) for r in slips.parse_slip_responses(df).collect()}
+    assert {i: (q, n) for i, (_, q, n) in enumerate(cases)} == got
+
+
+def test_blank_item_ids_are_dropped(spark):
+    ids = ["A", " ", "\t", "\u00a0", "\u3000 \ufeff", "", None, "\x1c", " B "]
+    df = spark.createDataFrame([(i, 1) for i in ids] + [("C", 0), ("D", None)], "item_id string, qty int")
+    assert [r.item_id for r in slips.valid_slip_lines(df).collect()] == ["A", "\x1c", " B "]
+
+
+def test_ingest_loses_nothing(spark):
+    raw = spark.createDataFrame([("s1", at(0), "C"), ("s2", None, "C"), ("s3", at(1), "C"), ("s4", None, "ITEM=A;QTY=1"), ("s5", at(0), "ITEM=A;QTY=1")],
+                                "scan_id string, event_ts timestamp_ntz, barcode_raw string").selectExpr(
+        "scan_id", "event_ts", "'INTAKE' AS kind", "'S' AS station_id", "barcode_raw", "cast(null AS string) AS user_email")
+    ok, rej = ingest.ingest_scans(raw)
+    assert [r.event_id for r in ok.collect()] == ["s5"]
+    assert {r.scan_id: r.reason for r in rej.collect()} == {"s1": "bad_format", "s2": "no_time", "s3": "duplicate", "s4": "no_time"}
+    ok, rej = ingest.ingest_scans(raw, default_ts=F.lit(at(9)))
+    assert sorted((r.event_id, r.event_ts) for r in ok.collect()) == [("s4", at(9)), ("s5", at(0))]
+
+
 def test_slip_parsing(spark):
     rows = [(1, SLIP), (2, "```json\n" + SLIP + "\n```"), (3, "```\n" + SLIP + "\n```"), (4, "{oops"),
             (5, '{"items": [{"item_id": "A", "qty": 0}]}')]

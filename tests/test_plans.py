@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from stockledger.operators import debounce, latest, ledger, lifecycle
+from stockledger import schemas
 from stockledger.plans import medallion as M, registry
 from stockledger.sources import bridge, tables
 
@@ -50,6 +51,26 @@ def test_no_pair_producing_join(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_day_questions_read_only_their_folders(spark):
+    for name in ("consumption_rate", "intake_vs_consume", "unique_items_on", "daily_summary"):
+        p = _plan(registry.queries()[name](spark, SF))
+        scans = [x for x in p.split("\n") if "FileScan parquet" in x and "event_date" in x]
+        assert scans and any("PartitionFilters: [isnotnull(event_date" in x for x in scans), p
+
+
+def test_status_figures_read_each_log_once(spark):
+    from stockledger.operators import analytics
+    log, sig = bridge.bridge_e(spark, SF), spark.read.schema(schemas.SIGNALS).parquet(_signals_path(spark))
+    for out in (analytics.table_status(log, sig), analytics.daily_summary(M.silver_scan_events(log), sig, "2024-01-05")):
+        assert _plan(out).count("FileScan parquet") == 2
+
+
+def _signals_path(spark):
+    path = tempfile.mkdtemp(prefix="signals-") + "/log"
+    registry.queries()["signal_lifecycle"](spark, SF).write.parquet(path)
+    return path
+
+
 def _exchanges(p):
     return [x for x in p.split("== Initial Plan ==")[0].split("\n") if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x]
 

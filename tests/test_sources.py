@@ -11,12 +11,14 @@ from stockledger.sources import sinks
 
 def test_load_slip_files(spark):
     d = tempfile.mkdtemp(prefix="slips-")
-    for name, size in [("a.png", 10), ("b.PDF", 20), ("c.txt", 5), ("d.jpeg", 30)]:
+    for name, size in [("a.png", 10), ("b.PDF", 20), ("c.txt", 5), ("d.jpeg", 30), ("e.Jpg", 3), ("f.tif", 4), ("g", 5)]:
         with open(os.path.join(d, name), "wb") as f:
             f.write(b"x" * size)
-    df = load_slip_files(spark, d, max_bytes=25)
-    got = {os.path.basename(r.path): r.media_type for r in df.collect()}
-    assert got == {"a.png": "image/png", "b.PDF": "application/pdf"}
+    files, rejects = load_slip_files(spark, d, max_bytes=25)
+    assert {os.path.basename(r.path): r.media_type for r in files.collect()} == {
+        "a.png": "image/png", "b.PDF": "application/pdf", "e.Jpg": "image/jpeg", "f.tif": "image/jpeg"}
+    assert {os.path.basename(r.path): r.reason for r in rejects.collect()} == {
+        "c.txt": "not_an_image_or_pdf", "d.jpeg": "too_large", "g": "not_an_image_or_pdf"}
 
 
 def test_migrate_v1_to_v2(spark):
