@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ class Config:
     dim: int = 16
     min_n: int = 3
     max_n: int = 4
-    train_rows: int = 3000     # bound of the learning sample
-    epochs: int = 8
+    train_rows: int = 2000     # bound of the learning sample
+    epochs: int = 10
     rate: float = 0.3
     decay: float = 1e-4        # pull of vectors towards zero
     seed: int = 7
@@ -134,35 +135,49 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], cfg: Config = Config()) -> Model:
-    """Stochastic gradient descent over (buckets, weights, label) rows, in the given order per epoch shuffle."""
-    classes = tuple(sorted({y for _, _, y in rows})) or (0, 1)
+@dataclass(frozen=True)
+class Sample:
+    """Sparse learning rows in flat arrays: row r has the entries starts[r] .. starts[r + 1] of ids and weights."""
+    starts: np.ndarray
+    ids: np.ndarray
+    weights: np.ndarray
+    labels: list[int]
+
+    @staticmethod
+    def of(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Sample:
+        return Sample(np.cumsum([0, *(len(i) for i, _, _ in rows)]), np.concatenate([np.zeros(0, np.int32), *(i for i, _, _ in rows)]).astype(np.int32),
+                      np.concatenate([np.zeros(0, np.float32), *(w for _, w, _ in rows)]).astype(np.float32), [y for _, _, y in rows])
+
+
+def fit(sample: Sample, cfg: Config = Config()) -> Model:
+    """Stochastic gradient descent, one row a step, rows shuffled in every epoch."""
+    classes = tuple(sorted(set(sample.labels))) or (0, 1)
+    target = [classes.index(y) for y in sample.labels]
     rng = np.random.default_rng(cfg.seed)
     emb = rng.uniform(-1, 1, (cfg.buckets, cfg.dim)) / cfg.dim
     out = np.zeros((len(classes), cfg.dim))
     bias = np.zeros(len(classes))
-    seen = np.zeros(cfg.buckets, dtype=np.int64)
-    for idx, _, _ in rows:
-        seen[idx] += 1
     # a feature of one row only would just memorise that row
-    kept = [(idx[seen[idx] > 1], w[seen[idx] > 1], classes.index(y)) for idx, w, y in rows]
-    emb[seen < 2] = 0.0
-    steps, step = max(1, cfg.epochs * len(kept)), 0
+    rare = np.bincount(sample.ids, minlength=cfg.buckets) < 2
+    emb[rare] = 0.0
+    steps, step = max(1, cfg.epochs * len(target)), 0
     for _ in range(cfg.epochs):
-        for r in rng.permutation(len(kept)):
-            idx, w, y = kept[r]
+        for r in rng.permutation(len(target)):
+            at = slice(sample.starts[r], sample.starts[r + 1])
+            idx, w = sample.ids[at], sample.weights[at].astype(np.float64)
+            w[rare[idx]] = 0.0
             rate = cfg.rate * (1 - step / steps)
             step += 1
             rows_e = emb[idx]
             x = w @ rows_e
             g = softmax(out @ x + bias)
-            g[y] -= 1.0
+            g[target[r]] -= 1.0
             gx = g @ out
             out -= rate * np.outer(g, x)
             bias -= 0.1 * rate * g
-            if len(idx):
+            if (size := float(w @ w)) > 0:
                 # scaled by the weights' square sum: the average moves by rate * gx whatever the text's length
-                emb[idx] = rows_e * (1 - rate * cfg.decay) - (rate * w / (w @ w))[:, None] * gx
+                emb[idx] = rows_e * (1 - rate * cfg.decay) - (rate * w / size)[:, None] * gx
     return Model(cfg, np.ascontiguousarray(out @ emb.T), bias, classes)
 
 
@@ -189,7 +204,7 @@ def positive_scorer(model: Model, positive: int = 1) -> Callable[[str | None], f
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Column, id_col: str, text_col: str,
-                  cfg: Config) -> list[tuple[np.ndarray, np.ndarray, int]]:
+                  cfg: Config) -> Sample:
     """Sparse features of the bounded learning sample, in a fixed order."""
     spark = docs.sparkSession
     order = F.xxhash64(F.col("k").cast("string"))
@@ -212,10 +227,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Col
 
     got = src.mapInArrow(run, "h long, k string, y int, i array<int>, w array<float>").toArrow()
     # copies of a labelled row beyond the bound do not enlarge the sample
-    cols = [got.column(c).to_pylist() for c in ("h", "k", "y")]
-    idx, wts = got.column("i").combine_chunks(), got.column("w").combine_chunks()
-    order_ = sorted(range(got.num_rows), key=lambda r: (cols[0][r], cols[1][r], cols[2][r], len(idx[r])))[:cfg.train_rows]
-    return [(idx[r].values.to_numpy().astype(np.int64), wts[r].values.to_numpy().astype(np.float64), cols[2][r]) for r in order_]
+    order_ = got.select(["h", "k", "y"]).append_column("n", pc.list_value_length(got.column("i"))).append_column("r", pa.array(np.arange(got.num_rows)))
+    picked = order_.sort_by([(c, "ascending") for c in ("h", "k", "y", "n", "r")]).column("r").slice(0, cfg.train_rows)
+    got = got.take(picked).combine_chunks()
+    if not got.num_rows:
+        return Sample.of([])
+    ids, weights = (got.column(c).combine_chunks() for c in ("i", "w"))
+    return Sample(ids.offsets.to_numpy(), ids.values.to_numpy(), weights.values.to_numpy(), got.column("y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", positive: int = 1) -> DataFrame:
@@ -236,8 +254,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
           cfg: Config = Config()) -> Model:
-    return fit(training_rows(docs, labels, label=label, usable=crc_mod(F.col("k"), FOLDS) != HELD, id_col=id_col,
-                             text_col=text_col, cfg=cfg), cfg)
+    model = fit(training_rows(docs, labels, label=label, usable=crc_mod(F.col("k"), FOLDS) != HELD, id_col=id_col,
+                              text_col=text_col, cfg=cfg), cfg)
+    pa.default_memory_pool().release_unused()      # the sample's memory goes back before the next stage
+    return model
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_scorer_equals_average_then_softmax():
     cfg = Q.Config(buckets=256, epochs=2)
     feats = Q.Features(cfg)
     rows = [(*feats.counts(t), y) for t, y in (("good prose here", 1), ("bad bad bad", 0), ("more good prose", 1))]
-    model = Q.fit(rows, cfg)
+    model = Q.fit(Q.Sample.of(rows), cfg)
     idx, w = feats.counts("good bad prose")
     assert np.allclose(Q.Scorer(model).probabilities("good bad prose"), Q.softmax(model.logits[:, idx] @ w + model.bias))
 
@@ -91,4 +91,4 @@ def test_sample_is_bounded(spark):
     d = spark.range(300).selectExpr("id AS doc_id", "concat('t ', id) AS text")
     lab = spark.range(300).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
     rows = Q.training_rows(d, lab, label="quality", usable=F.lit(True), id_col="doc_id", text_col="text", cfg=Q.Config(train_rows=40))
-    assert len(rows) == 40
+    assert len(rows.labels) == 40 and len(rows.starts) == 41 and rows.starts[-1] == len(rows.ids) == len(rows.weights)
