@@ -777,4 +777,9 @@ def oracle_sql() -> dict[str, str]:
     q["stream_latest_signals"] = q["signals_current"]
     q["stream_open_alert"] = q["open_signal_alert"]
     q["stream_dedupe"] = q["bronze_scan_events"]
+    q["stream_late_rows"] = """
+        WITH e AS (SELECT event_id % 10 = 0 AS later, epoch_us(ts) AS t FROM events),
+        wm AS (SELECT (max(t) // 1000 - 3600000) * 1000 AS m FROM e WHERE NOT later)
+        SELECT count(*) + 1 AS delivered, count(*) FILTER (WHERE NOT (later AND t <= m)) AS kept,
+               count(*) FILTER (WHERE later AND t <= m) AS late FROM e, wm"""
     return q

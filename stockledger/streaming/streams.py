@@ -3,13 +3,16 @@
 The source is the ``events`` table read as a file stream; the bridge, the
 quality rules and the aggregates are the batch functions applied to the
 streaming frame.  Sinks write Parquet from ``foreachBatch`` into the shared
-checkpoint folder (never the driver's memory); the registry reads the sink
-back as a batch frame.  Event time is cast to TIMESTAMP for watermarks.
-
-Stateful per-key logic (debounce, lifecycle) uses ``applyInPandasWithState``:
-per key and micro-batch, the rows are sorted by (time, id) and folded from
-the stored state; Spark partitions the keys across executors and keeps the
-state in its fault-tolerant state store.
+checkpoint folder (never the driver's memory), one folder per micro-batch: a
+batch that is retried overwrites its own folder and repeats nothing.  The
+registry reads the sink back as a batch frame.  Event time is cast to
+TIMESTAMP for watermarks.
+
+Stateful per-key logic (debounce, lifecycle, open signals) uses
+``applyInPandasWithState``: per key and micro-batch, the rows the watermark
+has passed are taken in (time, id) order as arrays and applied to the stored
+state; Spark partitions the keys across executors and keeps the state in its
+fault-tolerant state store.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockledger.config import ALERT_SUMMARY_FORMAT, DEFAULT, Params
-from stockledger.operators.latest import latest_by, signal_order
+from stockledger.operators.latest import latest_by, signal_order, status_rank
+from stockledger.operators.lifecycle import numeric_id
 from stockledger.plans import medallion as M
 from stockledger.session import apply_conf, scratch_path
 from stockledger.sources import bridge
 
+EPOCH = "__epoch"
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a file stream (schema taken from the table)."""
@@ -43,29 +48,52 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("event_ts", F.col("event_ts").cast("timestamp"))
 
 
-def run_to_parquet(df: DataFrame, name: str, mode: str = "append", overwrite_each: bool = False,
-                   with_epoch: bool = False) -> DataFrame:
+def epoch_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes each micro-batch to its own folder below ``out``."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{EPOCH}={epoch}")
+    return sink
+
+
+def run_to_parquet(df: DataFrame, name: str, mode: str = "append", with_epoch: bool = False,
+                   progress: list | None = None) -> DataFrame:
     """Run a streaming frame to completion (availableNow) into Parquet; return the stored result.
 
-    ``with_epoch`` tags each micro-batch's rows with its batch number (for
-    update-mode change logs read back as latest row per key).
+    ``with_epoch`` keeps the number of each row's micro-batch (for update-mode
+    change logs read back as latest row per key); ``progress`` collects the
+    query's progress records.
     """
     spark = df.sparkSession
     out = scratch_path(spark, f"stream-{name}")
-    ckpt = scratch_path(spark, f"ckpt-{name}")
+    # a first folder without rows gives the result its schema whatever arrives
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/{EPOCH}=-1")
+    q = (df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
+         .foreachBatch(epoch_sink(out)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
+    stored = spark.read.parquet(out)
+    return stored.withColumn(EPOCH, F.col(EPOCH).cast("bigint")) if with_epoch else stored.drop(EPOCH)
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        if with_epoch:
-            batch = batch.withColumn("__epoch", F.lit(epoch).cast("bigint"))
-        batch.write.mode("overwrite" if overwrite_each else "append").parquet(out)
 
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # no batch produced any row
-        return spark.createDataFrame([], df.schema)
+def compact_changes(changes: str, snapshot: str, keys: list[str], upto: int) -> str:
+    """Fold an update-mode change log up to a micro-batch into one row per key.
+
+    Readers take the snapshot and the later folders; folders up to ``upto`` and
+    earlier snapshots may then be removed by retention rules.
+    """
+    spark = SparkSession.getActiveSession()
+    log = spark.read.parquet(changes)
+    path = f"{snapshot}/upto={upto}"
+    latest_by(log.filter(F.col(EPOCH) <= upto), keys, [F.col(EPOCH)]).write.mode("overwrite").parquet(path)
+    return path
+
+
+def current_from_changes(changes: DataFrame, keys: list[str], snapshot: DataFrame | None = None, upto: int = -1) -> DataFrame:
+    """Latest row per key of an update-mode change log (highest batch number), over a compacted snapshot if there is one."""
+    if snapshot is not None:
+        changes = changes.filter(F.col(EPOCH) > upto).unionByName(snapshot)
+    return latest_by(changes, keys, [F.col(EPOCH)]).drop(EPOCH)
 
 
 def _ntz(c: str):
@@ -103,28 +131,25 @@ def _closed_scan_stream(spark: SparkSession, sf_dir: str, delay: str, after_days
             .withColumn("event_date", F.to_date("event_ts")).withColumn("event_hour", F.hour("event_ts")))
 
 
-def stream_daily_activity(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
+def stream_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling 1-day windows in append mode: a window is written once, when the
     watermark (1 day delay) has passed its end, and its state is then dropped.
-    Exact distinct counts via set sizes (streaming has no exact count_distinct); the
-    sets live in the window's state until it closes.  ``exact=False`` keeps a
-    fixed-size HLL sketch instead (``approx_count_distinct``) for large key spaces."""
+
+    Distinct counts are exact and take two levels: one state row per (window,
+    type, item) and per (window, type, station), spread by key, whose number is
+    then counted per (window, type); no state row holds a set."""
     s = _closed_scan_stream(spark, sf_dir, "1 day", 3)
-    if exact:
-        distinct = lambda c: F.size(F.collect_set(c)).cast("bigint")
-    else:
-        distinct = lambda c: F.approx_count_distinct(c).cast("bigint")
-    agg = s.groupBy(F.window("event_ts", "1 day").alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("event_count"), F.sum("qty").alias("total_qty"),
-        distinct("item_id").alias("unique_items"), distinct("station_id").alias("unique_stations"))
-    out = agg.select(F.to_date(F.col("w.start")).alias("event_date"), "event_type", "event_count", "total_qty",
+    keyed = s.withColumn("k", F.explode(F.array(F.struct(F.lit("item").alias("of"), F.col("item_id").alias("key")),
+                                                F.struct(F.lit("station").alias("of"), F.col("station_id").alias("key")))))
+    each = keyed.groupBy(F.window("event_ts", "1 day").alias("w"), "event_type", "k.of", "k.key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("qty").alias("q"))
+    item = F.col("of") == "item"
+    agg = each.groupBy(F.window("w", "1 day").alias("d"), "event_type").agg(
+        F.sum(F.when(item, F.col("n"))).alias("event_count"), F.sum(F.when(item, F.col("q"))).alias("total_qty"),
+        F.count(F.when(item, F.col("key"))).alias("unique_items"), F.count(F.when(~item, F.col("key"))).alias("unique_stations"))
+    out = agg.select(F.to_date(F.col("d.start")).alias("event_date"), "event_type", "event_count", "total_qty",
                      "unique_items", "unique_stations")
-    return run_to_parquet(out, "daily", mode="append")
-
-
-def _latest_of_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest row per key of an update-mode change log (highest batch number)."""
-    return latest_by(changes, keys, [F.col("__epoch")]).drop("__epoch")
+    return run_to_parquet(out, "daily")
 
 
 def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +157,7 @@ def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     the items that changed; the current summary is the latest row per item."""
     g = M.gold_inventory_summary(M.silver_scan_events(scan_stream(spark, sf_dir)))
     changes = run_to_parquet(g, "inventory", mode="update", with_epoch=True)
-    return _latest_of_changes(changes, ["item_id"]).select(*g.columns) \
+    return current_from_changes(changes, ["item_id"]).select(*g.columns) \
         .withColumn("last_activity", _ntz("last_activity"))
 
 
@@ -145,7 +170,7 @@ def stream_usage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum("qty").alias("consumed_qty"))
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "item_id", "consumed_qty")
-    return run_to_parquet(out, "usage", mode="append")
+    return run_to_parquet(out, "usage")
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,46 +181,72 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_parquet(d, "dedupe").withColumn("event_ts", _ntz("event_ts"))
 
 
+def late_rows(progress: list) -> int:
+    """Rows dropped for coming after the watermark, over a query's progress records."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events is delivered after all others; those behind the watermark are
+    dropped by the de-duplication and counted.  One row: delivered, kept, late."""
+    path = scratch_path(spark, "late-events")
+    ev = bridge.scans_from_events(bridge.read_table(spark, sf_dir, "events")).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    tenth = F.col("event_id").cast("bigint") % 10 == 0
+    on_time = ev.filter(~tenth)
+    # three deliveries in turn: the second repeats the newest event, since rows are late
+    # only for a watermark that an earlier batch has already worked with
+    newest = on_time.filter(F.col("event_ts") == on_time.agg(F.max("event_ts")).scalar())
+    files = [(on_time, 0), (newest, 1), (ev.filter(tenth), 2)]
+    for part, n in files:
+        part.coalesce(1).write.parquet(f"{path}/n={n}")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    progress: list = []
+    kept = run_to_parquet(stream.withWatermark("event_ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]), "late", progress=progress)
+    delivered = spark.read.schema(ev.schema).parquet(f"{path}/*").agg(F.count(F.lit(1))).scalar()
+    return kept.agg(F.count(F.lit(1)).alias("kept")).select(delivered.alias("delivered"), "kept", F.lit(late_rows(progress)).cast("bigint").alias("late"))
+
+
 # ---- I5, I6: per-key state in pandas, applied in event-time order ----------------------------
 #
-# Rows of a key are buffered in its state until the watermark has passed them
-# (no earlier row can still arrive: older rows are dropped as late), then
-# folded in (time, id) order.  An event-time timer revisits keys with buffered
-# rows when the watermark moves, so results do not depend on how rows are cut
-# into micro-batches.  The buffer per key holds at most the rows of one
-# watermark delay.  For a bounded replay a closing marker, later than every
-# event by more than the delay, moves the watermark past the end.
-
-_BUF_STATE = T.StructType([T.StructField("acc", T.StringType()), T.StructField("pending", T.StringType())])
+# Rows of a key are buffered in its state (as arrays) until the watermark has
+# passed them (no earlier row can still arrive: older rows are dropped as late),
+# then applied in (time, id) order.  An event-time timer revisits keys with
+# buffered rows when the watermark moves, so results do not depend on how rows
+# are cut into micro-batches.  The buffer per key holds at most the rows of one
+# watermark delay.  State that can no longer matter is removed.  For a bounded
+# replay a closing marker, later than every event by more than the delay, moves
+# the watermark past the end.
+
 WATERMARK_DELAY = "10 minutes"
 
 
-def _buffered(fold, cols: list[str], out_cols: list[str]):
-    """Wrap ``fold(key, rows_df, acc) -> (out_rows, acc)`` with watermark buffering.
+def _buffered(apply, cols: list[str], n_acc: int, out_cols: list[str], expires=None):
+    """Wrap ``apply(key, rows, acc) -> (columns, acc)`` with watermark buffering.
 
-    ``cols`` are primitive columns (``__t`` first, microseconds) kept in the
-    buffer; the closure holds only plain values, so executors need only pandas.
+    ``cols``: row columns, ``__t`` (microseconds) and the id first.  The state
+    holds ``n_acc`` values, then one array per column.  ``expires(acc)`` is the
+    time (microseconds) after which the state is of no use.
     """
-    import json
-
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else None
+        acc = held[:n_acc] if held else None
         frames = [] if state.hasTimedOut else [f[cols] for f in pdfs]
-        acc, pending = (json.loads(state.get[0]), state.get[1]) if state.exists else (None, None)
-        if pending:
-            frames.append(pd.DataFrame(json.loads(pending), columns=cols))
-        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame([], columns=cols)
-        rows = rows.astype({"__t": "int64"}).sort_values(["__t", cols[1]], kind="stable")
-        wm_us = int(state.getCurrentWatermarkMs()) * 1000
-        ready = rows[rows["__t"] < wm_us]
-        rest = rows[rows["__t"] >= wm_us]
-        out, acc = fold(key, ready, acc)
-        if len(rest):
-            state.update((json.dumps(acc), json.dumps(rest.values.tolist(), default=str)))
-            state.setTimeoutTimestamp(int(rest["__t"].iloc[0]) // 1000 + 1)
+        if held and held[n_acc]:
+            frames.append(pd.DataFrame(dict(zip(cols, held[n_acc:]))))
+        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in cols})
+        rows = rows.astype({"__t": "int64"}).sort_values(cols[:2], kind="stable")
+        passed = int(state.getCurrentWatermarkMs()) * 1000
+        ready, rest = rows[rows["__t"] < passed], rows[rows["__t"] >= passed]
+        out, acc = apply(key, ready, acc)
+        until = int(rest["__t"].iloc[0]) if len(rest) else expires(acc) if expires and acc is not None else None
+        if (until is not None and until < passed) or (acc is None and not len(rest)):
+            state.remove()
         else:
-            state.update((json.dumps(acc), None))
-        if out:
-            yield pd.DataFrame(out, columns=out_cols)
+            state.update((*(acc or (None,) * n_acc), *(rest[c].tolist() for c in cols)))
+            if until is not None:
+                state.setTimeoutTimestamp(until // 1000 + 1)
+        if len(out[0]):
+            yield pd.DataFrame(dict(zip(out_cols, out)))
 
     return fn
 
@@ -218,36 +269,36 @@ def _with_closing_marker(stream: DataFrame, end: DataFrame, columns: dict, after
     return stream.unionByName(marker_stream.select(*[F.col(c).cast(stream.schema[c].dataType) for c in columns]))
 
 
-_DEB_OUT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("event_ts", T.TimestampType()),
-                         T.StructField("barcode_raw", T.StringType())])
-
-
-def _debounce_fold(window_us: int):
-    def fold(key, rows: pd.DataFrame, last):
-        t = rows["__t"].to_numpy(np.int64)
-        ids = rows["event_id"].to_numpy()
-        out = []
-        i = 0 if last is None else int(np.searchsorted(t, last + window_us, side="left"))
-        while i < len(t):          # walks kept scans only
-            out.append((ids[i], pd.Timestamp(int(t[i]), unit="us"), key[0]))
+def _debounce_apply(window_us: int):
+    """State: last kept time.  The walk steps over kept scans only."""
+    def apply(key, rows: pd.DataFrame, acc):
+        t, last, keep = rows["__t"].to_numpy(np.int64), acc[0] if acc else None, []
+        i = 0 if last is None else int(np.searchsorted(t, last + window_us))
+        while i < len(t):
+            keep.append(i)
             last = int(t[i])
-            i = int(np.searchsorted(t, last + window_us, side="left"))
-        return out, last
-    return fold
+            i = int(np.searchsorted(t, last + window_us))
+        return ([rows["event_id"].to_numpy()[keep], pd.to_datetime(t[keep], unit="us"), [key[0]] * len(keep)],
+                None if last is None else (last,))
+    return apply
 
 
 def debounce_stream(scans: DataFrame, end: DataFrame | None = None, window_s: float = 3.0) -> DataFrame:
     """E4 on a stream of (event_id, event_ts TIMESTAMP, barcode_raw); ``end`` (one row,
-    column ``m``) closes a bounded replay.  Returns the streaming frame of kept scans."""
+    column ``m``) closes a bounded replay.  Returns the streaming frame of kept scans.
+
+    A code's state goes once the watermark is a window past its last kept scan."""
     s = scans.select("event_id", "event_ts", "barcode_raw")
     if end is not None:
         s = _with_closing_marker(s, end, {"event_id": "__closing__", "event_ts": "ts",
                                           "barcode_raw": "__closing__"})
     s = s.withWatermark("event_ts", WATERMARK_DELAY).withColumn("__t", F.unix_micros("event_ts"))
-    fn = _buffered(_debounce_fold(int(window_s * 1_000_000)), ["__t", "event_id"],
-                   [f.name for f in _DEB_OUT.fields])
-    return s.groupBy("barcode_raw").applyInPandasWithState(fn, _DEB_OUT, _BUF_STATE, "append",
-                                                           GroupStateTimeout.EventTimeTimeout)
+    window = int(window_s * 1_000_000)
+    fn = _buffered(_debounce_apply(window), ["__t", "event_id"], 1, ["event_id", "event_ts", "barcode_raw"],
+                   expires=lambda acc: acc[0] + window)
+    return s.groupBy("barcode_raw").applyInPandasWithState(
+        fn, "event_id string, event_ts timestamp, barcode_raw string", "last long, t array<long>, id array<string>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_debounce(spark: SparkSession, sf_dir: str, window_s: float = 3.0) -> DataFrame:
@@ -263,43 +314,44 @@ def _rescan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("event_ts", F.col("event_ts").cast("timestamp"))
 
 
-_LC_OUT = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("signal_id", T.StringType()),
-    T.StructField("created_ts", T.TimestampType()), T.StructField("item_id", T.StringType()),
-    T.StructField("triggered_at_qty", T.LongType()), T.StructField("reorder_point", T.IntegerType()),
-    T.StructField("reorder_qty", T.IntegerType()), T.StructField("trigger_event_id", T.StringType()),
-    T.StructField("status", T.StringType())])
-
-
-def _lifecycle_fold(reorder_point: int, reorder_qty: int):
-    """State = [balance, open event id, open quantity]; rules of E3."""
-    import hashlib
-
-    def fold(key, rows: pd.DataFrame, acc):
-        item = key[0]
-        bal, open_ev, open_qty = acc if acc else (0, None, None)
-        balances = bal + np.cumsum(rows["delta"].to_numpy(np.int64))
-        out = []
-        for kind, eid, t, b in zip(rows["kind"], rows["event_id"], rows["__t"], balances):
-            b, ts = int(b), pd.Timestamp(int(t), unit="us")
-            emit = None
-            if kind == "CONSUME" and b <= reorder_point and open_ev is None:
-                open_ev, open_qty = eid, b
-                emit = (b, eid, "OPEN", eid)
-            elif kind == "INTAKE" and b > reorder_point and open_ev is not None:
-                emit = (open_qty, eid, "FULFILLED", open_ev)
-                open_ev = open_qty = None
-            elif kind == "ACK" and open_ev is not None:
-                emit = (open_qty, open_ev, "ACKNOWLEDGED", open_ev)
-                open_ev = open_qty = None
-            if emit:
-                q, trig, st, opener = emit
-                sid = hashlib.md5(f"{item}|{opener}".encode()).hexdigest()
-                out.append((int(eid) if str(eid).isdigit() else None, sid, ts, item, q, reorder_point,
-                            reorder_qty, trig, st))
-        bal = int(balances[-1]) if len(balances) else bal
-        return out, [bal, open_ev, open_qty]
-    return fold
+def _lifecycle_apply(reorder_point: int):
+    """State: balance, open event id, open quantity.  E3's labels, as arrays: a row emits iff it is O and
+    the label before is not, or it is F or A and the label before is O."""
+    def apply(key, rows: pd.DataFrame, acc):
+        bal, open_id, open_qty = acc or (0, None, None)
+        balance = bal + np.cumsum(rows["delta"].to_numpy(np.int64))
+        kind = rows["kind"].to_numpy(object)
+        label = np.select([(kind == "CONSUME") & (balance <= reorder_point), (kind == "INTAKE") & (balance > reorder_point), kind == "ACK"],
+                          ["OPEN", "FULFILLED", "ACKNOWLEDGED"], default="")
+        at = np.flatnonzero(label != "")
+        opens = label[at] == "OPEN"
+        before = np.concatenate(([open_id is not None], opens[:-1])) if len(at) else opens
+        at, opens = at[opens != before], opens[opens != before]
+        ids, t = rows["event_id"].to_numpy(object)[at], rows["__t"].to_numpy(np.int64)[at]
+        # emitted rows alternate: a closing row's signal is the row before it, or the state's
+        own = [(i, int(q)) for i, q in zip(ids, balance[at])]
+        heads = [own[k] if o else own[k - 1] if k else (open_id, open_qty) for k, o in enumerate(opens.tolist())]
+        if len(at):
+            open_id, open_qty = own[-1] if opens[-1] else (None, None)
+        out = [ids, pd.to_datetime(t, unit="us"), [key[0]] * len(at), [h[0] for h in heads], [h[1] for h in heads], label[at]]
+        return out, (int(balance[-1]) if len(balance) else bal, open_id, open_qty)
+    return apply
+
+
+def lifecycle_stream(ledger: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """E3 on a stream of (item_id, event_ts TIMESTAMP, event_id, kind, delta) with a watermark."""
+    led = ledger.withColumn("__t", F.unix_micros("event_ts"))
+    names = ["event_id", "created_ts", "item_id", "open_event_id", "open_qty", "status"]
+    fn = _buffered(_lifecycle_apply(params.reorder_point), ["__t", "event_id", "kind", "delta"], 3, names)
+    out = led.groupBy("item_id").applyInPandasWithState(
+        fn, "event_id string, created_ts timestamp, item_id string, open_event_id string, open_qty long, status string",
+        "balance long, open_id string, open_qty long, t array<long>, id array<string>, kind array<string>, delta array<long>",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(
+        numeric_id(F.col("event_id")).alias("id"), F.md5(F.concat_ws("|", "item_id", "open_event_id")).alias("signal_id"), "created_ts",
+        "item_id", F.col("open_qty").alias("triggered_at_qty"), F.lit(params.reorder_point).alias("reorder_point"),
+        F.lit(params.reorder_qty).alias("reorder_qty"),
+        F.when(F.col("status") == "ACKNOWLEDGED", F.col("open_event_id")).otherwise(F.col("event_id")).alias("trigger_event_id"), "status")
 
 
 def stream_signal_lifecycle(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
@@ -315,86 +367,80 @@ def stream_signal_lifecycle(spark: SparkSession, sf_dir: str, params: Params = D
     led = _with_closing_marker(mv.unionByName(ak), end,
                                {"item_id": "__closing__", "event_ts": "ts", "event_id": "__closing__",
                                 "kind": "NONE", "delta": 0})
-    led = led.withWatermark("event_ts", WATERMARK_DELAY).withColumn("__t", F.unix_micros("event_ts"))
-    fn = _buffered(_lifecycle_fold(params.reorder_point, params.reorder_qty),
-                   ["__t", "event_id", "kind", "delta"], [f.name for f in _LC_OUT.fields])
-    out = led.groupBy("item_id").applyInPandasWithState(fn, _LC_OUT, _BUF_STATE, "append",
-                                                        GroupStateTimeout.EventTimeTimeout)
+    out = lifecycle_stream(led.withWatermark("event_ts", WATERMARK_DELAY), params)
     return run_to_parquet(out, "lifecycle").withColumn("created_ts", _ntz("created_ts"))
 
 
-def stream_latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest row per signal over a stream of signal rows.
+def _signal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored output of I6, read as a file stream."""
+    path = scratch_path(spark, "signals")
+    stream_signal_lifecycle(spark, sf_dir).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
-    The signal rows come from the stored output of I6, read as a file stream.
-    """
-    sig_path = _lifecycle_path(spark, sf_dir)
-    schema = spark.read.parquet(sig_path).schema
-    s = spark.readStream.schema(schema).parquet(sig_path)
-    cur = latest_by(s, ["signal_id"], signal_order())
+
+def stream_latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest row per signal over a stream of signal rows."""
+    cur = latest_by(_signal_stream(spark, sf_dir), ["signal_id"], signal_order())
     # update mode: each trigger appends the signals that changed
     changes = run_to_parquet(cur, "latest", mode="update", with_epoch=True)
-    return _latest_of_changes(changes, ["signal_id"]).select(*cur.columns) \
+    return current_from_changes(changes, ["signal_id"]).select(*cur.columns) \
         .withColumn("created_ts", _ntz("created_ts"))
 
 
-def stream_open_alert(spark: SparkSession, sf_dir: str, threshold: int = 0) -> DataFrame:
-    """I8: the open-signal alert evaluated on each micro-batch of the latest-state table."""
-    sig_path = _lifecycle_path(spark, sf_dir)
-    schema = spark.read.parquet(sig_path).schema
-    s = spark.readStream.schema(schema).parquet(sig_path)
-    cur = latest_by(s, ["signal_id"], signal_order())
-    out = scratch_path(spark, "stream-alert")
+def _open_change(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: order and openness of a signal's newest row.  Gives +1 / -1 when the signal becomes open / stops being so."""
+    rows = pd.concat(list(pdfs), ignore_index=True)
+    top = max(zip(rows["t"].tolist(), rows["i"].tolist(), rows["r"].tolist(), rows["open"].tolist()))
+    held = tuple(state.get) if state.exists else None
+    now = top if held is None or top > held else held
+    state.update(now)
+    change = int(now[3]) - int(bool(held and held[3]))
+    if change:
+        yield pd.DataFrame({"signal_id": [key[0]], "change": [change]})
 
-    def evaluate(batch: DataFrame, epoch: int) -> None:
-        one = batch.agg(F.count_if(F.col("status") == "OPEN").alias("open_count"))
-        one.select(F.lit(epoch).cast("bigint").alias("epoch"), "open_count",
-                   (F.col("open_count") > threshold).alias("triggered"),
-                   F.format_string(ALERT_SUMMARY_FORMAT, F.col("open_count")).alias("summary")) \
-            .write.mode("append").parquet(out)
-
-    q = (cur.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark, "ckpt-alert"))
-         .foreachBatch(evaluate).trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.parquet(out)
-    last = res.agg(F.max("epoch")).scalar()
-    return res.filter(F.col("epoch") == last).select("open_count", "triggered", "summary")
+
+def open_changes(signals: DataFrame) -> DataFrame:
+    """Changes of the number of open signals over a stream of signal rows: only signals whose openness changes give a row."""
+    rows = signals.select("signal_id", F.unix_micros(F.col("created_ts").cast("timestamp")).alias("t"),
+                          F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("i"), status_rank().cast("int").alias("r"),
+                          (F.col("status") == "OPEN").alias("open"))
+    return rows.groupBy("signal_id").applyInPandasWithState(
+        _open_change, "signal_id string, change int", "t long, i long, r int, open boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def alert_row(changes: DataFrame, threshold: int = 0) -> DataFrame:
+    """The alert as of all changes so far: (open_count, triggered, summary)."""
+    one = changes.agg(F.coalesce(F.sum("change"), F.lit(0)).cast("bigint").alias("open_count"))
+    return one.select("open_count", (F.col("open_count") > threshold).alias("triggered"),
+                      F.format_string(ALERT_SUMMARY_FORMAT, F.col("open_count")).alias("summary"))
+
+
+def stream_open_alert(spark: SparkSession, sf_dir: str, threshold: int = 0) -> DataFrame:
+    """I8: the open-signal alert from the changes each micro-batch brings."""
+    totals = open_changes(_signal_stream(spark, sf_dir))
+    return alert_row(run_to_parquet(totals, "alert"), threshold)
 
 
 def start_open_alert(signals_stream: DataFrame, out_path: str, checkpoint: str, threshold: int = 0,
                      every: str = "5 minutes"):
     """I8, live form: evaluate the open-signal alert on a processing-time trigger.
 
-    ``signals_stream`` is a streaming frame of signal-log rows; each trigger
-    appends one row (epoch, open_count, triggered, summary) to ``out_path``.
-    Returns the running ``StreamingQuery``.
+    ``signals_stream`` is a streaming frame of signal-log rows.  Each trigger
+    writes the batch's net change below ``<out_path>/changes`` and the alert
+    (open_count, triggered, summary) below ``<out_path>/alerts``, one folder per
+    batch.  Returns the running ``StreamingQuery``.
     """
-    cur = latest_by(signals_stream, ["signal_id"], signal_order())
-
     def evaluate(batch: DataFrame, epoch: int) -> None:
-        one = batch.agg(F.count_if(F.col("status") == "OPEN").alias("open_count"))
-        one.select(F.lit(epoch).cast("bigint").alias("epoch"), "open_count",
-                   (F.col("open_count") > threshold).alias("triggered"),
-                   F.format_string(ALERT_SUMMARY_FORMAT, F.col("open_count")).alias("summary")) \
-            .write.mode("append").parquet(out_path)
+        spark = batch.sparkSession
+        net = batch.agg(F.coalesce(F.sum("change"), F.lit(0)).cast("bigint").alias("change"))
+        net.write.mode("overwrite").parquet(f"{out_path}/changes/{EPOCH}={epoch}")
+        so_far = spark.read.parquet(f"{out_path}/changes").filter(F.col(EPOCH) <= epoch)
+        alert_row(so_far, threshold).write.mode("overwrite").parquet(f"{out_path}/alerts/{EPOCH}={epoch}")
 
-    return (cur.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    return (open_changes(signals_stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .foreachBatch(evaluate).trigger(processingTime=every).start())
 
 
-_LC_CACHE: dict[tuple[int, str], str] = {}
-
-
-def _lifecycle_path(spark: SparkSession, sf_dir: str) -> str:
-    key = (id(spark), sf_dir)
-    if key not in _LC_CACHE:
-        df = stream_signal_lifecycle(spark, sf_dir)
-        path = scratch_path(spark, "signals")
-        df.write.parquet(path)
-        _LC_CACHE[key] = path
-    return _LC_CACHE[key]
-
-
 def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,4 +458,5 @@ def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_latest_signals": wrap(stream_latest_signals),
         "stream_open_alert": wrap(stream_open_alert),
         "stream_dedupe": wrap(stream_dedupe),
+        "stream_late_rows": wrap(stream_late_rows),
     }

@@ -1,45 +1,91 @@
 """Stream forms give the batch result even when rows arrive out of order across micro-batches."""
 
+import datetime as dt
 import glob
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
-from stockledger.operators import debounce
+from stockledger.operators import debounce, lifecycle
 from stockledger.sources import bridge
 from stockledger.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_debounce_stream_out_of_order(spark):
-    rescans = bridge.rescans(bridge.bridge_e(spark, SF)).select("event_id", "event_ts", "barcode_raw")
-    # four time chunks; rows in the last 5 minutes before a boundary arrive one batch late
-    bounds = rescans.agg(F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi")).first()
-    span = (bounds.hi - bounds.lo) / 4
+def _out_of_order(spark, rows, marker):
+    """A file stream of ``rows`` in four time chunks; rows in the last 5 minutes before a boundary come one batch late."""
+    bounds = rows.agg(F.min("event_ts").alias("lo"), F.max("event_ts").alias("hi")).first()
+    lo, span = int(bounds.lo.timestamp() * 1e6), int((bounds.hi - bounds.lo).total_seconds() * 1e6 / 4)
+    t = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    chunk = F.least(F.floor((t - F.lit(lo)) / F.lit(span)), F.lit(3)).cast("int")
+    near_end = t > F.lit(lo) + (chunk + 1) * F.lit(span) - F.lit(300_000_000)
+    staged = rows.withColumn("batch", F.when(near_end & (chunk < 3), chunk + 1).otherwise(chunk))
     root = tempfile.mkdtemp(prefix="ooo-")
-    chunk = F.least(F.floor((F.unix_micros(F.col("event_ts").cast("timestamp"))
-                             - F.lit(int(bounds.lo.timestamp() * 1e6))) / F.lit(int(span.total_seconds() * 1e6))),
-                    F.lit(3)).cast("int")
-    near_end = F.unix_micros(F.col("event_ts").cast("timestamp")) > (
-        F.lit(int(bounds.lo.timestamp() * 1e6)) + (chunk + 1) * F.lit(int(span.total_seconds() * 1e6))
-        - F.lit(300_000_000))
-    staged = rescans.withColumn("batch", F.when(near_end & (chunk < 3), chunk + 1).otherwise(chunk))
     for b in range(4):
-        staged.filter(F.col("batch") == b).drop("batch").orderBy(F.rand(7)).coalesce(1) \
-            .write.parquet(f"{root}/part={b:02d}")
-    end = rescans.agg(F.max("event_ts").alias("m"))
-    marker = streams.closing_marker(end, {"event_id": "__closing__", "event_ts": "ts", "barcode_raw": "__closing__"})
-    marker.select(*[F.col(c).cast(rescans.schema[c].dataType) for c in rescans.columns]).coalesce(1) \
-        .write.parquet(f"{root}/part=04")
+        staged.filter(F.col("batch") == b).drop("batch").orderBy(F.rand(7)).coalesce(1).write.parquet(f"{root}/part={b:02d}")
+    end = streams.closing_marker(rows.agg(F.max("event_ts").alias("m")), marker)
+    end.select(*[F.col(c).cast(rows.schema[c].dataType) for c in rows.columns]).coalesce(1).write.parquet(f"{root}/part=04")
     # the file source takes files in modification-time order: make that the batch order
     for b in range(5):
         for f in glob.glob(f"{root}/part={b:02d}/*.parquet"):
             os.utime(f, (1_700_000_000 + b * 100, 1_700_000_000 + b * 100))
-    files = root + "/*/*.parquet"
-    src = (spark.readStream.schema(rescans.schema).option("maxFilesPerTrigger", 1).parquet(files)
-           .withColumn("event_ts", F.col("event_ts").cast("timestamp")))
+    return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root + "/*/*.parquet")
+            .withColumn("event_ts", F.col("event_ts").cast("timestamp")))
+
+
+def test_debounce_stream_out_of_order(spark):
+    rescans = bridge.rescans(bridge.bridge_e(spark, SF)).select("event_id", "event_ts", "barcode_raw")
+    src = _out_of_order(spark, rescans, {"event_id": "__closing__", "event_ts": "ts", "barcode_raw": "__closing__"})
     got = streams.run_to_parquet(streams.debounce_stream(src, None, 3.0), "ooo")
     want = debounce.debounce(rescans, 3.0)
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
+
+
+def test_lifecycle_stream_out_of_order_with_odd_ids(spark):
+    """Batches cut and shuffled, ids beyond long and below zero: the rows of the batch replay."""
+    scans = bridge.bridge_e(spark, SF).withColumn("event_id", F.when(F.col("event_id") == "7", F.lit("12345678901234567890"))
+                                                  .when(F.col("event_id") == "5", F.lit("-5")).otherwise(F.col("event_id")))
+    scans = scans.filter("event_type in ('INTAKE', 'CONSUME') and qty > 0")
+    led = scans.select("item_id", "event_ts", "event_id", F.col("event_type").alias("kind"),
+                       F.when(F.col("event_type") == "INTAKE", F.col("qty")).otherwise(-F.col("qty")).cast("bigint").alias("delta"))
+    src = _out_of_order(spark, led, {"item_id": "__closing__", "event_ts": "ts", "event_id": "__closing__", "kind": "NONE", "delta": 0})
+    got = streams.run_to_parquet(streams.lifecycle_stream(src.withWatermark("event_ts", streams.WATERMARK_DELAY)), "ooo-lifecycle")
+    want = lifecycle.signal_lifecycle(scans)
+    rows = lambda df: sorted(map(str, df.withColumn("created_ts", F.col("created_ts").cast("timestamp_ntz")).collect()))
+    assert rows(got) == rows(want)
+
+
+def test_sink_repeats_nothing_when_a_batch_is_retried(spark):
+    out = tempfile.mkdtemp(prefix="sink-") + "/out"
+    write = streams.epoch_sink(out)
+    for epoch in (0, 1, 1, 0):
+        write(spark.range(epoch * 10, epoch * 10 + 3), epoch)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 10, 11, 12]
+
+
+def test_changes_compact_to_the_same_rows(spark):
+    root = tempfile.mkdtemp(prefix="changes-")
+    write = streams.epoch_sink(f"{root}/log")
+    for epoch in range(4):
+        write(spark.createDataFrame([(k, epoch) for k in range(epoch, 6)], "k int, v int"), epoch)
+    log = spark.read.parquet(f"{root}/log")
+    want = {(r.k, r.v) for r in streams.current_from_changes(log, ["k"]).collect()}
+    snap = spark.read.parquet(streams.compact_changes(f"{root}/log", f"{root}/snap", ["k"], 2))
+    got = {(r.k, r.v) for r in streams.current_from_changes(log, ["k"], snap.select(*log.columns), 2).collect()}
+    assert got == want and snap.count() == 6
+
+
+def test_open_changes_across_batches(spark):
+    root = tempfile.mkdtemp(prefix="open-")
+    ddl = "id bigint, signal_id string, created_ts timestamp_ntz, status string"
+    days = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    batches = [[(1, "a", days[0], "OPEN"), (2, "b", days[0], "OPEN")], [(3, "a", days[1], "ACKNOWLEDGED"), (4, "c", days[1], "OPEN")],
+               [(5, "a", days[0], "OPEN"), (6, "b", days[2], "FULFILLED"), (7, "d", days[2], "FULFILLED")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(root)
+    changes = streams.run_to_parquet(streams.open_changes(stream), "open-changes")
+    assert streams.alert_row(changes).first().open_count == 1
+    assert changes.count() <= 5
