@@ -24,6 +24,14 @@ def running_on_hand(scans: DataFrame, params: Params = DEFAULT) -> DataFrame:
                                       sums={"on_hand_qty": signed_qty().cast("bigint")}))
 
 
+def movement_summary(scans: DataFrame) -> DataFrame:
+    """Stock, events, units in and out and newest event per item (partial + final hash aggregate)."""
+    units = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("qty")).otherwise(0))
+    return scans.groupBy("item_id").agg(
+        F.sum(signed_qty()).alias("on_hand_qty"), F.count(F.lit(1)).alias("total_events"), units("INTAKE").alias("total_intake"),
+        units("CONSUME").alias("total_consumed"), F.max("event_ts").alias("last_activity"))
+
+
 def _totals(scans: DataFrame) -> DataFrame:
     intake = F.coalesce(F.sum(F.when(F.col("event_type") == "INTAKE", F.col("qty")).otherwise(0)), F.lit(0))
     consume = F.coalesce(F.sum(F.when(F.col("event_type") == "CONSUME", F.col("qty")).otherwise(0)), F.lit(0))
@@ -89,19 +97,9 @@ def inventory_snapshot_plus_tail(snapshot: DataFrame, scans_after: DataFrame) ->
     tail is aggregated (partial + final hash aggregate) and merged with the
     snapshot by a full outer join on item -- one row per item on each side.
     """
-    intake = F.col("event_type") == "INTAKE"
-    tail = scans_after.groupBy("item_id").agg(
-        F.sum(F.when(intake, F.col("qty")).otherwise(-F.col("qty"))).alias("t_on_hand"),
-        F.count(F.lit(1)).alias("t_events"),
-        F.sum(F.when(intake, F.col("qty")).otherwise(0)).alias("t_intake"),
-        F.sum(F.when(F.col("event_type") == "CONSUME", F.col("qty")).otherwise(0)).alias("t_consumed"),
-        F.max("event_ts").alias("t_last"))
+    sums = ("on_hand_qty", "total_events", "total_intake", "total_consumed")
+    tail = movement_summary(scans_after).select("item_id", *[F.col(c).alias(f"t_{c}") for c in (*sums, "last_activity")])
     j = snapshot.join(tail, "item_id", "full")
     z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    return j.select(
-        "item_id",
-        (z("on_hand_qty") + z("t_on_hand")).alias("on_hand_qty"),
-        (z("total_events") + z("t_events")).alias("total_events"),
-        (z("total_intake") + z("t_intake")).alias("total_intake"),
-        (z("total_consumed") + z("t_consumed")).alias("total_consumed"),
-        F.greatest(F.col("last_activity"), F.col("t_last")).alias("last_activity"))
+    return j.select("item_id", *[(z(c) + z(f"t_{c}")).alias(c) for c in sums],
+                    F.greatest(F.col("last_activity"), F.col("t_last_activity")).alias("last_activity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators import latest
+from stockledger.operators import latest, ledger
 from stockledger.operators.quality import SCAN_RULES, SIGNAL_RULES, expect_or_drop
 
 
@@ -25,15 +25,8 @@ def silver_replenishment_signals(bronze: DataFrame) -> DataFrame:
 
 
 def gold_inventory_summary(silver: DataFrame) -> DataFrame:
-    """Stock per item as the signed sum of movements (partial + final hash aggregate)."""
-    intake = F.col("event_type") == "INTAKE"
-    return silver.groupBy("item_id").agg(
-        F.sum(F.when(intake, F.col("qty")).otherwise(-F.col("qty"))).alias("on_hand_qty"),
-        F.count(F.lit(1)).alias("total_events"),
-        F.sum(F.when(intake, F.col("qty")).otherwise(0)).alias("total_intake"),
-        F.sum(F.when(F.col("event_type") == "CONSUME", F.col("qty")).otherwise(0)).alias("total_consumed"),
-        F.max("event_ts").alias("last_activity"),
-    )
+    """Stock per item over the silver scan log."""
+    return ledger.movement_summary(silver)
 
 
 def gold_daily_activity(silver: DataFrame) -> DataFrame:
