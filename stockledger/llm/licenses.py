@@ -5,7 +5,7 @@ between words), each with a keyword, a priority, a label and a score.  Most are
 hand-written name put into one of a few forms (SPDX tag, notice, address, title); the rest
 are phrases of the licence texts.  One projection does the work, with built-in functions only:
 
-1. texts without any of ``ROOTS`` (plain substring search) are done;
+1. texts without any of ``ROOTS`` (plain substring search, and one pattern) are done;
 2. for the others, the rules whose keyword occurs are run; a match's place in words follows
    from the words of the pieces before it;
 3. detections, sorted by (start, longest, priority, rule), pass one sweep: a detection lying
@@ -116,7 +116,7 @@ gpl-2.0 | 2 | 0.9 | version | either version 2 of the license or at your option
 gpl-3.0 | 2 | 0.9 | version | either version 3 of the license or at your option any later version
 gpl | 3 | 0.7 | gpl | (?:gnu )?gpl(?: ?v?[123])?(?: 0)?(?: only| or later)
 bsd | 2 | 0.9 | redistribution | redistribution and use in source and binary forms with or without modification are permitted
-bsd-3-clause | 2 | 0.9 | endorse | (?:neither the name of .{1,120}? may be used|may not be used) to endorse or promote products derived from this software
+bsd-3-clause | 2 | 0.9 | endorse | (?:neither the name of(?: [^ ]+){1,20}? may be used|may not be used) to endorse or promote products derived from this software
 bsd-4-clause | 2 | 0.9 | advertising | all advertising materials mentioning features or use of this software must display
 mpl-2.0 | 2 | 0.95 | mozilla | this source code form is subject to the terms of the mozilla public license
 epl-2.0 | 2 | 0.9 | eclipse | made available under the terms of the eclipse public license
@@ -136,7 +136,7 @@ all-rights-reserved | 3 | 0.6 | reserved | all rights reserved
 copyright | 4 | 0.3 | copyright | (?:copyright|copr)(?: c)? (?:19|20)[0-9]{2}
 copyright | 4 | 0.3 | copyright | copyright (?:holder|holders|owner|notice|notices)
 proprietary | 2 | 0.8 | proprietary | proprietary and confidential
-proprietary | 2 | 0.8 | unauthori | unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: (?:or|and) (?:copying|use|reproduction|distribution))* (?:of this .{1,60}? )?is (?:strictly )?prohibited
+proprietary | 2 | 0.8 | unauthori | unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: (?:or|and) (?:copying|use|reproduction|distribution))*(?: of this(?: [^ ]+){1,10}?)? is (?:strictly )?prohibited
 non-commercial | 3 | 0.6 | commercial | (?:for )?non ?commercial (?:use|purposes)(?: only)?
 non-commercial | 3 | 0.6 | research | for (?:academic|research)(?: (?:and|or) (?:academic|research|educational))? (?:use|purposes) only
 attribution | 4 | 0.3 | permission | (?:reproduced|reprinted|used) (?:here )?(?:with|by) (?:kind )?permission
@@ -146,11 +146,12 @@ eula | 3 | 0.6 | agreement | end user licen[sc]e agreement
 NOTICE = ("(?:licen[sc]ed|released|distributed|published|available|provided|covered|offered|shared) (?:(?:as|is) )?"
           "(?:under|by|with|subject to)(?: the)?(?: terms and conditions| terms| conditions)?(?: of)?(?: the| a| an)? ")
 
-# Substrings of which every match of any rule has one at least (also across separators of words).
+# Parts of words of which every match of any rule has one at least, or the words of SPLIT_ROOT in turn:
+# what stands in one word of the text stands in the text as it is.
 ROOTS = ("licen", "spdx", "permission", "permitted", "warrant", "redistribut", "copyright", "copr", "gpl", "reserved",
          "endorse", "advertising", "altered", "unencumbered", "waived", "domain", "liable", "proprietary", "unauthori",
-         "commercial", "purposes only", "use only", "cc0", "cc by", "cc-by", "creative", "available under",
-         "royalty", "later version")
+         "commercial", "academic", "research", "cc0", "creative")
+SPLIT_ROOT = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
 def build_rules() -> tuple[Signature, ...]:
@@ -220,7 +221,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_words, base: contract phrases with places, detections: what no other suppresses)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     low = F.lower(text)      # only for the gate: a superset of what A-Z lower-casing finds
-    gate = let(low, lambda t: F.exists(F.array(*map(F.lit, ROOTS)), lambda r: F.contains(t, r)))
+    gate = let(low, lambda t: F.exists(F.array(*map(F.lit, ROOTS)), lambda r: F.contains(t, r)) | t.rlike(SPLIT_ROOT))
 
     def phrase(line: Column, words: str, label: str) -> Column:
         return F.transform(places(line, F.lit(words)), lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))
@@ -247,3 +248,46 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         names(F.col("base.label")).alias("base_labels"),
         names(F.concat("base.label", "detections.label")).alias("labels"),
         F.coalesce(F.array_max("detections.score"), F.lit(0.0)).alias("score"))
+
+
+def _sql_rules() -> str:
+    """Rules as SQL rows; blanks are doubled, so that neighbouring matches have a blank each."""
+    rows = [(-1 - i, p, p.split(" ")[0], 0, label, 0.0) for i, (p, label) in enumerate(BASE)]
+    rows += [(i, r.regex, r.keyword, r.priority, r.label, r.score) for i, r in enumerate(RULES)]
+    wide = lambda x: x.replace(" ?", "(?:@@)?").replace("[^ ]", "[^@]").replace(" ", "  ").replace("(?:@@)?", "(?:  )?").replace("[^@]", "[^ ]")
+    return ", ".join(f"({i}, ' (?:{wide(x)}) ', '{k}', {p}, '{n}', {c})" for i, x, k, p, n, c in rows)
+
+
+ORACLE = r"""
+WITH rules(idx, rx, kw, pri, label, score) AS (VALUES RULES),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+g AS (SELECT rid, ' ' || array_to_string(w, '  ') || ' ' AS line FROM d),
+k AS (
+  SELECT rid, idx, pri, label, score,
+         list_transform(string_split_regex(line, rx), lambda s: len(list_filter(string_split(s, ' '), lambda x: x <> ''))) AS gaps,
+         list_transform(regexp_extract_all(line, rx), lambda s: len(list_filter(string_split(s, ' '), lambda x: x <> ''))) AS hits
+  FROM g JOIN rules ON contains(line, kw) AND regexp_matches(line, rx)),
+f AS (
+  SELECT rid, idx, pri, label, score, hits[i] AS n, list_sum(gaps[1:i]) + coalesce(list_sum(hits[1:i - 1]), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM k)),
+base AS (
+  SELECT rid, count(*) AS n, min(s) AS a, max(s) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM f WHERE idx < 0 GROUP BY rid),
+found AS (SELECT rid, idx, pri, label, score, s, s + n AS e FROM f WHERE idx >= 0),
+kept AS (
+  SELECT rid, label, score FROM found x WHERE NOT EXISTS (
+    SELECT 1 FROM found y WHERE y.rid = x.rid AND y.s <= x.s AND y.e >= x.e AND y.pri <= x.pri
+      AND (y.s <> x.s OR y.e <> x.e OR y.pri < x.pri OR (y.pri = x.pri AND y.idx < x.idx)))),
+labels AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label FROM kept UNION ALL SELECT rid, label FROM f WHERE idx < 0) GROUP BY rid),
+best AS (SELECT rid, max(score) AS score FROM kept GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, CAST(base.a AS BIGINT) AS first_word,
+       CAST(base.z AS BIGINT) AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(labels.labels, '') AS labels,
+       CAST(coalesce(best.score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN labels USING (rid) LEFT JOIN best USING (rid)
+""".replace("RULES", _sql_rules(), 1)

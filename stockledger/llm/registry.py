@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
+    "op4_license_scan": licenses.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,

@@ -33,7 +33,9 @@ SAMPLES = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "MIT-LICENSE mit license",
     "Unlicense", "the unlicense", "Mozilla Public\nLicense 2.0", "mit licenses", "See the LICENSE file", "GNU Lesser General Public Licence",
     "proprietary and confidential", "for non-commercial use only", "apache  license", "general public\tlicense general public license",
-    "licensed as cc0", "MİT LICENSE", "KMIT license", "http://www.apache.org/licenses/LICENSE-2.0.txt"]
+    "licensed as cc0", "MİT LICENSE", "CC\n\nBY 4.0", "cc--by-sa 3.0 unported", "for research  use only",
+    "Neither the name of the X nor of Y may be used to endorse or promote products derived from this software",
+    "Unauthorized copying of this file, via any medium is strictly prohibited", "KMIT license", "http://www.apache.org/licenses/LICENSE-2.0.txt"]
 
 
 def test_rules_compile_and_roots_gate_all_samples(spark):
