@@ -13,7 +13,8 @@ times, into cells of about ``cell_rows`` rows, whatever their density:
 2. a window per cell gives the local result -- the ledger's only exchange;
 3. the cells of split keys are summarised (one row per cell, partial
    aggregation) and a window per key over these summaries gives the carry,
-   stored and joined back on (key, cell).
+   stored and joined back on (key, cell).  Only with split keys is a scan's
+   input stored first, as summary and scan both read it.
 
 The result equals the plain window.  Rows without a time come first (cell 0),
 as NULL does in ascending order, and are never dropped.  Several scans over
@@ -32,7 +33,7 @@ from stockledger.session import scratch_path
 
 _U = Window.unboundedPreceding
 CELL, SPLIT = "__cell", "__split"
-_QUANTILES = 1024
+_QUANTILES = 256
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -64,10 +65,9 @@ def with_cells(df: DataFrame, keys: Sequence[str], at: Column, cell_rows: int) -
     ``at`` is a number that does not fall along the scan's order.
     """
     keys = list(keys)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cell_rows)
+    large = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cell_rows), "large-keys")
     if large.isEmpty():
         return df.withColumn(CELL, F.lit(0))
-    large = stored(large, "large-keys")
     points = [i / _QUANTILES for i in range(1, _QUANTILES)]
     step = F.ceil(F.lit(float(_QUANTILES)) * cell_rows / F.col("__n")).cast("int")
     edges = (join_on_keys(df.select(*keys, at.alias("__at")), large, keys)
@@ -104,6 +104,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     if SPLIT not in df.columns:
         return df.select("*", *[c.alias(o) for o, c in local.items()])
 
+    # the summary and the scan both read the input: kept as a table, neither repeats earlier scans
+    df = stored(df, "scan-input")
     lasts = {**last_upto, **last_before}
     summary = df.where(SPLIT).groupBy(*cell).agg(
         *[F.sum(e).alias(o) for o, e in sums.items()],

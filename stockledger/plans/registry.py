@@ -265,7 +265,7 @@ def _bulk(c: Ctx) -> DataFrame:
 
 
 # the skew cases run on small tables: keys over this many rows are split there
-HOT_CELL_ROWS = 2000
+HOT_CELL_ROWS = 5000
 
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     # A: sources, sinks, schema
