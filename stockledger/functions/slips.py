@@ -65,16 +65,16 @@ def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame
     one = (F.try_variant_get("__v", "$[1]", "string") == F.col("__m")) & F.variant_get("__v", "$[2]", "variant").isNull()
     staged = staged.withColumn("__o", F.variant_get("__v", "$[0]", "variant"))
     obj = F.col("__o")
-    listed = _type(_field(obj, "items"))
-    lines = F.transform(F.try_variant_get(obj, "$.items", "array<variant>"), lambda x: F.struct(
+    # an item that is no object has no item_id
+    staged = staged.withColumn("__items", F.try_variant_get(obj, "$.items", "array<variant>"))
+    lines = F.transform("__items", lambda x: F.struct(
         _text(x, "item_id").alias("item_id"), _whole(x).alias("qty"), _text(x, "description").alias("description"),
         F.when(_type(_field(x, "confidence")) == "", F.lit(DEFAULT_CONFIDENCE)).otherwise(_text(x, "confidence")).alias("confidence"),
-        (F.startswith(_type(x), F.lit("OBJECT")) & (_type(_field(x, "item_id")) == "STRING")
-         & _type(_field(x, "description")).isin("", "VOID", "STRING") & _type(_field(x, "confidence")).isin("", "STRING")).alias("typed")))
+        ((_type(_field(x, "item_id")) == "STRING") & _type(_field(x, "description")).isin("", "VOID", "STRING") & _type(_field(x, "confidence")).isin("", "STRING")).alias("typed")))
     staged = staged.withColumns({
-        "__readable": F.coalesce(one & F.startswith(_type(obj), F.lit("OBJECT")), F.lit(False)),
+        "__readable": F.coalesce(one & F.startswith(F.col("__b"), F.lit("{")), F.lit(False)),
         "__lines": F.coalesce(lines, F.array().cast(LINES[:-2] + ",typed:boolean>>")),
-        "__array": (listed == "") | F.startswith(listed, F.lit("ARRAY"))})
+        "__array": F.col("__items").isNotNull() | _field(obj, "items").isNull()})
     valid = F.forall("__lines", lambda x: F.coalesce(x["typed"] & (x["qty"] >= 1) & x["confidence"].isin(*CONFIDENCE_VALUES), F.lit(False)))
     header = F.lit(True)
     for name in HEADER:
