@@ -42,8 +42,8 @@ class Config:
     dim: int = 16
     min_n: int = 3
     max_n: int = 4
-    train_rows: int = 2000     # bound of the learning sample
-    epochs: int = 10
+    train_rows: int = 3000     # bound of the learning sample
+    epochs: int = 8
     rate: float = 0.3
     decay: float = 1e-4        # pull of vectors towards zero
     seed: int = 7

@@ -92,3 +92,10 @@ def test_sample_is_bounded(spark):
     lab = spark.range(300).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
     rows = Q.training_rows(d, lab, label="quality", usable=F.lit(True), id_col="doc_id", text_col="text", cfg=Q.Config(train_rows=40))
     assert len(rows.labels) == 40 and len(rows.starts) == 41 and rows.starts[-1] == len(rows.ids) == len(rows.weights)
+
+
+def test_default_sample_takes_three_thousand_labelled_rows(spark):
+    d = spark.range(3200).selectExpr("id AS doc_id", "concat('t ', id) AS text")
+    lab = spark.range(3200).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = Q.training_rows(d, lab, label="quality", usable=F.lit(True), id_col="doc_id", text_col="text", cfg=Q.Config())
+    assert len(rows.labels) == 3000 and Q.Config().epochs == 8
