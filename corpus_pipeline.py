@@ -6,8 +6,9 @@ last return the columns of their input.  Rows are kept or dropped by their own t
 stage needs no join back to its input where its operator works row by row.
 
 Cases: each stage inherits those of its operator.  Rows with a null id pass the filters by
-their text; in near-duplicates they go if their component has a document with an id, else one of
-each text stays.  Repeated rows of one id count as copies: one stays.
+their text; in near-duplicates they go if their component has a document with an id, else one
+row of the component stays.  Rows that repeat an id count as copies if their texts are linked:
+every component keeps one row, whatever ids stand in other components.
 """
 
 from __future__ import annotations
@@ -56,13 +57,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every SimHash component."""
-    found = stored(simhash.near_duplicates(docs), "near-duplicates")
-    keep, nth = fresh(docs.columns, "keep"), fresh(docs.columns, "nth")
-    first = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(keep)).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(keep)))
-    # an id that stands several times is numbered, rows without an id by their text
-    same = Window.partitionBy(keep, F.when(F.col(keep).isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), F.length("text"))
+    """Keep one row of every SimHash component: the first by id (null ids last), then by a hash of the text."""
+    key, a, b, nth = (fresh(docs.columns, n) for n in ("key", "a", "b", "nth"))
+    none = F.col("doc_id").isNull()
+    # two hashes name a row's id and text together; equal rows of one name always share a component
+    hashes = [F.xxhash64(none, "doc_id", "text"), F.xxhash64("text", "doc_id", none)]
+    named = docs.withColumn(key, F.struct(none.alias("none"), F.col("doc_id").alias("doc_id"), hashes[0].alias("a"), hashes[1].alias("b")))
+    first = simhash.near_duplicates(named, id_col=key).select(F.col("component.a").alias(a), F.col("component.b").alias(b)).distinct()
+    kept = docs.withColumn(a, hashes[0]).withColumn(b, hashes[1]).join(stored(first, "near-duplicates"), [a, b])
+    # copies of the first row with the same id and text are numbered
+    same = Window.partitionBy(a, b).orderBy(a)
     return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
 
 

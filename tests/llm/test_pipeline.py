@@ -77,3 +77,14 @@ def test_entry_works_without_this_subpackage():
     root = os.path.dirname(importlib.import_module("corpus_pipeline").__file__)
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "False", done.stderr[-500:]
+
+
+def test_every_component_keeps_one_row(spark, docs):
+    """Repeated ids with unlinked texts, and a component of null ids beside null-id copies of a document with an id."""
+    word = lambda seed: " ".join(f"w{seed}x{i * i + seed}" for i in range(40))
+    a, b, c, d = map(word, (1, 2, 3, 4))
+    rows = [(1, a), (1, b), (2, c), (1, c + " "), (5, d), (5, d), (None, a), (None, a + "\n"), (None, word(5)), (None, word(5) + " "), (None, word(5))]
+    odd = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], docs.schema)
+    assert len(set(brute_fp(t) for _, t in rows)) == 5
+    got = sorted(((r.doc_id, r.text.strip()) for r in P.near_duplicates(spark, odd, SF).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (1, c), (5, d), (None, word(5))], key=str)
