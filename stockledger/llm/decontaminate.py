@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import ALNUM_WORD, read, stored, table_bytes
+from stockledger.llm.common import ALNUM_WORD, fresh, read, stored, table_bytes
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -186,30 +186,46 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
                  item_text: str = "text", n: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The documents with every hit word (and the separators inside hit spans) cut out of the text."""
+    """The documents with every hit word (and the separators inside hit spans) cut out of the text.
+
+    Every shard is searched in the original text; its spans travel with the row and the text is cut once.
+    """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    out = docs
+    out = docs.withColumn(fresh(docs.columns, "spans"), F.array().cast("array<struct<start:long,end:long>>"))
+    kind = out.schema
     for items in shards(benchmark, item_col, item_text, shard_bytes):
         held = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             grams = NgramSet(held.value, n)
             for b in batches:
-                texts = [cut(t.as_py(), grams) for t in b.column(at)]
-                cols = list(b.columns)
-                cols[at] = pa.array(texts, b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+                spans = [merge([*((s["start"], s["end"]) for s in old.as_py()), *grams.find(words_of(t.as_py()))[0]])
+                         for t, old in zip(b.column(at), b.columns[-1])]
+                found = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], b.schema.types[-1])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], schema=b.schema)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, kind)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [cut_at(t.as_py(), [(s["start"], s["end"]) for s in spans.as_py()]) for t, spans in zip(b.column(at), b.columns[-1])]
+            cols = list(b.columns)[:-1]
+            cols[at] = pa.array(texts, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return out.mapInArrow(finish, docs.schema)
 
 
 def cut(text: str | None, grams: NgramSet) -> str | None:
-    if not text:
+    return cut_at(text, grams.find(words_of(text))[0])
+
+
+def cut_at(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words of the merged ``spans``."""
+    if not text or not spans:
         return text
     low = text.translate(_LOWER)       # character by character: places are the same
     places = [m.span() for m in _WORD.finditer(low)]
-    spans, _ = grams.find([low[a:b] for a, b in places])
     out, last = [], 0
     for s, e in spans:
         out.append(text[last:places[s][0]])

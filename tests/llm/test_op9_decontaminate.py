@@ -85,3 +85,17 @@ def test_query_digest(spark, tmp_path):
     rows = {r.doc_id: r for r in D.op9_decontaminate(spark, str(tmp_path)).collect()}
     assert rows[1].items_sha256 == hashlib.sha256(b"10,9").hexdigest() and rows[1].n_items == 2 and rows[1].contaminated
     assert rows[2].items_sha256 == hashlib.sha256(b"").hexdigest() and not rows[2].contaminated
+
+
+def test_removed_spans_do_not_depend_on_shards(spark):
+    docs, items = inputs()
+    docs += [(70, "a b c d e f"), (71, "x y a b c d z w")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("__spans", F.lit(2))
+    for some in (items, [(1, "a b c d"), (2, "c d e f")], [(1, "a b c d"), (2, "x y z w")]):
+        grams = D.NgramSet([(str(i), t) for i, t in some], 4)
+        want = sorted(((i, D.cut(t, grams)) for i, t in docs), key=str)
+        b = spark.createDataFrame(some, "item_id long, text string").coalesce(1)
+        for size in (1 << 20, 24):
+            got = D.remove_spans(d, b, n=4, shard_bytes=size)
+            assert got.columns == d.columns
+            assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
