@@ -2,7 +2,7 @@
 
 ``RULES`` is an ordered table of regexes over a text's words (A-Z lower-cased, one blank
 between words), each with a keyword, a priority, a label and a score.  Most are a licence's
-hand-written name put into one of a few forms (SPDX tag, notice, address, title); the rest
+hand-written name put into one of a few forms (SPDX tag, notice with the name or the tag, address, title); the rest
 are phrases of the licence texts.  One projection does the work, with built-in functions only:
 
 1. texts without any of ``ROOTS`` (plain substring search, and one pattern) are done;
@@ -18,6 +18,7 @@ a row.  Only the id and text columns are read; other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,7 @@ mit | mit(?: x11)? licen[sc]e | mit | opensource org licenses mit | mit
 mit-0 | mit no attribution(?: licen[sc]e)? | mit 0 | opensource org licenses mit 0 | attribution
 apache-1.1 | apache (?:software )?licen[sc]e (?:version |v)?1 1 | apache 1 1 | apache org licenses license 1 1 | apache
 apache-2.0 | apache (?:software )?licen[sc]e(?: version| v)? ?2(?: 0)? | apache 2 0 | apache org licenses license 2 0 | apache
+apache | apache (?:software )?licen[sc]e | apache | apache org licenses | apache
 gpl-2.0 | (?:gnu )?general public licen[sc]e(?: version| v)? ?2(?: 0)? | gpl 2 0(?: only| or later)? | gnu org licenses(?: old licenses)? gpl 2 0 | general
 gpl-3.0 | (?:gnu )?general public licen[sc]e(?: version| v)? ?3(?: 0)? | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0 | general
 gpl | (?:gnu )?general public licen[sc]e | gpl | gnu org licenses gpl | general
@@ -124,7 +126,7 @@ boost | 2 | 0.9 | permission | permission is hereby granted free of charge to an
 zlib | 2 | 0.9 | altered | altered source versions must be plainly marked as such
 unlicense | 2 | 0.95 | unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | 2 | 0.9 | permitted | everyone is permitted to copy and distribute verbatim or modified copies of this license document
-ofl | 2 | 0.9 | reserved | this font software is licensed under the sil open font license
+ofl | 2 | 0.9 | font | this font software is licensed under the sil open font license
 cc0 | 2 | 0.9 | waived | (?:has|have) waived all copyright and related (?:or|and) neighbou?ring rights
 public-domain | 2 | 0.85 | domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
 public-domain | 3 | 0.5 | domain | (?:is|are) in the public domain
@@ -133,25 +135,43 @@ no-warranty | 3 | 0.4 | warranties | without warranties or conditions of any kin
 no-warranty | 3 | 0.4 | warranty | comes with absolutely no warranty
 no-liability | 3 | 0.4 | liable | in no event shall the (?:authors?|copyright holders?|contributors?)(?: or (?:authors?|copyright holders?|contributors?))* be liable
 all-rights-reserved | 3 | 0.6 | reserved | all rights reserved
-copyright | 4 | 0.3 | copyright | (?:copyright|copr)(?: c)? (?:19|20)[0-9]{2}
+copyright | 4 | 0.3 | cop | (?:copyright|copr)(?: c)? (?:19|20)[0-9]{2}
 copyright | 4 | 0.3 | copyright | copyright (?:holder|holders|owner|notice|notices)
 proprietary | 2 | 0.8 | proprietary | proprietary and confidential
 proprietary | 2 | 0.8 | unauthori | unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: (?:or|and) (?:copying|use|reproduction|distribution))*(?: of this(?: [^ ]+){1,10}?)? is (?:strictly )?prohibited
 non-commercial | 3 | 0.6 | commercial | (?:for )?non ?commercial (?:use|purposes)(?: only)?
-non-commercial | 3 | 0.6 | research | for (?:academic|research)(?: (?:and|or) (?:academic|research|educational))? (?:use|purposes) only
+non-commercial | 3 | 0.6 | academic | for academic(?: (?:and|or) (?:academic|research|educational))? (?:use|purposes) only
+non-commercial | 3 | 0.6 | research | for research(?: (?:and|or) (?:academic|research|educational))? (?:use|purposes) only
 attribution | 4 | 0.3 | permission | (?:reproduced|reprinted|used) (?:here )?(?:with|by) (?:kind )?permission
 eula | 3 | 0.6 | agreement | end user licen[sc]e agreement
 """
 
-NOTICE = ("(?:licen[sc]ed|released|distributed|published|available|provided|covered|offered|shared) (?:(?:as|is) )?"
-          "(?:under|by|with|subject to)(?: the)?(?: terms and conditions| terms| conditions)?(?: of)?(?: the| a| an)? ")
+# label | short name in notices, with or without a suffix
+SHORT = """
+gpl-2.0 | (?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?
+gpl-3.0 | (?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?
+gpl | (?:gnu )?gpl(?: ?v?1(?: 0)?)?(?: only| or later)?
+lgpl-2.1 | (?:gnu )?lgpl ?v?2 1(?: only| or later)?
+lgpl-3.0 | (?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?
+lgpl | (?:gnu )?lgpl(?: ?v?2(?: 0)?)?(?: only| or later)?
+agpl-3.0 | (?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?
+agpl | (?:gnu )?agpl(?: ?v?1(?: 0)?)?(?: only| or later)?
+"""
+
+_VERB = "(?:licen[sc]ed|released|distributed|published|available|provided|covered|offered|shared)"
+_TERMS = "(?: the)?(?: terms and conditions| terms| conditions)?(?: of)?(?: the| a| an)? "
+NOTICE = _VERB + " (?:(?:as|is) )?(?:under|by|with|subject to)" + _TERMS
+# a bare tag is often a project's or a place's name too ("provided by MIT"): only "under" makes it a licence
+TAG_NOTICE = _VERB + " (?:(?:as|is) )?under" + _TERMS
 
-# Parts of words of which every match of any rule has one at least, or the words of SPLIT_ROOT in turn:
+# Parts of words of which every match of any rule has one at least, or the words of a SPLIT_ROOT in turn:
 # what stands in one word of the text stands in the text as it is.
 ROOTS = ("licen", "spdx", "permission", "permitted", "warrant", "redistribut", "copyright", "copr", "gpl", "reserved",
          "endorse", "advertising", "altered", "unencumbered", "waived", "domain", "liable", "proprietary", "unauthori",
-         "commercial", "academic", "research", "cc0", "creative")
-SPLIT_ROOT = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+         "commercial", "academic", "research", "attribution", "cc0", "creative", "mozilla", "eclipse", "eupl", "bsl11", "wtfpl", "openrail")
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPLIT_ROOT = f"cc{_GAP}by|sil{_GAP}org{_GAP}ofl"
+UNDER_ROOT = f"(?:released|distributed|published|available|provided|covered|offered|shared){_GAP}(?:(?:as|is){_GAP})?under"
 
 
 def build_rules() -> tuple[Signature, ...]:
@@ -162,8 +182,11 @@ def build_rules() -> tuple[Signature, ...]:
                 Signature(NOTICE + name, keyword, label, 2, 0.95),
                 Signature(f"(?:licen[sc]e|licen[sc]es) (?:is )?{spdx}", "licen", label, 3, 0.8),
                 Signature(name, keyword, label, 3, 0.7)]
-        if "licen" in address or "creative" in address:
-            out.append(Signature(f"(?:https? )?(?:www )?{address}(?: (?:html|txt|php|md))?", address.split(" ")[0], label, 2, 0.9))
+        out += [Signature(TAG_NOTICE + spdx, re.match("[a-z0-9]*", spdx)[0] or "under", label, 2, 0.9),
+                Signature(f"(?:https? )?(?:www )?{address}(?: (?:html|txt|php|md))?", address.split(" ")[0], label, 2, 0.9)]
+    for line in SHORT.strip().splitlines():
+        label, name = (x.strip() for x in line.split(" | "))
+        out.append(Signature(NOTICE + name, "gpl", label, 2, 0.9))
     for line in PHRASES.strip().splitlines():
         label, priority, score, keyword, regex = (x.strip() for x in line.split(" | "))
         out.append(Signature(regex, keyword, label, int(priority), float(score)))
@@ -221,7 +244,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_words, base: contract phrases with places, detections: what no other suppresses)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     low = F.lower(text)      # only for the gate: a superset of what A-Z lower-casing finds
-    gate = let(low, lambda t: F.exists(F.array(*map(F.lit, ROOTS)), lambda r: F.contains(t, r)) | t.rlike(SPLIT_ROOT))
+    gate = let(low, lambda t: F.exists(F.array(*map(F.lit, ROOTS)), lambda r: F.contains(t, r)) | t.rlike(SPLIT_ROOT)
+               | (F.contains(t, F.lit("under")) & t.rlike(UNDER_ROOT)))
 
     def phrase(line: Column, words: str, label: str) -> Column:
         return F.transform(places(line, F.lit(words)), lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))

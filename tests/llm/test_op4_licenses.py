@@ -60,3 +60,45 @@ def test_empty_table_and_native_plan(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def example(parsed, rng):
+    """A random text that the parsed regex matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, what = arg[0]
+            out += "x" if str(kind) == "NEGATE" else chr(what[0] if str(kind) == "RANGE" else rng.choice(arg)[1])
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "SUBPATTERN":
+            out += example(arg[-1], rng)
+        elif name == "BRANCH":
+            out += example(rng.choice(arg[1]), rng)
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT")
+            out += "".join(example(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+    return out
+
+
+def test_every_rule_has_its_keyword_and_a_root():
+    rng = random.Random(5)
+    for r in L.RULES:
+        for _ in range(60):
+            t = example(re._parser.parse(r.regex), rng)
+            assert re.fullmatch(r.regex, t) and r.keyword in t, (r, t)
+            assert any(x in t for x in L.ROOTS) or re.search(L.SPLIT_ROOT, t) or re.search(L.UNDER_ROOT, t), (r, t)
+
+
+def test_lone_statements_get_their_label(spark):
+    want = {"https://www.mozilla.org/MPL/2.0/": "mpl-2.0", "https://scripts.sil.org/OFL": "ofl", "http://www.wtfpl.net": "wtfpl",
+            "https://www.eclipse.org/legal/epl-2.0": "epl-2.0", "mariadb.com/bsl11": "busl", "Apache License": "apache",
+            "released under the GPLv3": "gpl-3.0", "licensed under Apache-2.0": "apache-2.0", "Released under MIT": "mit",
+            "distributed under the GPL": "gpl", "Copr. 2019": "copyright", "for academic use only": "non-commercial",
+            "provided by MIT": "", "released as under way": ""}
+    d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.id: ",".join(x.label for x in r.detections) for r in L.scan(d).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
