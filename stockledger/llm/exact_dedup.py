@@ -50,7 +50,8 @@ def frequent(each: DataFrame, *, counters: int = COUNTERS) -> DataFrame:
     tracked = counters * TRACKED
     part = each.select("sha", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("g")) \
         .groupBy("g").agg(F.expr(f"approx_top_k_accumulate(sha, {tracked})").alias("s"))
-    whole = part.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    # grouped by a constant: without rows there is no sketch to combine
+    whole = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
     return whole.select(F.explode(F.expr(f"approx_top_k_estimate(s, {counters})")).alias("c")).select(F.col("c.item").alias("sha"))
 
 
