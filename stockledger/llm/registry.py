@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockledger.llm import decontaminate, exact_dedup, language, licenses, mixing, quality_model, quality_rules, simhash, tokens, url_filter, warc, whitening
+from stockledger.llm import conversations, decontaminate, exact_dedup, language, licenses, mixing, quality_model, quality_rules, simhash, tokens, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_whitening": whitening.op12_whitening,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
