@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
 from stockledger.operators.latest import latest_signals, status_rank
-from stockledger.operators.ordered import micros, ordered_scan, with_cells
+from stockledger.operators.ordered import ordered_scan, with_cells
 
 
 def orphan_signals(signals: DataFrame, scans: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def illegal_transitions(signals: DataFrame, params: Params = DEFAULT) -> DataFra
     with a very long history is not ranked in one task.
     """
     s = signals.withColumn("__rk", status_rank()).withColumn("__idk", F.coalesce(F.col("id"), F.lit(-1)))
-    p = ordered_scan(with_cells(s, ["signal_id"], micros("created_ts"), params.scan_cell_rows), ["signal_id"],
-                     ["created_ts", "__idk", "__rk"], last_before={"prev_status": F.col("status")})
+    order = ["created_ts", "__idk", "__rk"]
+    p = ordered_scan(with_cells(s, ["signal_id"], order, params.scan_cell_rows), ["signal_id"], order, last_before={"prev_status": F.col("status")})
     ok = F.lit(False)
     for a, b in sorted(ALLOWED):
         ok = ok | ((F.col("prev_status") == a) & (F.col("status") == b))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators.ordered import CELL, SPLIT, join_on_keys, micros, stored, with_cells
+from stockledger.operators.ordered import CELL, join_on_keys, micros, stored, with_cells
 
 _MICRO = 1_000_000
 _NONE = np.iinfo(np.int64).min
@@ -100,7 +100,7 @@ def _runs(df: DataFrame, keys: list[str], order: list[str], break_on: str | None
     cell = [*keys, CELL]
     spare = [F.col(break_on).alias("__code")] if break_on else []
     src = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(cell)], micros(order[0]).alias("__t"), *spare,
-                    *[c for c in df.columns if c not in (CELL, SPLIT)])
+                    *[c for c in df.columns if c != CELL])
     dealt = [f"__k{i}" for i in range(len(cell))]
     return src.repartition(*dealt).sortWithinPartitions(*dealt, "__t", F.col(order[1]))
 
@@ -163,12 +163,13 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
         kept = kept.filter(~F.col("__seed")).drop("__seed")
         return kept if with_flag else kept.filter(F.col("kept")).drop("kept")
 
-    df = with_cells(scans, keys, micros(ts_col), params.scan_cell_rows)
+    order = [ts_col, id_col]
+    cells = with_cells(scans, keys, order, params.scan_cell_rows)
     n_keys = len(keys) + 1
-    if SPLIT in df.columns:
-        df = join_on_keys(df, _entries(df, keys, [ts_col, id_col], break_on, window), [*keys, CELL], "left")
+    if cells.split is not None:
+        df = join_on_keys(cells.rows, _entries(cells.split, keys, order, break_on, window), [*keys, CELL], "left")
     else:
-        df = df.withColumns({"__last": F.lit(None).cast("bigint"), "__goes_on": F.lit(False)})
+        df = cells.rows.withColumns({"__last": F.lit(None).cast("bigint"), "__goes_on": F.lit(False)})
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # last kept time, time and code of the scan before; ``goes_on``: the cell's first timed scan is still to come
@@ -200,18 +201,18 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(np.concatenate(flags))], [*cols, "kept"])
 
     schema = StructType([*scans.schema.fields, StructField("kept", BooleanType())])
-    out = _runs(df, keys, [ts_col, id_col], break_on).mapInArrow(flag, schema)
+    out = _runs(df, keys, order, break_on).mapInArrow(flag, schema)
     return out if with_flag else out.filter(F.col("kept")).drop("kept")
 
 
-def _entries(df: DataFrame, keys: list[str], order: list[str], break_on: str | None, window: int) -> DataFrame:
+def _entries(split: DataFrame, keys: list[str], order: list[str], break_on: str | None, window: int) -> DataFrame:
     """(keys, cell, __last, __goes_on): the last kept time before each cell of the split keys, and whether
     the cell's first scan continues a session."""
     cell = [*keys, CELL]
     names = [f"__k{i}" for i in range(len(cell))]
-    ddl = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, cell))
-    code = df.schema[break_on].dataType.simpleString() if break_on else "string"
-    split = df.where(SPLIT).select(*dict.fromkeys([*cell, *order, *([break_on] if break_on else [])]))
+    ddl = ", ".join(f"{n} {split.schema[k].dataType.simpleString()}" for n, k in zip(names, cell))
+    code = split.schema[break_on].dataType.simpleString() if break_on else "string"
+    split = split.select(*dict.fromkeys([*cell, *order, *([break_on] if break_on else [])]))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per cell; a cell's times (about scan_cell_rows) are held together."""

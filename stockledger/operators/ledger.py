@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
-from stockledger.operators.ordered import micros, ordered_scan, with_cells, without_cells
+from stockledger.operators.ordered import ordered_scan, with_cells
 
 
 def signed_qty(type_col: str = "event_type", qty_col: str = "qty"):
@@ -19,9 +19,9 @@ def signed_qty(type_col: str = "event_type", qty_col: str = "qty"):
 
 def running_on_hand(scans: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Stock of the item after each event, in (event_ts, event_id) order."""
-    cells = with_cells(scans, ["item_id"], micros("event_ts"), params.scan_cell_rows)
-    return without_cells(ordered_scan(cells, ["item_id"], ["event_ts", "event_id"],
-                                      sums={"on_hand_qty": signed_qty().cast("bigint")}))
+    order = ["event_ts", "event_id"]
+    return ordered_scan(with_cells(scans, ["item_id"], order, params.scan_cell_rows), ["item_id"], order,
+                        sums={"on_hand_qty": signed_qty().cast("bigint")})
 
 
 def movement_summary(scans: DataFrame) -> DataFrame:
@@ -84,8 +84,8 @@ def inventory_as_of(scans: DataFrame, probes: DataFrame, params: Params = DEFAUL
     pr = probes.select("item_id", F.col("probe_ts").alias("event_ts"), F.lit(1).alias("__k"),
                        F.lit(None).cast("string").alias("__id"), F.lit(0).cast("bigint").alias("__d"))
     u = ev.unionByName(pr)
-    s = ordered_scan(with_cells(u, ["item_id"], micros("event_ts"), params.scan_cell_rows), ["item_id"],
-                     ["event_ts", "__k", "__id"], sums={"on_hand_qty": F.col("__d")})
+    order = ["event_ts", "__k", "__id"]
+    s = ordered_scan(with_cells(u, ["item_id"], order, params.scan_cell_rows), ["item_id"], order, sums={"on_hand_qty": F.col("__d")})
     return s.filter(F.col("__k") == 1).select("item_id", F.col("event_ts").alias("probe_ts"), "on_hand_qty") \
         .dropDuplicates(["item_id", "probe_ts"])
 

@@ -4,36 +4,37 @@ A running sum or a "last non-null so far" per key is a window
 ``partitionBy(key).orderBy(...)``; all rows of a key meet in one task.  Here
 the rows of a key lie in cells (key, cell number).  A key of at most
 ``cell_rows`` rows is one cell, so its scan is exactly that window: one
-exchange, no carry.  Only larger keys are split, at quantiles of their own
-times, into cells of about ``cell_rows`` rows, whatever their density:
-
-1. ``with_cells`` numbers the cells; the sizes of the keys come from one
-   pre-aggregated count, the split points from ``percentile_approx`` over the
-   large keys' rows only (at most rows / cell_rows split points in all);
-2. a window per cell gives the local result -- the ledger's only exchange;
-3. the cells of split keys are summarised (one row per cell, partial
-   aggregation) and a window per key over these summaries gives the carry,
-   stored and joined back on (key, cell).  Only with split keys is a scan's
-   input stored first, as summary and scan both read it.
-
-The result equals the plain window.  Rows without a time come first (cell 0),
-as NULL does in ascending order, and are never dropped.  Several scans over
-the same keys and order share the cells, and with them the exchange and sort.
+exchange, no carry.  Only larger keys are split:
+
+1. ``with_cells`` finds them by one pre-aggregated count and stores their rows,
+   range-partitioned by (key, order) into as many parts as hold ``cell_rows``
+   rows each; a part is a cell.  Spark's range partitioner samples the bounds,
+   whatever the density of a key's times and however large it is; no other
+   row is stored.
+2. Each stored cell is summarised (one row per cell, partial aggregation); a
+   window per key over these summaries gives every cell its carry, the state
+   before its first row.  Carries are stored, one row per cell.
+3. One window per (key, cell) over all rows gives the result from the carry --
+   the only exchange of the other keys' rows.
+
+The result equals the plain window.  Rows without a time come first, as NULL
+does in ascending order, and are never dropped.  Several scans over the same
+keys and order (see ``lifecycle``) share the cells, the exchange and the sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from stockledger.session import scratch_path
 
 _U = Window.unboundedPreceding
-CELL, SPLIT = "__cell", "__split"
-_QUANTILES = 256
+CELL = "__cell"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,62 +60,72 @@ def micros(ts_col: str) -> Column:
     return F.unix_micros(F.col(ts_col).cast("timestamp"))
 
 
-def with_cells(df: DataFrame, keys: Sequence[str], at: Column, cell_rows: int) -> DataFrame:
-    """Add the cell number (and, if any key is split, whether its key is).
+@dataclass(frozen=True)
+class Cells:
+    """``rows``: all rows with their cell number; ``split``: the stored rows of the split keys, None without such a key."""
+    rows: DataFrame
+    split: DataFrame | None
 
-    ``at`` is a number that does not fall along the scan's order.
-    """
+
+def with_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell_rows: int) -> Cells:
+    """Number the cells of ``df``: 0 for a whole key, 1 and up, in order, for the parts of split keys."""
     keys = list(keys)
     large = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cell_rows), "large-keys")
-    if large.isEmpty():
-        return df.withColumn(CELL, F.lit(0))
-    points = [i / _QUANTILES for i in range(1, _QUANTILES)]
-    step = F.ceil(F.lit(float(_QUANTILES)) * cell_rows / F.col("__n")).cast("int")
-    edges = (join_on_keys(df.select(*keys, at.alias("__at")), large, keys)
-             .groupBy(*keys).agg(F.percentile_approx("__at", points, 10 * _QUANTILES).alias("__q"), F.first("__n").alias("__n"))
-             .select(*keys, F.array_distinct(F.filter("__q", lambda x, i: (i + 1) % step == 0)).alias("__edges")))
-    out = join_on_keys(df, stored(edges, "split-points"), keys, "left")
-    cell = F.size(F.filter("__edges", lambda e: e < at))
-    return (out.withColumn(CELL, F.when(F.col("__edges").isNull() | at.isNull(), F.lit(0)).otherwise(cell))
-            .withColumn(SPLIT, F.col("__edges").isNotNull()).drop("__edges"))
+    rows = large.agg(F.sum("__n").alias("n")).first()["n"]
+    if not rows:
+        return Cells(df.withColumn(CELL, F.lit(0)), None)
+    names = large.select(*keys)
+    # kept first: the range partitioner samples its input, which would derive all rows once more
+    found = stored(join_on_keys(df, names, keys, "left_semi"), "large-key-rows")
+    dealt = found.repartitionByRange(-(-rows // cell_rows), *keys, *order)
+    split = stored(dealt.withColumn(CELL, F.spark_partition_id() + 1), "split-keys")
+    whole = join_on_keys(df, names, keys, "left_anti").withColumn(CELL, F.lit(0))
+    return Cells(whole.unionByName(split), split)
+
+
+def in_cell(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys, CELL).orderBy(*order)
+
+
+def cells_before(keys: Sequence[str]) -> WindowSpec:
+    """Over one row per cell: the cells of the same key before this one."""
+    return Window.partitionBy(*keys).orderBy(CELL).rowsBetween(_U, -1)
+
+
+def upto(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(_U, Window.currentRow)
+
+
+def before(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(_U, -1)
 
 
-def without_cells(df: DataFrame) -> DataFrame:
-    return df.drop(CELL, SPLIT)
+def plus(value: Column, carry: Column) -> Column:
+    """A running sum and its carry; NULL as in the plain window only where both are."""
+    return F.coalesce(value + carry, value, carry)
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
+def ordered_scan(cells: Cells, keys: Sequence[str], order: Sequence[str], *,
                  sums: dict[str, Column] | None = None,
-                 last_upto: dict[str, Column] | None = None,
                  last_before: dict[str, Column] | None = None) -> DataFrame:
-    """Add per-key running columns in ``order`` to a frame ``with_cells``.
+    """Add per-key running columns in ``order``.
 
     sums:        out -> expr; running sum including the current row.
-    last_upto:   out -> expr; last non-null value at or before the current row.
     last_before: out -> expr; last non-null value strictly before the current row.
     """
-    sums, last_upto, last_before = sums or {}, last_upto or {}, last_before or {}
-    cell = [*keys, CELL]
-    order_cols = [F.col(c) for c in order]
-    w = Window.partitionBy(*cell).orderBy(*order_cols)
-    w_in, w_ex = w.rowsBetween(_U, Window.currentRow), w.rowsBetween(_U, -1)
-    local = {o: F.sum(e).over(w_in) for o, e in sums.items()}
-    local |= {o: F.last(e, ignorenulls=True).over(w_in) for o, e in last_upto.items()}
-    local |= {o: F.last(e, ignorenulls=True).over(w_ex) for o, e in last_before.items()}
-    if SPLIT not in df.columns:
-        return df.select("*", *[c.alias(o) for o, c in local.items()])
-
-    # the summary and the scan both read the input: kept as a table, neither repeats earlier scans
-    df = stored(df, "scan-input")
-    lasts = {**last_upto, **last_before}
-    summary = df.where(SPLIT).groupBy(*cell).agg(
+    sums, last_before = sums or {}, last_before or {}
+    w, cols = in_cell(keys, order), [c for c in cells.rows.columns if c != CELL]
+    local = {o: F.sum(e).over(upto(w)) for o, e in sums.items()}
+    local |= {o: F.last(e, ignorenulls=True).over(before(w)) for o, e in last_before.items()}
+    if cells.split is None:
+        return cells.rows.select(*cols, *[c.alias(o) for o, c in local.items()])
+
+    summary = cells.split.groupBy(*keys, CELL).agg(
         *[F.sum(e).alias(o) for o, e in sums.items()],
-        *[F.max_by(e, F.when(e.isNotNull(), F.struct(*order_cols))).alias(o) for o, e in lasts.items()])
-    w_c = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(_U, -1)
-    carry = stored(summary.select(*cell, *[F.sum(o).over(w_c).alias(f"__c_{o}") for o in sums],
-                                  *[F.last(o, ignorenulls=True).over(w_c).alias(f"__c_{o}") for o in lasts]), "carry")
-    joined = join_on_keys(df.select("*", *[c.alias(f"__l_{o}") for o, c in local.items()]), carry, cell, "left")
-    # an empty running sum is NULL, as in the plain window, unless either side has a value
-    total = {o: F.coalesce(F.col(f"__l_{o}") + F.col(f"__c_{o}"), F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o in sums}
-    total |= {o: F.coalesce(F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o in lasts}
-    return joined.select(*df.columns, *[c.alias(o) for o, c in total.items()])
+        *[F.max_by(e, F.when(e.isNotNull(), F.struct(*order))).alias(o) for o, e in last_before.items()])
+    w_c = cells_before(keys)
+    carry = stored(summary.select(*keys, CELL, *[F.sum(o).over(w_c).alias(f"__c_{o}") for o in sums],
+                                  *[F.last(o, ignorenulls=True).over(w_c).alias(f"__c_{o}") for o in last_before]), "carry")
+    total = {o: plus(local[o], F.col(f"__c_{o}")) for o in sums}
+    total |= {o: F.coalesce(local[o], F.col(f"__c_{o}")) for o in last_before}
+    return join_on_keys(cells.rows, carry, [*keys, CELL], "left").select(*cols, *[c.alias(o) for o, c in total.items()])

@@ -360,7 +360,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "signal_lifecycle_lineitem": lambda c: lifecycle.signal_lifecycle(
         M.silver_scan_events(c.lineitem_scans), None, c.p),
     "signal_lifecycle_hot_item": lambda c: lifecycle.signal_lifecycle(
-        M.silver_scan_events(bridge.with_hot_key(c.lineitem_scans, bridge.hex_source_id())), None,
+        bridge.with_hot_key(M.silver_scan_events(c.lineitem_scans), bridge.hex_source_id()), None,
         c.p.with_(scan_cell_rows=HOT_CELL_ROWS)),
     "debounce": lambda c: debounce.debounce(c.rescans, 3.0, params=c.p).select("event_id", "event_ts",
                                                                                 "barcode_raw"),

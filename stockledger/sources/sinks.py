@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockledger.config import DEFAULT, Params
 from stockledger.operators.latest import latest_signals, status_rank
 from stockledger.operators.ledger import all_inventory
-from stockledger.operators.ordered import micros, ordered_scan, with_cells
+from stockledger.operators.ordered import ordered_scan, with_cells
 
 
 def materialize(df: DataFrame, target: str, name: str, quality: str,
@@ -66,8 +66,8 @@ def migrate_signals_v1_to_v2(df: DataFrame, params: Params = DEFAULT) -> DataFra
         out = out.withColumnRenamed("current_qty", "triggered_at_qty")
     if "id" not in out.columns:
         out = out.withColumn("__rk", status_rank())
-        cells = with_cells(out, ["signal_id"], micros("created_ts"), params.scan_cell_rows)
-        out = ordered_scan(cells, ["signal_id"], ["created_ts", "__rk"], sums={"id": F.lit(1).cast("bigint")})
+        order = ["created_ts", "__rk"]
+        out = ordered_scan(with_cells(out, ["signal_id"], order, params.scan_cell_rows), ["signal_id"], order, sums={"id": F.lit(1).cast("bigint")})
     return out.select("id", "signal_id", "created_ts", "item_id", "triggered_at_qty", "reorder_point",
                       "reorder_qty", "trigger_event_id", "status")
 
