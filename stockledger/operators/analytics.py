@@ -2,10 +2,15 @@
 
 ``as_of`` defaults to the newest event time of the input, taken as a scalar
 subquery (planned once, no driver round trip), so results are repeatable.
+Questions about a few days take ``as_of`` as a literal (``newest_event``): their
+bounds on ``event_ts`` then reach the source, which skips row groups and
+folders outside them.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,16 +20,34 @@ from stockledger.functions.columns import seconds_between, stock_status
 from stockledger.operators.latest import latest_signals, signal_order
 
 
-def as_of_col(scans: DataFrame, as_of: str | Column | None = None) -> Column:
+AsOf = str | dt.datetime | Column | None
+
+
+def as_of_col(scans: DataFrame, as_of: AsOf = None) -> Column:
     if as_of is not None:
         return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz")
     return scans.agg(F.max("event_ts")).scalar()
 
 
-def newest_event(stored: DataFrame) -> Column:
-    """The newest event time of a log stored by ``event_date``: only its last folder is read."""
-    last = stored.agg(F.max("event_date")).scalar()
-    return stored.filter(F.col("event_date") == last).agg(F.max("event_ts")).scalar()
+def newest_event(scans: DataFrame, by_folder: bool = False) -> Column:
+    """The newest event time as a literal: one row from an aggregate over one column and those of the quality rules.
+
+    ``by_folder``: the log is stored by ``event_date``, so only its last folder is read.
+    """
+    if by_folder:
+        scans = scans.filter(F.col("event_date") == scans.agg(F.max("event_date")).scalar())
+    return F.lit(scans.agg(F.max("event_ts").alias("t")).first()["t"]).cast("timestamp_ntz")
+
+
+def days_between(silver: DataFrame, first: Column, last: Column | None = None) -> DataFrame:
+    """Events from day ``first`` to day ``last`` (default: open), as bounds on the event time and on its date.
+
+    A log stored by date prunes its folders by the one, any Parquet log its row groups by the other.
+    """
+    out = silver.filter((F.col("event_ts") >= first.cast("timestamp_ntz")) & (F.col("event_date") >= first))
+    if last is None:
+        return out
+    return out.filter((F.col("event_ts") < F.date_add(last, 1).cast("timestamp_ntz")) & (F.col("event_date") <= last))
 
 
 def signal_figures(signals: DataFrame, day: Column | None = None) -> DataFrame:
@@ -50,7 +73,7 @@ def items_at_or_below(inv: DataFrame, n: int = 10) -> DataFrame:
     return inv.filter(F.col("on_hand_qty") <= n)
 
 
-def stale_items(inv: DataFrame, scans: DataFrame, days: int = 30, as_of: str | None = None) -> DataFrame:
+def stale_items(inv: DataFrame, scans: DataFrame, days: int = 30, as_of: AsOf = None) -> DataFrame:
     """No activity within ``days`` before as_of."""
     cut = as_of_col(scans, as_of) - F.make_dt_interval(days=F.lit(days))
     return inv.filter(F.col("last_activity") < cut)
@@ -124,10 +147,10 @@ def oldest_open_signals(gold_open: DataFrame, n: int = 10) -> DataFrame:
 
 # ---- scan analytics --------------------------------------------------------------------------
 
-def consumption_rate(silver: DataFrame, days: int = 7, as_of: str | Column | None = None) -> DataFrame:
+def consumption_rate(silver: DataFrame, days: int = 7, as_of: AsOf = None) -> DataFrame:
     """Daily consumption per item over the last ``days`` days; mean over active days."""
     start = F.date_sub(F.to_date(as_of_col(silver, as_of)), days)
-    daily = (silver.filter((F.col("event_type") == "CONSUME") & (F.col("event_date") >= start))
+    daily = (days_between(silver, start).filter(F.col("event_type") == "CONSUME")
              .groupBy("item_id", "event_date").agg(F.sum("qty").alias("consumed_qty")))
     return daily.groupBy("item_id").agg(
         _r(F.avg("consumed_qty")).alias("avg_daily_consumption"),
@@ -143,7 +166,7 @@ def peak_hours(silver: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_events"))
 
 
-def usage_rate(silver: DataFrame, minutes: int = 15, as_of: str | None = None) -> DataFrame:
+def usage_rate(silver: DataFrame, minutes: int = 15, as_of: AsOf = None) -> DataFrame:
     """Consumption per item in the ``minutes`` before as_of."""
     end = as_of_col(silver, as_of)
     start = end - F.make_dt_interval(mins=F.lit(minutes))
@@ -153,7 +176,7 @@ def usage_rate(silver: DataFrame, minutes: int = 15, as_of: str | None = None) -
                                     F.count(F.lit(1)).alias("consume_events")))
 
 
-def time_since_last_scan(silver: DataFrame, as_of: str | None = None) -> DataFrame:
+def time_since_last_scan(silver: DataFrame, as_of: AsOf = None) -> DataFrame:
     """D14."""
     end = as_of_col(silver, as_of)
     return silver.groupBy("item_id").agg(F.max("event_ts").alias("last_scan_ts")).select(
@@ -171,19 +194,19 @@ def stations_activity(silver: DataFrame) -> DataFrame:
                                             F.sum("qty").alias("total_qty"))
 
 
-def intake_vs_consume(silver: DataFrame, days: int = 7, as_of: str | Column | None = None) -> DataFrame:
+def intake_vs_consume(silver: DataFrame, days: int = 7, as_of: AsOf = None) -> DataFrame:
     """Per day in the window, the two sums and the net."""
     start = F.date_sub(F.to_date(as_of_col(silver, as_of)), days)
     intake = F.sum(F.when(F.col("event_type") == "INTAKE", F.col("qty")).otherwise(0))
     consume = F.sum(F.when(F.col("event_type") == "CONSUME", F.col("qty")).otherwise(0))
-    return (silver.filter(F.col("event_date") >= start).groupBy("event_date")
+    return (days_between(silver, start).groupBy("event_date")
             .agg(intake.alias("intake_qty"), consume.alias("consume_qty"), (intake - consume).alias("net_qty")))
 
 
-def unique_items_on(silver: DataFrame, day: str | None = None, as_of: str | Column | None = None) -> DataFrame:
+def unique_items_on(silver: DataFrame, day: str | None = None, as_of: AsOf = None) -> DataFrame:
     """Distinct items touched on ``day`` (default: the day before as_of)."""
     d = F.lit(day).cast("date") if day else F.date_sub(F.to_date(as_of_col(silver, as_of)), 1)
-    return (silver.filter(F.col("event_date") == d)
+    return (days_between(silver, d, d)
             .agg(F.count_distinct("item_id").alias("unique_items"), F.count(F.lit(1)).alias("events"))
             .select(d.alias("day"), "unique_items", "events"))
 
@@ -204,13 +227,13 @@ def turnover_top_items(running: DataFrame, inv: DataFrame, n: int = 10) -> DataF
 
 
 def daily_summary(silver: DataFrame, signals: DataFrame, day: str | None = None,
-                  as_of: str | Column | None = None) -> DataFrame:
+                  as_of: AsOf = None) -> DataFrame:
     """One row for ``day`` (default: as_of's day) -- activity and signal counts.
 
     One aggregate of each log; the signals' row comes in as a scalar subquery.
     """
     d = F.lit(day).cast("date") if day else F.to_date(as_of_col(silver, as_of))
-    act = silver.filter(F.col("event_date") == d).agg(
+    act = days_between(silver, d, d).agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "INTAKE").alias("intake_events"),
         F.count_if(F.col("event_type") == "CONSUME").alias("consume_events"),
@@ -275,7 +298,7 @@ def receiving_forecast(daily: DataFrame, window: int = 7) -> DataFrame:
 
 
 def daily_trend(daily: DataFrame, scans: DataFrame, event_type: str = "CONSUME", days: int = 30,
-                as_of: str | None = None) -> DataFrame:
+                as_of: AsOf = None) -> DataFrame:
     """Zero-filled series of the last ``days`` days for one event type."""
     if as_of is None:
         base = scans.agg(F.to_date(F.max("event_ts")).alias("__end"))
@@ -335,7 +358,7 @@ def stockout_risk(inv: DataFrame, rate: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_issues(inv: DataFrame, gold_open: DataFrame, risk: DataFrame, scans: DataFrame, n: int = 5,
-               as_of: str | None = None) -> DataFrame:
+               as_of: AsOf = None) -> DataFrame:
     """F8: ranked union of out-of-stock items, oldest open signals and fast-and-low items."""
     end = as_of_col(scans, as_of)
     oos = inv.filter(F.col("on_hand_qty") <= 0).select(
@@ -370,7 +393,7 @@ def dashboard_kpis(inventory: DataFrame, signals: DataFrame, reorder_point: int
     return k.select("*", open_now.alias("open_signals"))
 
 
-def data_freshness(scans: DataFrame, signals: DataFrame, as_of: str | None = None) -> DataFrame:
+def data_freshness(scans: DataFrame, signals: DataFrame, as_of: AsOf = None) -> DataFrame:
     """G1: per log, latest time and staleness in seconds (each side aggregated before the union)."""
     end = as_of_col(scans, as_of)
     a = scans.agg(F.max("event_ts").alias("latest_event")).select(F.lit("scan_events").alias("table_name"), "*")

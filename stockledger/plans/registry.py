@@ -37,15 +37,13 @@ class Ctx:
         return M.silver_scan_events(self.bronze)
 
     @cached_property
-    def silver_stored(self) -> DataFrame:
-        """The silver scan log as the refresh stores it, in folders by event date."""
-        path = sinks.materialize(self.silver, scratch_path(self.spark, "silver"), "silver_scan_events", "silver",
-                                 M.PARTITION_BY["silver_scan_events"])
-        return self.spark.read.parquet(path)
+    def as_of(self):
+        """The newest event time as a literal, for questions about a few days."""
+        return A.newest_event(self.silver)
 
     @cached_property
-    def as_of(self):
-        return A.newest_event(self.silver_stored)
+    def risk(self) -> DataFrame:
+        return A.stockout_risk(self.inventory, A.consumption_rate(self.silver, 7, self.as_of), 10)
 
     @cached_property
     def acks(self) -> DataFrame:
@@ -328,7 +326,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "gold_replenishment_metrics": lambda c: M.gold_replenishment_metrics(c.silver_signals)
     .withColumn("avg_qty_below_reorder", F.round("avg_qty_below_reorder", 6)),
     "replenishment_sla": lambda c: A.replenishment_sla(c.silver_signals),
-    "consumption_rate": lambda c: A.consumption_rate(c.silver_stored, 7, c.as_of),
+    "consumption_rate": lambda c: A.consumption_rate(c.silver, 7, c.as_of),
     "peak_hours": lambda c: A.peak_hours(c.silver),
     "frequent_low_items": lambda c: A.frequent_low_items(c.silver_signals),
     "open_signal_alert": lambda c: latest.open_signal_alert(c.signals, 0),
@@ -337,16 +335,16 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "slip_totals": lambda c: slips.slip_totals(c.slip_lines),
     "bulk_totals": lambda c: slips.slip_totals(_bulk(c).withColumn(
         "slip_id", F.substring_index("event_id", "-", 1).cast("bigint"))),
-    "usage_rate": lambda c: A.usage_rate(c.silver, 24 * 60),
+    "usage_rate": lambda c: A.usage_rate(c.silver, 24 * 60, c.as_of),
     "time_since_last_scan": lambda c: A.time_since_last_scan(c.silver),
     "total_units": lambda c: A.total_units(c.inventory),
     "mean_time_to_acknowledge": lambda c: A.mean_time_to_acknowledge(c.silver_signals),
     "stations_activity": lambda c: A.stations_activity(c.silver),
-    "intake_vs_consume": lambda c: A.intake_vs_consume(c.silver_stored, 7, c.as_of),
-    "unique_items_on": lambda c: A.unique_items_on(c.silver_stored, as_of=c.as_of),
+    "intake_vs_consume": lambda c: A.intake_vs_consume(c.silver, 7, c.as_of),
+    "unique_items_on": lambda c: A.unique_items_on(c.silver, as_of=c.as_of),
     "turnover_top_items": lambda c: A.turnover_top_items(c.running, c.inventory, 10),
     "signal_frequency": lambda c: A.signal_frequency(c.silver_signals),
-    "daily_summary": lambda c: A.daily_summary(c.silver_stored, c.signals, as_of=c.as_of),
+    "daily_summary": lambda c: A.daily_summary(c.silver, c.signals, as_of=c.as_of),
     "demand_balance": lambda c: A.demand_balance(c.silver, c.silver_signals),
     # E: windows and ordered computations
     "latest_by": lambda c: _signal_cols(latest.latest_signals(c.signals)),
@@ -384,10 +382,8 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "busiest_days": lambda c: A.busiest_days(c.daily, "INTAKE", None, 10),
     "busiest_days_this_month": lambda c: A.busiest_days(c.daily, "INTAKE", "as_of", 1, c.silver),
     "oldest_open_signals": lambda c: A.oldest_open_signals(c.gold_open, 10),
-    "stockout_risk": lambda c: A.stockout_risk(c.inventory, A.consumption_rate(c.silver, 7), 10),
-    "top_issues": lambda c: A.top_issues(c.inventory, c.gold_open,
-                                         A.stockout_risk(c.inventory, A.consumption_rate(c.silver, 7), 10),
-                                         c.silver, 5),
+    "stockout_risk": lambda c: c.risk,
+    "top_issues": lambda c: A.top_issues(c.inventory, c.gold_open, c.risk, c.silver, 5, c.as_of),
     # G: set operations
     "data_freshness": lambda c: A.data_freshness(c.bronze, c.signals),
     # H: scalar functions and compositions
