@@ -17,12 +17,14 @@ fault-tolerant state store.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import threading
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockledger.config import ALERT_SUMMARY_FORMAT, DEFAULT, Params
@@ -55,23 +57,63 @@ def epoch_sink(out: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up, over all micro-batches, the rows that stateful operators dropped as late.
+
+    A query keeps its last 100 progress records only; a listener sees every one.
+    """
+
+    def __init__(self):
+        self.dropped, self._ended, self._waits = 0, set(), threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self._waits:
+            self.dropped += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self._waits:
+            self._ended.add(str(event.runId))
+            self._waits.notify_all()
+
+    def wait_for(self, run_id: str, seconds: float = 60) -> None:
+        """Until all events of a run have come: its termination is the last of them."""
+        with self._waits:
+            if not self._waits.wait_for(lambda: run_id in self._ended, seconds):
+                raise TimeoutError(f"no termination event of stream run {run_id}")
+
+
 def run_to_parquet(df: DataFrame, name: str, mode: str = "append", with_epoch: bool = False,
-                   progress: list | None = None) -> DataFrame:
+                   late: LateRows | None = None, deliveries: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
     """Run a streaming frame to completion (availableNow) into Parquet; return the stored result.
 
     ``with_epoch`` keeps the number of each row's micro-batch (for update-mode
-    change logs read back as latest row per key); ``progress`` collects the
-    query's progress records.
+    change logs read back as latest row per key); ``late`` counts the rows dropped
+    as late; ``deliveries`` are called in turn, the stream running after each
+    of them from where it stopped.
     """
     spark = df.sparkSession
-    out = scratch_path(spark, f"stream-{name}")
+    out, checkpoint = scratch_path(spark, f"stream-{name}"), scratch_path(spark, f"ckpt-{name}")
     # a first folder without rows gives the result its schema whatever arrives
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/{EPOCH}=-1")
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
-         .foreachBatch(epoch_sink(out)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if progress is not None:
-        progress += q.recentProgress
+    if late is not None:
+        spark.streams.addListener(late)
+    try:
+        for deliver in deliveries:
+            deliver()
+            q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+                 .foreachBatch(epoch_sink(out)).trigger(availableNow=True).start())
+            q.awaitTermination()
+            if late is not None:
+                late.wait_for(str(q.runId))
+    finally:
+        if late is not None:
+            spark.streams.removeListener(late)
     stored = spark.read.parquet(out)
     return stored.withColumn(EPOCH, F.col(EPOCH).cast("bigint")) if with_epoch else stored.drop(EPOCH)
 
@@ -181,29 +223,26 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_parquet(d, "dedupe").withColumn("event_ts", _ntz("event_ts"))
 
 
-def late_rows(progress: list) -> int:
-    """Rows dropped for coming after the watermark, over a query's progress records."""
-    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
-
-
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the events is delivered after all others; those behind the watermark are
-    dropped by the de-duplication and counted.  One row: delivered, kept, late."""
+    dropped by the de-duplication and counted.  One row: delivered, kept, late.
+
+    Three deliveries in turn, each a folder written by all its tasks and followed by a run of the
+    stream.  The second repeats the newest event: rows are late only for a watermark that an
+    earlier batch has already worked with."""
     path = scratch_path(spark, "late-events")
     ev = bridge.scans_from_events(bridge.read_table(spark, sf_dir, "events")).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     tenth = F.col("event_id").cast("bigint") % 10 == 0
     on_time = ev.filter(~tenth)
-    # three deliveries in turn: the second repeats the newest event, since rows are late
-    # only for a watermark that an earlier batch has already worked with
     newest = on_time.filter(F.col("event_ts") == on_time.agg(F.max("event_ts")).scalar())
-    files = [(on_time, 0), (newest, 1), (ev.filter(tenth), 2)]
-    for part, n in files:
-        part.coalesce(1).write.parquet(f"{path}/n={n}")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    progress: list = []
-    kept = run_to_parquet(stream.withWatermark("event_ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]), "late", progress=progress)
+    spark.createDataFrame([], ev.schema).write.parquet(f"{path}/n=none")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{path}/*")
+    late = LateRows()
+    kept = run_to_parquet(
+        stream.withWatermark("event_ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]), "late", late=late,
+        deliveries=[lambda part=part, n=n: part.write.parquet(f"{path}/n={n}") for n, part in enumerate((on_time, newest, ev.filter(tenth)))])
     delivered = spark.read.schema(ev.schema).parquet(f"{path}/*").agg(F.count(F.lit(1))).scalar()
-    return kept.agg(F.count(F.lit(1)).alias("kept")).select(delivered.alias("delivered"), "kept", F.lit(late_rows(progress)).cast("bigint").alias("late"))
+    return kept.agg(F.count(F.lit(1)).alias("kept")).select(delivered.alias("delivered"), "kept", F.lit(late.dropped).cast("bigint").alias("late"))
 
 
 # ---- I5, I6: per-key state in pandas, applied in event-time order ----------------------------

@@ -5,6 +5,8 @@ import glob
 import os
 import tempfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from stockledger.operators import debounce, lifecycle
@@ -89,3 +91,23 @@ def test_open_changes_across_batches(spark):
     changes = streams.run_to_parquet(streams.open_changes(stream), "open-changes")
     assert streams.alert_row(changes).first().open_count == 1
     assert changes.count() <= 5
+
+
+def test_every_late_row_of_150_batches_is_counted(spark):
+    """More micro-batches than a query keeps progress records of: from the third on, each brings one late row."""
+    root = tempfile.mkdtemp(prefix="late-")
+    t0 = dt.datetime(2024, 1, 1)
+    for i in range(150):
+        late = [(f"late{i}", t0 - dt.timedelta(days=1))] if i >= 2 else []
+        pq.write_table(pa.Table.from_pylist([{"event_id": k, "event_ts": t} for k, t in [(f"e{i}", t0 + dt.timedelta(hours=i)), *late]],
+                                            pa.schema([("event_id", pa.string()), ("event_ts", pa.timestamp("us", "UTC"))])), f"{root}/{i:03d}.parquet")
+        os.utime(f"{root}/{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    counted = streams.LateRows()
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        src = spark.readStream.schema("event_id string, event_ts timestamp").option("maxFilesPerTrigger", 1).parquet(root)
+        got = streams.run_to_parquet(src.withWatermark("event_ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]), "late-150", late=counted)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert counted.dropped == 148 and got.count() == 150
