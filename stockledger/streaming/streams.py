@@ -8,11 +8,11 @@ batch that is retried overwrites its own folder and repeats nothing.  The
 registry reads the sink back as a batch frame.  Event time is cast to
 TIMESTAMP for watermarks.
 
-Stateful per-key logic (debounce, lifecycle, open signals) uses
-``applyInPandasWithState``: per key and micro-batch, the rows the watermark
-has passed are taken in (time, id) order as arrays and applied to the stored
-state; Spark partitions the keys across executors and keeps the state in its
-fault-tolerant state store.
+Stateful per-key logic (debounce, lifecycle) uses ``transformWithStateInPandas``:
+rows wait in a list state, and the rows the watermark has passed are taken in
+(time, id) order as arrays and applied to what is kept of their key; Spark
+partitions the keys across executors and keeps the state in its fault-tolerant
+state store.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from stockledger.config import ALERT_SUMMARY_FORMAT, DEFAULT, Params
 from stockledger.operators.latest import latest_by, signal_order, status_rank
@@ -35,6 +34,7 @@ from stockledger.session import apply_conf, scratch_path
 from stockledger.sources import bridge
 
 EPOCH = "__epoch"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +58,13 @@ def epoch_sink(out: str) -> Callable[[DataFrame, int], None]:
 
 
 class LateRows(StreamingQueryListener):
-    """Adds up, over all micro-batches, the rows that stateful operators dropped as late.
+    """Adds up, over all micro-batches, the rows that stateful operators dropped as late; also the state rows now held.
 
     A query keeps its last 100 progress records only; a listener sees every one.
     """
 
     def __init__(self):
-        self.dropped, self._ended, self._waits = 0, set(), threading.Condition()
+        self.dropped, self.state_rows, self._ended, self._waits = 0, 0, set(), threading.Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -75,6 +75,7 @@ class LateRows(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         with self._waits:
             self.dropped += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+            self.state_rows = sum(op.numRowsTotal for op in event.progress.stateOperators)
 
     def onQueryTerminated(self, event) -> None:
         with self._waits:
@@ -89,13 +90,14 @@ class LateRows(StreamingQueryListener):
 
 
 def run_to_parquet(df: DataFrame, name: str, mode: str = "append", with_epoch: bool = False,
-                   late: LateRows | None = None, deliveries: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+                   late: LateRows | None = None, deliveries: Sequence[Callable[[], None]] = (lambda: None,),
+                   state_store: str | None = None) -> DataFrame:
     """Run a streaming frame to completion (availableNow) into Parquet; return the stored result.
 
     ``with_epoch`` keeps the number of each row's micro-batch (for update-mode
     change logs read back as latest row per key); ``late`` counts the rows dropped
     as late; ``deliveries`` are called in turn, the stream running after each
-    of them from where it stopped.
+    of them from where it stopped; ``state_store`` is the provider for this stream.
     """
     spark = df.sparkSession
     out, checkpoint = scratch_path(spark, f"stream-{name}"), scratch_path(spark, f"ckpt-{name}")
@@ -103,6 +105,9 @@ def run_to_parquet(df: DataFrame, name: str, mode: str = "append", with_epoch: b
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/{EPOCH}=-1")
     if late is not None:
         spark.streams.addListener(late)
+    store = spark.conf.get(STATE_STORE)
+    if state_store is not None:
+        spark.conf.set(STATE_STORE, state_store)
     try:
         for deliver in deliveries:
             deliver()
@@ -112,6 +117,7 @@ def run_to_parquet(df: DataFrame, name: str, mode: str = "append", with_epoch: b
             if late is not None:
                 late.wait_for(str(q.runId))
     finally:
+        spark.conf.set(STATE_STORE, store)
         if late is not None:
             spark.streams.removeListener(late)
     stored = spark.read.parquet(out)
@@ -245,49 +251,78 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("kept")).select(delivered.alias("delivered"), "kept", F.lit(late.dropped).cast("bigint").alias("late"))
 
 
-# ---- I5, I6: per-key state in pandas, applied in event-time order ----------------------------
+# ---- I5, I6: per-key state, applied in event-time order ---------------------------------------
 #
-# Rows of a key are buffered in its state (as arrays) until the watermark has
-# passed them (no earlier row can still arrive: older rows are dropped as late),
-# then applied in (time, id) order.  An event-time timer revisits keys with
-# buffered rows when the watermark moves, so results do not depend on how rows
-# are cut into micro-batches.  The buffer per key holds at most the rows of one
-# watermark delay.  State that can no longer matter is removed.  For a bounded
-# replay a closing marker, later than every event by more than the delay, moves
-# the watermark past the end.
+# Rows of a key wait in a list state until the watermark has passed them (no
+# earlier row can still arrive: older rows are dropped as late), then are
+# applied in (time, id) order.  Arriving rows are appended to the list, nothing
+# that waits is rewritten; an event-time timer at the earliest waiting row
+# calls the key when the watermark has passed it, and only then is the list
+# read, its passed rows applied and the rest put back.  Results do not depend on
+# how rows are cut into micro-batches.  The list holds at most the rows of one
+# watermark delay and what is kept of a key has a fixed size; a timer removes
+# it once it can no longer matter.  For a bounded replay a closing marker, later
+# than every event by more than the delay, moves the watermark past the end.
 
 WATERMARK_DELAY = "10 minutes"
+# ``transformWithState`` needs this state store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _buffered(apply, cols: list[str], n_acc: int, out_cols: list[str], expires=None):
-    """Wrap ``apply(key, rows, acc) -> (columns, acc)`` with watermark buffering.
+class InOrder(StatefulProcessor):
+    """Calls ``apply(key, rows, kept) -> (columns, kept)`` with each key's rows in (time, id) order.
 
-    ``cols``: row columns, ``__t`` (microseconds) and the id first.  The state
-    holds ``n_acc`` values, then one array per column.  ``expires(acc)`` is the
-    time (microseconds) after which the state is of no use.
+    ``row``: DDL of a waiting row, ``t`` (microseconds) and the id first; ``kept``: DDL of what is
+    kept of a key.  ``expires(kept)`` is the time (microseconds) after which that is of no use.
     """
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        acc = held[:n_acc] if held else None
-        frames = [] if state.hasTimedOut else [f[cols] for f in pdfs]
-        if held and held[n_acc]:
-            frames.append(pd.DataFrame(dict(zip(cols, held[n_acc:]))))
-        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in cols})
-        rows = rows.astype({"__t": "int64"}).sort_values(cols[:2], kind="stable")
-        passed = int(state.getCurrentWatermarkMs()) * 1000
-        ready, rest = rows[rows["__t"] < passed], rows[rows["__t"] >= passed]
-        out, acc = apply(key, ready, acc)
-        until = int(rest["__t"].iloc[0]) if len(rest) else expires(acc) if expires and acc is not None else None
-        if (until is not None and until < passed) or (acc is None and not len(rest)):
-            state.remove()
-        else:
-            state.update((*(acc or (None,) * n_acc), *(rest[c].tolist() for c in cols)))
-            if until is not None:
-                state.setTimeoutTimestamp(until // 1000 + 1)
-        if len(out[0]):
-            yield pd.DataFrame(dict(zip(out_cols, out)))
-
-    return fn
+
+    def __init__(self, apply, row: str, kept: str, out_cols: list[str], expires=None):
+        self.apply, self.row, self.kept, self.out_cols, self.expires = apply, row, kept, out_cols, expires
+        self.cols = [c.split()[0] for c in row.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.state = handle.getValueState("kept", self.kept)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            if len(f):
+                self.waiting.appendList(self._tuples(f))
+                self._call_at(int(f["t"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.cols).astype({"t": "int64"}).sort_values(self.cols[:2], kind="stable")
+        ready, rest = rows[rows["t"] < passed], rows[rows["t"] >= passed]
+        kept = tuple(self.state.get()) if self.state.exists() else None
+        if len(ready):
+            out, kept = self.apply(key, ready, kept)
+            if kept is not None:
+                self.state.update(kept)
+            if len(rest):
+                self.waiting.put(self._tuples(rest))
+            else:
+                self.waiting.clear()
+            if len(out[0]):
+                yield pd.DataFrame(dict(zip(self.out_cols, out)))
+        until = self.expires(kept) if self.expires and kept is not None else None
+        if len(rest):
+            self._call_at(int(rest["t"].iloc[0]))
+        elif until is not None and until < passed:
+            self.state.clear()
+        elif until is not None:
+            self._call_at(until)
+
+    def close(self) -> None:
+        pass
+
+    def _tuples(self, f: pd.DataFrame) -> list[tuple]:
+        return list(zip(*(f[c].tolist() for c in self.cols)))
+
+    def _call_at(self, micros: int) -> None:
+        self.handle.registerTimer(micros // 1000 + 1)
 
 
 def closing_marker(end: DataFrame, columns: dict, after_days: int = 1) -> DataFrame:
@@ -311,13 +346,13 @@ def _with_closing_marker(stream: DataFrame, end: DataFrame, columns: dict, after
 def _debounce_apply(window_us: int):
     """State: last kept time.  The walk steps over kept scans only."""
     def apply(key, rows: pd.DataFrame, acc):
-        t, last, keep = rows["__t"].to_numpy(np.int64), acc[0] if acc else None, []
+        t, last, keep = rows["t"].to_numpy(np.int64), acc[0] if acc else None, []
         i = 0 if last is None else int(np.searchsorted(t, last + window_us))
         while i < len(t):
             keep.append(i)
             last = int(t[i])
             i = int(np.searchsorted(t, last + window_us))
-        return ([rows["event_id"].to_numpy()[keep], pd.to_datetime(t[keep], unit="us"), [key[0]] * len(keep)],
+        return ([rows["id"].to_numpy()[keep], pd.to_datetime(t[keep], unit="us"), [key[0]] * len(keep)],
                 None if last is None else (last,))
     return apply
 
@@ -331,20 +366,18 @@ def debounce_stream(scans: DataFrame, end: DataFrame | None = None, window_s: fl
     if end is not None:
         s = _with_closing_marker(s, end, {"event_id": "__closing__", "event_ts": "ts",
                                           "barcode_raw": "__closing__"})
-    s = s.withWatermark("event_ts", WATERMARK_DELAY).withColumn("__t", F.unix_micros("event_ts"))
+    s = s.withWatermark("event_ts", WATERMARK_DELAY).select("barcode_raw", "event_ts", F.unix_micros("event_ts").alias("t"), F.col("event_id").alias("id"))
     window = int(window_s * 1_000_000)
-    fn = _buffered(_debounce_apply(window), ["__t", "event_id"], 1, ["event_id", "event_ts", "barcode_raw"],
-                   expires=lambda acc: acc[0] + window)
-    return s.groupBy("barcode_raw").applyInPandasWithState(
-        fn, "event_id string, event_ts timestamp, barcode_raw string", "last long, t array<long>, id array<string>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return s.groupBy("barcode_raw").transformWithStateInPandas(
+        InOrder(_debounce_apply(window), "t long, id string", "last long", ["event_id", "event_ts", "barcode_raw"], lambda kept: kept[0] + window),
+        "event_id string, event_ts timestamp, barcode_raw string", "append", "EventTime")
 
 
 def stream_debounce(spark: SparkSession, sf_dir: str, window_s: float = 3.0) -> DataFrame:
     """E4 keyed by barcode; state = last kept time (+ rows waiting for the watermark)."""
     end = bridge.read_table(spark, sf_dir, "events").agg(F.max("ts").alias("m"))
     out = debounce_stream(_rescan_stream(spark, sf_dir), end, window_s)
-    return run_to_parquet(out, "debounce").withColumn("event_ts", _ntz("event_ts"))
+    return run_to_parquet(out, "debounce", state_store=ROCKSDB).withColumn("event_ts", _ntz("event_ts"))
 
 
 def _rescan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +399,7 @@ def _lifecycle_apply(reorder_point: int):
         opens = label[at] == "OPEN"
         before = np.concatenate(([open_id is not None], opens[:-1])) if len(at) else opens
         at, opens = at[opens != before], opens[opens != before]
-        ids, t = rows["event_id"].to_numpy(object)[at], rows["__t"].to_numpy(np.int64)[at]
+        ids, t = rows["id"].to_numpy(object)[at], rows["t"].to_numpy(np.int64)[at]
         # emitted rows alternate: a closing row's signal is the row before it, or the state's
         own = [(i, int(q)) for i, q in zip(ids, balance[at])]
         heads = [own[k] if o else own[k - 1] if k else (open_id, open_qty) for k, o in enumerate(opens.tolist())]
@@ -379,13 +412,11 @@ def _lifecycle_apply(reorder_point: int):
 
 def lifecycle_stream(ledger: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """E3 on a stream of (item_id, event_ts TIMESTAMP, event_id, kind, delta) with a watermark."""
-    led = ledger.withColumn("__t", F.unix_micros("event_ts"))
+    led = ledger.select("item_id", "event_ts", F.unix_micros("event_ts").alias("t"), F.col("event_id").alias("id"), "kind", "delta")
     names = ["event_id", "created_ts", "item_id", "open_event_id", "open_qty", "status"]
-    fn = _buffered(_lifecycle_apply(params.reorder_point), ["__t", "event_id", "kind", "delta"], 3, names)
-    out = led.groupBy("item_id").applyInPandasWithState(
-        fn, "event_id string, created_ts timestamp, item_id string, open_event_id string, open_qty long, status string",
-        "balance long, open_id string, open_qty long, t array<long>, id array<string>, kind array<string>, delta array<long>",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    out = led.groupBy("item_id").transformWithStateInPandas(
+        InOrder(_lifecycle_apply(params.reorder_point), "t long, id string, kind string, delta long", "balance long, open_id string, open_qty long", names),
+        "event_id string, created_ts timestamp, item_id string, open_event_id string, open_qty long, status string", "append", "EventTime")
     return out.select(
         numeric_id(F.col("event_id")).alias("id"), F.md5(F.concat_ws("|", "item_id", "open_event_id")).alias("signal_id"), "created_ts",
         "item_id", F.col("open_qty").alias("triggered_at_qty"), F.lit(params.reorder_point).alias("reorder_point"),
@@ -407,7 +438,7 @@ def stream_signal_lifecycle(spark: SparkSession, sf_dir: str, params: Params = D
                                {"item_id": "__closing__", "event_ts": "ts", "event_id": "__closing__",
                                 "kind": "NONE", "delta": 0})
     out = lifecycle_stream(led.withWatermark("event_ts", WATERMARK_DELAY), params)
-    return run_to_parquet(out, "lifecycle").withColumn("created_ts", _ntz("created_ts"))
+    return run_to_parquet(out, "lifecycle", state_store=ROCKSDB).withColumn("created_ts", _ntz("created_ts"))
 
 
 def _signal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,25 +457,52 @@ def stream_latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("created_ts", _ntz("created_ts"))
 
 
-def _open_change(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: order and openness of a signal's newest row.  Gives +1 / -1 when the signal becomes open / stops being so."""
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    top = max(zip(rows["t"].tolist(), rows["i"].tolist(), rows["r"].tolist(), rows["open"].tolist()))
-    held = tuple(state.get) if state.exists else None
-    now = top if held is None or top > held else held
-    state.update(now)
-    change = int(now[3]) - int(bool(held and held[3]))
-    if change:
-        yield pd.DataFrame({"signal_id": [key[0]], "change": [change]})
+class OpenChange(StatefulProcessor):
+    """Keeps order and openness of a signal's newest row; gives +1 / -1 when the signal becomes open / stops being so.
+
+    A signal that is not open is forgotten once the watermark has passed its newest row: rows older
+    than that are dropped as late, and any later row is then its newest.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "t long, i long, r int, open boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows), ignore_index=True)
+        top = max(zip(f["t"].tolist(), f["i"].tolist(), f["r"].tolist(), f["open"].tolist()))
+        held = tuple(self.newest.get()) if self.newest.exists() else None
+        now = top if held is None or top > held else held
+        self.newest.update(now)
+        if not now[3]:
+            self.handle.registerTimer(now[0] // 1000 + 1)
+        change = int(now[3]) - int(bool(held and held[3]))
+        if change:
+            yield pd.DataFrame({"signal_id": [key[0]], "change": [change]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.newest.exists():
+            t, _, _, is_open = self.newest.get()
+            if not is_open and t < timerValues.getCurrentWatermarkInMs() * 1000:
+                self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+SIGNAL_DELAY = "7 days"
 
 
-def open_changes(signals: DataFrame) -> DataFrame:
-    """Changes of the number of open signals over a stream of signal rows: only signals whose openness changes give a row."""
-    rows = signals.select("signal_id", F.unix_micros(F.col("created_ts").cast("timestamp")).alias("t"),
-                          F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("i"), status_rank().cast("int").alias("r"),
-                          (F.col("status") == "OPEN").alias("open"))
-    return rows.groupBy("signal_id").applyInPandasWithState(
-        _open_change, "signal_id string, change int", "t long, i long, r int, open boolean", "append", GroupStateTimeout.NoTimeout)
+def open_changes(signals: DataFrame, delay: str = SIGNAL_DELAY) -> DataFrame:
+    """Changes of the number of open signals over a stream of signal rows: only signals whose openness changes give a row.
+
+    Rows may come up to ``delay`` after newer ones; the state holds the open signals and those of the last ``delay``.
+    """
+    at = F.col("created_ts").cast("timestamp")
+    rows = signals.select("signal_id", at.alias("at"), F.unix_micros(at).alias("t"), F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("i"),
+                          status_rank().cast("int").alias("r"), (F.col("status") == "OPEN").alias("open")).withWatermark("at", delay)
+    return rows.groupBy("signal_id").transformWithStateInPandas(OpenChange(), "signal_id string, change int", "append", "EventTime")
 
 
 def alert_row(changes: DataFrame, threshold: int = 0) -> DataFrame:
@@ -457,27 +515,40 @@ def alert_row(changes: DataFrame, threshold: int = 0) -> DataFrame:
 def stream_open_alert(spark: SparkSession, sf_dir: str, threshold: int = 0) -> DataFrame:
     """I8: the open-signal alert from the changes each micro-batch brings."""
     totals = open_changes(_signal_stream(spark, sf_dir))
-    return alert_row(run_to_parquet(totals, "alert"), threshold)
+    return alert_row(run_to_parquet(totals, "alert", state_store=ROCKSDB), threshold)
+
+
+def alert_sink(out: str, threshold: int = 0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes the alert as of each micro-batch to its own folder below ``out``.
+
+    The count of batch n is that of batch n - 1 plus the batch's changes, so a trigger reads one
+    small folder however long the stream has run, and a retried batch writes the same row again.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        change = batch.select(F.col("change").cast("bigint").alias("change"))
+        if epoch:
+            before = batch.sparkSession.read.schema("open_count bigint").parquet(f"{out}/{EPOCH}={epoch - 1}")
+            change = change.unionByName(before.select(F.col("open_count").alias("change")))
+        alert_row(change, threshold).write.mode("overwrite").parquet(f"{out}/{EPOCH}={epoch}")
+    return sink
 
 
 def start_open_alert(signals_stream: DataFrame, out_path: str, checkpoint: str, threshold: int = 0,
-                     every: str = "5 minutes"):
+                     every: str = "5 minutes", delay: str = SIGNAL_DELAY):
     """I8, live form: evaluate the open-signal alert on a processing-time trigger.
 
-    ``signals_stream`` is a streaming frame of signal-log rows.  Each trigger
-    writes the batch's net change below ``<out_path>/changes`` and the alert
-    (open_count, triggered, summary) below ``<out_path>/alerts``, one folder per
-    batch.  Returns the running ``StreamingQuery``.
+    ``signals_stream`` is a streaming frame of signal-log rows.  Each trigger writes the alert
+    (open_count, triggered, summary) below ``<out_path>/alerts``, one folder per batch; all but the
+    newest may be removed by retention rules.  Returns the running ``StreamingQuery``.
     """
-    def evaluate(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        net = batch.agg(F.coalesce(F.sum("change"), F.lit(0)).cast("bigint").alias("change"))
-        net.write.mode("overwrite").parquet(f"{out_path}/changes/{EPOCH}={epoch}")
-        so_far = spark.read.parquet(f"{out_path}/changes").filter(F.col(EPOCH) <= epoch)
-        alert_row(so_far, threshold).write.mode("overwrite").parquet(f"{out_path}/alerts/{EPOCH}={epoch}")
-
-    return (open_changes(signals_stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .foreachBatch(evaluate).trigger(processingTime=every).start())
+    spark = signals_stream.sparkSession
+    store = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return (open_changes(signals_stream, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+                .foreachBatch(alert_sink(f"{out_path}/alerts", threshold)).trigger(processingTime=every).start())
+    finally:
+        spark.conf.set(STATE_STORE, store)
 
 
 def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,7 +40,7 @@ def _out_of_order(spark, rows, marker):
 def test_debounce_stream_out_of_order(spark):
     rescans = bridge.rescans(bridge.bridge_e(spark, SF)).select("event_id", "event_ts", "barcode_raw")
     src = _out_of_order(spark, rescans, {"event_id": "__closing__", "event_ts": "ts", "barcode_raw": "__closing__"})
-    got = streams.run_to_parquet(streams.debounce_stream(src, None, 3.0), "ooo")
+    got = streams.run_to_parquet(streams.debounce_stream(src, None, 3.0), "ooo", state_store=streams.ROCKSDB)
     want = debounce.debounce(rescans, 3.0)
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
 
@@ -52,9 +52,13 @@ def test_lifecycle_stream_out_of_order_with_odd_ids(spark):
     scans = scans.filter("event_type in ('INTAKE', 'CONSUME') and qty > 0")
     led = scans.select("item_id", "event_ts", "event_id", F.col("event_type").alias("kind"),
                        F.when(F.col("event_type") == "INTAKE", F.col("qty")).otherwise(-F.col("qty")).cast("bigint").alias("delta"))
+    counts = streams.LateRows()
     src = _out_of_order(spark, led, {"item_id": "__closing__", "event_ts": "ts", "event_id": "__closing__", "kind": "NONE", "delta": 0})
-    got = streams.run_to_parquet(streams.lifecycle_stream(src.withWatermark("event_ts", streams.WATERMARK_DELAY)), "ooo-lifecycle")
+    got = streams.run_to_parquet(streams.lifecycle_stream(src.withWatermark("event_ts", streams.WATERMARK_DELAY)), "ooo-lifecycle", state_store=streams.ROCKSDB, late=counts)
     want = lifecycle.signal_lifecycle(scans)
+    # nothing waits behind the watermark: one row per item is kept, besides the marker's few
+    items = led.select("item_id").distinct().count()
+    assert items <= counts.state_rows <= items + 8
     rows = lambda df: sorted(map(str, df.withColumn("created_ts", F.col("created_ts").cast("timestamp_ntz")).collect()))
     assert rows(got) == rows(want)
 
@@ -88,7 +92,7 @@ def test_open_changes_across_batches(spark):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(root)
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(root)
-    changes = streams.run_to_parquet(streams.open_changes(stream), "open-changes")
+    changes = streams.run_to_parquet(streams.open_changes(stream), "open-changes", state_store=streams.ROCKSDB)
     assert streams.alert_row(changes).first().open_count == 1
     assert changes.count() <= 5
 
@@ -111,3 +115,54 @@ def test_every_late_row_of_150_batches_is_counted(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert counted.dropped == 148 and got.count() == 150
+
+
+SIGNAL_ROWS = "id bigint, signal_id string, created_ts timestamp_ntz, status string"
+
+
+def _signal_files(spark, batches):
+    """A stream of one batch per file."""
+    root = tempfile.mkdtemp(prefix="signals-")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SIGNAL_ROWS).coalesce(1).write.parquet(f"{root}/n={i}")
+        for f in glob.glob(f"{root}/n={i}/*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(SIGNAL_ROWS).option("maxFilesPerTrigger", 1).parquet(f"{root}/*/*.parquet")
+
+
+def test_closed_signals_are_forgotten_and_open_ones_kept(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    batches = [[(i, f"s{i}", day(0), "OPEN") for i in range(50)], [(100 + i, f"s{i}", day(1), "FULFILLED") for i in range(45)],
+               [(300, "far", day(30), "OPEN")], [(301, "far2", day(31), "OPEN")], [(302, "s0", day(32), "OPEN")]]
+    counts = streams.LateRows()
+    changes = streams.run_to_parquet(streams.open_changes(_signal_files(spark, batches)), "expiry", state_store=streams.ROCKSDB, late=counts)
+    assert streams.alert_row(changes).first().open_count == 5 + 3 and counts.dropped == 0
+    assert counts.state_rows == 5 + 3      # of the 45 closed ones only s0 is back
+
+
+def test_live_alert_reads_one_folder_and_survives_a_retry(spark):
+    out = tempfile.mkdtemp(prefix="alert-") + "/alerts"
+    sink = streams.alert_sink(out, threshold=2)
+    batch = lambda *c: spark.createDataFrame([("s", x) for x in c], "signal_id string, change int")
+    for epoch, changes in ((0, (1, 1, 1)), (1, (-1,)), (1, (-1,)), (2, ()), (2, ()), (3, (1, 1, -1))):
+        sink(batch(*changes), epoch)
+    rows = {e: tuple(spark.read.parquet(f"{out}/__epoch={e}").first())[:2] for e in range(4)}
+    assert rows == {0: (3, True), 1: (2, False), 2: (2, False), 3: (3, True)}
+    # earlier folders are not needed any more
+    for f in glob.glob(f"{out}/__epoch=[0-2]/*"):
+        os.unlink(f)
+    sink(batch(1), 4)
+    assert spark.read.parquet(f"{out}/__epoch=4").first().open_count == 4
+
+
+def test_live_alert_runs(spark):
+    t = dt.datetime(2024, 1, 1)
+    stream = _signal_files(spark, [[(1, "a", t, "OPEN"), (2, "b", t, "OPEN")], [(3, "a", t + dt.timedelta(hours=1), "ACKNOWLEDGED")]])
+    out = tempfile.mkdtemp(prefix="live-")
+    q = streams.start_open_alert(stream, out, out + "/checkpoint", threshold=1, every="0 seconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.read.parquet(out + "/alerts").orderBy("__epoch").collect()
+    assert [r.open_count for r in rows][:2] == [2, 1] and rows[0].triggered and not rows[-1].triggered
