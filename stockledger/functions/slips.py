@@ -1,8 +1,8 @@
 """Packing-slip answers (text of the external reading service) -> validated lines.
 
 H7 parse_slip_responses, H8 slip_lines, B17 valid_slip_lines, D12 slip_totals, A7 load_slip_files.
-All built-in expressions; each answer is parsed once, into a variant whose
-fields are read with their JSON types.
+All built-in expressions; each answer is parsed into a variant whose items are
+cast once to typed lines.
 """
 
 from __future__ import annotations
@@ -27,27 +27,44 @@ def _unfence(text: Column) -> Column:
     return F.regexp_replace(inner, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
-def _field(v: Column, name: str) -> Column:
-    return F.variant_get(v, f"$.{name}", "variant")
-
-
 def _type(v: Column) -> Column:
     """JSON type of a variant: OBJECT<...>, ARRAY<...>, STRING, BIGINT, ..., VOID for null; '' when absent."""
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
-def _text(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "string")
+def _text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
 def _whole(v: Column) -> Column:
     """A whole number given as number, numeric text or truth value; NULL otherwise or beyond int."""
-    kind, s = _type(_field(v, "qty")), F.regexp_replace(_text(v, "qty"), "_", "")
-    digits = _text(v, "qty").rlike(r"\A\s*[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?\s*\z")
-    return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$.qty", "boolean").cast("int"))
+    kind, s = _type(v), F.regexp_replace(_text(v), "_", "")
+    digits = _text(v).rlike(r"\A\s*[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?\s*\z")
+    return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
             .when((kind != "VOID") & digits, F.regexp_replace(F.trim(s), r"\.0*\z", "").try_cast("int")))
 
 
+def _only_value(text: Column) -> Column:
+    """The JSON value that ``text`` is, as a variant; NULL if it is none or anything follows it.
+
+    A parser stops at the end of the first value.  As the only element of a list the text is one
+    element, and one more can be put behind it -- unless the list ended within the text,
+    where neither could be true of both.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    longer = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+    ends = F.variant_get(alone, "$[1]", "variant").isNull() & F.variant_get(longer, "$[1]", "variant").isNotNull()
+    return F.when(ends, F.variant_get(alone, "$[0]", "variant"))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, however many expressions read it.
+
+    The optimizer copies an expression into all that use its fields; it does not copy it out of a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame:
     """H7: add ``slip`` (header + validated items).
 
@@ -58,37 +75,32 @@ def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame
     other shape empties the whole slip and records a note.
     """
     body = _unfence(F.col(text_col))
-    # a parser stops after the first value; the digest behind it is only reached
-    # when the answer is that one value
-    staged = df.withColumn("__b", body).withColumn("__m", F.md5(F.col("__b").cast("binary")))
-    staged = staged.withColumn("__v", F.try_parse_json(F.concat(F.lit("["), "__b", F.lit(',"'), "__m", F.lit('"]'))))
-    one = (F.try_variant_get("__v", "$[1]", "string") == F.col("__m")) & F.variant_get("__v", "$[2]", "variant").isNull()
-    staged = staged.withColumn("__o", F.variant_get("__v", "$[0]", "variant"))
-    obj = F.col("__o")
-    # an item that is no object has no item_id
-    staged = staged.withColumn("__items", F.try_variant_get(obj, "$.items", "array<variant>"))
-    lines = F.transform("__items", lambda x: F.struct(
-        _text(x, "item_id").alias("item_id"), _whole(x).alias("qty"), _text(x, "description").alias("description"),
-        F.when(_type(_field(x, "confidence")) == "", F.lit(DEFAULT_CONFIDENCE)).otherwise(_text(x, "confidence")).alias("confidence"),
-        ((_type(_field(x, "item_id")) == "STRING") & _type(_field(x, "description")).isin("", "VOID", "STRING") & _type(_field(x, "confidence")).isin("", "STRING")).alias("typed")))
-    staged = staged.withColumns({
-        "__readable": F.coalesce(one & F.startswith(F.col("__b"), F.lit("{")), F.lit(False)),
-        "__lines": F.coalesce(lines, F.array().cast(LINES[:-2] + ",typed:boolean>>")),
-        "__array": F.col("__items").isNotNull() | _field(obj, "items").isNull()})
-    valid = F.forall("__lines", lambda x: F.coalesce(x["typed"] & (x["qty"] >= 1) & x["confidence"].isin(*CONFIDENCE_VALUES), F.lit(False)))
+    field = lambda name, kind: F.try_variant_get(F.col("__o"), f"$.{name}", kind)
+    staged = _once(_once(df, "__b", body), "__o", F.when(F.startswith(F.col("__b"), F.lit("{")), _only_value(F.col("__b"))))
+    # one typed cast; an item that is no object has no item_id
+    cast = field("items", "array<struct<item_id:variant,qty:variant,description:variant,confidence:variant>>")
+    shape = F.struct(cast.alias("items"), field("items", "variant").alias("any"), *[field(c, "variant").alias(c) for c in HEADER])
+    staged = _once(staged, "__s", shape)
+    lines = F.transform("__s.items", lambda x: F.struct(
+        _text(x["item_id"]).alias("item_id"), _whole(x["qty"]).alias("qty"), _text(x["description"]).alias("description"),
+        F.when(x["confidence"].isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(_text(x["confidence"])).alias("confidence"),
+        ((_type(x["item_id"]) == "STRING") & _type(x["description"]).isin("", "VOID", "STRING") & _type(x["confidence"]).isin("", "STRING")).alias("typed")))
+    staged = _once(staged, "__lines", F.coalesce(lines, F.array().cast(LINES[:-2] + ",typed:boolean>>")))
+    listed = F.col("__s.items").isNotNull() | F.col("__s.any").isNull()
+    valid = listed & F.forall("__lines", lambda x: F.coalesce(x["typed"] & (x["qty"] >= 1) & x["confidence"].isin(*CONFIDENCE_VALUES), F.lit(False)))
     header = F.lit(True)
     for name in HEADER:
-        header = header & _type(_field(obj, name)).isin("", "VOID", "STRING")
-    staged = staged.withColumns({"__lines_ok": F.col("__array") & valid, "__header_ok": header})
-    ok = F.col("__readable") & F.col("__lines_ok") & F.col("__header_ok")
-    note = (F.when(~F.col("__readable"), F.lit("Failed to parse response: not valid JSON"))
-            .when(~F.col("__lines_ok"), F.lit("Failed to parse response: invalid line item"))
-            .when(~F.col("__header_ok"), F.lit("Failed to parse response: invalid header"))
-            .otherwise(_text(obj, "notes")))
+        header = header & _type(F.col(f"__s.{name}")).isin("", "VOID", "STRING")
+    readable = F.col("__o").isNotNull()
+    note = (F.when(~readable, F.lit("Failed to parse response: not valid JSON"))
+            .when(~valid, F.lit("Failed to parse response: invalid line item"))
+            .when(~header, F.lit("Failed to parse response: invalid header"))
+            .otherwise(_text(F.col("__s.notes"))))
     items = F.transform("__lines", lambda x: F.struct(*[x[c].alias(c) for c in ("item_id", "qty", "description", "confidence")]))
+    ok = readable & valid & header
     slip = F.struct(F.when(ok, items).otherwise(F.array().cast(LINES)).alias("items"),
-                    *[F.when(ok, _text(obj, c)).alias(c) for c in HEADER[:3]], note.alias("notes"))
-    return staged.withColumn("slip", slip).select(*df.columns, "slip")
+                    *[F.when(ok, _text(F.col(f"__s.{c}"))).alias(c) for c in HEADER[:3]], note.alias("notes"))
+    return _once(staged, "slip", slip).select(*df.columns, "slip")
 
 
 def slip_lines(parsed: DataFrame, id_col: str = "slip_id") -> DataFrame:

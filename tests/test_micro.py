@@ -209,3 +209,14 @@ def test_bulk_intake_dedupe(spark):
     assert ok.count() == 2 and ok.agg(F.sum("qty")).first()[0] == 11
     ok2, _ = ingest.bulk_intake(lines, dedupe=False)
     assert ok2.count() == 3
+
+
+def test_slip_answer_is_one_value(spark):
+    """Whatever stands behind the answer, also what would close the list it is parsed in, voids it."""
+    one = '{"items":[{"item_id":"a","qty":1}]}'
+    texts = [one, one + " ", "[" + one + "]", one + " x", one + one, one + ",0", one + "] [", one + ",0] [", one + "]", one + ",", "", "{}", one + " // end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "slip_id int, response string")
+    got = {r.slip_id: len(r.slip["items"]) for r in slips.parse_slip_responses(df).collect()}
+    assert got == {i: 1 if i in (0, 1) else 0 for i in range(len(texts))}
+    notes = {r.slip_id: r.slip["notes"] for r in slips.parse_slip_responses(df).collect()}
+    assert [i for i, n in notes.items() if n is None] == [0, 1, 11]
