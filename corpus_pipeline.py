@@ -8,7 +8,9 @@ stage needs no join back to its input where its operator works row by row.
 Cases: each stage inherits those of its operator.  Rows with a null id pass the filters by
 their text; in near-duplicates they go if their component has a document with an id, else one
 row of the component stays.  Rows that repeat an id count as copies if their texts are linked:
-every component keeps one row, whatever ids stand in other components.
+every component keeps one row, whatever ids stand in other components.  Without a labelled
+text in any language the first stage passes every text with a letter; without quality labels
+the second keeps what its untrained score allows; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from stockledger.llm import decontaminate, language, mixing, quality_model, simh
 from stockledger.llm.common import fresh, read, stored
 from stockledger.llm.registry import ORACLE, QUERIES  # noqa: F401  (the driver contract reads them here)
 
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose best language is unlikely."""
+    """Drop documents for which language ID names no language: those without a letter.
+
+    The score does not decide: a softmax over the learned languages is high for many foreign and
+    shuffled texts too (figures in the README), so any limit that rejects them drops clean documents
+    first.  If no language can be learned (no labelled text), every text with a letter passes.
+    """
     held = spark.sparkContext.broadcast(language.train(docs))
     at = docs.columns.index("text")
 
@@ -37,8 +42,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                langs, scores = scorer.classify(part.column(at).to_pylist())
-                yield part.filter(pa.array([name != language.UNKNOWN and s >= MIN_LANGUAGE_SCORE for name, s in zip(langs, scores)], pa.bool_()))
+                texts = part.column(at).to_pylist()
+                if scorer.m.langs:
+                    kept = [name != language.UNKNOWN for name in scorer.classify(texts)[0]]
+                else:
+                    kept = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
