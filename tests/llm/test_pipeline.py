@@ -79,6 +79,18 @@ def test_entry_works_without_this_subpackage():
     assert done.stdout.strip() == "False", done.stderr[-500:]
 
 
+def test_language_stage_without_languages_and_with_unlikely_texts(spark, docs):
+    """Only texts without a letter go, whether or not a language could be learned and however unlikely the language."""
+    odd = spark.createDataFrame([(900001, "12 34 !?", "en", "s", 1), (900002, None, "en", "s", 1), (900003, "", "en", "s", 1), (900004, "1 \u03a9 2", "en", "s", 1),
+                                 (900005, "zq xj vk wq zz", None, "s", 1), (900006, "\u6f22\u5b57", None, "s", 1)], docs.schema)
+    some = docs.unionByName(odd)
+    gone = {900001, 900002, 900003} | {r.doc_id for r in docs.collect() if not any(map(str.isalpha, r.text or ""))}
+    want = {r.doc_id for r in some.collect()} - gone
+    assert {r.doc_id for r in P.language_id(spark, some, SF).collect()} == want
+    unknown = some.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in P.language_id(spark, unknown, SF).collect()} == want
+
+
 def test_every_component_keeps_one_row(spark, docs):
     """Repeated ids with unlinked texts, and a component of null ids beside null-id copies of a document with an id."""
     word = lambda seed: " ".join(f"w{seed}x{i * i + seed}" for i in range(40))
