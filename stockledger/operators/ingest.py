@@ -34,8 +34,12 @@ def ingest_scans(raw: DataFrame, params: Params = DEFAULT, default_ts: Column |
     return ledger, rejects
 
 
-def append_scans(rows: DataFrame, path: str) -> str:
-    """A5: append ledger rows (id and time defaulted when absent) to the scan log at ``path``."""
+def append_scans(rows: DataFrame, path: str, batch_id: str | None = None) -> str:
+    """A5: append ledger rows (id and time defaulted when absent) to the scan log at ``path``, each event once.
+
+    Rows without an id get a random one; only a ``batch_id`` makes a retry of those harmless.
+    """
+    from stockledger.sources.sinks import append_once
     cols = rows.columns
     out = rows
     if "event_id" not in cols:
@@ -44,8 +48,7 @@ def append_scans(rows: DataFrame, path: str) -> str:
         out = out.withColumn("event_ts", F.coalesce(F.col("event_ts"), F.localtimestamp()))
     else:
         out = out.withColumn("event_ts", F.localtimestamp())
-    out.write.mode("append").parquet(path)
-    return path
+    return append_once(out, path, ["event_id"], "event_ts", batch_id)
 
 
 def bulk_intake(slip_lines: DataFrame, params: Params = DEFAULT, dedupe: bool = True,

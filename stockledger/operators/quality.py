@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # fixed rule sets of the medallion layers (name -> SQL predicate)
@@ -34,20 +34,47 @@ def expect_or_drop(df: DataFrame, rules: dict[str, str | Column]) -> DataFrame:
     return out
 
 
-def expectation_metrics(df: DataFrame, rules: dict[str, str | Column]) -> DataFrame:
-    """Passed / failed record counts per rule in one pass over the data."""
+def _counts(rules: dict[str, str | Column]) -> list[Column]:
     aggs = []
     for name, p in rules.items():
         ok = _pred(p)
-        aggs.append(F.count_if(ok).alias(f"p_{name}"))
-        aggs.append(F.count_if(~ok).alias(f"f_{name}"))
-    one = df.agg(*aggs)
+        aggs += [F.count_if(ok).alias(f"p_{name}"), F.count_if(~ok).alias(f"f_{name}")]
+    return aggs
+
+
+def expectation_metrics(df: DataFrame, rules: dict[str, str | Column]) -> DataFrame:
+    """Passed / failed record counts per rule in one pass over the data."""
+    one = df.agg(*_counts(rules))
     rows = [F.struct(F.lit(name).alias("expectation_name"),
                      F.col(f"p_{name}").alias("passed_records"),
                      F.col(f"f_{name}").alias("failed_records")) for name in rules]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+class Expectations:
+    """B4 without a pass of its own: the rules' counts are observed while the data passes on its way to a layer."""
+
+    def __init__(self, rules: dict[str, str | Column]):
+        self.rules, self._seen = rules, Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        """``df`` with its rows counted by whatever action reads it to the end; filters stay behind this point."""
+        every = F.lit(True)
+        for p in self.rules.values():
+            every = every & _pred(p)
+        return df.observe(self._seen, F.count_if(every).alias("kept"), *_counts(self.rules))
+
+    @property
+    def kept(self) -> int:
+        """Rows that pass every rule."""
+        return self._seen.get["kept"]
+
+    def rows(self) -> list[tuple[str, int, int]]:
+        """(rule, passed, failed) after the action."""
+        got = self._seen.get
+        return [(name, got[f"p_{name}"], got[f"f_{name}"]) for name in self.rules]
+
+
 def quarantine(df: DataFrame, rules: dict[str, str | Column]) -> DataFrame:
     """Rows failing at least one rule, with the array of failed rule names."""
     failed = F.array_compact(F.array(*[F.when(~_pred(p), F.lit(name)) for name, p in rules.items()]))

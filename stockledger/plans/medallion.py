@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockledger.config import DEFAULT, Params
 from stockledger.operators import latest, ledger
-from stockledger.operators.quality import SCAN_RULES, SIGNAL_RULES, expect_or_drop
+from stockledger.operators.quality import SCAN_RULES, SIGNAL_RULES, Expectations, expect_or_drop, expectation_metrics
+from stockledger.sources.sinks import materialize, publish, register_layer
 
 
 def silver_scan_events(bronze: DataFrame) -> DataFrame:
@@ -97,27 +100,57 @@ def build_layers(bronze_scans: DataFrame, bronze_signals: DataFrame) -> dict[str
     return out
 
 
+# rules whose counts a refresh takes in the pass that writes the layer
+RULES = {"silver_scan_events": SCAN_RULES, "silver_replenishment_signals": SIGNAL_RULES}
+EXPECTATIONS = "layer string, expectation_name string, passed_records bigint, failed_records bigint"
+
+
+def write_layer(spark: SparkSession, name: str, inputs: list[DataFrame], target: str,
+                version: str | None = None) -> tuple[str, list[tuple[str, int, int]]]:
+    """Build one layer from its inputs and write it: (path, (rule, passed, failed) of its rules).
+
+    The rules are counted in the writing pass.  A task that ran twice may be counted twice, so the
+    rows that passed are held against those written; if they differ, the counts come from a pass of their own.
+    """
+    fn, _ = LAYERS[name]
+    seen = Expectations(RULES[name]) if name in RULES else None
+    df = fn(seen.watch(inputs[0]), *inputs[1:]) if seen else fn(*inputs)
+    path = materialize(df, target, name, QUALITY[name], PARTITION_BY.get(name), version)
+    if seen is None:
+        return path, []
+    if seen.kept == spark.read.parquet(path).count():
+        return path, seen.rows()
+    return path, [tuple(r) for r in expectation_metrics(inputs[0], RULES[name]).collect()]
+
+
 def refresh(spark: SparkSession, bronze_scans: DataFrame, bronze_signals: DataFrame, target: str,
             params: Params = DEFAULT, database: str | None = None) -> dict[str, str]:
-    """A4: full-refresh write of every layer, in dependency order.
+    """A4: full-refresh write of every layer, in dependency order, published at once at the end.
 
-    With ``database`` each layer is also a catalog table over its folder, with
-    a comment and its tier as the table property ``quality``.
+    Each refresh writes folders of its own.  Only when all layers are there does one small file make
+    them the current ones (``sinks.publish``), so a refresh that fails leaves the layers before it
+    readable and complete.  The counts of the quality rules are written with them (``expectations``).
+
+    With ``database`` each layer is also a catalog view of its published folder, with a comment
+    and its tier as the property ``quality``; views are replaced after the publication, one by one.
 
     Each written layer is read back before its dependants are built, so the
     latest-state ranking and the stock aggregate run once per refresh, and the
     lineage of every later layer starts at a stored table.
     """
-    from stockledger.sources.sinks import materialize, register_layer
+    version = uuid.uuid4().hex[:12]
     written: dict[str, str] = {}
     frames = {"bronze_scan_events": bronze_scans, "bronze_replenishment_signals": bronze_signals}
-    for name in ["bronze_scan_events", "bronze_replenishment_signals"]:
-        written[name] = materialize(frames[name], target, name, QUALITY[name])
+    for name in list(frames):
+        written[name] = materialize(frames[name], target, name, QUALITY[name], version=version)
         frames[name] = spark.read.parquet(written[name])
-    for name, (fn, deps) in LAYERS.items():
-        df = fn(*[frames[d] for d in deps])
-        written[name] = materialize(df, target, name, QUALITY[name], PARTITION_BY.get(name))
+    counts: list[tuple] = []
+    for name, (_, deps) in LAYERS.items():
+        written[name], rules = write_layer(spark, name, [frames[d] for d in deps], target, version)
+        counts += [(name, *r) for r in rules]
         frames[name] = spark.read.parquet(written[name])
+    expectations = materialize(spark.createDataFrame(counts, EXPECTATIONS).coalesce(1), target, "expectations", "metrics", version=version)
+    publish(spark, target, [*((name, QUALITY[name], path) for name, path in written.items()), ("expectations", "metrics", expectations)])
     if database is not None:
         for name, path in written.items():
             register_layer(spark, database, name, path, QUALITY[name], COMMENTS[name])

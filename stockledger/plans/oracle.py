@@ -414,6 +414,16 @@ def oracle_sql() -> dict[str, str]:
     q["append_scans"] = w("ingest") + """SELECT scan_id AS event_id, event_ts, kind AS event_type, station_id,
         barcode_raw, p_item AS item_id, p_qty AS qty, user_email FROM ingest WHERE reason IS NULL"""
     q["append_signals"] = q["bronze_replenishment_signals"]
+    q["load_slip_files"] = """
+        WITH f AS (
+          SELECT o_custkey AS c, string_agg(line, chr(10) ORDER BY line) AS t
+          FROM (SELECT o_custkey, o_orderkey || ' ' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders) GROUP BY 1),
+        k AS (
+          SELECT 'slip-' || c || ['.jpg', '.JPEG', '.png', '.webp', '.gif', '.PDF', '.tif', '.txt', ''][c % 9 + 1] AS file, strlen(t) AS length, t,
+                 ['image/jpeg', 'image/jpeg', 'image/png', 'image/webp', 'image/gif', 'application/pdf', 'image/jpeg'][c % 9 + 1] AS m FROM f)
+        SELECT file, length, CASE WHEN length <= 250 THEN m END AS media_type,
+               CASE WHEN m IS NOT NULL AND length <= 250 THEN sha256(t) END AS sha256,
+               CASE WHEN m IS NULL THEN 'not_an_image_or_pdf' WHEN length > 250 THEN 'too_large' END AS reason FROM k"""
     q["inventory_current"] = w("totals") + "SELECT * FROM totals"
     q["signals_current"] = w("latest") + f"SELECT {SIG_COLS} FROM latest"
     q["migrate_signals_v1_to_v2"] = w("signals") + f"""SELECT row_number() OVER (PARTITION BY signal_id

@@ -12,6 +12,11 @@ text stays whole.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +78,34 @@ def slip_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = F.element_at(F.create_map(*[x for n, t in COPIES.items() for x in (F.lit(n), F.expr(t))]), (F.col("slip_id") % 25).cast("int"))
     both = F.array(F.struct(F.col("slip_id"), text.alias("response")), F.struct((-F.col("slip_id")).alias("slip_id"), copy.alias("response")))
     return doc.select(F.explode(both).alias("x")).select("x.*").where("response is not null")
+
+
+# the endings that the slip files of the customers take in turn; the last has none
+ENDINGS = (".jpg", ".JPEG", ".png", ".webp", ".gif", ".PDF", ".tif", ".txt", "")
+
+
+def slip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): one file per customer, a line for each of the customer's orders."""
+    line = F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("o_custkey") % len(ENDINGS)).cast("int") + 1)
+    return read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(line)).alias("l")).select(
+        F.concat(F.lit("slip-"), F.col("o_custkey").cast("string"), ending).alias("name"), F.array_join("l", "\n").cast("binary").alias("content"))
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row's ``content`` to the file ``name`` below ``root``, by the tasks that hold the rows; returns their number.
+
+    A file is written whole under its own name, so a task that runs again repeats nothing.
+    """
+    root = re.sub(r"^file:/+", "file:///", root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                with store.open_output_stream(f"{base}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -17,14 +17,14 @@ def _source(spark: SparkSession, table: str) -> str:
 def bronze_scan_events(spark: SparkSession, path: str | None = None) -> DataFrame:
     """A1: unmodified scan log -- a catalog table (catalog/schema from conf) or Parquet with the fixed schema."""
     if path is not None:
-        return spark.read.schema(SCAN_EVENTS).parquet(path)
+        return spark.read.schema(SCAN_EVENTS).parquet(path).select(*SCAN_EVENTS.fieldNames())
     return spark.table(_source(spark, "scan_events"))
 
 
 def bronze_replenishment_signals(spark: SparkSession, path: str | None = None) -> DataFrame:
     """A2: unmodified signal log."""
     if path is not None:
-        return spark.read.schema(SIGNALS).parquet(path)
+        return spark.read.schema(SIGNALS).parquet(path).select(*SIGNALS.fieldNames())
     return spark.table(_source(spark, "replenishment_signals"))
 
 

@@ -1,12 +1,20 @@
 """File source (A7), sinks (A4-A6) and the schema migration."""
 
+import datetime as dt
 import os
 import tempfile
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from stockledger.functions.slips import load_slip_files
-from stockledger.sources import sinks
+from stockledger.plans import medallion as M
+from stockledger.session import scratch_path
+from stockledger.sources import bridge, sinks, slipdata, tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_load_slip_files(spark):
@@ -32,3 +40,99 @@ def test_migrate_v1_to_v2(spark):
     assert "triggered_at_qty" in v2.columns
     assert sorted((r.status, r.id) for r in v2.collect()) == [("FULFILLED", 2), ("OPEN", 1)]
     assert sinks.migrate_signals_v1_to_v2(v2) is v2
+
+
+def _inputs(spark):
+    q = E.queries()
+    return bridge.bridge_e(spark, SF), q["bronze_replenishment_signals"](spark, SF)
+
+
+def test_failed_refresh_leaves_the_published_layers(spark, monkeypatch):
+    bronze, signals = _inputs(spark)
+    target, database = scratch_path(spark, "atomic"), "atomic_" + uuid.uuid4().hex[:8]
+    spark.sql(f"CREATE DATABASE {database}")
+    assert sinks.published(spark, target) == {}
+    M.refresh(spark, bronze, signals, target, database=database)
+    before = sinks.published(spark, target)
+    rows = {n: spark.read.parquet(p).count() for n, p in before.items()}
+    assert set(M.QUALITY) < set(before) and rows["bronze_scan_events"] == bronze.count()
+
+    def fails(*_):
+        raise RuntimeError("half way")
+    monkeypatch.setitem(M.LAYERS, "gold_daily_activity", (fails, ["silver_scan_events"]))
+    with pytest.raises(RuntimeError):
+        M.refresh(spark, bronze.limit(10), signals.limit(3), target, database=database)
+    assert sinks.published(spark, target) == before
+    assert {n: spark.read.parquet(p).count() for n, p in before.items()} == rows
+    assert all(spark.table(f"{database}.{n}").count() == rows[n] for n in M.QUALITY)
+
+    monkeypatch.undo()
+    M.refresh(spark, bronze.limit(10), signals.limit(3), target, database=database)
+    after = sinks.published(spark, target)
+    assert not set(after.values()) & set(before.values())
+    assert spark.table(f"{database}.bronze_scan_events").count() == 10 == spark.read.parquet(after["bronze_scan_events"]).count()
+
+
+def test_refresh_counts_rule_failures_while_writing(spark):
+    from stockledger.operators import quality
+    bronze, signals = _inputs(spark)
+    target = scratch_path(spark, "observed")
+    M.refresh(spark, bronze, signals, target)
+    got = {tuple(r) for r in spark.read.parquet(sinks.published(spark, target)["expectations"]).collect()}
+    want = {("silver_scan_events", *r) for r in quality.expectation_metrics(bronze, quality.SCAN_RULES).collect()}
+    want |= {("silver_replenishment_signals", *r) for r in quality.expectation_metrics(signals, quality.SIGNAL_RULES).collect()}
+    assert got == want
+
+
+def test_layer_and_counts_come_from_one_read_of_the_log(spark, monkeypatch):
+    """The scan of the log runs in one job: that of the write."""
+    path = scratch_path(spark, "log")
+    bridge.bridge_e(spark, SF).write.parquet(path)
+    log = spark.read.parquet(path)
+    monkeypatch.setattr(M, "expectation_metrics", lambda *_: pytest.fail("counted in a pass of its own"))
+    out, counts = M.write_layer(spark, "silver_scan_events", [log], scratch_path(spark, "one-read"))
+    assert spark.read.parquet(out).count() == M.silver_scan_events(log).count() and len(counts) == 3
+
+
+def test_miscounted_expectations_are_counted_again(spark, monkeypatch):
+    from stockledger.operators import quality
+    log = bridge.bridge_e(spark, SF)
+    monkeypatch.setattr(quality.Expectations, "kept", property(lambda self: -1))
+    _, counts = M.write_layer(spark, "silver_scan_events", [log], scratch_path(spark, "recount"))
+    assert sorted(counts) == sorted(tuple(r) for r in quality.expectation_metrics(log, quality.SCAN_RULES).collect())
+
+
+def test_appends_are_idempotent(spark):
+    from stockledger.operators import ingest
+    ddl = "event_id string, event_ts timestamp_ntz, event_type string, station_id string, barcode_raw string, item_id string, qty int, user_email string"
+    t = lambda d: dt.datetime(2024, 1, d)
+    row = lambda i, d: (i, t(d), "INTAKE", "s", "b", "p", 1, None)
+    rows = lambda *r: spark.createDataFrame(list(r), ddl)
+    ids = lambda p: sorted(r.event_id for r in tables.bronze_scan_events(spark, p).collect())
+    path = scratch_path(spark, "idempotent")
+    ingest.append_scans(rows(row("a", 1), row("b", 2)), path, "one")
+    ingest.append_scans(rows(row("a", 1), row("b", 2)), path, "one")          # a retry
+    assert ids(path) == ["a", "b"]
+    ingest.append_scans(rows(row("b", 2), row("c", 3), row("c", 3)), path)    # delivered again, without a name
+    ingest.append_scans(rows(), path, "empty")
+    assert ids(path) == ["a", "b", "c"]
+    # without an id a row gets one; the batch's name makes its retry harmless
+    untold = rows(row(None, 4), row(None, 5)).drop("event_id", "event_ts")
+    for _ in range(2):
+        ingest.append_scans(untold, path, "untold")
+    assert len(ids(path)) == 5
+    signal = "id bigint, signal_id string, created_ts timestamp_ntz, item_id string, triggered_at_qty bigint, reorder_point int, reorder_qty int, trigger_event_id string, status string"
+    log = scratch_path(spark, "idempotent-signals")
+    sig = spark.createDataFrame([(None, "s", t(1), "p", 1, 10, 24, None, "OPEN"), (None, "s", t(1), "p", 1, 10, 24, None, "FULFILLED")], signal)
+    for batch in ("x", "x", None, None):
+        sinks.append_signals(sig, log, batch)
+    assert sorted(r.status for r in tables.bronze_replenishment_signals(spark, log).collect()) == ["FULFILLED", "OPEN"]
+
+
+def test_slip_files_are_written_again_by_a_retry(spark):
+    root = scratch_path(spark, "slip-files")
+    files = spark.createDataFrame([("a.png", bytearray(b"x")), ("b.txt", bytearray(b"yy"))], "name string, content binary")
+    for _ in range(2):
+        assert slipdata.write_files(files.repartition(2), root) == 2
+    got = spark.read.format("binaryFile").load(root).collect()
+    assert sorted((os.path.basename(r.path), bytes(r.content)) for r in got) == [("a.png", b"x"), ("b.txt", b"yy")]
