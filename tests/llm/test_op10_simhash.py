@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -44,15 +45,50 @@ def test_fingerprint_cases():
     S._PIECE = kept
 
 
-def test_bk_tree_finds_what_a_scan_finds():
+def inserted(values):
+    """The tree as inserting one value after the other gives it: {value: {distance: child}}."""
+    tree = {values[0]: {}}
+    for v in values[1:]:
+        at = values[0]
+        while (d := (at ^ v).bit_count()) in tree[at]:
+            at = tree[at][d]
+        tree[at][d] = v
+        tree[v] = {}
+    return tree
+
+
+def test_bk_tree_is_the_inserted_one_and_finds_what_a_scan_finds():
     rng = random.Random(1)
-    values = list({rng.getrandbits(12) for _ in range(400)})
-    tree = S.BKTree()
-    for v in values:
-        tree.add(v)
-    for _ in range(200):
-        q = rng.getrandbits(12)
-        assert sorted(tree.within(q, 2)) == sorted(v for v in values if (v ^ q).bit_count() <= 2)
+    for values in ([5], list({rng.getrandbits(12) for _ in range(400)}), clustered(rng, 300)):
+        tree = S.BKTree(np.array(values, dtype=np.uint64))
+        want = inserted(values)
+        for i, v in enumerate(values):
+            kids = tree.child[tree.start[i * tree.STRIDE]:tree.start[(i + 1) * tree.STRIDE]]
+            assert [values[k] for k in kids] == [c for _, c in sorted(want[v].items())]
+        queries = [rng.getrandbits(12) for _ in range(100)] + rng.sample(values, min(100, len(values)))
+        q, node = tree.within(np.array(queries, dtype=np.uint64), 2)
+        assert sorted(zip(q.tolist(), node.tolist())) == sorted((i, j) for i, a in enumerate(queries) for j, b in enumerate(values) if (a ^ b).bit_count() <= 2)
+
+
+def test_a_search_leaves_out_most_of_a_tree():
+    rng = random.Random(2)
+    tree = S.BKTree(np.array([rng.getrandbits(64) for _ in range(S.PER_SHARD)], dtype=np.uint64))
+    tree.within(tree.values, S.RADIUS)
+    assert tree.visited < 0.6 * S.PER_SHARD ** 2
+
+
+def test_masks_of_near_fingerprints_meet():
+    """Whatever 3 bits differ, some table's key is the same, also after every refinement."""
+    rng = random.Random(3)
+    for distinct in (10**6, 10**8, 10**11):
+        blocks, bits = S.shard_plan(distinct)
+        short, whole, finer = S.masks(blocks, bits, 3)
+        assert all(m.bit_count() == bits and m & w == m for m, w in zip(short, whole))
+        for _ in range(300):
+            diff = sum(1 << p for p in rng.sample(range(64), 3))
+            meet = [t for t, m in enumerate(whole) if not diff & m]
+            assert meet and all(not diff & short[t] for t in meet)
+            assert all(any(not diff & m for m in finer[t]) for t in meet)
 
 
 def clustered(rng, n):
@@ -69,18 +105,18 @@ def test_links_connect_like_all_pairs(spark):
     fps = clustered(random.Random(5), 400)
     df = spark.createDataFrame([(S.signed(x),) for x in fps], "fp long")
     want = brute_components(dict(enumerate(fps)))
-    # every number of blocks, and shards cut into chunks of 2 and 50
-    for distinct, nodes in ((10, 4096), (10, 2), (10, 50), (1 << 22, 50), (1 << 40, 50)):
-        roots = {r.fp: r.root for r in S.components(S.links(df, distinct=distinct, tree_nodes=nodes)).collect()}
+    # one shard, many shards, shards dealt anew by more bits, and shards cut into chunks
+    for distinct, nodes, per_shard in ((10, 4096, 1024), (400, 4096, 16), (10, 50, 1024), (400, 50, 100), (400, 2, 16), (1 << 22, 50, 16), (1 << 40, 3, 16)):
+        roots = {r.fp: r.root for r in S.components(S.links(df, distinct=distinct, tree_nodes=nodes, per_shard=per_shard)).collect()}
         groups, names = {}, {}
         for i, x in enumerate(fps):
             groups.setdefault(want[i], set()).add(i)
             names.setdefault(roots.get(S.signed(x), S.signed(x)), set()).add(i)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, names.values())), (distinct, nodes)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, names.values())), (distinct, nodes, per_shard)
 
 
-def test_block_choice_grows():
-    assert [S.block_count(n) for n in (0, 10**5, 10**7, 10**12)] == [4, 4, 5, 6]
+def test_shard_plan_grows():
+    assert [S.shard_plan(n) for n in (0, 1024, 1025, 10**5, 10**8, 10**12, 10**14)] == [(4, 0), (4, 0), (4, 1), (4, 7), (5, 17), (6, 30), (6, 32)]
 
 
 def test_long_chain_settles(spark):
