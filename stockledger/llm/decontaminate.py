@@ -16,7 +16,7 @@ One shard (the usual case) needs no shuffle at all.
 Cases: null or wordless text: no words, nothing hit.  Null / wordless items have no
 windows.  A null item id is reported as an empty string.  Repeated item ids count once.
 Repeated document rows each give a row.  Empty tables give empty (or all-clean) results.
-Columns other than the id and text are not read by ``scan`` and kept as they are by
+Texts are searched whole, whatever their length, one at a time.  Columns other than the id and text are not read by ``scan`` and kept as they are by
 ``clean``; clashing names there are harmless (the result struct has a fresh name).
 """
 

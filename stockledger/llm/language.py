@@ -12,7 +12,8 @@ convolution are folded into two tables over byte pairs, which gives the same sum
 look-ups for each place.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without any labelled
-text all are ``und``.  Null ids count as the empty text in the crc rule.  Repeated rows each
+text all are ``und``.  Of languages with equal probability the first by name is taken.  An empty
+table gives no rows; a very long text is scored window by window.  Null ids count as the empty text in the crc rule.  Repeated rows each
 give a row.  Only the id, text and (for learning) language columns are read; others cannot
 clash.
 """

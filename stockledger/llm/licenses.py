@@ -13,7 +13,7 @@ are phrases of the licence texts.  One projection does the work, with built-in f
    furthest end seen per priority, so it is linear in the detections.
 
 Cases: null counts as the empty text (no words, no labels, score 0).  Repeated rows each give
-a row.  Only the id and text columns are read; other columns cannot clash.
+a row, an empty table none; texts are scanned whole, whatever their length.  Only the id and text columns are read; other columns cannot clash.
 """
 
 from __future__ import annotations

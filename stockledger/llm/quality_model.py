@@ -15,7 +15,8 @@ shuffle.
 
 Cases: null and blank texts have only the size feature and get a score from it.  Null ids
 count as the empty text in the crc rule.  Null labels are not learned from; without any
-label all scores are 0.5.  Repeated rows each give a row.  Only the id and text columns (and
+label all scores are 0.5.  An empty table gives no rows.  Equal texts have equal scores.  Texts are
+read whole, whatever their length.  Repeated rows each give a row.  Only the id and text columns (and
 of the labels the id and label) are read; others cannot clash.
 """
 

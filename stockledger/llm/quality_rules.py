@@ -5,7 +5,8 @@ projection: word and line statistics, one boolean per rule, the verdict.  Only b
 functions; no shuffle; every text is read whole.
 
 Cases: null counts as the empty text (no words: fails).  Statistics of wordless texts are 0,
-so ratios never divide by zero.  Repeated rows each give a row.  Statistics live in one
+so ratios never divide by zero.  Repeated rows each give a row, an empty table none; texts are
+read whole, whatever their length.  Statistics live in one
 struct column, so other columns of the input cannot clash; only id and text are read.
 """
 

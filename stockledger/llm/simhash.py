@@ -25,7 +25,7 @@
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other; a null
 id is never the smallest unless all ids are null (then the component id is null); repeated rows each give a row; an empty
-table gives no rows.  Only the id and text columns are read, so further columns cannot clash.
+table gives no rows; of a very long text 65,536 shingles are counted at a time.  Only the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations

@@ -47,3 +47,16 @@ def test_rules_keep_prose_and_drop_junk(spark):
     rows = [(0, body), *junk.items()]
     got = {r.id: r.kept for r in Q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_empty_tables_give_no_rows_everywhere(spark):
+    """Operators that work row by row, and the classifiers with nothing to learn from."""
+    from stockledger.llm import language, licenses, quality_model, quality_rules
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.apply_rules(none).count() == 0 and licenses.scan(none).count() == 0
+    assert language.identify(none, language.train(none)).count() == 0
+    model = quality_model.train(none, labels)
+    assert quality_model.score(none, model).count() == 0
+    some = spark.createDataFrame([(1, "a text"), (2, None), (3, "a text")], "doc_id long, text string")
+    assert [r.score for r in quality_model.score(some, model).collect()] == [0.5] * 3
