@@ -8,22 +8,25 @@ Words: A-Z lower-cased, runs of ASCII letters, digits and non-ASCII code points.
 is ``n`` consecutive words of an item; an item of 1..n-1 words is one window of its own
 length.  A document word inside any occurrence of any window is hit.
 
-The benchmark is broadcast in shards of at most ``shard_bytes`` of text, cut by a running
-size over its items, so what one task holds is bounded whatever the benchmark's size:
-each shard is one pass over the documents, and the passes' spans are merged per document.
-One shard (the usual case) needs no shuffle at all.
+The set is flat arrays built once in the driver: the normalised words, sorted window hashes and
+the items behind each window, under eight times the bytes of its text.  A benchmark of more than
+``shard_bytes`` is cut in Spark into pieces (an item longer than a piece overlaps itself by
+``n - 1`` words) and shards of at most that size, stored; one shard at a time is fetched,
+broadcast, searched for in all documents and given up again, and the passes' spans are merged
+per document.  One shard (the usual case) needs no shuffle, no storage and no job of its own
+beyond the benchmark's size and rows.
 
 Cases: null or wordless text: no words, nothing hit.  Null / wordless items have no
 windows.  A null item id is reported as an empty string.  Repeated item ids count once.
 Repeated document rows each give a row.  Empty tables give empty (or all-clean) results.
-Texts are searched whole, whatever their length, one at a time.  Columns other than the id and text are not read by ``scan`` and kept as they are by
-``clean``; clashing names there are harmless (the result struct has a fresh name).
+Texts are searched whole, whatever their length, one at a time, hashed a megabyte at a time.
+Columns other than the id and text are not read by ``scan`` and kept as they are by
+``remove_spans`` and ``drop_documents``; clashing names there are harmless (added columns have fresh names).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,79 +34,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockledger.llm.common import ALNUM_WORD, fresh, read, stored, table_bytes
+from stockledger.llm.common import fresh, read, stored, table_bytes
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-_WORD = re.compile(ALNUM_WORD)
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15          # odd multiplier of the rolling hash
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER)) if text else []
-
-
-class NgramSet:
-    """Window hashes of a benchmark shard, with the windows behind each hash for verification.
-
-    Words get small integers; a window's hash is a polynomial in them modulo 2^64.
+_PIECE = 1 << 20                    # bytes hashed at a time
+_BASE = 0x9E3779B97F4A7C15          # odd multiplier over the words of a window
+_STEP = 0x9FB21C651E98DF25          # odd multiplier over the bytes of a word
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+# word bytes of a lower-cased text: digits, a-z and every byte of a non-ASCII code point
+_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+# some more than a piece, which ends where its last word does
+_UP, _DOWN = (_powers(x, _PIECE + 4096) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+
+
+class Words:
+    """The words of a text: lower-cased UTF-8 ``data``, byte places (``start``, ``end``) and a 64-bit ``code`` each."""
+
+    def __init__(self, text: bytes | str | None):
+        raw = text.encode() if isinstance(text, str) else text or b""
+        self.data = raw.translate(_LOWER)
+        parts = [self._piece(a, b) for a, b in self._cuts()]
+        self.start, self.end, self.code = (np.concatenate(c) for c in zip(*parts)) if parts else (
+            np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i]:self.end[i]]
+
+    def _cuts(self) -> Iterator[tuple[int, int]]:
+        """Byte ranges of about ``_PIECE`` that cut no word."""
+        view, at = np.frombuffer(self.data, dtype=np.uint8), 0
+        while at < len(view):
+            stop = at + _PIECE
+            while stop < len(view) and _WORD[view[stop]] and _WORD[view[stop - 1]]:
+                gaps = np.flatnonzero(~_WORD[view[stop:stop + _PIECE]])
+                stop += int(gaps[0]) if len(gaps) else _PIECE
+            yield at, min(stop, len(view))
+            at = stop
+
+    def _piece(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        view = np.frombuffer(self.data, dtype=np.uint8)[a:b]
+        edge = np.flatnonzero(np.diff(_WORD[view], prepend=False, append=False))
+        start, end = edge[0::2], edge[1::2]
+        up, down = (_UP, _DOWN) if len(view) <= len(_UP) else (
+            _powers(_STEP, len(view)), _powers(pow(_STEP, -1, 1 << 64), len(view)))
+        total = np.zeros(len(view) + 1, dtype=np.uint64)
+        np.cumsum((view.astype(np.uint64) + np.uint64(1)) * up[:len(view)], out=total[1:])
+        code = (total[end] - total[start]) * down[start]
+        return start + a, end + a, code ^ (code >> np.uint64(29))
+
+
+def window_codes(code: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code for each window of ``size`` words: a polynomial in their codes."""
+    out = np.zeros(max(len(code) - size + 1, 0), dtype=np.uint64)
+    for k in range(size if len(out) else 0):
+        out = out * np.uint64(_BASE) + code[k:k + len(out)]
+    return out ^ (out >> np.uint64(31))
+
+
+class Windows:
+    """All windows of one size: sorted ``code`` with a place of each, and the items that hold it.
+
+    Windows of one code that differ are entries of their own, so an entry is one exact window.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int = WINDOW):
-        self.vocab: dict[str, int] = {}
-        self.windows: dict[int, dict[int, list[tuple[tuple[int, ...], set[str]]]]] = {}
-        for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                win = tuple(ids[i:i + size])
-                bucket = self.windows.setdefault(size, {}).setdefault(self._hash(win), [])
-                for known, owners in bucket:
-                    if known == win:
-                        owners.add(item_id)
-                        break
-                else:
-                    bucket.append((win, {item_id}))
-        self.sets = {size: np.array(sorted(w), dtype=np.uint64) for size, w in self.windows.items()}
+    def __init__(self, words: Words, size: int, place: np.ndarray, item: np.ndarray, code: np.ndarray):
+        order = np.lexsort((item, code))
+        code, place, item = code[order], place[order], item[order]
+        entry = np.concatenate(([True], code[1:] != code[:-1]))
+        rest, moved = np.flatnonzero(~entry), False
+        kinds = np.zeros(len(code), dtype=np.int64)
+        others: dict[int, list[list[bytes]]] = {}      # by head of the code: windows that differ from it
+        heads = np.maximum.accumulate(np.where(entry, np.arange(len(code)), 0))
+        for r, h in zip(rest.tolist(), heads[rest].tolist()):
+            mine = self.text(words, int(place[r]), size)
+            if mine != self.text(words, int(place[h]), size):
+                known, moved = others.setdefault(h, []), True
+                if mine not in known:
+                    known.append(mine)
+                kinds[r] = 1 + known.index(mine)
+        if moved:
+            order = np.lexsort((item, kinds, code))
+            code, place, item, kinds = code[order], place[order], item[order], kinds[order]
+            entry = np.concatenate(([True], (code[1:] != code[:-1]) | (kinds[1:] != kinds[:-1])))
+        at = np.flatnonzero(entry)
+        self.size, self.code, self.place, self.item = size, code[at], place[at].astype(np.int32), item.astype(np.int32)
+        self.first = np.append(at, len(code)).astype(np.int32)
+        bits = int(np.clip(len(at).bit_length() + 2, 8, 24))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[(self.code * np.uint64(_STEP)) >> self.shift] = True
 
     @staticmethod
-    def _hash(win: tuple[int, ...]) -> int:
-        h = 0
-        for x in win:
-            h = (h * _BASE + x) & _MASK
-        return h
+    def text(words: Words, at: int, size: int) -> list[bytes]:
+        return [words.word(at + k) for k in range(size)]
+
 
-    def find(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+class NgramSet:
+    """Window codes of a benchmark shard, with the words behind each for verification."""
+
+    def __init__(self, items: Iterable[tuple[str, bytes | str | None]], n: int = WINDOW):
+        self.names: list[str] = []
+        number: dict[str, int] = {}
+        data, sizes, owners = [], [], []
+        for name, text in items:
+            w = Words(text)
+            if not len(w):
+                continue
+            if name not in number:
+                number[name] = len(self.names)
+                self.names.append(name)
+            data.append(w.data)
+            sizes.append(len(w))
+            owners.append(number[name])
+        self.words = Words(b" ".join(data))
+        count, owner = np.array(sizes, dtype=np.int64), np.array(owners, dtype=np.int64)
+        base = np.cumsum(count) - count
+        self.windows: list[Windows] = []
+        for size in sorted({min(n, x) for x in sizes}):
+            mine = np.flatnonzero(np.minimum(count, n) == size)
+            many = count[mine] - size + 1
+            place = np.repeat(base[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            self.windows.append(Windows(self.words, size, place, np.repeat(owner[mine], many),
+                                        window_codes(self.words.code, size)[place]))
+        # what verification needs is all that is kept: the words' places
+        self.words.start, self.words.end = self.words.start.astype(np.int32), self.words.end.astype(np.int32)
+        self.words.code = None
+
+    def find(self, words: Words) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged [start, end) word spans covered by windows, and the items they belong to."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        if not words or not self.sets:
-            return spans, items
-        get = self.vocab.get
-        ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
-        known = ids != 0
-        for size, hashes in self.sets.items():
-            if size > len(words):
-                continue
-            # a window can only occur where all its words are benchmark words
-            run = np.cumsum(np.concatenate(([0], known)))
-            at = np.flatnonzero(run[size:] - run[:-size] == size)
+        items: set[int] = set()
+        for w in self.windows:
+            codes = window_codes(words.code, w.size)
+            at = np.flatnonzero(w.seen[(codes * np.uint64(_STEP)) >> w.shift])
             if not len(at):
                 continue
-            h = np.zeros(len(at), dtype=np.uint64)
-            for k in range(size):
-                h = h * np.uint64(_BASE) + ids[at + k]
-            pos = np.searchsorted(hashes, h)
-            hit = hashes[np.minimum(pos, len(hashes) - 1)] == h
-            for start, code in zip(at[hit].tolist(), h[hit].tolist()):
-                win = tuple(ids[start:start + size].tolist())
-                for exact, owners in self.windows[size][code]:
-                    if exact == win:
-                        spans.append((start, start + size))
-                        items |= owners
-        return merge(spans), items
+            lo, hi = (np.searchsorted(w.code, codes[at], side) for side in ("left", "right"))
+            hit: set[int] = set()
+            for start, a, b in zip(*(x[hi > lo].tolist() for x in (at, lo, hi))):
+                mine = Windows.text(words, start, w.size)
+                for entry in range(a, b):
+                    if mine == Windows.text(self.words, int(w.place[entry]), w.size):
+                        spans.append((start, start + w.size))
+                        hit.add(entry)
+            for entry in hit:
+                items.update(w.item[w.first[entry]:w.first[entry + 1]].tolist())
+        return merge(spans), {self.names[i] for i in items}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,22 +204,63 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in lists of at most ``shard_bytes`` of text each (one item at least)."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    if table_bytes(rows, "i", "t") <= shard_bytes:
-        yield [(r["i"], r["t"]) for r in rows.collect()]
+def pieces(text: bytes | None, n: int, limit: int) -> Iterator[bytes]:
+    """A text in pieces of about ``limit`` bytes that hold every window of ``n`` words, short texts whole."""
+    if not text or len(text) <= limit:
+        yield text or b""
         return
-    part, size = [], 0
-    for r in rows.toLocalIterator():
-        n = 16 + len((r["t"] or "").encode()) + len(r["i"].encode())
-        if part and size + n > shard_bytes:
-            yield part
-            part, size = [], 0
-        part.append((r["i"], r["t"]))
-        size += n
-    if part:
-        yield part
+    w, a = Words(text), 0
+    while a < len(w):
+        b = int(np.searchsorted(w.end, w.start[a] + limit, "right"))
+        b = min(max(b, a + n), len(w))
+        yield w.data[w.start[a]:w.end[b - 1]]
+        if b == len(w):
+            return
+        a = b - n + 1
+
+
+def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int, n: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark in lists of at most ``shard_bytes`` of text each (a window at least), one at a time."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"),
+                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+    size = table_bytes(rows, "i", "t")
+    if size <= shard_bytes:
+        yield _fetch(rows)
+        return
+    limit = max(shard_bytes // 8, 1)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = held = 0
+        rows: list[tuple[str, bytes, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int32()))]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(cols, ["i", "t", "shard"])
+
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1)):
+                for piece in pieces(text.as_py(), n, limit):
+                    more = 16 + len(name.encode()) + len(piece)
+                    if held and held + more > shard_bytes:
+                        if rows:
+                            yield batch()
+                        shard, held = shard + 1, 0
+                    held += more
+                    rows.append((name, piece, shard))
+            if rows:
+                yield batch()
+
+    # few tasks, so that most shards are full; a task streams its rows
+    dealt = rows.coalesce(max(1, size // (16 * shard_bytes))).mapInArrow(number, "i string, t binary, shard int")
+    table = stored(dealt.withColumn("task", F.spark_partition_id()), "benchmark-shards")
+    for key in table.select("task", "shard").distinct().orderBy("task", "shard").collect():
+        yield _fetch(table.where((F.col("task") == key["task"]) & (F.col("shard") == key["shard"])).select("i", "t"))
+
+
+def _fetch(rows: DataFrame) -> list[tuple[str, bytes]]:
+    got = rows.toArrow()
+    return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
 _SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -139,41 +268,65 @@ _ARROW = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.in
           ("items", pa.list_(pa.string()))]
 
 
+def text_words(column: pa.Array) -> Iterator[Words]:
+    for t in column:
+        raw = t.as_buffer()
+        yield Words(raw.to_pybytes() if raw is not None else None)
+
+
+def each_shard(start: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, n: int, shard_bytes: int,
+               step: Callable[[DataFrame, Callable[[], NgramSet]], DataFrame], name: str) -> DataFrame:
+    """``step`` of ``start`` for each shard in turn; between two shards the rows are stored and the set given up."""
+    out, held = start, None
+    for items in shards(benchmark, item_col, item_text, shard_bytes, n):
+        if held is not None:
+            out = stored(out, name)
+            held.destroy()
+        held = start.sparkSession.sparkContext.broadcast(NgramSet(items, n))
+        out = step(out, lambda held=held: held.value)
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text: str = "text", n: int = WINDOW,
          shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document row: id, n_words, hit word spans (merged, end exclusive), items."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    kind = src.schema["id"].dataType.simpleString()
 
-    def one_pass(frame: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(items)
+    def one_pass(frame: DataFrame, items: list[tuple[str, bytes]], every: bool) -> tuple[DataFrame, object]:
+        held = spark.sparkContext.broadcast(NgramSet(items, n))
+        kind = frame.schema["id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams = NgramSet(held.value, n)
+            grams = held.value
             for b in batches:
-                cols: tuple[list, list, list] = ([], [], [])
-                for t in b.column(1):
-                    words = words_of(t.as_py())
+                rows, keep = [], []
+                for words in text_words(b.column(1)):
                     spans, found = grams.find(words)
-                    cols[0].append(len(words))
-                    cols[1].append([{"start": s, "end": e} for s, e in spans])
-                    cols[2].append(sorted(found))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, _ARROW))], ["id", *(x for x, _ in _ARROW)])
-
-        return frame.mapInArrow(run, f"id {kind}, {_SPANS}")
-
-    parts = list(shards(benchmark, item_col, item_text, shard_bytes)) or [[]]
-    if len(parts) == 1:
-        return one_pass(src, parts[0])
-    # several shards: number the rows, scan once per shard, merge each row's spans
-    numbered = src.withColumn("id", F.struct("id", F.uuid(F.lit(42)).alias("row")))
-    numbered = stored(numbered, "decontaminate")
-    kind = numbered.schema["id"].dataType.simpleString()
-    both = reduce(DataFrame.unionByName, (one_pass(numbered, p) for p in parts))
-    # a row has one list of spans for each shard
+                    keep.append(every or bool(spans))
+                    if keep[-1]:
+                        rows.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(found)))
+                cols = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), *(
+                    pa.array(c, t) for c, (_, t) in zip(cols, _ARROW))], ["id", *(x for x, _ in _ARROW)])
+
+        return frame.mapInArrow(run, f"id {kind}, {_SPANS}"), held
+
+    found: list[DataFrame] = []
+    parts = shards(benchmark, item_col, item_text, shard_bytes, n)
+    items, after = next(parts, []), next(parts, None)
+    if after is None:
+        return one_pass(src, items, True)[0]
+    # several shards: number the rows; the first pass gives a row for each, the others only what they hit
+    numbered = stored(src.withColumn("id", F.struct("id", F.uuid(F.lit(42)).alias("row"))), "decontaminate")
+    while items is not None:
+        out, held = one_pass(numbered, items, not found)
+        found.append(stored(out, "decontaminate-pass"))
+        held.destroy()
+        items, after = after, next(parts, None)
+    both = reduce(DataFrame.unionByName, found)
+    # a row has one list of spans at most for each shard
     grouped = both.groupBy("id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"),
                                      F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.aggregate("s", F.array().cast("array<struct<start:long,end:long>>"), lambda acc, x: F.when(
@@ -190,21 +343,21 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
 
     Every shard is searched in the original text; its spans travel with the row and the text is cut once.
     """
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    out = docs.withColumn(fresh(docs.columns, "spans"), F.array().cast("array<struct<start:long,end:long>>"))
-    kind = out.schema
-    for items in shards(benchmark, item_col, item_text, shard_bytes):
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            grams = NgramSet(held.value, n)
+    at = docs.columns.index(text_col)
+    start = docs.withColumn(fresh(docs.columns, "spans"), F.array().cast("array<struct<start:long,end:long>>"))
+
+    def step(frame: DataFrame, grams_of: Callable[[], NgramSet]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams = grams_of()
             for b in batches:
-                spans = [merge([*((s["start"], s["end"]) for s in old.as_py()), *grams.find(words_of(t.as_py()))[0]])
-                         for t, old in zip(b.column(at), b.columns[-1])]
+                spans = [merge([*((s["start"], s["end"]) for s in old.as_py()), *grams.find(words)[0]])
+                         for words, old in zip(text_words(b.column(at)), b.columns[-1])]
                 found = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], b.schema.types[-1])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], schema=b.schema)
 
-        out = out.mapInArrow(run, kind)
+        return frame.mapInArrow(run, start.schema)
+
+    out = each_shard(start, benchmark, item_col, item_text, n, shard_bytes, step, "remove-spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,37 +370,35 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
 
 
 def cut(text: str | None, grams: NgramSet) -> str | None:
-    return cut_at(text, grams.find(words_of(text))[0])
+    return cut_at(text, grams.find(Words(text))[0])
 
 
 def cut_at(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the words of the merged ``spans``."""
     if not text or not spans:
         return text
-    low = text.translate(_LOWER)       # character by character: places are the same
-    places = [m.span() for m in _WORD.finditer(low)]
+    raw, words = text.encode(), Words(text)       # lower-cased byte by byte: places are the same
     out, last = [], 0
     for s, e in spans:
-        out.append(text[last:places[s][0]])
-        last = places[e - 1][1]
-    return "".join(out) + text[last:]
+        out.append(raw[last:words.start[s]])
+        last = words.end[e - 1]
+    return (b"".join(out) + raw[last:]).decode()
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
                    item_text: str = "text", n: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The document rows without any hit word; all columns as they are, no shuffle."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    out = docs
-    for items in shards(benchmark, item_col, item_text, shard_bytes):
-        held = spark.sparkContext.broadcast(items)
+    at = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            grams = NgramSet(held.value, n)
+    def step(frame: DataFrame, grams_of: Callable[[], NgramSet]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams = grams_of()
             for b in batches:
-                yield b.filter(pa.array([not grams.find(words_of(t.as_py()))[0] for t in b.column(at)], pa.bool_()))
+                yield b.filter(pa.array([not grams.find(words)[0] for words in text_words(b.column(at))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return frame.mapInArrow(run, docs.schema)
+
+    return each_shard(docs, benchmark, item_col, item_text, n, shard_bytes, step, "drop-documents")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Benchmark decontamination against a brute-force search."""
 
 import hashlib
+import pickle
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stockledger.llm import decontaminate as D
@@ -72,11 +75,64 @@ def test_empty_tables(spark):
     assert D.drop_documents(some, items).count() == 1 and D.remove_spans(none, items).count() == 0
 
 
-def test_hash_collisions_are_verified():
-    grams = D.NgramSet([("1", "a b")], 2)
-    (code, bucket), = grams.windows[2].items()
-    bucket[:] = [((9, 9), {"1"})]
-    assert grams.find(["a", "b"]) == ([], set())
+def test_hash_collisions_are_verified(monkeypatch):
+    """With one code for every window, results are still those of a word-by-word search."""
+    docs, items = inputs()
+    docs, items = [x for x in docs if len(x[1] or "") < 1000], [("" if i is None else str(i), t) for i, t in items]
+    monkeypatch.setattr(D, "window_codes", lambda code, size: np.zeros(max(len(code) - size + 1, 0), dtype=np.uint64))
+    grams = D.NgramSet(items, 4)
+    for _, t in docs:
+        spans, found = grams.find(D.Words(t))
+        assert (len(words(t)), sum(e - s for s, e in spans), sorted(found)) == brute(t, items, 4)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_words_of_any_piece_size(monkeypatch, piece):
+    monkeypatch.setattr(D, "_PIECE", piece)
+    codes = {}
+    for t in [None, "", "A", " a", "Dé漢😀x y-Z", "a" * 9000 + " b", "x" * 30 + "," * 30 + "Y1", "\x7f\x00é", *(t for _, t in inputs()[0])]:
+        if len(t or "") > 9100:
+            continue
+        w = D.Words(t)
+        assert [w.word(i).decode() for i in range(len(w))] == words(t)
+        for i, c in enumerate(w.code.tolist()):
+            assert codes.setdefault(w.word(i), c) == c
+    assert len(set(codes.values())) == len(codes)
+
+
+def test_pieces_hold_every_window_once():
+    text = " ".join(f"w{i}" for i in range(300)) + " " + "z" * 500 + " end"
+    whole = D.Words(text)
+    windows = [tuple(whole.word(i + k) for k in range(4)) for i in range(len(whole) - 3)]
+    got = []
+    for p in D.pieces(text.encode(), 4, 40):
+        w = D.Words(p)
+        got += [tuple(w.word(i + k) for k in range(4)) for i in range(len(w) - 3)]
+    assert got == windows
+    assert list(D.pieces(None, 4, 40)) == [b""] and list(D.pieces(b"a b", 4, 1)) == [b"a b"]
+
+
+def test_an_item_longer_than_a_shard(spark):
+    """Items of many shards: fetched one at a time, the same result as one shard."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(30)]
+    long = " ".join(rng.choice(vocab) for _ in range(600))
+    items = [("long", long), ("other", "v1 v2 v3 v4 v5"), ("short", "only here")]
+    at = words(long)
+    docs = [(i, " ".join(at[i * 37:i * 37 + 9])) for i in range(16)] + [(50, "it is Only-Here now"), (51, "v9"), (52, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    assert len(list(D.shards(b, "item_id", "text", 400, 5))) > 5
+    assert got(D.scan(d, b, n=5, shard_bytes=400)) == sorted(((i, *brute(t, items, 5)) for i, t in docs), key=str)
+
+
+def test_set_stays_near_its_text():
+    """The broadcast arrays of a shard are a small multiple of its bytes."""
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"{rng.randrange(10 ** 5):x}" for _ in range(200))) for i in range(1000)]
+    grams = D.NgramSet(items)
+    held = len(pickle.dumps(grams, protocol=5))
+    assert held < 8 * sum(len(t) for _, t in items)
 
 
 def test_query_digest(spark, tmp_path):
