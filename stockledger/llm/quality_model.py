@@ -6,8 +6,8 @@ runs, and its size class; all hashed into ``buckets`` rows.  A softmax layer tur
 into class probabilities.  Vectors and softmax weights are learned together by stochastic
 gradient descent in numpy, one text a step, with a falling rate.
 
-Learning: at most ``train_rows`` labelled rows, those with the smallest hash of the id; their
-whole texts become sparse feature counts in the tasks (at most ``buckets`` entries each), and
+Learning: at most ``train_rows`` different (id, label) pairs, those with the smallest hash of the id, with
+one text each (the least, if rows repeat the id); their whole texts become sparse feature counts in the tasks (at most ``buckets`` entries each), and
 only these reach the driver.  Scoring: the average and the softmax layer are linear before
 the exponential, so each bucket's contribution to the class logits is computed once and a
 text's score is a mean of look-ups; every whole text is scored in Arrow batches without a
@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,11 +208,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Col
     """Sparse features of the bounded learning sample, in a fixed order."""
     spark = docs.sparkSession
     order = F.xxhash64(F.col("k").cast("string"))
+    # repeated labels count once, so they do not crowd other texts out of the limit
     pick = (labels.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y")).where("y is not null and k is not null")
-            .where(usable).withColumn("h", order).orderBy("h", "k", "y").limit(cfg.train_rows))
+            .where(usable).distinct().withColumn("h", order).orderBy("h", "k", "y").limit(cfg.train_rows))
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    # the sample has at most train_rows short rows: a proven bound for the broadcast
-    src = texts.join(F.broadcast(pick), "k").select("h", F.col("k").cast("string").alias("k"), "y", "t")
+    # the sample has at most train_rows short rows: a proven bound for the broadcast; of rows that
+    # repeat an id the least text is taken, so that no more than train_rows texts reach the driver
+    src = (texts.join(F.broadcast(pick), "k").groupBy("h", "k", "y").agg(F.min("t").alias("t"))
+           .select("h", F.col("k").cast("string").alias("k"), "y", "t"))
     held = spark.sparkContext.broadcast(cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +229,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Col
                      pa.array([w.astype(np.float32) for _, w in got], pa.list_(pa.float32()))], ["h", "k", "y", "i", "w"])
 
     got = src.mapInArrow(run, "h long, k string, y int, i array<int>, w array<float>").toArrow()
-    # copies of a labelled row beyond the bound do not enlarge the sample
-    order_ = got.select(["h", "k", "y"]).append_column("n", pc.list_value_length(got.column("i"))).append_column("r", pa.array(np.arange(got.num_rows)))
-    picked = order_.sort_by([(c, "ascending") for c in ("h", "k", "y", "n", "r")]).column("r").slice(0, cfg.train_rows)
-    got = got.take(picked).combine_chunks()
+    order_ = got.select(["h", "k", "y"]).append_column("r", pa.array(np.arange(got.num_rows)))
+    got = got.take(order_.sort_by([(c, "ascending") for c in ("h", "k", "y")]).column("r")).combine_chunks()
     if not got.num_rows:
         return Sample.of([])
     ids, weights = (got.column(c).combine_chunks() for c in ("i", "w"))

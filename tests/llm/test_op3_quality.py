@@ -99,3 +99,17 @@ def test_default_sample_takes_three_thousand_labelled_rows(spark):
     lab = spark.range(3200).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
     rows = Q.training_rows(d, lab, label="quality", usable=F.lit(True), id_col="doc_id", text_col="text", cfg=Q.Config())
     assert len(rows.labels) == 3000 and Q.Config().epochs == 8
+
+
+def test_repeated_ids_and_labels_do_not_crowd_the_sample(spark):
+    """Copies of one label and of one id give one row of the sample, the least text; other texts keep their place."""
+    d = spark.range(400).selectExpr("id AS doc_id", "concat('t ', id) AS text")
+    d = d.union(spark.range(2000).selectExpr("5L AS doc_id", "concat('z copy ', id) AS text"))
+    lab = spark.range(400).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    repeated = lab.union(spark.range(2000).selectExpr("5L AS doc_id", "1 AS quality"))
+    plain, crowded = (Q.training_rows(x, y, label="quality", usable=F.lit(True), id_col="doc_id", text_col="text", cfg=Q.Config(train_rows=300))
+                      for x, y in ((d.where("text NOT LIKE 'z%'"), lab), (d, repeated)))
+    assert len(crowded.labels) == 300 and crowded.labels == plain.labels
+    assert np.array_equal(crowded.ids, plain.ids) and np.array_equal(crowded.weights, plain.weights)
+    both = Q.training_rows(d, lab.union(spark.sql("SELECT 5L, 0")), label="quality", usable=F.col("k") == 5, id_col="doc_id", text_col="text", cfg=Q.Config())
+    assert both.labels == [0, 1]
