@@ -5,9 +5,9 @@ max pooling over the window and a softmax layer; all are learned in numpy on lab
 A whole text is cut into consecutive windows (the last one padded); its language has the
 greatest mean log-probability, windows weighing by their bytes.
 
-Learning: at most ``train_rows`` labelled texts (smallest hash of the id, scaled by the
-language's size, so rare languages are not crowded out); a few windows of each reach the
-driver.  Scoring is done in Arrow batches without a shuffle.  For scoring, embedding and
+Learning: at most ``train_rows`` different (id, language) pairs (smallest hash of the id, scaled by the
+language's size, so rare languages are not crowded out) with one text each (the least, if rows
+repeat the id); a few windows of each reach the driver.  Scoring is done in Arrow batches without a shuffle.  For scoring, embedding and
 convolution are folded into two tables over byte pairs, which gives the same sums with two
 look-ups for each place.
 
@@ -198,9 +198,13 @@ def training_windows(docs: DataFrame, *, usable: Column, id_col: str, text_col:
     # smallest (hash place * size of the language) first: equal shares for all languages
     sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = (F.col("h").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
-    pick = ids.join(sizes, "lang").withColumn("p", place).orderBy("p", "h", "k").limit(cfg.train_rows).select("k", "p")
-    # at most train_rows short rows: a proven bound for the broadcast
-    src = named.join(F.broadcast(pick.groupBy("k").agg(F.min("p").alias("p"))), "k").select("p", F.col("k").cast("string").alias("k"), "lang", "t")
+    # repeated ids count once, so they do not crowd other texts out of the limit
+    pick = (ids.join(sizes, "lang").withColumn("p", place).select("p", "h", "k", "lang").distinct()
+            .orderBy("p", "h", "k", "lang").limit(cfg.train_rows).select("k", "lang", "p"))
+    # at most train_rows short rows: a proven bound for the broadcast; of rows that repeat an id
+    # and language the least text is taken, so that no more than train_rows texts are cut into windows
+    src = (named.join(F.broadcast(pick), ["k", "lang"]).groupBy("p", "k", "lang").agg(F.min("t").alias("t"))
+           .select("p", F.col("k").cast("string").alias("k"), "lang", "t"))
     held = docs.sparkSession.sparkContext.broadcast(cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,7 @@ def training_windows(docs: DataFrame, *, usable: Column, id_col: str, text_col:
                 cols, (pa.float64(), pa.string(), pa.string(), pa.binary()))], ["p", "k", "lang", "w"])
 
     got = src.mapInArrow(run, "p double, k string, lang string, w binary").toArrow().to_pylist()
-    got = sorted((r["p"], r["k"], r["lang"], r["w"]) for r in got)[:cfg.train_rows * cfg.windows]
+    got = sorted((r["p"], r["k"], r["lang"], r["w"]) for r in got)
     langs = tuple(sorted({r[2] for r in got}))
     at = {name: i for i, name in enumerate(langs)}
     reach = cfg.width + max(KERNELS) - 1

@@ -91,3 +91,14 @@ def test_rare_languages_are_learned_and_the_sample_is_bounded(spark):
     docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id < 20 THEN 'rare' ELSE 'en' END AS lang")
     x, y, langs = L.training_windows(docs, usable=F.lit(True), id_col="doc_id", text_col="text", lang_col="lang", cfg=L.Config(train_rows=100, windows=1))
     assert len(x) == 100 and langs == ("en", "rare") and (y == 1).sum() == 20
+
+
+def test_repeated_ids_do_not_crowd_the_sample(spark):
+    """Copies of one id give one text of the sample, the least; an id with two languages gives one for each."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS lang")
+    docs = docs.union(spark.range(3000).selectExpr("7L AS doc_id", "concat('zz copy ', id) AS text", "'b' AS lang"))
+    docs = docs.union(spark.sql("SELECT 7L, 'other', 'a'"))
+    x, y, langs = L.training_windows(docs, usable=F.lit(True), id_col="doc_id", text_col="text", lang_col="lang", cfg=L.Config(train_rows=500, windows=1))
+    texts = [bytes(r).rstrip(b"\0").decode() for r in x]
+    assert langs == ("a", "b") and len(texts) == 301 and not any(t.startswith("zz") for t in texts)
+    assert sorted(texts) == sorted([f"text {i}" for i in range(300)] + ["other"])
