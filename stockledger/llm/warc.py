@@ -6,7 +6,10 @@ metadata record that name it in WARC-Concurrent-To.  Of pages with equal payload
 only; digest, Content-Length and WARC-Refers-To say what was left out).  Roles are decided on
 (id, digest, size) rows alone, pre-aggregated by digest; payloads move once, dealt evenly by
 page.  The archives are written by Spark's text writer (so to any store Spark can write):
-a record is a line, and the line separator is the blank lines that end a record.
+a record is a line, and the line separator is the blank lines that end a record.  An archive
+holds payloads of at most ``file_bytes``, or one page: pages are written by size class (steps of
+16 times), and a file takes as many pages as fit at the largest size of their class.  Only classes
+that occur are written, each from a scan of its own; small pages are one class and one scan.
 
 Reading: archives are taken as binary files and framed record by record by Content-Length in
 the tasks (plain or gzip, also one member for each record).  ``assemble`` joins requests and
@@ -17,7 +20,8 @@ Cases: null html is an empty payload; a null url gives no target URI; white spac
 characters in urls are percent-encoded; null ids rank below all others and stay null; repeated
 rows are captures of their own (numbered, so that identifiers differ); an empty table gives no
 archives and no captures.  Only the id, url and html columns are read; others cannot clash.
-A payload of any length is one record; a reading task holds one archive file and one record.
+A payload of any length is one record; a reading task holds one archive file and one record
+(Spark's binary source raises on foreign files over 2 GB).
 """
 
 from __future__ import annotations
@@ -36,7 +40,8 @@ from stockledger.llm.common import read, stored
 from stockledger.session import scratch_path
 
 MIN_BYTES = 1000
-FILE_RECORDS = 24_000          # records in one archive file at most
+FILE_BYTES = 128 << 20         # payload bytes of one archive file with more than one page, at most
+SMALL_PAGE = 16 << 10          # payload bytes of the smallest size class
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
@@ -63,12 +68,12 @@ def record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit(VERSION + CRLF), *lines, size, block)
 
 
-def records_of(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(value): three records for every row of (id, url, payload)."""
+def records_of(pages: DataFrame, revisits: DataFrame) -> DataFrame:
+    """(value): three records for every row of (id, url, payload); ``revisits`` as ``roles`` gives them."""
     # one text key for page and payload: the numbering and the join share the payloads' only exchange
     key = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("digest"))
     keyed = pages.withColumn("digest", F.sha1("payload")).withColumn("key", key)
-    again = roles(pages, min_bytes).select(key.alias("key"), "response")
+    again = revisits.select(key.alias("key"), "response")
     copy = F.row_number().over(Window.partitionBy("key").orderBy("url"))
     rows = keyed.withColumn("copy", copy).join(again, "key", "left")
     revisit, clean = F.col("response").isNotNull(), F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -96,12 +101,22 @@ def records_of(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   min_bytes: int = MIN_BYTES, compression: str = "gzip", file_records: int = FILE_RECORDS) -> str:
-    """Write every page into archives below ``path``."""
+                   min_bytes: int = MIN_BYTES, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> str:
+    """Write every page into archives below ``path``, a folder for each size class that has pages."""
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                        F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    (records_of(src, min_bytes).write.option("lineSep", CRLF + CRLF).option("compression", compression)
-     .option("maxRecordsPerFile", file_records).text(path))
+    bounds = [b for b in (SMALL_PAGE << 4 * i for i in range(16)) if b < file_bytes]
+    # copies of a page have one payload size, so one class: their numbering is whole in each write
+    kind = sum(((F.octet_length("payload") > b).cast("int") for b in bounds), F.lit(0))
+    found = sorted(r["k"] for r in src.select(kind.alias("k")).distinct().collect())
+    revisits = roles(src, min_bytes)
+    if len(found) > 1:
+        revisits = stored(revisits, "revisits")
+    for k in found or [0]:
+        mine = src.where(kind == k) if len(found) > 1 else src
+        pages_a_file = file_bytes // bounds[k] if k < len(bounds) else 1
+        (records_of(mine, revisits).write.option("lineSep", CRLF + CRLF).option("compression", compression)
+         .option("maxRecordsPerFile", 3 * pages_a_file).text(f"{path}/size-{k}"))
     return path
 
 

@@ -28,7 +28,7 @@ def want(rows):
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_round_trip(spark, tmp_path, compression):
     d = spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("id", F.lit(0))
-    path = W.write_archives(d, f"{tmp_path}/w", compression=compression, file_records=7)
+    path = W.write_archives(d, f"{tmp_path}/w", compression=compression, file_bytes=1 << 16)
     captures = W.assemble(W.read_records(spark, path)).withColumn("page_id", W.metadata_field("page-id").try_cast("long")).collect()
     assert len(captures) == len(ROWS) and len({c.record_id for c in captures}) == len(ROWS)
     ids = {c.record_id: c.page_id for c in captures}
@@ -64,6 +64,37 @@ def test_foreign_archives(spark, tmp_path):
     assert len(rows["<r1>"].metadata) == 2 and rows["<r1>"].request.record_id == "<q1>" and rows["<r2>"].request is None
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """50 MB of pages in one partition: no archive holds more payload than asked for, unless it is one page."""
+    d = spark.range(0, 5000, 1, 1).selectExpr("id AS page_id", "concat('http://h/', id) AS url",
+                                              "concat(id, repeat('ab c', CASE WHEN id % 1000 = 0 THEN 800000 WHEN id % 50 = 0 THEN 50000 ELSE 1000 END)) AS html")
+    limit = 2 << 20
+    path = W.write_archives(d, f"{tmp_path}/w", compression="none", file_bytes=limit)
+    held = {}
+    for f in sorted(tmp_path.glob("w/*/part-*")):
+        with open(f, "rb") as data:
+            sizes = [len(W.http_parts(block)[1]) for headers, block in W.frames(data) if headers["warc-type"] == "response"]
+        held[f] = sizes
+        assert sum(sizes) <= limit or len(sizes) == 1
+    assert sum(map(len, held.values())) == 5000 and sorted({f.parent.name for f in held}) == ["size-0", "size-1", "size-2"]
+    captures = W.assemble(W.read_records(spark, path, payloads=False))
+    assert captures.select("record_id").distinct().count() == captures.where("size(metadata) = 1 AND request IS NOT NULL").count() == 5000
+
+
+def test_revisits_across_size_classes(spark, tmp_path):
+    """Equal payloads share a class whatever their urls; every class keeps its revisits."""
+    rows = [(i, f"http://h/{'u' * (i * 5000)}", "p" * n) for n in (2000, 20_000, 400_000) for i in range(n, n + 3)]
+    rows += [(2000, "http://other/" + "v" * 30_000, "p" * 2000), (2000, "http://other/", "p" * 2000)]
+    rows = [(i, u[:40_000], h) for i, u, h in rows]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    captures = W.assemble(W.read_records(spark, W.write_archives(d, f"{tmp_path}/w")))
+    captures = captures.withColumn("page_id", W.metadata_field("page-id").try_cast("long")).collect()
+    ids = {c.record_id: c.page_id for c in captures}
+    assert len(ids) == len(rows)
+    got = sorted(((c.page_id, c.response.payload_bytes, c.response.payload_digest, c.type, ids.get(c.refers_to)) for c in captures), key=str)
+    assert got == want(rows)
+
+
 def test_cut_records_raise():
     with pytest.raises(ValueError):
         list(W.frames(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
