@@ -2,11 +2,11 @@
 
 ``RULES`` is an ordered table of regexes over a text's words (A-Z lower-cased, one blank
 between words), each with a keyword, a priority, a label and a score.  Most are a licence's
-hand-written name put into one of a few forms (SPDX tag, notice with the name or the tag, address, title); the rest
-are phrases of the licence texts.  One projection does the work, with built-in functions only:
+hand-written name put into one of a few forms (SPDX tag, second or third licence of an SPDX
+expression, notice with the name or the tag, address, title); the rest are phrases of the licence texts.  One projection does the work, with built-in functions only:
 
 1. texts without any of ``ROOTS`` (plain substring search, and one pattern) are done;
-2. for the others, the rules whose keyword occurs are run; a match's place in words follows
+2. for the others, every keyword is looked for once and the rules whose keyword occurs are run; a match's place in words follows
    from the words of the pieces before it;
 3. detections, sorted by (start, longest, priority, rule), pass one sweep: a detection lying
    inside an earlier one of the same or a better priority is suppressed.  The sweep keeps the
@@ -39,9 +39,9 @@ class Signature:
     score: float
 
 
-# label | name | SPDX tag | words of its address | keyword of the name
+# label | names, by / | SPDX tag | words of its address | keyword of each name
 FAMILIES = """
-mit | mit(?: x11)? licen[sc]e | mit | opensource org licenses mit | mit
+mit | (?:mit(?: x11)? licen[sc]e|mit x11) | mit | opensource org licenses mit | mit
 mit-0 | mit no attribution(?: licen[sc]e)? | mit 0 | opensource org licenses mit 0 | attribution
 apache-1.1 | apache (?:software )?licen[sc]e (?:version |v)?1 1 | apache 1 1 | apache org licenses license 1 1 | apache
 apache-2.0 | apache (?:software )?licen[sc]e(?: version| v)? ?2(?: 0)? | apache 2 0 | apache org licenses license 2 0 | apache
@@ -55,8 +55,8 @@ lgpl | (?:gnu )?(?:lesser|library) general public licen[sc]e | lgpl | gnu org li
 agpl-3.0 | (?:gnu )?affero general public licen[sc]e(?: version| v)? ?3(?: 0)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl 3 0 | affero
 agpl | (?:gnu )?affero general public licen[sc]e | agpl | gnu org licenses agpl | affero
 gfdl | (?:gnu )?free documentation licen[sc]e | gfdl(?: 1 [123])?(?: only| or later)? | gnu org licenses fdl | documentation
-bsd-2-clause | (?:simplified bsd|bsd 2 clause|freebsd) licen[sc]e | bsd 2 clause | opensource org licenses bsd 2 clause | bsd
-bsd-3-clause | (?:new bsd|modified bsd|revised bsd|bsd 3 clause) licen[sc]e | bsd 3 clause | opensource org licenses bsd 3 clause | bsd
+bsd-2-clause | (?:simplified bsd|(?:bsd 2 clause|2 clause bsd)(?: simplified)?|freebsd) licen[sc]e | (?:bsd 2 clause|2 clause bsd) | opensource org licenses bsd 2 clause | bsd
+bsd-3-clause | (?:new bsd|modified bsd|revised bsd|(?:bsd 3 clause|3 clause bsd)(?: new or revised| new| revised| modified)?) licen[sc]e | (?:bsd 3 clause|3 clause bsd) | opensource org licenses bsd 3 clause | bsd
 bsd-4-clause | (?:original bsd|bsd 4 clause) licen[sc]e | bsd 4 clause | spdx org licenses bsd 4 clause | bsd
 0bsd | (?:zero clause bsd|bsd zero clause) licen[sc]e | 0bsd | opensource org licenses 0bsd | bsd
 bsd | bsd(?: style)? licen[sc]e | bsd | opensource org licenses bsd license | bsd
@@ -70,12 +70,12 @@ edl | eclipse distribution licen[sc]e | edl 1 0 | eclipse org org documents edl
 cddl | common development and distribution licen[sc]e | cddl 1 [01] | opensource org licenses cddl | development
 cpl-1.0 | common public licen[sc]e | cpl 1 0 | opensource org licenses cpl | common
 ipl | ibm public licen[sc]e | ipl 1 0 | opensource org licenses ipl | ibm
-eupl | european union public licen[sc]e | eupl 1 [012] | joinup ec europa eu software page eupl | european
+eupl | european union public licen[sc]e | eupl(?: v?1 [012])? | joinup ec europa eu software page eupl | european
 boost | boost software licen[sc]e | bsl 1 0 | boost org license 1 0 | boost
 busl | business source licen[sc]e | busl 1 1 | mariadb com bsl11 | business
 sspl | server side public licen[sc]e | sspl 1 0 | mongodb com licensing server side public license | server
 elastic | elastic licen[sc]e | elastic 2 0 | elastic co licensing elastic license | elastic
-unlicense | the unlicense | unlicense | unlicense org | unlicense
+unlicense | (?:the )?unlicense | unlicense | unlicense org | unlicense
 wtfpl | do what the fuck you want to public licen[sc]e | wtfpl | wtfpl net | want
 zlib | zlib(?: libpng)? licen[sc]e | zlib | zlib net zlib license | zlib
 libpng | libpng licen[sc]e | libpng(?: 2 0)? | libpng org pub png src libpng license | libpng
@@ -95,13 +95,13 @@ odbl | open (?:data commons open )?database licen[sc]e | odbl 1 0 | opendatacomm
 odc-by | open data commons attribution licen[sc]e | odc by 1 0 | opendatacommons org licenses by | attribution
 pddl | public domain dedication and licen[sc]e | pddl 1 0 | opendatacommons org licenses pddl | dedication
 openrail | (?:creativeml |bigscience )?open ?rail(?: m)? licen[sc]e | openrail | bigscience huggingface co blog bigscience openrail m | rail
-cc0 | (?:cc0|creative commons (?:zero|cc0))(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons org publicdomain zero | c
-cc-by | (?:cc by|creative commons attribution)(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by [1234] [05] | creativecommons org licenses by | c
-cc-by-sa | (?:cc by sa|creative commons attribution share ?alike)(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by sa [1234] [05] | creativecommons org licenses by sa | c
-cc-by-nd | (?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nd [1234] [05] | creativecommons org licenses by nd | c
-cc-by-nc | (?:cc by nc|creative commons attribution non ?commercial)(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nc [1234] [05] | creativecommons org licenses by nc | c
-cc-by-nc-sa | (?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nc sa [1234] [05] | creativecommons org licenses by nc sa | c
-cc-by-nc-nd | (?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nc nd [1234] [05] | creativecommons org licenses by nc nd | c
+cc0 | cc0(?: 1 0)?(?: universal)? / creative commons (?:zero|cc0)(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons org publicdomain zero | cc0 / creative commons
+cc-by | cc by(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? / creative commons attribution(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by [1234] [05] | creativecommons org licenses by | cc by / creative commons
+cc-by-sa | cc by sa(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? / creative commons attribution share ?alike(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by sa [1234] [05] | creativecommons org licenses by sa | cc by sa / creative commons
+cc-by-nd | cc by nd(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? / creative commons attribution no ?deriv(?:ative)?s(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nd [1234] [05] | creativecommons org licenses by nd | cc by nd / creative commons
+cc-by-nc | cc by nc(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? / creative commons attribution non ?commercial(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nc [1234] [05] | creativecommons org licenses by nc | cc by nc / creative commons
+cc-by-nc-sa | cc by nc sa(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? / creative commons attribution non ?commercial share ?alike(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nc sa [1234] [05] | creativecommons org licenses by nc sa | cc by nc sa / creative commons
+cc-by-nc-nd | cc by nc nd(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? / creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1234] [05])?(?: international| unported| generic)?(?: licen[sc]e)? | cc by nc nd [1234] [05] | creativecommons org licenses by nc nd | cc by nc nd / creative commons
 """
 
 # label | priority | score | keyword | regex: phrases of licence texts and of rights statements
@@ -146,16 +146,16 @@ attribution | 4 | 0.3 | permission | (?:reproduced|reprinted|used) (?:here )?(?:
 eula | 3 | 0.6 | agreement | end user licen[sc]e agreement
 """
 
-# label | short name in notices, with or without a suffix
+# label | short name in notices or behind "gnu", with or without a suffix
 SHORT = """
-gpl-2.0 | (?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?
-gpl-3.0 | (?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?
-gpl | (?:gnu )?gpl(?: ?v?1(?: 0)?)?(?: only| or later)?
-lgpl-2.1 | (?:gnu )?lgpl ?v?2 1(?: only| or later)?
-lgpl-3.0 | (?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?
-lgpl | (?:gnu )?lgpl(?: ?v?2(?: 0)?)?(?: only| or later)?
-agpl-3.0 | (?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?
-agpl | (?:gnu )?agpl(?: ?v?1(?: 0)?)?(?: only| or later)?
+gpl-2.0 | gpl(?: version)? ?v?2(?: 0)?(?: only| or later)?
+gpl-3.0 | gpl(?: version)? ?v?3(?: 0)?(?: only| or later)?
+gpl | gpl(?:(?: version)? ?v?1(?: 0)?)?(?: only| or later)?
+lgpl-2.1 | lgpl(?: version)? ?v?2 1(?: only| or later)?
+lgpl-3.0 | lgpl(?: version)? ?v?3(?: 0)?(?: only| or later)?
+lgpl | lgpl(?:(?: version)? ?v?2(?: 0)?)?(?: only| or later)?
+agpl-3.0 | agpl(?: version)? ?v?3(?: 0)?(?: only| or later)?
+agpl | agpl(?:(?: version)? ?v?1(?: 0)?)?(?: only| or later)?
 """
 
 _VERB = "(?:licen[sc]ed|released|distributed|published|available|provided|covered|offered|shared)"
@@ -168,7 +168,7 @@ TAG_NOTICE = _VERB + " (?:(?:as|is) )?under" + _TERMS
 # what stands in one word of the text stands in the text as it is.
 ROOTS = ("licen", "spdx", "permission", "permitted", "warrant", "redistribut", "copyright", "copr", "gpl", "reserved",
          "endorse", "advertising", "altered", "unencumbered", "waived", "domain", "liable", "proprietary", "unauthori",
-         "commercial", "academic", "research", "attribution", "cc0", "creative", "mozilla", "eclipse", "eupl", "bsl11", "wtfpl", "openrail")
+         "commercial", "academic", "research", "attribution", "cc0", "x11", "creative", "mozilla", "eclipse", "eupl", "bsl11", "wtfpl", "openrail")
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPLIT_ROOT = f"cc{_GAP}by|sil{_GAP}org{_GAP}ofl"
 UNDER_ROOT = f"(?:released|distributed|published|available|provided|covered|offered|shared){_GAP}(?:(?:as|is){_GAP})?under"
@@ -176,17 +176,22 @@ UNDER_ROOT = f"(?:released|distributed|published|available|provided|covered|offe
 
 def build_rules() -> tuple[Signature, ...]:
     out = []
-    for line in FAMILIES.strip().splitlines():
-        label, name, spdx, address, keyword = (x.strip() for x in line.split(" | "))
-        out += [Signature(f"spdx license identifier {spdx}", "spdx", label, 1, 1.0),
-                Signature(NOTICE + name, keyword, label, 2, 0.95),
-                Signature(f"(?:licen[sc]e|licen[sc]es) (?:is )?{spdx}", "licen", label, 3, 0.8),
-                Signature(name, keyword, label, 3, 0.7)]
-        out += [Signature(TAG_NOTICE + spdx, re.match("[a-z0-9]*", spdx)[0] or "under", label, 2, 0.9),
+    families = [[x.strip() for x in line.split(" | ")] for line in FAMILIES.strip().splitlines()]
+    # longest first: a tag that starts another one must not end the match
+    any_tag = "(?:" + "|".join(sorted({spdx for _, _, spdx, _, _ in families}, key=lambda x: (-len(x), x))) + ")"
+    for label, names, spdx, address, keywords in families:
+        tag = re.match("[a-z0-9 ]*", spdx)[0].strip() or "under"
+        out += [Signature(f"spdx license identifier {spdx}", "spdx", label, 1, 1.0)]
+        # the second and third licence of an expression; a worse priority each, as they contain the ones before
+        out += [Signature(f"spdx license identifier (?:{any_tag} (?:or|and) ){{{before}}}{spdx}", "spdx", label, 1 + before, 1.0) for before in (1, 2)]
+        for name, keyword in zip(names.split(" / "), keywords.split(" / "), strict=True):
+            out += [Signature(NOTICE + name, keyword, label, 2, 0.95), Signature(name, keyword, label, 3, 0.7)]
+        out += [Signature(f"(?:licen[sc]e|licen[sc]es) (?:is )?{spdx}", "licen", label, 3, 0.8),
+                Signature(TAG_NOTICE + spdx, tag, label, 2, 0.9),
                 Signature(f"(?:https? )?(?:www )?{address}(?: (?:html|txt|php|md))?", address.split(" ")[0], label, 2, 0.9)]
     for line in SHORT.strip().splitlines():
         label, name = (x.strip() for x in line.split(" | "))
-        out.append(Signature(NOTICE + name, "gpl", label, 2, 0.9))
+        out += [Signature(f"{NOTICE}(?:gnu )?{name}", "gpl", label, 2, 0.9), Signature(f"gnu {name}", "gpl", label, 3, 0.7)]
     for line in PHRASES.strip().splitlines():
         label, priority, score, keyword, regex = (x.strip() for x in line.split(" | "))
         out.append(Signature(regex, keyword, label, int(priority), float(score)))
@@ -218,7 +223,9 @@ def detections(line: Column, rules: tuple[Signature, ...]) -> Column:
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.regex).alias("regex"), F.lit(r.keyword).alias("keyword"),
                                F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score"))
                       for i, r in enumerate(rules)])
-    asked = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    # a keyword is looked for once, however many rules it gates
+    words = F.filter(F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules})]), lambda k: F.contains(line, k))
+    asked = let(words, lambda ks: F.filter(table, lambda r: F.array_contains(ks, r["keyword"])))
     found = F.flatten(F.transform(asked, lambda r: F.transform(places(line, r["regex"]), lambda p: F.struct(
         p["start"].alias("start"), (-p["end"]).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"),
         r["label"].alias("label"), r["score"].alias("score")))))
@@ -279,7 +286,7 @@ def _sql_rules() -> str:
     rows = [(-1 - i, p, p.split(" ")[0], 0, label, 0.0) for i, (p, label) in enumerate(BASE)]
     rows += [(i, r.regex, r.keyword, r.priority, r.label, r.score) for i, r in enumerate(RULES)]
     wide = lambda x: x.replace(" ?", "(?:@@)?").replace("[^ ]", "[^@]").replace(" ", "  ").replace("(?:@@)?", "(?:  )?").replace("[^@]", "[^ ]")
-    return ", ".join(f"({i}, ' (?:{wide(x)}) ', '{k}', {p}, '{n}', {c})" for i, x, k, p, n, c in rows)
+    return ", ".join(f"({i}, ' (?:{wide(x)}) ', '{k.replace(' ', '  ')}', {p}, '{n}', {c})" for i, x, k, p, n, c in rows)
 
 
 ORACLE = r"""

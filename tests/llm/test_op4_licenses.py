@@ -33,7 +33,7 @@ SAMPLES = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "MIT-LICENSE mit license",
     "Unlicense", "the unlicense", "Mozilla Public\nLicense 2.0", "mit licenses", "See the LICENSE file", "GNU Lesser General Public Licence",
     "proprietary and confidential", "for non-commercial use only", "apache  license", "general public\tlicense general public license",
-    "licensed as cc0", "MİT LICENSE", "CC\n\nBY 4.0", "cc--by-sa 3.0 unported", "for research  use only",
+    "licensed as cc0", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "GNU GPL version 2", "MİT LICENSE", "CC\n\nBY 4.0", "cc--by-sa 3.0 unported", "for research  use only",
     "Neither the name of the X nor of Y may be used to endorse or promote products derived from this software",
     "Unauthorized copying of this file, via any medium is strictly prohibited", "KMIT license", "http://www.apache.org/licenses/LICENSE-2.0.txt"]
 
@@ -98,7 +98,25 @@ def test_lone_statements_get_their_label(spark):
             "https://www.eclipse.org/legal/epl-2.0": "epl-2.0", "mariadb.com/bsl11": "busl", "Apache License": "apache",
             "released under the GPLv3": "gpl-3.0", "licensed under Apache-2.0": "apache-2.0", "Released under MIT": "mit",
             "distributed under the GPL": "gpl", "Copr. 2019": "copyright", "for academic use only": "non-commercial",
-            "provided by MIT": "", "released as under way": ""}
+            "provided by MIT": "", "released as under way": "", "GNU GPL version 3": "gpl-3.0", "GNU LGPL version 2.1": "lgpl-2.1",
+            'BSD 3-Clause "New" License': "bsd-3-clause", "License: 3-clause BSD": "bsd-3-clause", "Licensed under the EUPL v1.2": "eupl",
+            "MIT/X11": "mit", "Unlicense": "unlicense", "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa", "CC BY-NC 4.0": "cc-by-nc",
+            "GNU is not gpu": "", "zlib and openssl or Ruby": ""}
     d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     got = {r.id: ",".join(x.label for x in r.detections) for r in L.scan(d).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_licences_of_spdx_expressions(spark):
+    want = {"SPDX-License-Identifier: (MIT OR Apache-2.0)": {"mit", "apache-2.0"},
+            "SPDX-License-Identifier: GPL-2.0-or-later OR MIT": {"gpl-2.0", "mit"},
+            "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": {"mit", "apache-2.0", "bsd-3-clause"},
+            "SPDX-License-Identifier: MIT AND (MPL-2.0 OR EPL-2.0)\nzlib": {"mit", "mpl-2.0", "epl-2.0"},
+            "SPDX-License-Identifier: MIT\nor Apache code": {"mit", "apache"}, "SPDX-License-Identifier: MIT or later": {"mit"}}
+    d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.id: {x.label for x in r.detections} for r in L.scan(d).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_keywords_are_selective():
+    assert all(len(r.keyword) > 2 for r in L.RULES)
