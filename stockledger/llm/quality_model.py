@@ -214,7 +214,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, usable: Col
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     # the sample has at most train_rows short rows: a proven bound for the broadcast; of rows that
     # repeat an id the least text is taken, so that no more than train_rows texts reach the driver
-    src = (texts.join(F.broadcast(pick), "k").groupBy("h", "k", "y").agg(F.min("t").alias("t"))
+    # (the few texts would be one partition: their features are spread over tasks again)
+    src = (texts.join(F.broadcast(pick), "k").groupBy("h", "k", "y").agg(F.min("t").alias("t")).repartition(32, "k")
            .select("h", F.col("k").cast("string").alias("k"), "y", "t"))
     held = spark.sparkContext.broadcast(cfg)
 
