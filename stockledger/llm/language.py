@@ -6,7 +6,8 @@ A whole text is cut into consecutive windows (the last one padded); its language
 greatest mean log-probability, windows weighing by their bytes.
 
 Learning: at most ``train_rows`` different (id, language) pairs (smallest hash of the id, scaled by the
-language's size, so rare languages are not crowded out) with one text each (the least, if rows
+language's size, so rare languages are not crowded out; of more than ``train_rows`` languages the
+most frequent) with one text each (the least, if rows
 repeat the id); a few windows of each reach the driver.  Scoring is done in Arrow batches without a shuffle.  For scoring, embedding and
 convolution are folded into two tables over byte pairs, which gives the same sums with two
 look-ups for each place.
@@ -196,10 +197,11 @@ def training_windows(docs: DataFrame, *, usable: Column, id_col: str, text_col:
     named = named.where("lang is not null and t is not null and k is not null").where(usable)
     ids = named.select("k", "lang").withColumn("h", F.xxhash64(F.col("k").cast("string")))
     # smallest (hash place * size of the language) first: equal shares for all languages
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # a language that is learned has a text in the sample, so no more than train_rows count: a proven bound
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.train_rows)
     place = (F.col("h").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
     # repeated ids count once, so they do not crowd other texts out of the limit
-    pick = (ids.join(sizes, "lang").withColumn("p", place).select("p", "h", "k", "lang").distinct()
+    pick = (ids.join(F.broadcast(sizes), "lang").withColumn("p", place).select("p", "h", "k", "lang").distinct()
             .orderBy("p", "h", "k", "lang").limit(cfg.train_rows).select("k", "lang", "p"))
     # at most train_rows short rows: a proven bound for the broadcast; of rows that repeat an id
     # and language the least text is taken, so that no more than train_rows texts are cut into windows
