@@ -8,9 +8,10 @@ without a time are kept and do not move the clock.
 The rule is sequential, so it runs as one ordered pass over Arrow batches:
 scans are dealt by (key, cell) and sorted by (time, id) -- the only exchange --
 and each task walks its rows with a key's last kept time as its whole state.
-A session is never collected; its length does not matter.  Rows a gap of at
-least ``window`` apart are decided by array comparison; only the kept scans
-inside a session are stepped over.
+A session is never collected; its length does not matter.  All keys of a batch
+are decided together: rows a gap of at least ``window`` apart by array
+comparison, and the sessions that last a window or more step from kept scan to
+kept scan side by side, so a key of few scans costs no call of its own.
 
 Keys over ``scan_cell_rows`` scans are split into cells (see ``ordered``).  A
 cell's effect on the last kept time depends on what it is at the cell's start;
@@ -50,28 +51,37 @@ def changes(cols: list[pa.Array]) -> np.ndarray:
     return out
 
 
-def walk(t: np.ndarray, start: np.ndarray, last: int, window: int) -> tuple[np.ndarray, int]:
-    """Kept flags of one key's timed scans in order, and the last kept time after them.
+def walk(t: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Kept flags of timed scans in order, one session after the other, of any number of keys.
 
-    ``start`` marks scans that begin a session (always kept); before the first
-    of them the last kept time is ``last``.
+    ``start`` marks scans that begin a session (always kept); the first scan does.
     """
     kept = start.copy()
-    n = len(t)
     heads = np.flatnonzero(start)
-    bounds = np.append(heads, n)
-    # sessions of one scan are done; step through the others
-    todo = [(int(h), int(e), int(t[h])) for h, e in zip(heads, bounds[1:]) if e - h > 1]
-    if n and not start[0]:
-        todo.insert(0, (-1, int(bounds[0]), last))
-    for h, e, clock in todo:
-        i = h + 1
-        while (i := i + int(np.searchsorted(t[i:e], clock + window))) < e:
-            kept[i] = True
-            clock = int(t[i])
-            i += 1
-    k = np.flatnonzero(kept)
-    return kept, int(t[k[-1]]) if len(k) else last
+    ends = np.append(heads[1:], len(t))
+    # a session shorter than the window keeps its first scan only; all others are stepped through at once
+    long = t[ends - 1] - t[heads] >= window if len(t) else np.zeros(0, dtype=bool)
+    at, end = heads[long], ends[long]
+    if len(at):
+        # the sessions' times laid end to end, so that one search serves them all
+        gaps = np.diff(t, prepend=t[:1])
+        gaps[heads] = window
+        line = np.cumsum(gaps)
+        while len(at):
+            at = np.searchsorted(line, line[at] + window)
+            inside = at < end
+            at, end = at[inside], end[inside]
+            kept[at] = True
+    return kept
+
+
+def walk_on(t: np.ndarray, start: np.ndarray, window: int, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, int]:
+    """As ``walk``, where the scans at the places ``at`` go on from the kept times ``last``; also the last kept time of all."""
+    t, start = np.insert(t, at, last), np.insert(start, at, True)
+    kept = walk(t, start, window)
+    own = np.ones(len(t), dtype=bool)
+    own[at + np.arange(len(at))] = False
+    return kept[own], int(t[np.flatnonzero(kept)[-1]])
 
 
 def effect(t: np.ndarray, start: np.ndarray, window: int) -> tuple[list[int], list[int], int]:
@@ -82,7 +92,7 @@ def effect(t: np.ndarray, start: np.ndarray, window: int) -> tuple[list[int], li
     stays.  ``first`` is the result when its first scan does begin a session.
     """
     inner = np.flatnonzero(start[1:]) + 1
-    end = walk(t[inner[-1]:], start[inner[-1]:], _NONE, window)[1] if len(inner) else None
+    end = int(t[inner[-1]:][walk(t[inner[-1]:], start[inner[-1]:], window)][-1]) if len(inner) else None
     head = int(inner[0]) if len(inner) else len(t)
     if end is not None:
         return [], [end], end          # constant: a session begins inside
@@ -105,18 +115,20 @@ def _runs(df: DataFrame, keys: list[str], order: list[str], break_on: str | None
     return src.repartition(*dealt).sortWithinPartitions(*dealt, "__t", F.col(order[1]))
 
 
+def _new_cells(b: pa.RecordBatch, n_keys: int, tail: list[pa.Array] | None) -> tuple[np.ndarray, list[pa.Array]]:
+    """Whether each row begins a cell, ``tail`` being the keys of the row before the batch; the keys of its last row."""
+    head = b.columns[:n_keys]
+    new = changes(head) if tail is None else changes([pa.concat_arrays([x, c]) for x, c in zip(tail, head)])[1:]
+    return new, [c.slice(b.num_rows - 1, 1) for c in head]
+
+
 def _stretches(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.RecordBatch, int, int, bool]]:
     """(batch, first row, end row, whether a new cell begins) of every stretch of one cell within a batch."""
     tail = None
     for b in batches:
         if not b.num_rows:
             continue
-        head = b.columns[:n_keys]
-        if tail is None:
-            new = changes(head)
-        else:
-            new = changes([pa.concat_arrays([x, c]) for x, c in zip(tail, head)])[1:]
-        tail = [c.slice(b.num_rows - 1, 1) for c in head]
+        new, tail = _new_cells(b, n_keys, tail)
         cuts = np.unique(np.concatenate(([0], np.flatnonzero(new), [b.num_rows]))).tolist()
         for s, e in zip(cuts, cuts[1:]):
             yield b, s, e, bool(new[s])
@@ -172,33 +184,35 @@ def debounce(scans: DataFrame, window_s: float | None = None, keys: Sequence[str
         df = cells.rows.withColumns({"__last": F.lit(None).cast("bigint"), "__goes_on": F.lit(False)})
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # last kept time, time and code of the scan before; ``goes_on``: the cell's first timed scan is still to come
-        last, prev, code, goes_on = _NONE, None, None, None
-        held, flags = None, []
-        for b, s, e, new_cell in _stretches(batches, n_keys):
-            if held is not None and b is not held:
-                yield flagged(held, flags)
-                flags = []
-            held = b
-            if new_cell:
-                goes_on = bool(b.column("__goes_on")[s].as_py())
-                last = b.column("__last")[s].as_py() if goes_on else _NONE
-            places, t, codes = _timed(b, s, e)
-            kept = np.ones(e - s, dtype=bool)
+        """All cells of a batch at once.  Across batches: keys of the last row; of its cell, if a timed scan of it
+        has come: last kept time, time and code of that scan."""
+        tail, open_cell = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new, tail = _new_cells(b, n_keys, tail)
+            cell = np.cumsum(new)
+            if new.any() and cell[0]:
+                open_cell = None
+            places, t, codes = _timed(b, 0, b.num_rows)
+            kept = np.ones(b.num_rows, dtype=bool)
             if len(t):
-                start = session_starts(t, codes, window)
-                if goes_on is not None:
-                    start[0] = not goes_on
-                else:
-                    start[0] = t[0] - prev >= window or (codes is not None and codes[0].as_py() != code)
-                kept[places], last = walk(t, start, last, window)
-                prev, code, goes_on = int(t[-1]), codes[-1].as_py() if codes is not None else None, None
-            flags.append(kept)
-        if held is not None:
-            yield flagged(held, flags)
-
-    def flagged(b: pa.RecordBatch, flags: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(np.concatenate(flags))], [*cols, "kept"])
+                own = cell[places]
+                first = np.ones(len(t), dtype=bool)
+                first[1:] = own[1:] != own[:-1]
+                start = session_starts(t, codes, window) | first
+                heads = np.flatnonzero(first)
+                enters = b.column("__goes_on").take(pa.array(places[heads])).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+                last = b.column("__last").take(pa.array(places[heads])).fill_null(_NONE).to_numpy(zero_copy_only=False).astype(np.int64)
+                if own[0] == 0 and open_cell is not None:
+                    last[0], prev, code = open_cell
+                    enters[0] = t[0] - prev < window and (codes is None or codes[0].as_py() == code)
+                start[heads] = ~enters
+                kept[places], clock = walk_on(t, start, window, heads[enters], last[enters])
+                open_cell = (clock, int(t[-1]), codes[-1].as_py() if codes is not None else None) if own[-1] == cell[-1] else None
+            elif new.any():
+                open_cell = None
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(kept)], [*cols, "kept"])
 
     schema = StructType([*scans.schema.fields, StructField("kept", BooleanType())])
     out = _runs(df, keys, order, break_on).mapInArrow(flag, schema)

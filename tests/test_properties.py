@@ -140,3 +140,24 @@ def test_debounce_adjacent_equals_simulator(spark, evs, w):
     for m in (1 << 20, 3):
         got = {r.event_id for r in debounce.debounce_adjacent(df, w * 1000, params=Params(scan_cell_rows=m)).select("event_id").collect()}
         assert got == sim_adjacent(evs, w)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 30), st.lists(st.integers(0, 40), min_size=1, max_size=12)), min_size=1, max_size=8), st.integers(1, 9))
+def test_walk_of_many_keys_at_once(cells, w):
+    """Several keys in one call, some going on from a kept time, give what each gives alone."""
+    t, start, at, lasts, want = [], [], [], [], []
+    for goes_on, back, times in cells:
+        times, last = sorted(times), None
+        if goes_on and times[0] - (times[0] - back % w) < w:
+            last = times[0] - back % w
+            at.append(len(t))
+            lasts.append(last)
+        for i, x in enumerate(times):
+            start.append(last is None if i == 0 else x - times[i - 1] >= w)
+            t.append(x)
+            keep = last is None or x - last >= w
+            want.append(keep)
+            last = x if keep else last
+    kept, _ = debounce.walk_on(np.array(t, dtype=np.int64), np.array(start), w, np.array(at, dtype=np.int64), np.array(lasts, dtype=np.int64))
+    assert kept.tolist() == want

@@ -166,3 +166,18 @@ def test_live_alert_runs(spark):
         q.stop()
     rows = spark.read.parquet(out + "/alerts").orderBy("__epoch").collect()
     assert [r.open_count for r in rows][:2] == [2, 1] and rows[0].triggered and not rows[-1].triggered
+
+
+def test_keys_share_calls_and_state(spark):
+    """However many keys there are, a stream calls and keeps state for a fixed number of buckets; keys of a bucket stay apart."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"e{k}-{s}", t0 + dt.timedelta(seconds=s), None if k == 0 else f"c{k}") for k in range(3000) for s in (0, 2, 4, 7)]
+    root = tempfile.mkdtemp(prefix="keys-") + "/t"
+    spark.createDataFrame([*rows, ("__closing__", t0 + dt.timedelta(days=1), "__closing__")], "event_id string, event_ts timestamp, barcode_raw string") \
+        .coalesce(1).write.parquet(root)
+    src = spark.readStream.schema("event_id string, event_ts timestamp, barcode_raw string").parquet(root)
+    staged = streams.debounce_stream(src, None, 3.0)
+    counts = streams.LateRows()
+    got = streams.run_to_parquet(staged, "buckets", state_store=streams.ROCKSDB, late=counts)
+    assert sorted(r.event_id for r in got.collect()) == sorted(f"e{k}-{s}" for k in range(3000) for s in (0, 4, 7))
+    assert spark.read.parquet(root).select(streams.bucket("barcode_raw").alias("b")).distinct().count() <= streams.BUCKETS
