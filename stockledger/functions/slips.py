@@ -1,14 +1,21 @@
 """Packing-slip answers (text of the external reading service) -> validated lines.
 
 H7 parse_slip_responses, H8 slip_lines, B17 valid_slip_lines, D12 slip_totals, A7 load_slip_files.
-All built-in expressions; each answer is parsed into a variant whose items are
-cast once to typed lines.
+An answer is read by ``read_slip``, a batch of them at a time in the tasks; all else
+is built-in expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # fixed allowed confidence values and their default
 CONFIDENCE_VALUES = ("high", "medium", "low")
@@ -19,50 +26,95 @@ HEADER = ("vendor", "po_number", "ship_date", "notes")
 LINES = "array<struct<item_id:string,qty:int,description:string,confidence:string>>"
 
 
-def _unfence(text: Column) -> Column:
+def _unfenced(text: str) -> str:
     """Text after the first ```json up to the next ```, else after the first ```, else all of it."""
-    inner = (F.when(F.contains(text, F.lit("```json")), F.regexp_extract(text, r"(?s)```json(.*?)(?:```|\z)", 1))
-             .when(F.contains(text, F.lit("```")), F.regexp_extract(text, r"(?s)```(.*?)(?:```|\z)", 1))
-             .otherwise(text))
-    return F.regexp_replace(inner, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    for fence in ("```json", "```"):
+        if fence in text:
+            return text.split(fence, 1)[1].split("```", 1)[0].strip()
+    return text.strip()
 
 
-def _type(v: Column) -> Column:
-    """JSON type of a variant: OBJECT<...>, ARRAY<...>, STRING, BIGINT, ..., VOID for null; '' when absent."""
-    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+def _object(pairs: list[tuple]) -> dict:
+    """An object's fields; no name may come twice."""
+    found = dict(pairs)
+    if len(found) != len(pairs):
+        raise ValueError("repeated name")
+    return found
 
 
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+class _Fraction(str):
+    """The text of a number that has a fraction or an exponent."""
 
 
-def _whole(v: Column) -> Column:
-    """A whole number given as number, numeric text or truth value; NULL otherwise or beyond int."""
-    kind, s = _type(v), F.regexp_replace(_text(v), "_", "")
-    digits = _text(v).rlike(r"\A\s*[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?\s*\z")
-    return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
-            .when((kind != "VOID") & digits, F.regexp_replace(F.trim(s), r"\.0*\z", "").try_cast("int")))
+def _number(kind):
+    def read(digits: str):
+        if len(digits) > 1000:
+            raise ValueError("number of over 1,000 digits")
+        return kind(digits)
+    return read
 
 
-def _only_value(text: Column) -> Column:
-    """The JSON value that ``text`` is, as a variant; NULL if it is none or anything follows it.
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
 
-    A parser stops at the end of the first value.  As the only element of a list the text is one
-    element, and one more can be put behind it -- unless the list ended within the text,
-    where neither could be true of both.
-    """
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    longer = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    ends = F.variant_get(alone, "$[1]", "variant").isNull() & F.variant_get(longer, "$[1]", "variant").isNotNull()
-    return F.when(ends, F.variant_get(alone, "$[0]", "variant"))
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_object, parse_int=_number(int), parse_float=_number(_Fraction), parse_constant=_no_constant)
+_WHOLE = re.compile(r"[ \t\n\x0b\f\r]*([+-]?[0-9]+(?:_[0-9]+)*)(?:(?:\.0*) *|[ \t\n\x0b\f\r]*)")
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once a row, however many expressions read it.
 
-    The optimizer copies an expression into all that use its fields; it does not copy it out of a generator.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+def _is_text(v) -> bool:
+    return isinstance(v, str) and not isinstance(v, _Fraction)
+
+
+def _whole(v) -> int | None:
+    """A whole number given as number, numeric text or truth value; None otherwise or beyond int."""
+    if isinstance(v, _Fraction):
+        if "e" in v or "E" in v or len(v) > 38:      # a double: written with an exponent from 10 million on
+            v = float(v)
+            v = int(v) if abs(v) < 1e7 and v.is_integer() else None
+        else:
+            v = str(v)
+    if isinstance(v, str):
+        m = _WHOLE.fullmatch(v)
+        v = int(m[1].replace("_", "")) if m and len(v) < 4000 else None
+    return int(v) if isinstance(v, int) and -(1 << 31) <= v < 1 << 31 else None
+
+
+def _line(x) -> tuple | None:
+    """(item_id, qty, description, confidence) of a line, None if it is no valid one."""
+    if not isinstance(x, dict):
+        return None
+    item, qty, about, sure = x.get("item_id"), _whole(x.get("qty")), x.get("description"), x.get("confidence", DEFAULT_CONFIDENCE)
+    if not _is_text(item) or qty is None or qty < 1 or not (about is None or _is_text(about)) or not _is_text(sure) or sure not in CONFIDENCE_VALUES:
+        return None
+    return item, qty, about, sure
+
+
+def read_slip(text: str | None) -> tuple[list[tuple], list[str | None]]:
+    """(lines, header) of one answer; an answer of any other shape has no lines and a note of why."""
+    failed = lambda why: ([], [None, None, None, f"Failed to parse response: {why}"])
+    body = _unfenced(text or "")
+    try:
+        slip = _DECODER.decode(body) if body.startswith("{") else None
+    except (ValueError, RecursionError):
+        slip = None
+    if slip is None:
+        return failed("not valid JSON")
+    items = slip.get("items", [])
+    lines = [_line(x) for x in items] if isinstance(items, list) else [None]
+    if None in lines:
+        return failed("invalid line item")
+    header = [slip.get(c) for c in HEADER]
+    if not all(v is None or _is_text(v) for v in header):
+        return failed("invalid header")
+    return lines, header
+
+
+def _texts(values: list) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:      # an escaped half of a surrogate pair
+        return pa.array([v and v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
 def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame:
@@ -74,33 +126,23 @@ def parse_slip_responses(df: DataFrame, text_col: str = "response") -> DataFrame
     three texts (absent -> medium).  The header fields are texts or null.  Any
     other shape empties the whole slip and records a note.
     """
-    body = _unfence(F.col(text_col))
-    field = lambda name, kind: F.try_variant_get(F.col("__o"), f"$.{name}", kind)
-    staged = _once(_once(df, "__b", body), "__o", F.when(F.startswith(F.col("__b"), F.lit("{")), _only_value(F.col("__b"))))
-    # one typed cast; an item that is no object has no item_id
-    cast = field("items", "array<struct<item_id:variant,qty:variant,description:variant,confidence:variant>>")
-    shape = F.struct(cast.alias("items"), field("items", "variant").alias("any"), *[field(c, "variant").alias(c) for c in HEADER])
-    staged = _once(staged, "__s", shape)
-    lines = F.transform("__s.items", lambda x: F.struct(
-        _text(x["item_id"]).alias("item_id"), _whole(x["qty"]).alias("qty"), _text(x["description"]).alias("description"),
-        F.when(x["confidence"].isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(_text(x["confidence"])).alias("confidence"),
-        ((_type(x["item_id"]) == "STRING") & _type(x["description"]).isin("", "VOID", "STRING") & _type(x["confidence"]).isin("", "STRING")).alias("typed")))
-    staged = _once(staged, "__lines", F.coalesce(lines, F.array().cast(LINES[:-2] + ",typed:boolean>>")))
-    listed = F.col("__s.items").isNotNull() | F.col("__s.any").isNull()
-    valid = listed & F.forall("__lines", lambda x: F.coalesce(x["typed"] & (x["qty"] >= 1) & x["confidence"].isin(*CONFIDENCE_VALUES), F.lit(False)))
-    header = F.lit(True)
-    for name in HEADER:
-        header = header & _type(F.col(f"__s.{name}")).isin("", "VOID", "STRING")
-    readable = F.col("__o").isNotNull()
-    note = (F.when(~readable, F.lit("Failed to parse response: not valid JSON"))
-            .when(~valid, F.lit("Failed to parse response: invalid line item"))
-            .when(~header, F.lit("Failed to parse response: invalid header"))
-            .otherwise(_text(F.col("__s.notes"))))
-    items = F.transform("__lines", lambda x: F.struct(*[x[c].alias(c) for c in ("item_id", "qty", "description", "confidence")]))
-    ok = readable & valid & header
-    slip = F.struct(F.when(ok, items).otherwise(F.array().cast(LINES)).alias("items"),
-                    *[F.when(ok, _text(F.col(f"__s.{c}"))).alias(c) for c in HEADER[:3]], note.alias("notes"))
-    return _once(staged, "slip", slip).select(*df.columns, "slip")
+    cols = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).cast(pa.binary()).to_pylist()
+            slips = [read_slip(None if x is None else x.decode("utf-8", "replace")) for x in texts]
+            ends = np.cumsum([0, *(len(lines) for lines, _ in slips)], dtype=np.int32)
+            fields = list(zip(*(x for lines, _ in slips for x in lines))) or [()] * 4
+            item, qty, about, sure = fields
+            lines = pa.StructArray.from_arrays([_texts(item), pa.array(qty, pa.int32()), _texts(about), _texts(sure)],
+                                               ["item_id", "qty", "description", "confidence"])
+            header = [_texts([h[i] for _, h in slips]) for i in range(len(HEADER))]
+            slip = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), lines), *header], ["items", *HEADER])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), slip], [*cols, "slip"])
+
+    kind = StructType.fromDDL(f"slip struct<items:{LINES},{','.join(f'{c}:string' for c in HEADER)}>")
+    return df.mapInArrow(run, StructType([*df.schema.fields, *kind.fields]))
 
 
 def slip_lines(parsed: DataFrame, id_col: str = "slip_id") -> DataFrame:

@@ -75,7 +75,9 @@ def slip_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
             .when(k == 2, F.concat(F.lit("```\n"), j, F.lit("\n```")))
             .otherwise(F.concat(F.lit("Extracted items:\n```json\n"), j, F.lit("\n```\nDone."))))
-    copy = F.element_at(F.create_map(*[x for n, t in COPIES.items() for x in (F.lit(n), F.expr(t))]), (F.col("slip_id") % 25).cast("int"))
+    copy = F.lit(None).cast("string")
+    for n, t in COPIES.items():     # only the row's own copy is built
+        copy = F.when(F.col("slip_id") % 25 == n, F.expr(t)).otherwise(copy)
     both = F.array(F.struct(F.col("slip_id"), text.alias("response")), F.struct((-F.col("slip_id")).alias("slip_id"), copy.alias("response")))
     return doc.select(F.explode(both).alias("x")).select("x.*").where("response is not null")
 
