@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockledger.config import DEFAULT, Params
 from stockledger.functions.barcode import make_barcode, parse_barcode_cols
 from stockledger.operators.debounce import debounce
+from stockledger.operators.ordered import stored
 
 
 def ingest_scans(raw: DataFrame, params: Params = DEFAULT, default_ts: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +26,8 @@ def ingest_scans(raw: DataFrame, params: Params = DEFAULT, default_ts: Column |
     staged = flagged.withColumns({"__item": item, "__qty": qty, "__err": err})
     reason = (F.when(F.col("event_ts").isNull(), F.lit("no_time")).when(~F.col("kept"), F.lit("duplicate"))
               .otherwise(F.col("__err")))
-    staged = staged.withColumn("reason", reason)
+    # kept once: ledger rows and rejects are both read from it
+    staged = stored(staged.withColumn("reason", reason), "ingested")
     ledger = staged.filter(F.col("reason").isNull()).select(
         F.col("scan_id").alias("event_id"), "event_ts", F.col("kind").alias("event_type"), "station_id",
         "barcode_raw", F.col("__item").alias("item_id"), F.col("__qty").alias("qty"), "user_email")
@@ -67,7 +69,8 @@ def bulk_intake(slip_lines: DataFrame, params: Params = DEFAULT, dedupe: bool =
         make_barcode(F.col("item_id"), F.col("qty")).alias("barcode_raw"),
         (F.col("user_email") if "user_email" in slip_lines.columns else F.lit(None).cast("string")).alias("user_email"))
     if dedupe:
-        return ingest_scans(raw, params)
+        # kept first: the debounce reads its input twice, and reading slips is the dearer part
+        return ingest_scans(stored(raw, "bulk-scans"), params)
     item, qty, err = parse_barcode_cols(F.col("barcode_raw"))
     staged = raw.withColumns({"__item": item, "__qty": qty, "reason": err})
     ledger = staged.filter(F.col("reason").isNull()).select(

@@ -220,3 +220,33 @@ def test_slip_answer_is_one_value(spark):
     assert got == {i: 1 if i in (0, 1) else 0 for i in range(len(texts))}
     notes = {r.slip_id: r.slip["notes"] for r in slips.parse_slip_responses(df).collect()}
     assert [i for i, n in notes.items() if n is None] == [0, 1, 11]
+
+
+def test_slips_are_read_once_for_bulk_intake(spark):
+    """The debounce reads its input twice; the slip lines behind it are read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ddl = "slip_id int, line_no int, item_id string, qty int, received_ts timestamp_ntz"
+    lines = spark.createDataFrame([(1, i, f"P{i}", 5, at(0)) for i in range(20)], ddl).mapInArrow(count, ddl)
+    ok, rejects = ingest.bulk_intake(lines)
+    assert ok.count() == 20 and rejects.count() == 0 and seen.value == 20
+
+
+def test_read_slip_odd_texts():
+    """Texts as JSON has them, read without Spark."""
+    read = slips.read_slip
+    one = '{"items": [{"item_id": "A", "qty": %s}]}'
+    assert read("x ```json" + one % "1e3" + "``` y")[0] == [("A", 1000, None, "medium")]
+    assert [read(one % q)[0] for q in ("1e7", '"1.0\t"', "NaN", '"1__0"', "2147483648", "1.5")] == [[]] * 6
+    assert read('{"items": [], "items": []}')[1][3] == read(None)[1][3] == "Failed to parse response: not valid JSON"
+    assert read('{"vendor": 1.5}')[1][3] == "Failed to parse response: invalid header"
+
+
+def test_slip_texts_with_half_a_surrogate_pair(spark):
+    df = spark.createDataFrame([(1, '{"notes": "a\\ud800"}')], "slip_id int, response string")
+    assert slips.parse_slip_responses(df).first()["slip"]["notes"] == "a?"
