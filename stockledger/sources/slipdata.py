@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyarrow import fs
@@ -85,6 +86,9 @@ def slip_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the endings that the slip files of the customers take in turn; the last has none
 ENDINGS = (".jpg", ".JPEG", ".png", ".webp", ".gif", ".PDF", ".tif", ".txt", "")
 
+# sub-folders that the slip files are dealt into
+FOLDERS = 64
+
 
 def slip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, content): one file per customer, a line for each of the customer's orders."""
@@ -95,18 +99,20 @@ def slip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """Write each row's ``content`` to the file ``name`` below ``root``, by the tasks that hold the rows; returns their number.
+    """Write each row's ``content`` to the file ``name`` in a sub-folder of ``root``, by the tasks that hold the rows; returns their number.
 
+    The sub-folder follows from the name: Spark lists folders in parallel, but the files of one folder one by one.
     A file is written whole under its own name, so a task that runs again repeats nothing.
     """
     root = re.sub(r"^file:/+", "file:///", root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
-        store.create_dir(base, recursive=True)
+        for folder in range(FOLDERS):
+            store.create_dir(f"{base}/folder={folder}", recursive=True)
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
-                with store.open_output_stream(f"{base}/{name}") as f:
+                with store.open_output_stream(f"{base}/folder={crc32(str(name).encode()) % FOLDERS}/{name}") as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from stockledger.functions import slips
 from stockledger.functions.slips import load_slip_files
 from stockledger.plans import medallion as M
 from stockledger.session import scratch_path
@@ -136,3 +137,15 @@ def test_slip_files_are_written_again_by_a_retry(spark):
         assert slipdata.write_files(files.repartition(2), root) == 2
     got = spark.read.format("binaryFile").load(root).collect()
     assert sorted((os.path.basename(r.path), bytes(r.content)) for r in got) == [("a.png", b"x"), ("b.txt", b"yy")]
+
+
+def test_many_slip_files_take_few_tasks(spark):
+    """The tasks of a read follow the cores, not the files; files without a name are written too."""
+    root = tempfile.mkdtemp(prefix="slips-") + "/in"
+    names = [f"s{i}.png" for i in range(2000)] + [None]
+    files = spark.createDataFrame([(n, b"x") for n in names], "name string, content binary")
+    assert slipdata.write_files(files, root) == 2001
+    ok, rejects = load_slip_files(spark, root)
+    most = slips.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert ok.rdd.getNumPartitions() <= most < 2001 // 32 and rejects.rdd.getNumPartitions() <= most
+    assert ok.count() == 2000 and [r.path.rsplit("/", 1)[1] for r in rejects.collect()] == ["None"]
