@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stockledger.sources import files
+
 # fixed allowed confidence values and their default
 CONFIDENCE_VALUES = ("high", "medium", "low")
 DEFAULT_CONFIDENCE = "medium"
@@ -175,17 +177,24 @@ TASKS_A_CORE = 8
 def load_slip_files(spark, path: str, max_bytes: int = 20 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
     """(slip files with a media type, rejected files with a reason).
 
-    Listing (by sub-folder) and reading are distributed (``binaryFile``); the content
-    column is only read for accepted files.  Spark packs at most 32 files into a
-    partition, so many small files would be as many small tasks: partitions are merged
-    to a fixed number a core.  A file that is too large or no slip is a reject (files
-    of no bytes are not listed by Spark).
+    Listing and reading are distributed (``sources.files``): the files are listed once, by
+    tasks, and the content is only read for accepted files, so the driver holds folders
+    and no files.  A store that pyarrow cannot open is read by Spark's ``binaryFile``,
+    which lists on the driver; it packs at most 32 files into a partition, so partitions
+    are merged to a fixed number a core.  A file that is too large or no slip is a reject
+    (files of no bytes are not listed).
     """
     tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if store := files.opened(spark, path):
+        df = files.listed(spark, store, tasks)
+    else:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)\z", 1))
     known = F.element_at(F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]), ext)
     media = F.coalesce(known, F.when(ext.isin(*IMAGE_EXTENSIONS), F.lit("image/jpeg")))
     reason = F.when(media.isNull(), F.lit("not_an_image_or_pdf")).when(F.col("length") > max_bytes, F.lit("too_large"))
-    return (df.filter(reason.isNull()).select("path", "length", "modificationTime", media.alias("media_type"), "content").coalesce(tasks),
+    ok = df.filter(reason.isNull()).withColumn("media_type", media)
+    if store:
+        ok = files.with_content(ok, store, tasks)
+    return (ok.select("path", "length", "modificationTime", "media_type", "content").coalesce(tasks),
             df.filter(reason.isNotNull()).select("path", "length", "modificationTime", reason.alias("reason")).coalesce(tasks))

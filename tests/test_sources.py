@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import pytest
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -13,7 +15,7 @@ from stockledger.functions import slips
 from stockledger.functions.slips import load_slip_files
 from stockledger.plans import medallion as M
 from stockledger.session import scratch_path
-from stockledger.sources import bridge, sinks, slipdata, tables
+from stockledger.sources import bridge, files, sinks, slipdata, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,3 +151,71 @@ def test_many_slip_files_take_few_tasks(spark):
     most = slips.TASKS_A_CORE * spark.sparkContext.defaultParallelism
     assert ok.rdd.getNumPartitions() <= most < 2001 // 32 and rejects.rdd.getNumPartitions() <= most
     assert ok.count() == 2000 and [r.path.rsplit("/", 1)[1] for r in rejects.collect()] == ["None"]
+
+
+def test_driver_holds_no_slip_files(spark):
+    """The files are listed and read by tasks: neither result keeps their names on the driver."""
+    root = scratch_path(spark, "slip-files")
+    sent = spark.createDataFrame([(f"s{i}.{'png' if i % 2 else 'txt'}", b"%d" % i) for i in range(400)], "name string, content binary")
+    assert slipdata.write_files(sent, root) == 400
+    ok, rejects = load_slip_files(spark, root)
+    assert {os.path.basename(p)[0] for x in (ok, rejects) for p in x.inputFiles()} == {"p"}     # parts of the listing
+    assert {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in ok.collect()} == {f"s{i}.png": b"%d" % i for i in range(1, 400, 2)}
+    assert rejects.count() == 200
+
+
+def _odd_tree() -> str:
+    root = tempfile.mkdtemp(prefix="slip files %20#-")
+    for name, content in {
+            "a b.png": b"1", "p%20q?.png": b"22", "ä.pdf": b"333", "no ending": b"4", "empty.png": b"", "_hidden.png": b"5", "_k=1.png": b"6", ".dot.png": b"7",
+            "half.png._COPYING_": b"8", "_metadata.png": b"9", "squeezed.gz": b"plain", "large.png": b"x" * (9 << 20), "deep/er/est/of/all/z.jpg": b"a",
+            "_out/b.png": b"b", ".git/c.png": b"c", "_metadata/d.png": b"d", "k=1/e.png": b"e", "_k=2/f.png": b"f", "void/.keep": b"g"}.items():
+        os.makedirs(os.path.dirname(at := os.path.join(root, name)), exist_ok=True)
+        with open(at, "wb") as f:
+            f.write(content)
+        os.utime(at, ns=(10**18, 1_500_000_000_123_987_654))
+    os.symlink(f"{root}/deep", f"{root}/linked")
+    os.symlink(f"{root}/gone", f"{root}/dangling.png")
+    return root
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 100])
+@pytest.mark.parametrize("below", ["", "/", "/deep", "/a b.png", "/_hidden.png", "/empty.png", "/{deep,deep/er,k=1,*.png}", "/*"])
+def test_files_are_listed_as_sparks_reader_lists_them(spark, below, tasks):
+    root = _odd_tree()
+    if below and not below.endswith("/"):       # Spark takes these as patterns
+        os.rename(root, root := root.replace("%20#", "x"))
+    with open(os.fsencode(root) + b"/no utf-8 \xff.png", "wb") as f:
+        f.write(b"1")
+    path = root + below
+    store = files.opened(spark, path)
+    listing = files.listed(spark, store, tasks)
+    got = files.with_content(listing, store, tasks)
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*got.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.rdd.getNumPartitions() == tasks
+
+
+def test_other_stores_list_a_folder_at_once():
+    root = _odd_tree()
+    rows = lambda s, p: sorted((e[0].removeprefix(p).strip("/"), *e[1:]) for e in files.entries(s, p) if not e[1])
+    local = fs.LocalFileSystem()
+    assert rows(fs.SubTreeFileSystem(root, local), "") == rows(local, root) != []
+
+
+def test_files_of_a_store_that_only_hadoop_reaches(spark):
+    root = tempfile.mkdtemp(prefix="slips-")
+    for name in ("a.png", "b.txt"):
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(b"x")
+    spark.conf.set("fs.viewfs.mounttable.store.link./in", f"file://{root}")
+    ok, rejects = load_slip_files(spark, "viewfs://store/in")
+    assert [(r.path, r.media_type, bytes(r.content)) for r in ok.collect()] == [("viewfs://store/in/a.png", "image/png", b"x")]
+    assert [(r.path, r.reason) for r in rejects.collect()] == [("viewfs://store/in/b.txt", "not_an_image_or_pdf")]
+    spark.conf.unset("fs.viewfs.mounttable.store.link./in")
+
+
+def test_missing_folder_of_slip_files(spark):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        load_slip_files(spark, tempfile.mkdtemp(prefix="slips-") + "/none")
